@@ -217,7 +217,7 @@ bottlenecks AS (SELECT workspace_id, name, type, count(*) AS issue_count,
     'Entity ''' || name || ''' (' || type || ') was associated with ' || count(*)
       || ' operational issue events in the last 14 days, including: '
       || string_agg('''' || title || '''', ', ' ORDER BY rank) FILTER (WHERE rank <= 3) || '.' AS summary
-  FROM blocked GROUP BY ALL HAVING count(*) >= 2)
+  FROM blocked GROUP BY workspace_id, name, type HAVING count(*) >= 2)
 """
 
 

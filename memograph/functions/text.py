@@ -12,6 +12,11 @@ from memograph import vocab
 MENTION_TYPE = "array<struct<name:string,type:string>>"
 
 
+def strip(c: Column) -> Column:
+    """Trim every kind of white space, not only blanks."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def capitalize(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
 
@@ -60,7 +65,7 @@ def mentions(text: Column, projects: Sequence[str] = vocab.PROJECT_WORDS) -> Col
     """Entity mentions in rule order then position, case-insensitively distinct, first case kept."""
 
     def typed(found: Column, kind: str) -> Column:
-        return F.transform(found, lambda n: F.struct(F.trim(n).alias("name"), F.lit(kind).alias("type")))
+        return F.transform(found, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
 
     words = dictionary(projects)
     table = _lookup(words)
@@ -125,7 +130,7 @@ def chunk_event_title(kind: Column, title: Column) -> Column:
 def leading_sentences(text: Column) -> Column:
     """First two sentences, at most 200 characters."""
     pieces = F.filter(
-        F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\."), F.trim), lambda s: s != ""
+        F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\."), lambda s: strip(s)), lambda s: s != ""
     )
     joined = F.array_join(F.slice(pieces, 1, 2), ". ")
     return (
@@ -159,7 +164,7 @@ def clip(text: Column, size: int = 100) -> Column:
 
 
 def event_type_or_default(v: Column) -> Column:
-    low = F.trim(F.lower(v))
+    low = strip(F.lower(v))
     return (
         F.when(low.isin(vocab.EVENT_TYPES), low)
         .when(contains_any(low, ["incident", "outage"]), "incident")
@@ -168,17 +173,17 @@ def event_type_or_default(v: Column) -> Column:
 
 
 def severity_or_null(v: Column) -> Column:
-    low = F.trim(F.lower(v))
+    low = strip(F.lower(v))
     return F.when(low.isin(vocab.SEVERITIES), low)
 
 
 def edge_type_or_default(v: Column, known: Sequence[str]) -> Column:
-    low = F.translate(F.trim(F.lower(v)), " -", "__")
+    low = F.translate(strip(F.lower(v)), " -", "__")
     return F.when(low.isin(list(known)), low).otherwise("related_to")
 
 
 def entity_type_or_document(v: Column) -> Column:
-    low = F.trim(F.lower(v))
+    low = strip(F.lower(v))
     return F.when(low.isin(vocab.ENTITY_TYPES), low).otherwise("document")
 
 
@@ -188,7 +193,7 @@ def clamp_confidence(v: Column, default: float = 0.8) -> Column:
 
 
 def entity_name_or_null(v: Column) -> Column:
-    name = F.trim(v)
+    name = strip(v)
     return F.when(F.length(name) >= 2, F.left(name, F.lit(200)))
 
 
@@ -232,7 +237,7 @@ def alert_severity(level: Column) -> Column:
 
 
 def alias_list(csv: Column) -> Column:
-    return F.filter(F.transform(F.split(csv, ","), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(csv, ","), lambda a: strip(a)), lambda a: a != "")
 
 
 def tokens(name: Column) -> Column:

@@ -130,6 +130,7 @@ def report_lines(page: DataFrame, query: str) -> DataFrame:
         F.concat(F.lit("⚠️ **Warning**: The timeline contains high-severity issues (critical: "), F.col("critical"),
                  F.lit(", high: "), F.col("high"), F.lit("). Immediate attention is required.")),
     ).otherwise("✅ **Status**: No critical or high-severity incidents detected in this window.")
+    # Headings and sentences of the report.
     names = F.array_join(F.transform("names", lambda n: F.concat(F.lit("- "), n)), "\n")
     return body.join(categories, "workspace_id").select(
         "workspace_id",
