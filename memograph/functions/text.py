@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from memograph import vocab
 MENTION_TYPE = "array<struct<name:string,type:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an expensive value once; naming it twice in plain columns would evaluate it twice."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
@@ -61,6 +66,17 @@ def dictionary(projects: Sequence[str] = vocab.PROJECT_WORDS) -> dict[str, tuple
     return words
 
 
+def whole_words(words: Sequence[str]) -> str:
+    """Pattern for dictionary words standing as whole tokens of letters, digits, underscores and hyphens.
+
+    Equal to cutting the text into tokens and looking each one up, without a
+    string per token. Hyphens at a token's edge belong to no word.
+    """
+    inside = r"\p{L}\p{N}_\-"
+    longest_first = sorted(words, key=lambda w: (-len(w), w))
+    return rf"(?<![{inside}])-*({'|'.join(longest_first)})-*(?![{inside}])"
+
+
 def mentions(text: Column, projects: Sequence[str] = vocab.PROJECT_WORDS) -> Column:
     """Entity mentions in rule order then position, case-insensitively distinct, first case kept."""
 
@@ -69,19 +85,19 @@ def mentions(text: Column, projects: Sequence[str] = vocab.PROJECT_WORDS) -> Col
 
     words = dictionary(projects)
     table = _lookup(words)
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(vocab.WORD_PATTERN), F.lit(0)))
-    known = F.filter(tokens, lambda t: t.isin(list(words)))
-    typed_words = F.transform(known, lambda t: F.element_at(table, t))
-    listed = F.filter(typed_words, lambda m: m["type"] != "project")
-    projects_named = F.filter(typed_words, lambda m: m["type"] == "project")
-    found = F.concat(
-        typed(F.regexp_extract_all(text, F.lit(vocab.PROJECT_PATTERN), F.lit(1)), "project"),
-        typed(F.regexp_extract_all(text, F.lit(vocab.INCIDENT_PATTERN), F.lit(1)), "incident"),
-        typed(F.regexp_extract_all(text, F.lit(vocab.MENTION_PATTERN), F.lit(1)), "person"),
-        listed,
-        projects_named,
-    )
-    return first_by_name(found)
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(whole_words(list(words))), F.lit(1)))
+    known = F.transform(tokens, lambda t: F.element_at(table, t))
+
+    def assemble(named: Column) -> Column:
+        return F.concat(
+            typed(F.regexp_extract_all(text, F.lit(vocab.PROJECT_PATTERN), F.lit(1)), "project"),
+            typed(F.regexp_extract_all(text, F.lit(vocab.INCIDENT_PATTERN), F.lit(1)), "incident"),
+            typed(F.regexp_extract_all(text, F.lit(vocab.MENTION_PATTERN), F.lit(1)), "person"),
+            F.filter(named, lambda m: m["type"] != "project"),
+            F.filter(named, lambda m: m["type"] == "project"),
+        )
+
+    return first_by_name(let(known, assemble))
 
 
 def first_by_name(found: Column) -> Column:
@@ -90,19 +106,18 @@ def first_by_name(found: Column) -> Column:
         found, lambda m, i: F.struct(F.lower(m["name"]).alias("key"), i.alias("at"), m["name"].alias("name"),
                                      m["type"].alias("type"))
     )
-    ranked = F.array_sort(keyed)
-    firsts = F.filter(
-        F.zip_with(
-            ranked,
-            F.concat(F.array(F.lit(None).cast("struct<key:string,at:int,name:string,type:string>")),
-                     F.slice(ranked, 1, F.greatest(F.size(ranked) - 1, F.lit(0)))),
-            lambda cur, prev: F.when(prev.isNull() | (prev["key"] != cur["key"]), cur),
-        ),
-        lambda m: m.isNotNull(),
-    )
-    in_order = F.array_sort(
-        F.transform(firsts, lambda m: F.struct(m["at"].alias("at"), m["name"].alias("name"), m["type"].alias("type")))
-    )
+
+    def firsts(ranked: Column) -> Column:
+        shifted = F.concat(F.array(F.lit(None).cast("struct<key:string,at:int,name:string,type:string>")), ranked)
+        return F.filter(
+            F.zip_with(ranked, F.slice(shifted, F.lit(1), F.size(ranked)),
+                       lambda cur, prev: F.when(prev.isNull() | (prev["key"] != cur["key"]), cur)),
+            lambda m: m.isNotNull(),
+        )
+
+    in_order = F.array_sort(F.transform(
+        let(F.array_sort(keyed), firsts),
+        lambda m: F.struct(m["at"].alias("at"), m["name"].alias("name"), m["type"].alias("type"))))
     return F.transform(in_order, lambda m: F.struct(m["name"].alias("name"), m["type"].alias("type")))
 
 
@@ -132,12 +147,11 @@ def leading_sentences(text: Column) -> Column:
     pieces = F.filter(
         F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\."), lambda s: strip(s)), lambda s: s != ""
     )
-    joined = F.array_join(F.slice(pieces, 1, 2), ". ")
-    return (
-        F.when(joined == "", F.substring(text, 1, 200))
-        .when(F.length(joined) > 200, F.concat(F.substring(joined, 1, 197), F.lit("...")))
-        .otherwise(joined)
-    )
+    return let(F.array_join(F.slice(pieces, 1, 2), ". "), lambda lead: (
+        F.when(lead == "", F.substring(text, 1, 200))
+        .when(F.length(lead) > 200, F.concat(F.substring(lead, 1, 197), F.lit("...")))
+        .otherwise(lead)
+    ))
 
 
 def event_teams(team: Column, entities: Column) -> Column:
@@ -147,10 +161,11 @@ def event_teams(team: Column, entities: Column) -> Column:
 
 
 def line_event_type(line: Column) -> Column:
-    kind = None
+    """First matching rule; one pass with all rules joined skips the many lines none matches."""
+    any_rule = "(?i)" + "|".join(pattern for _, pattern in vocab.LINE_EVENT_PATTERNS)
+    kind = F.when(~line.rlike(any_rule), F.lit(None).cast("string"))
     for name, pattern in vocab.LINE_EVENT_PATTERNS:
-        hit = line.rlike("(?i)" + pattern)
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+        kind = kind.when(line.rlike("(?i)" + pattern), name)
     return kind
 
 

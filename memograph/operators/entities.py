@@ -39,8 +39,13 @@ def payload(tagged: DataFrame) -> DataFrame:
 
 
 def mention_rows(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per mention with its position."""
-    return tagged.select(*keys, F.posexplode("entity_details").alias("position", "m")).select(
+    """One row per mention with its position.
+
+    The inner filter keeps the optimizer from deriving a size test that would
+    evaluate the tagger a second time.
+    """
+    named = F.filter("entity_details", lambda m: m["name"].isNotNull())
+    return tagged.select(*keys, F.posexplode(named).alias("position", "m")).select(
         *keys, "position", F.col("m.name").alias("name"), F.col("m.type").alias("type"))
 
 

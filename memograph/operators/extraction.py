@@ -21,8 +21,10 @@ relationships array<struct<source_title:string,target_title:string,relationship_
 
 def chunk_events(chunks: DataFrame) -> DataFrame:
     """At most one event per chunk from the substring classifier, with title, summary and teams."""
-    kind = text.chunk_event_type(F.col("text"), F.col("source"))
-    return chunks.withColumn("event_type", kind).filter(F.col("event_type").isNotNull()).select(
+    kind = F.array(text.chunk_event_type(F.col("text"), F.col("source")))
+    # Exploding the one-element list classifies each text once; a filter on the column would do so twice.
+    classified = chunks.select("*", F.explode(F.filter(kind, lambda k: k.isNotNull())).alias("event_type"))
+    return classified.select(
         "workspace_id",
         F.concat(F.lit("event_"), "chunk_id").alias("event_id"),
         "chunk_id", "event_type",
@@ -33,15 +35,20 @@ def chunk_events(chunks: DataFrame) -> DataFrame:
     )
 
 
+def classified_lines(body: Column) -> Column:
+    """Classified non-blank lines of a text with their number, each line judged once."""
+    lines = F.transform(F.split(body, r"\R"), lambda l, i: F.struct(i.alias("line_no"), text.strip(l).alias("line")))
+    judged = F.transform(
+        F.filter(lines, lambda l: l["line"] != ""),
+        lambda l: F.struct(l["line_no"].alias("line_no"), l["line"].alias("line"),
+                           text.line_event_type(l["line"]).alias("event_type")))
+    return F.filter(judged, lambda l: l["event_type"].isNotNull())
+
+
 def line_events(chunks: DataFrame) -> DataFrame:
     """Every classified non-blank line as an event, numbered within its chunk."""
-    line = F.regexp_replace(F.col("raw_line"), r"^\s+|\s+$", "")
-    lines = (
-        chunks.select("workspace_id", "chunk_id", F.posexplode(F.split("text", r"\R")).alias("line_no", "raw_line"))
-        .withColumn("line", line).filter(F.col("line") != "")
-        .withColumn("event_type", text.line_event_type(F.col("line")))
-        .filter(F.col("event_type").isNotNull())
-    )
+    lines = chunks.select("workspace_id", "chunk_id", F.explode(classified_lines(F.col("text"))).alias("l")).select(
+        "workspace_id", "chunk_id", "l.*")
     return lines.select(
         "workspace_id", "chunk_id", "line_no", "event_type",
         text.clip(F.col("line")).alias("title"), F.col("line").alias("description"),
@@ -57,19 +64,16 @@ def sequential_edges(chunks: DataFrame) -> DataFrame:
 
     Lines are paired inside the chunk's own row, so no ordering shuffle is needed.
     """
-    kept = F.filter(
-        F.transform(F.split("text", r"\R"), lambda l, i: F.struct(
-            i.alias("line_no"), F.regexp_replace(l, r"^\s+|\s+$", "").alias("line"))),
-        lambda l: (l["line"] != "") & text.line_event_type(l["line"]).isNotNull(),
-    )
-    paired = F.zip_with(
-        F.slice("kept", F.lit(2), F.greatest(F.size("kept") - 1, F.lit(0))),
-        F.slice("kept", F.lit(1), F.greatest(F.size("kept") - 1, F.lit(0))),
-        lambda later, earlier: F.struct(later["line_no"].alias("later_no"), earlier["line_no"].alias("earlier_no"),
-                                        later["line"].alias("later"), earlier["line"].alias("earlier")),
-    )
-    rows = chunks.withColumn("kept", kept).filter(F.size("kept") > 1).select(
-        "workspace_id", "chunk_id", F.explode(paired).alias("p"))
+    def paired(lines: Column) -> Column:
+        return F.zip_with(
+            F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
+            F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))),
+            lambda later, earlier: F.struct(later["line_no"].alias("later_no"), earlier["line_no"].alias("earlier_no"),
+                                            later["line"].alias("later"), earlier["line"].alias("earlier")),
+        )
+
+    rows = chunks.select(
+        "workspace_id", "chunk_id", F.explode(text.let(classified_lines(F.col("text")), paired)).alias("p"))
     return rows.select(
         "workspace_id", "chunk_id", F.col("p.later_no").alias("later_no"), F.col("p.earlier_no").alias("earlier_no"),
         text.clip(F.col("p.later")).alias("source_title"), text.clip(F.col("p.earlier")).alias("target_title"),
