@@ -8,7 +8,7 @@ from memograph import adapters as A
 from memograph.catalog.base import ASOF, OP_EVENTS, query, us, with_ctes
 from memograph.catalog.documents import LEFT, RAW_DOCS, RIGHT, STANDARD
 from memograph.catalog.search import (
-    CORRELATIONS, QUESTIONS, VECTORS, chunks, lite_events, questions, stored_correlations,
+    CORRELATIONS, QUESTIONS, VECTORS, lite_events, questions, stored_chunks, stored_correlations,
 )
 from memograph import vocab
 from memograph.functions import text
@@ -154,9 +154,9 @@ links AS (SELECT * FROM linked WHERE r = 1)
 @query("root_cause_links", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, TRACES, body="""
 SELECT query_id, 'event_' || f AS from_event, 'event_' || t AS to_event, type, round(score, 3) AS score FROM links"""))
 def root_cause_links(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = stored_chunks(spark, sf_dir)
     prepared = retrieval.prepare_questions(questions(spark, sf_dir), A.as_of())
-    events = cut_lineage(retrieval.related_events(prepared, lite_events(spark, sf_dir), 10))
+    events = cut_lineage(retrieval.related_events(prepared, lite_events(rows), 10))
     found = reasoning.links(events, stored_correlations(rows))
     return found.select("query_id", "from_event", "to_event", "type", F.round("score", 3).alias("score"))
 
@@ -168,9 +168,9 @@ SELECT q.query_id, coalesce(n, 0) AS link_count,
   round(CASE WHEN n > 0 THEN least(0.5::DOUBLE + s * 0.4::DOUBLE, 0.99::DOUBLE) ELSE 0.5 END, 2) AS trace_confidence
 FROM questions q LEFT JOIN per p ON p.query_id = q.query_id"""))
 def root_cause_confidence(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = stored_chunks(spark, sf_dir)
     prepared = cut_lineage(retrieval.prepare_questions(questions(spark, sf_dir), A.as_of()))
-    events = cut_lineage(retrieval.related_events(prepared, lite_events(spark, sf_dir), 10))
+    events = cut_lineage(retrieval.related_events(prepared, lite_events(rows), 10))
     none = patterns.recurring_incidents(A.op_events(spark, sf_dir).filter("false"), A.as_of()).withColumn("last_detected", A.as_of())
     traced = reasoning.root_cause(prepared, events, stored_correlations(rows), none)
     return traced["summary"].select("query_id", "link_count", "trace_confidence")
@@ -212,7 +212,7 @@ timed AS (SELECT e.query_id, e.chunk_id, c.us, row_number() OVER (PARTITION BY e
   WHERE q.q_start IS NULL OR c.ts BETWEEN q.q_start AND q.q_end)
 """, body="SELECT query_id, 'event_' || chunk_id AS event_id, r AS rank FROM timed WHERE r <= 100"))
 def multi_hop_events(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = stored_chunks(spark, sf_dir)
     prepared = cut_lineage(retrieval.prepare_questions(questions(spark, sf_dir), A.as_of()))
     hits = cut_lineage(retrieval.filtered_knn(prepared, rows, 5).select("query_id", "workspace_id", "chunk_id", "entities"))
     refs = rows.select("workspace_id", "chunk_id", F.explode("entities").alias("name")).distinct()
@@ -222,9 +222,9 @@ def multi_hop_events(spark, sf_dir):
 
 
 def answered(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = stored_chunks(spark, sf_dir)
     asked_rows = cut_lineage(questions(spark, sf_dir))
-    return reasoning.answer(asked_rows, rows, lite_events(spark, sf_dir), stored_correlations(rows), pattern_table(spark, sf_dir), A.as_of())
+    return reasoning.answer(asked_rows, rows, lite_events(rows), stored_correlations(rows), pattern_table(spark, sf_dir), A.as_of())
 
 
 @query("answers")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memograph import adapters as A
 from memograph.catalog.base import EVENT_REFS, OP_EVENTS, joined, query, us, with_ctes
 from memograph.operators import anomalies, workflow
+from memograph.session import cut_lineage
 from memograph.sources import webhooks
 
 HOOKS = """
@@ -18,7 +19,8 @@ hooks AS (
 
 
 def raw_hooks(spark, sf_dir):
-    return A.spread(shape_hooks(A.table(spark, sf_dir, "events")))
+    """Payloads as a landing zone holds them: written once, then read."""
+    return cut_lineage(shape_hooks(A.table(spark, sf_dir, "events")))
 
 
 def shape_hooks(e):

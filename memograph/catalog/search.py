@@ -34,6 +34,11 @@ def chunks(spark, sf_dir):
         F.when(F.col("vec_id") % 5 == 1, F.array(service, F.lit("topic_1"))).otherwise(F.array(service)).alias("entities"))
 
 
+def stored_chunks(spark, sf_dir):
+    """The chunk table as a store holds it, for queries that read it several times."""
+    return cut_lineage(chunks(spark, sf_dir))
+
+
 def stored_correlations(rows):
     """The correlation table as a store holds it: computed once, then read."""
     return cut_lineage(correlation.correlate(rows))
@@ -91,14 +96,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, near_id)
 SELECT vec_id, near_id, round(c, 6) AS cosine, rank FROM r WHERE rank <= 5""")
 def knn_global(spark, sf_dir):
     vec = A.table(spark, sf_dir, "embeddings")
-    near = knn_join(vec, vec.withColumnRenamed("vec_id", "near_id"), 5, [], "vec_id", "near_id", block=128)
+    near = knn_join(vec, vec.withColumnRenamed("vec_id", "near_id"), 5, [], "vec_id", "near_id", block=256)
     return near.withColumn("cosine", F.round("cosine", 6))
 
 
 @query("correlations", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, body="""
 SELECT workspace_id, source_a, source_b, type, round(score, 3) AS score, reason FROM correlations"""))
 def correlations(spark, sf_dir):
-    found = correlation.correlate(chunks(spark, sf_dir))
+    found = correlation.correlate(stored_chunks(spark, sf_dir))
     return found.withColumn("score", F.round("score", 3)).drop("seen_at")
 
 
@@ -179,7 +184,7 @@ def filtered_knn(spark, sf_dir):
 @query("hybrid_search", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(20), body="""
 SELECT query_id, chunk_id, rank, round(score, 3) AS score, round(boost, 3) AS correlation_boost FROM placed WHERE rank <= 5"""))
 def hybrid_search(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = stored_chunks(spark, sf_dir)
     found = retrieval.hybrid_search(questions(spark, sf_dir), rows, stored_correlations(rows), A.as_of())
     return found.select("query_id", "chunk_id", "rank", F.round("score", 3).alias("score"),
                         F.round("correlation_boost", 3).alias("correlation_boost"))
@@ -189,7 +194,7 @@ def hybrid_search(spark, sf_dir):
 SELECT p.query_id, p.chunk_id, b.related_id, b.type, round(b.score, 3) AS correlation_score FROM placed p
 LEFT JOIN both_ends b ON b.workspace_id = p.workspace_id AND b.chunk_id = p.chunk_id WHERE rank <= 5"""))
 def correlation_context(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = stored_chunks(spark, sf_dir)
     links = stored_correlations(rows)
     found = retrieval.hybrid_search(questions(spark, sf_dir), rows, links, A.as_of())
     return retrieval.correlation_context(found.select("query_id", "workspace_id", "chunk_id"), links).select(
@@ -223,9 +228,9 @@ def workspace_discovery(spark, sf_dir):
     return retrieval.discover_workspace(prepared, chunks(spark, sf_dir))
 
 
-def lite_events(spark, sf_dir):
+def lite_events(rows):
     """One event per embedded document, found at its chunk."""
-    return chunks(spark, sf_dir).select(
+    return rows.select(
         "workspace_id", F.concat(F.lit("event_"), "chunk_id").alias("event_id"), F.col("title"), "ts",
         F.col("title").alias("summary"), F.lit("incident").alias("event_type"), "entities", "embedding",
         F.array("chunk_id").alias("source_refs"))
@@ -245,8 +250,8 @@ raised AS (SELECT h.query_id, h.chunk_id, h.rank AS search_rank, round(h.score +
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, search_rank) AS rank FROM raised)
 """, body="SELECT query_id, chunk_id, round(score, 3) AS score, rank FROM final WHERE rank <= 10"))
 def evidence(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
-    parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(spark, sf_dir), stored_correlations(rows), A.as_of())
+    rows = stored_chunks(spark, sf_dir)
+    parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of())
     return parts["chunks"].select("query_id", "chunk_id", F.round("score", 3).alias("score"), "rank")
 
 
@@ -263,7 +268,7 @@ UNION SELECT a.query_id, 'event_' || chunk_id FROM asked_for a JOIN latest l ON
   AND l.entity = a.entity AND l.r <= 10"""))
 def evidence_events(spark, sf_dir):
     prepared = retrieval.prepare_questions(questions(spark, sf_dir), A.as_of())
-    return retrieval.related_events(prepared, lite_events(spark, sf_dir), 10).select("query_id", "event_id")
+    return retrieval.related_events(prepared, lite_events(chunks(spark, sf_dir)), 10).select("query_id", "event_id")
 
 
 @query("evidence_days", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, HITS.rstrip().rstrip(","), """
@@ -275,10 +280,10 @@ days AS (SELECT query_id, day, sum(d)::BIGINT AS documents, sum(e)::BIGINT AS ev
 cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY day DESC) AS rank FROM days)
 """, body="SELECT query_id, strftime(day, '%Y-%m-%d') AS day, documents, events, rank FROM cut WHERE rank <= 10"))
 def evidence_days(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = stored_chunks(spark, sf_dir)
     prepared = retrieval.prepare_questions(questions(spark, sf_dir), A.as_of())
     found = retrieval.filtered_knn(prepared, rows, 10, conditions=retrieval.admitted())
-    events = retrieval.filtered_knn(prepared, lite_events(spark, sf_dir), 10, "event_id")
+    events = retrieval.filtered_knn(prepared, lite_events(rows), 10, "event_id")
     return retrieval.day_groups(found, events).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

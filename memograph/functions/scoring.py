@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memograph import vocab
+from memograph.functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,8 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Vector scaled to length one; zero vectors stay zero."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size))
+    return let(norm(a), lambda size: F.transform(a, lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size)))
 
 
 def recency_boost(ts: Column, as_of: Column, weight: float = vocab.RECENCY_WEIGHT) -> Column:

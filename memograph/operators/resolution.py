@@ -35,11 +35,21 @@ def _rare_first(sets: DataFrame) -> DataFrame:
     return ordered.select(*BLOCK, "set_key", F.transform("by_rarity", lambda t: t["token"]).alias("tokens"))
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set, prefix token): sets that reach the threshold share a token of these prefixes."""
-    size = F.size("tokens")
-    keep = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1
-    return sets.select(*BLOCK, "set_key", "tokens", F.explode(F.slice("tokens", F.lit(1), keep.cast("int"))).alias("token"))
+def _keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(set, own size, partner size, key): sets that reach the threshold share such a key.
+
+    For each partner size in reach, the needed overlap leaves only the first few
+    rare tokens to agree on. Where the needed overlap is the whole set, the key
+    is the set itself, so equal short names never meet through a common token.
+    """
+    n = F.size("tokens")
+    partners = F.sequence(F.ceil(n * threshold - 1e-9).cast("int"), F.floor(n / threshold + 1e-9).cast("int"))
+    sized = sets.select(*BLOCK, "set_key", "tokens", n.alias("own"), F.explode(partners).alias("partner"))
+    need = F.ceil((F.col("own") + F.col("partner")) * (threshold / (1 + threshold)) - 1e-9).cast("int")
+    whole = (need >= F.col("own")) & (F.col("own") == F.col("partner"))
+    heads = F.slice("tokens", F.lit(1), F.greatest(F.col("own") - need + 1, F.lit(0)))
+    keys = F.when(whole, F.array(F.concat(F.lit("="), "set_key"))).otherwise(heads)
+    return sized.select(*BLOCK, "set_key", "tokens", "own", "partner", F.explode(keys).alias("key"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float = vocab.JACCARD_THRESHOLD) -> DataFrame:
@@ -48,15 +58,14 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float = vocab.JAC
     Both sides must be ordered by one token order, so they are ordered together.
     """
     union = left.select(*BLOCK, "set_key", "tokens").unionByName(right.select(*BLOCK, "set_key", "tokens")).distinct()
-    ordered = _rare_first(union.filter(F.size("tokens") > 0))
-    prefixed = _prefixes(ordered, threshold)
-    a = prefixed.join(left.select(*BLOCK, "set_key").distinct(), [*BLOCK, "set_key"], "left_semi").select(
-        *BLOCK, "token", F.col("set_key").alias("left_set"), F.col("tokens").alias("left_tokens"))
-    b = prefixed.join(right.select(*BLOCK, "set_key").distinct(), [*BLOCK, "set_key"], "left_semi").select(
-        *BLOCK, "token", F.col("set_key").alias("right_set"), F.col("tokens").alias("right_tokens"))
-    na, nb = F.size("left_tokens"), F.size("right_tokens")
-    fits = F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - F.lit(1e-9)
-    pairs = a.join(b, [*BLOCK, "token"]).filter(fits).withColumn(
+    ordered = cut_lineage(_rare_first(union.filter(F.size("tokens") > 0)))
+    keyed = _keys(ordered, threshold)
+    a = keyed.join(left.select(*BLOCK, "set_key").distinct(), [*BLOCK, "set_key"], "left_semi").select(
+        *BLOCK, "key", "own", "partner", F.col("set_key").alias("left_set"), F.col("tokens").alias("left_tokens"))
+    b = keyed.join(right.select(*BLOCK, "set_key").distinct(), [*BLOCK, "set_key"], "left_semi").select(
+        *BLOCK, "key", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("set_key").alias("right_set"),
+        F.col("tokens").alias("right_tokens"))
+    pairs = a.join(b, [*BLOCK, "key", "own", "partner"]).withColumn(
         "score", text.jaccard(F.col("left_tokens"), F.col("right_tokens")))
     return pairs.filter(F.col("score") >= threshold).select(*BLOCK, "left_set", "right_set", "score").distinct()
 
@@ -88,8 +97,9 @@ def resolve(
     alias = picked(rest.withColumn("k", F.lower("name")).join(listed, [*BLOCK, "k"]), "alias")
     rest = left_over(rest, alias)
 
-    name_sets = _token_sets(rest)
-    node_sets = _token_sets(nodes.withColumn("name", F.col("entity_name")))
+    # Written once: each is read by several branches of the overlap join.
+    name_sets = cut_lineage(_token_sets(rest))
+    node_sets = cut_lineage(_token_sets(nodes.withColumn("name", F.col("entity_name"))))
     pairs = similar_sets(name_sets, node_sets, jaccard).select(*BLOCK, "left_set", "right_set", "score")
     empty = name_sets.filter(F.col("set_key") == "").select(
         *BLOCK, F.lit("").alias("left_set"), F.lit("").alias("right_set"), F.lit(1.0).alias("score")).distinct()
@@ -103,7 +113,7 @@ def resolve(
     ).withColumn("stage", F.lit("overlap"))
     done = exact.unionByName(alias).unionByName(overlap)
     if embed is not None:
-        rest = left_over(rest, overlap)
+        rest = left_over(name_sets.select(*BLOCK, "name"), overlap)
         near = knn_join(
             rest.withColumn("embedding", embed(F.col("name"))),
             nodes.withColumn("embedding", embed(F.col("entity_name"))).withColumn("key", F.struct("entity_name", "entity_id")),
@@ -142,7 +152,7 @@ def canonical_names(mentions: DataFrame, threshold: float = vocab.JACCARD_THRESH
     """
     nodes = mentions.groupBy(*BLOCK, F.lower(F.trim("name")).alias("name_key")).agg(
         F.min_by("name", F.struct("seen_at", "name")).alias("name"), F.min("seen_at").alias("seen_at"))
-    sets = _token_sets(nodes)
+    sets = cut_lineage(_token_sets(nodes))
     pairs = similar_sets(sets, sets, threshold).filter("left_set < right_set")
     ident = lambda c: F.md5(F.concat_ws("|", *BLOCK, c))
     links = components(pairs.select(ident("left_set").alias("l"), ident("right_set").alias("r")), "l", "r")

@@ -55,9 +55,15 @@ def admitted() -> Column:
 
 def filtered_knn(questions: DataFrame, chunks: DataFrame, k: Column | int, id_column: str = "chunk_id",
                  conditions: Column | None = None) -> DataFrame:
-    """Best k rows by cosine for every question within its workspace."""
-    score = scoring.cosine(F.col("q_vector"), F.col("embedding"))
-    return top_k_scan(questions, chunks, ["workspace_id"], conditions, score, k, "query_id", id_column)
+    """Best k rows by cosine for every question within its workspace.
+
+    Both sides are scaled to unit length before they meet, so a pair costs one
+    dot product.
+    """
+    asked = questions.withColumn("q_unit", scoring.unit(F.col("q_vector")))
+    held = chunks.withColumn("_unit", scoring.unit(F.col("embedding")))
+    score = scoring.dot(F.col("q_unit"), F.col("_unit"))
+    return top_k_scan(asked, held, ["workspace_id"], conditions, score, k, "query_id", id_column).drop("_unit", "q_unit")
 
 
 def rank(candidates: DataFrame, as_of: Column) -> DataFrame:
@@ -106,10 +112,9 @@ def correlation_context(hits: DataFrame, correlations: DataFrame) -> DataFrame:
 
 def discover_workspace(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Most frequent workspace among the five nearest chunks of any workspace; ties go to the nearer one."""
-    anywhere = questions.drop("workspace_id").withColumn("_all", F.lit(1))
-    near = top_k_scan(
-        anywhere, chunks.withColumn("_all", F.lit(1)), ["_all"], None,
-        scoring.cosine(F.col("q_vector"), F.col("embedding")), 5, "query_id", "chunk_id")
+    anywhere = questions.select("query_id", scoring.unit(F.col("q_vector")).alias("q_unit"), F.lit(1).alias("_all"))
+    held = chunks.select("workspace_id", "chunk_id", scoring.unit(F.col("embedding")).alias("_unit"), F.lit(1).alias("_all"))
+    near = top_k_scan(anywhere, held, ["_all"], None, scoring.dot(F.col("q_unit"), F.col("_unit")), 5, "query_id", "chunk_id")
     counted = near.groupBy("query_id", "workspace_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("candidate_rank").alias("first"))
     return counted.groupBy("query_id").agg(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memograph.functions.scoring import norm
+from memograph.functions.text import let
 from memograph.plans.bounded import broadcast_if_small
 from memograph.session import cut_lineage
 
@@ -26,10 +27,12 @@ SLACK = 1e-6
 
 def _directions(vector: Column, zero_at: int) -> Column:
     """Unit vector with two more axes; a zero vector points along its own side's axis, at cosine 0 to all."""
-    size = norm(vector)
-    scaled = F.transform(vector, lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size))
-    flag = F.when(size == 0, 1.0).otherwise(0.0)
-    return F.concat(scaled, F.array(flag, F.lit(0.0)) if zero_at == 0 else F.array(F.lit(0.0), flag))
+    def scaled(size: Column) -> Column:
+        flag = F.when(size == 0, 1.0).otherwise(0.0)
+        axes = F.array(flag, F.lit(0.0)) if zero_at == 0 else F.array(F.lit(0.0), flag)
+        return F.concat(F.transform(vector, lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size)), axes)
+
+    return let(norm(vector), scaled)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -101,7 +104,7 @@ def _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_
     """Best k representatives per query over all cells the triangle inequality leaves in play."""
     p_reps, q_reps = cut_lineage(p_reps), cut_lineage(q_reps)
     # Pivots are at most MAX_PIVOTS vectors, by hash of their id: a fixed, small driver-side array.
-    wanted = pivots if pivots is not None else min(MAX_PIVOTS, int(largest ** 0.5))
+    wanted = pivots if pivots is not None else min(MAX_PIVOTS, 2 * -(-largest // block))
     table = None
     if largest > block and wanted > 1:
         chosen = p_reps.select("_v", F.xxhash64("_rep").alias("_h")).orderBy("_h").limit(wanted).collect()
