@@ -31,7 +31,7 @@ def unit(a: Column) -> Column:
 
 def recency_boost(ts: Column, as_of: Column, weight: float = vocab.RECENCY_WEIGHT) -> Column:
     days = F.greatest(F.floor((F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(86_400_000_000)), F.lit(0))
-    return F.coalesce(F.exp(-vocab.RECENCY_DECAY * days) * weight, F.lit(0.0))
+    return F.when(ts.isNull(), 0.0).otherwise(F.exp(-vocab.RECENCY_DECAY * days) * weight)
 
 
 def hierarchy_boost(hierarchy: Column, scope: Column, weight: float = vocab.HIERARCHY_WEIGHT) -> Column:
@@ -46,8 +46,8 @@ def hierarchy_boost(hierarchy: Column, scope: Column, weight: float = vocab.HIER
 
 
 def entity_boost(entities: Column, wanted: Column, weight: float = vocab.ENTITY_WEIGHT) -> Column:
-    shared = F.size(F.array_intersect(entities, wanted))
-    return F.coalesce(F.least(shared / 3.0, F.lit(1.0)) * weight, F.lit(0.0))
+    shared = F.coalesce(F.size(F.array_intersect(entities, wanted)), F.lit(0))
+    return F.least(shared / 3.0, F.lit(1.0)) * weight
 
 
 def source_boost(source: Column, weights: dict[str, float] | None = None) -> Column:

@@ -204,7 +204,8 @@ def entity_type_or_document(v: Column) -> Column:
 
 def clamp_confidence(v: Column, default: float = 0.8) -> Column:
     number = v.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(default))
+    # greatest and least skip nulls, so an unreadable number is settled first.
+    return F.when(number.isNull(), default).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def entity_name_or_null(v: Column) -> Column:

@@ -65,8 +65,10 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float = vocab.JAC
     b = keyed.join(right.select(*BLOCK, "set_key").distinct(), [*BLOCK, "set_key"], "left_semi").select(
         *BLOCK, "key", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("set_key").alias("right_set"),
         F.col("tokens").alias("right_tokens"))
-    pairs = a.join(b, [*BLOCK, "key", "own", "partner"]).withColumn(
-        "score", text.jaccard(F.col("left_tokens"), F.col("right_tokens")))
+    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
+    # Both sides are distinct tokens, so the union follows from the sizes.
+    pairs = a.join(b, [*BLOCK, "key", "own", "partner"]).withColumn("shared", shared).withColumn(
+        "score", F.col("shared") / (F.col("own") + F.col("partner") - F.col("shared")))
     return pairs.filter(F.col("score") >= threshold).select(*BLOCK, "left_set", "right_set", "score").distinct()
 
 
@@ -114,12 +116,12 @@ def resolve(
     done = exact.unionByName(alias).unionByName(overlap)
     if embed is not None:
         rest = left_over(name_sets.select(*BLOCK, "name"), overlap)
+        keyed = nodes.withColumn("key", F.concat_ws("\u0001", "entity_name", F.col("entity_id").cast("string")))
         near = knn_join(
-            rest.withColumn("embedding", embed(F.col("name"))),
-            nodes.withColumn("embedding", embed(F.col("entity_name"))).withColumn("key", F.struct("entity_name", "entity_id")),
-            1, BLOCK, "name", "key")
-        done = done.unionByName(near.filter(F.col("cosine") >= cosine).select(
-            *BLOCK, "name", F.col("key.entity_id").alias("entity_id"), F.lit("vector").alias("stage")))
+            rest.withColumn("embedding", embed(F.col("name"))), keyed.withColumn("embedding", embed(F.col("entity_name"))),
+            1, BLOCK, "name", "key").filter(F.col("cosine") >= cosine)
+        done = done.unionByName(near.join(keyed.select(*BLOCK, "key", "entity_id"), [*BLOCK, "key"]).select(
+            *BLOCK, "name", "entity_id", F.lit("vector").alias("stage")))
     return wanted.join(done, [*BLOCK, "name"], "left").withColumn("stage", F.coalesce("stage", F.lit("new")))
 
 
