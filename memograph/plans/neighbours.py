@@ -80,8 +80,12 @@ def knn_join(
     partial_schema = f"_g long, _q {q_type}, _rep {id_type}, _cos double"
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = np.array([], dtype=object)
         if left.empty or right.empty:
-            return pd.DataFrame({"_g": [], "_q": [], "_rep": [], "_cos": []})
+            # Typed slices: untyped empty columns do not convert to Arrow structs.
+            return pd.DataFrame({
+                "_g": np.array([], dtype="int64"), "_q": left["_q"].iloc[:0].to_numpy() if len(left.columns) else none,
+                "_rep": right["_rep"].iloc[:0].to_numpy() if len(right.columns) else none, "_cos": np.array([], dtype="float64")})
         right = right.sort_values("_rep", kind="stable").reset_index(drop=True)
         cos = np.round(_matrix(left["_v"]) @ _matrix(right["_v"]).T, 9)
         top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
