@@ -165,10 +165,13 @@ def recurring_bottlenecks(events: DataFrame, refs: DataFrame, as_of: Column, day
         .filter(F.col("issue_count") >= 2)
         .join(busy.select("workspace_id"), ["workspace_id"], "left_semi")
     )
+    # An entity's first three events are among the first three of its chunks, so a crowded chunk sends three rows.
+    in_chunk = Window.partitionBy("workspace_id", "chunk_id").orderBy("ts", "event_id")
+    heads = issues.select("workspace_id", "chunk_id", "ts", "event_id", "title").withColumn(
+        "rank", F.row_number().over(in_chunk)).filter(F.col("rank") <= 3).drop("rank")
     order = Window.partitionBy("workspace_id", "name", "type").orderBy("ts", "event_id")
     shown = (
-        issues.select("workspace_id", "chunk_id", "ts", "event_id", "title")
-        .join(refs, ["workspace_id", "chunk_id"])
+        heads.join(refs, ["workspace_id", "chunk_id"])
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 3)
         .groupBy("workspace_id", "name", "type")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("top"))

@@ -150,3 +150,15 @@ def sync(sources: dict[str, DataFrame], workspace_id: str | None = None) -> Data
             docs = docs.withColumn("workspace_id", F.lit(workspace_id))
         out = docs if out is None else out.unionByName(docs, allowMissingColumns=True)
     return out
+
+
+def user_workspaces(users: DataFrame, memberships: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Workspaces each user belongs to."""
+    return users.join(memberships, "user_id").join(workspaces, "workspace_id")
+
+
+def distinct_results(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """First row of each combination of shown fields, in the given order."""
+    from memograph.operators.upsert import keep_by
+
+    return keep_by(rows, list(keys), order, newest=False)

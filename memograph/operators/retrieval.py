@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memograph.functions import phrases, scoring, text
 from memograph.operators.correlation import by_source
 from memograph.operators.upsert import keep_by
-from memograph.plans.neighbours import top_k_scan
+from memograph.plans.neighbours import knn_join, top_k_scan
 from memograph.session import cut_lineage
 
 QUESTION_COLUMNS = {
@@ -112,9 +112,9 @@ def correlation_context(hits: DataFrame, correlations: DataFrame) -> DataFrame:
 
 def discover_workspace(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Most frequent workspace among the five nearest chunks of any workspace; ties go to the nearer one."""
-    anywhere = questions.select("query_id", scoring.unit(F.col("q_vector")).alias("q_unit"), F.lit(1).alias("_all"))
-    held = chunks.select("workspace_id", "chunk_id", scoring.unit(F.col("embedding")).alias("_unit"), F.lit(1).alias("_all"))
-    near = top_k_scan(anywhere, held, ["_all"], None, scoring.dot(F.col("q_unit"), F.col("_unit")), 5, "query_id", "chunk_id")
+    asked = questions.select("query_id", F.col("q_vector").alias("embedding"))
+    near = knn_join(asked, chunks.select("chunk_id", "embedding"), 5, [], "query_id", "chunk_id").withColumnRenamed(
+        "rank", "candidate_rank").join(chunks.select("chunk_id", "workspace_id"), "chunk_id")
     counted = near.groupBy("query_id", "workspace_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("candidate_rank").alias("first"))
     return counted.groupBy("query_id").agg(

@@ -31,7 +31,7 @@ def transitions(commands: DataFrame) -> DataFrame:
     """
     asked = commands.withColumn("to_state", requested_state()).filter(F.col("to_state").isNotNull()).withColumn("us", micros("ts"))
     keys = ["workspace_id", "workflow_id"]
-    ordered = timescan.carry_last(asked, keys, ["us", "seq"], "to_state", "us")
+    ordered = timescan.carry_last(asked, keys, ["us", "seq"], "to_state", "us", cell_us=60_000_000)
     changed = F.col("previous_to_state").isNull() | (F.col("previous_to_state") != F.col("to_state"))
     notes = (
         F.when(F.col("previous_to_state").isNull(), "Workflow created.")

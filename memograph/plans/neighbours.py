@@ -193,12 +193,14 @@ def top_k_scan(
 
     Meant for a table of user questions: it is broadcast once counted, so the
     points are scanned in place, and the group limit keeps k rows per task and
-    query before anything is shuffled.
+    query before anything is shuffled. A k that differs by question is first
+    bounded by its maximum, because only a literal limit reaches the scan side.
     """
+    bound = k if isinstance(k, int) else int(queries.agg(F.max(k)).first()[0] or 0)
     joined = points.join(broadcast_if_small(queries), list(keys))
     if matches is not None:
         joined = joined.filter(matches)
     w = Window.partitionBy(query_id).orderBy(F.desc("_order"), F.asc(tie))
     scored = joined.withColumn("cosine", score).withColumn("_order", F.round("cosine", 9))
     ranked = scored.withColumn("candidate_rank", F.row_number().over(w))
-    return ranked.filter(F.col("candidate_rank") <= k).drop("_order")
+    return ranked.filter((F.col("candidate_rank") <= bound) & (F.col("candidate_rank") <= k)).drop("_order")

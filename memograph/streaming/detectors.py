@@ -54,8 +54,7 @@ def deployment_incidents(events: DataFrame, minutes: int = 60, delay: str = "2 h
 def activity_sessions(events: DataFrame, gap: str = "2 hours", delay: str = "1 hour") -> DataFrame:
     """Runs of activity per workspace closed by a gap; single events are dropped.
 
-    Partial sessions are merged per task first (spark.sql.streaming.sessionWindow.
-    merge.sessions.in.local.partition), so a busy workspace ships few rows.
+    The runner switches on merging inside each task, so a busy workspace ships few rows.
     """
     sessions = events.withWatermark("ts", delay).groupBy("workspace_id", F.session_window("ts", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("event_count"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))

@@ -17,6 +17,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # Sessions of a busy key are merged inside each task before they are shuffled.
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out, checkpoint = run_folder(spark, f"{name}-out"), run_folder(spark, f"{name}-log")
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
