@@ -152,13 +152,13 @@ links AS (SELECT * FROM linked WHERE r = 1)
 
 
 @query("root_cause_links", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, TRACES, body="""
-SELECT query_id, 'event_' || f AS from_event, 'event_' || t AS to_event, type, round(score, 3) AS score FROM links"""))
+SELECT query_id, 'event_' || f AS from_event, 'event_' || t AS to_event, type, score AS score FROM links"""))
 def root_cause_links(spark, sf_dir):
     rows = stored_chunks(spark, sf_dir)
     prepared = retrieval.prepare_questions(questions(spark, sf_dir), A.as_of())
     events = cut_lineage(retrieval.related_events(prepared, lite_events(rows), 10))
     found = reasoning.links(events, stored_correlations(rows))
-    return found.select("query_id", "from_event", "to_event", "type", F.round("score", 3).alias("score"))
+    return found.select("query_id", "from_event", "to_event", "type", "score")
 
 
 @query("root_cause_confidence", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, TRACES, """

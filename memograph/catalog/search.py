@@ -101,10 +101,10 @@ def knn_global(spark, sf_dir):
 
 
 @query("correlations", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, body="""
-SELECT workspace_id, source_a, source_b, type, round(score, 3) AS score, reason FROM correlations"""))
+SELECT workspace_id, source_a, source_b, type, score AS score, reason FROM correlations"""))
 def correlations(spark, sf_dir):
     found = correlation.correlate(stored_chunks(spark, sf_dir))
-    return found.withColumn("score", F.round("score", 3)).drop("seen_at")
+    return found.drop("seen_at")
 
 
 # One question per label and workspace: its vector is the label's mean vector.
@@ -182,23 +182,23 @@ def filtered_knn(spark, sf_dir):
 
 
 @query("hybrid_search", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(20), body="""
-SELECT query_id, chunk_id, rank, round(score, 3) AS score, round(boost, 3) AS correlation_boost FROM placed WHERE rank <= 5"""))
+SELECT query_id, chunk_id, rank, score AS score, round(boost, 6) AS correlation_boost FROM placed WHERE rank <= 5"""))
 def hybrid_search(spark, sf_dir):
     rows = stored_chunks(spark, sf_dir)
     found = retrieval.hybrid_search(questions(spark, sf_dir), rows, stored_correlations(rows), A.as_of())
-    return found.select("query_id", "chunk_id", "rank", F.round("score", 3).alias("score"),
-                        F.round("correlation_boost", 3).alias("correlation_boost"))
+    return found.select("query_id", "chunk_id", "rank", "score",
+                        F.round("correlation_boost", 6).alias("correlation_boost"))
 
 
 @query("correlation_context", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(20), body="""
-SELECT p.query_id, p.chunk_id, b.related_id, b.type, round(b.score, 3) AS correlation_score FROM placed p
+SELECT p.query_id, p.chunk_id, b.related_id, b.type, b.score AS correlation_score FROM placed p
 LEFT JOIN both_ends b ON b.workspace_id = p.workspace_id AND b.chunk_id = p.chunk_id WHERE rank <= 5"""))
 def correlation_context(spark, sf_dir):
     rows = stored_chunks(spark, sf_dir)
     links = stored_correlations(rows)
     found = retrieval.hybrid_search(questions(spark, sf_dir), rows, links, A.as_of())
     return retrieval.correlation_context(found.select("query_id", "workspace_id", "chunk_id"), links).select(
-        "query_id", "chunk_id", "related_id", "type", F.round("correlation_score", 3).alias("correlation_score"))
+        "query_id", "chunk_id", "related_id", "type", "correlation_score")
 
 
 @query("retrieval_eval", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, HITS.rstrip().rstrip(","), """
@@ -248,11 +248,11 @@ uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id,
 raised AS (SELECT h.query_id, h.chunk_id, h.rank AS search_rank, round(h.score + least(coalesce(raise, 0.0), 0.15::DOUBLE), 4) AS score
   FROM uniq h LEFT JOIN raises r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id),
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, search_rank) AS rank FROM raised)
-""", body="SELECT query_id, chunk_id, round(score, 3) AS score, rank FROM final WHERE rank <= 10"))
+""", body="SELECT query_id, chunk_id, score AS score, rank FROM final WHERE rank <= 10"))
 def evidence(spark, sf_dir):
     rows = stored_chunks(spark, sf_dir)
     parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of())
-    return parts["chunks"].select("query_id", "chunk_id", F.round("score", 3).alias("score"), "rank")
+    return parts["chunks"].select("query_id", "chunk_id", "score", "rank")
 
 
 @query("evidence_events", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, """
