@@ -110,24 +110,24 @@ def rolling_time_ranges(spark, sf_dir):
 
 
 REPORT = """
-reports AS (SELECT doc_id, 'Root Cause: ' || regexp_replace(left(text, 200), '\\s+', ' ', 'g') || ' Observed Effects: latency on node ' || (doc_id % 9)
-  || ' Actions Taken: rolled back build ' || (doc_id % 17) AS report FROM documents)
+reports AS (SELECT doc_id, 'Root Cause: pool ' || (doc_id % 17) || ' ran dry. Observed Effects: latency on node ' || (doc_id % 9)
+  || ' Actions Taken: ' || text AS report FROM documents)
 """
 
 
 @query("report_sections", with_ctes(REPORT, r"""
 flat AS (SELECT doc_id, trim(regexp_replace(left(report, 800), '\s+', ' ', 'g'), ' ') AS t FROM reports)
 """, body=r"""
-SELECT doc_id, md5(trim(regexp_extract(t, '(?i)^Root\s+Cause:\s*(.*) Observed Effects: latency on node \d+ Actions Taken: rolled back build \d+$', 1), ' '))
-    AS cause_md5, regexp_extract(t, '(latency on node \d+) Actions Taken: rolled back build \d+$', 1) AS impact,
-  regexp_extract(t, 'Actions Taken: (rolled back build \d+)$', 1) AS remediation FROM flat"""))
+SELECT doc_id, regexp_extract(t, '^Root Cause: (pool \d+ ran dry\.) Observed', 1) AS root_cause,
+  regexp_extract(t, 'Observed Effects: (latency on node \d+) Actions', 1) AS impact,
+  md5(trim(regexp_extract(t, '^Root Cause: pool \d+ ran dry\. Observed Effects: latency on node \d+ Actions Taken: (.*)$', 1), ' ')) AS remedy_md5
+FROM flat"""))
 def report_sections(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
-    lead = F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ")
-    report = F.concat(F.lit("Root Cause: "), lead, F.lit(" Observed Effects: latency on node "), F.col("doc_id") % 9,
-                      F.lit(" Actions Taken: rolled back build "), F.col("doc_id") % 17)
+    report = F.concat(F.lit("Root Cause: pool "), F.col("doc_id") % 17, F.lit(" ran dry. Observed Effects: latency on node "),
+                      F.col("doc_id") % 9, F.lit(" Actions Taken: "), "text")
     return docs.select("doc_id", text.report_sections(report).alias("s")).select(
-        "doc_id", F.md5("s.root_cause").alias("cause_md5"), F.col("s.impact").alias("impact"), F.col("s.remediation").alias("remediation"))
+        "doc_id", F.col("s.root_cause").alias("root_cause"), F.col("s.impact").alias("impact"), F.md5("s.remediation").alias("remedy_md5"))
 
 
 TRACES = """

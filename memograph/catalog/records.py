@@ -20,7 +20,7 @@ hooks AS (
 
 def raw_hooks(spark, sf_dir):
     """Payloads as a landing zone holds them: written once, then read."""
-    return cut_lineage(shape_hooks(A.table(spark, sf_dir, "events")))
+    return cut_lineage(shape_hooks(A.spread(A.table(spark, sf_dir, "events"))))
 
 
 def shape_hooks(e):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memograph import vocab
 from memograph.functions import text
+from memograph.plans.timescan import carry_last, micros
 
 PAYLOAD_COLUMNS = "webhook_event_id string, source string, payload string, kind string, received_at timestamp"
 
@@ -108,16 +109,19 @@ def subscriptions(changes: DataFrame) -> DataFrame:
     """
     order = F.struct("ts", "webhook_event_id")
     sets = changes.filter("change = 'set'")
-    owners = sets.select("subscription_id", F.col("workspace_id").alias("owner"), F.col("ts").alias("owned_at")).distinct()
+    # A workspace owns a subscription from its first set on: one row per pair, however often it is set.
+    owners = sets.groupBy("subscription_id", F.col("workspace_id").alias("owner")).agg(F.min("ts").alias("owned_from"))
     ends = (
         changes.filter("change = 'end'").select("subscription_id", "ts", "webhook_event_id")
-        .join(owners, "subscription_id").filter("owned_at <= ts")
-        .select("subscription_id", "ts", "webhook_event_id", F.col("owner").alias("workspace_id")).distinct()
+        .join(owners, "subscription_id").filter("owned_from <= ts")
+        .select("subscription_id", "ts", "webhook_event_id", F.col("owner").alias("workspace_id"))
     )
-    held = ends.join(sets.select("workspace_id", F.col("ts").alias("set_at"), F.col("webhook_event_id").alias("set_id"),
-                                 F.col("subscription_id").alias("held_id")), "workspace_id").filter("set_at <= ts")
-    valid = held.groupBy("workspace_id", "subscription_id", "ts", "webhook_event_id").agg(
-        F.max_by("held_id", F.struct("set_at", "set_id")).alias("held_id")).filter("held_id = subscription_id")
+    null = F.lit(None).cast("string")
+    rows = sets.select("workspace_id", "ts", "webhook_event_id", F.lit(0).alias("rank"), F.col("subscription_id").alias("held"),
+                       null.alias("subscription_id")).unionByName(
+        ends.select("workspace_id", "ts", "webhook_event_id", F.lit(1).alias("rank"), null.alias("held"), "subscription_id"))
+    scanned = carry_last(rows.withColumn("us", micros("ts")), ["workspace_id"], ["us", "rank", "webhook_event_id"], "held", "us")
+    valid = scanned.filter("rank = 1 AND previous_held = subscription_id")
     steps = sets.select("workspace_id", "subscription_id", "customer_id", "status", "ts", "webhook_event_id").unionByName(
         valid.select("workspace_id", "subscription_id", F.lit(None).cast("string").alias("customer_id"),
                      F.lit("canceled").alias("status"), "ts", "webhook_event_id"))
