@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memograph.llm import embedding_dedup, exact_dedup, html_text, mixing, quality, simhash
+from memograph.llm import chunk_dedup, embedding_dedup, exact_dedup, html_text, mixing, quality, simhash
 from memograph.llm.common import UPPER, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op2_simhash_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
