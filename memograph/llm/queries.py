@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memograph.llm import chunk_dedup, embedding_dedup, exact_dedup, html_text, mixing, quality, simhash
+from memograph.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, html_text, mixing, quality, simhash
 from memograph.llm.common import UPPER, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The tokenizer's file comes with an installed package; its place is a parameter.
+TOKENIZER = "byte_bpe_50k.json"
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
 
@@ -35,6 +37,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_bpe_roundtrip")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op5_source_mixing", f"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
