@@ -18,6 +18,7 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ OTHER, LETTER, NUMBER, WHITE = range(4)
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 
+@cache
 def character_classes() -> np.ndarray:
     """Class of every code point, as the tokenizers library's own patterns see it."""
     from tokenizers import Regex

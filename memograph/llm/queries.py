@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, html_text, mixing, quality, simhash
+from memograph.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, html_text, mixing, quality, simhash, token_files
 from memograph.llm.common import UPPER, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return token_files.read(spark, manifest).select(
+        F.col("id").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op4_bpe_roundtrip")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
