@@ -6,11 +6,7 @@ from importlib import import_module
 
 from memograph.catalog.base import ORACLES, QUERIES
 
-for _part in ("events", "detectors", "documents", "chat", "graph", "search", "answers", "records", "wiki", "lookups", "streams"):
-    try:
-        import_module(f"memograph.catalog.{_part}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"memograph.catalog.{_part}":
-            raise
+for _part in ("events", "detectors", "documents", "chat", "graph", "search", "answers", "records", "wiki", "lookups", "streams", "stores"):
+    import_module(f"memograph.catalog.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -22,7 +22,7 @@ standard_docs AS (
 CLEAN = """
 clean_docs AS (
   SELECT * FROM standard_docs WHERE length(coalesce(content, '')) >= 10
-    AND id IN (SELECT min(id) FROM standard_docs WHERE length(coalesce(content, '')) >= 10 GROUP BY content)
+    AND (workspace_id, id) IN (SELECT (workspace_id, min(id)) FROM standard_docs WHERE length(coalesce(content, '')) >= 10 GROUP BY workspace_id, content)
     AND title <> '' AND content <> ''
 )
 """
@@ -60,13 +60,34 @@ def rejected_documents(spark, sf_dir):
 @query("normalization_counts", with_ctes(RAW_DOCS, STANDARD, CLEAN, body="""
 SELECT (SELECT count(*) FROM standard_docs) AS input_documents,
   (SELECT count(*) FROM standard_docs WHERE length(coalesce(content, '')) < 10) AS filtered,
-  (SELECT count(*) - count(DISTINCT content) FROM standard_docs WHERE length(coalesce(content, '')) >= 10)
+  (SELECT count(*) - count(DISTINCT (workspace_id, content)) FROM standard_docs WHERE length(coalesce(content, '')) >= 10)
     AS duplicates_removed,
   (SELECT count(*) FROM clean_docs) AS output_documents"""))
 def normalization_counts(spark, sf_dir):
     return normalize.normalization_counts(standard(spark, sf_dir))
 
 
+RESENT = """
+resent AS (SELECT id, workspace_id, content, title FROM standard_docs
+  UNION ALL SELECT id, workspace_id, content, title FROM standard_docs WHERE doc_id % 3 = 0
+  UNION ALL SELECT id || '_other', workspace_id || '_other', content, title FROM standard_docs WHERE doc_id % 5 = 0
+  UNION ALL SELECT id || '_again', workspace_id, content, title FROM standard_docs WHERE doc_id % 7 = 0),
+firsts AS (SELECT workspace_id, content, min(id) AS id FROM resent WHERE length(coalesce(content, '')) >= 10 GROUP BY ALL)
+"""
+
+
+@query("resent_documents", with_ctes(RAW_DOCS, STANDARD, RESENT, body="""
+SELECT f.id, f.workspace_id, md5(f.content) AS content_md5 FROM firsts f
+WHERE content <> '' AND EXISTS (SELECT 1 FROM resent r WHERE r.id = f.id AND r.workspace_id = f.workspace_id AND r.title <> '')"""))
+def resent_documents(spark, sf_dir):
+    docs = standard(spark, sf_dir)
+    other = docs.filter("doc_id % 5 = 0").withColumns({
+        "id": F.concat("id", F.lit("_other")), "workspace_id": F.concat("workspace_id", F.lit("_other"))})
+    again = docs.filter("doc_id % 7 = 0").withColumn("id", F.concat("id", F.lit("_again")))
+    sent = docs.unionByName(docs.filter("doc_id % 3 = 0")).unionByName(other).unionByName(again)
+    return normalize.normalize(sent).select("id", "workspace_id", F.md5("content").alias("content_md5"))
+
+
 @query("allowed_sources", with_ctes(RAW_DOCS, STANDARD, body="""
 SELECT source, count(*) AS n FROM standard_docs WHERE lower(source) IN ('slack', 'notion') GROUP BY 1"""))
 def allowed_sources(spark, sf_dir):

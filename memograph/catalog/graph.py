@@ -96,11 +96,25 @@ SELECT seed AS seed_id, edge_id, direction, min(hop) AS hop, min(b) AS other_id,
 FROM hops JOIN nodes ON entity_id = b GROUP BY ALL"""))
 def neighborhood_2hop(spark, sf_dir):
     seeds = nodes(spark, sf_dir).filter("type = 'department'")
-    near = graph.neighbourhood(edges(spark, sf_dir), seeds, depth=5)
+    near = graph.neighbourhood(edges(spark, sf_dir), seeds, depth=2)
     return graph.described_neighbourhood(near, nodes(spark, sf_dir)).select(
         "seed_id", "edge_id", "direction", "hop", "other_id", "other_name")
 
 
+@query("neighborhood_khop", with_ctes(NODES, """
+steps AS (SELECT source_id AS a, target_id AS b, edge_id, 'outgoing' AS direction FROM edges
+  UNION ALL SELECT target_id, source_id, edge_id, 'incoming' FROM edges),
+walked AS (SELECT DISTINCT 'n' || n_nationkey AS seed, 'n' || n_nationkey AS x, 0 AS d FROM nation WHERE n_regionkey = 2
+  UNION SELECT seed, b, d + 1 FROM walked JOIN steps ON a = x WHERE d < 3),
+first_met AS (SELECT seed, x, min(d) AS d FROM walked GROUP BY ALL)
+""", body="""
+SELECT seed AS seed_id, edge_id, direction, min(d) + 1 AS hop FROM first_met JOIN steps ON a = x GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
+def neighborhood_khop(spark, sf_dir):
+    seeds = A.table(spark, sf_dir, "nation").filter("n_regionkey = 2").select(
+        F.lit("w").alias("workspace_id"), F.concat(F.lit("n"), "n_nationkey").alias("entity_id"))
+    return graph.neighbourhood(edges(spark, sf_dir), seeds, depth=4).select("seed_id", "edge_id", "direction", "hop")
+
+
 REFS = """
 item_refs AS (SELECT DISTINCT 'w' AS workspace_id, 'o' || l_orderkey AS chunk_id, 's' || l_suppkey AS entity_id FROM lineitem)
 """

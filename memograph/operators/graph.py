@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memograph.plans.bounded import broadcast_if_small
+from memograph.session import cut_lineage
 
 WS = ["workspace_id"]
 
@@ -52,12 +53,14 @@ def find_entities(entities: DataFrame, name: str | None = None, contains: str |
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
-    """Edges within 1 or 2 hops of each seed, with direction and hop.
+    """Edges within `depth` hops of each seed, with direction and hop.
 
     Every (seed, edge, direction) appears once, at its first hop. A node is
-    expanded once per seed.
+    expanded once per seed; from the second hop on, each frontier is written
+    before the next, so plans do not grow with the depth.
     """
-    depth = min(max(depth, 1), 2)
+    if depth < 1:
+        raise ValueError("depth starts at 1")
     out_edges = edges.select("workspace_id", F.col("source_id").alias("at"), F.col("target_id").alias("next"), "edge_id",
                              F.lit("outgoing").alias("direction"))
     in_edges = edges.select("workspace_id", F.col("target_id").alias("at"), F.col("source_id").alias("next"), "edge_id",
@@ -68,10 +71,14 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFra
     for hop in range(1, depth + 1):
         reached = frontier.join(steps, ["workspace_id", "at"]).select(
             "workspace_id", "seed_id", "edge_id", "direction", F.col("next"), F.lit(hop).alias("hop"))
+        if 1 < hop < depth:
+            reached = cut_lineage(reached)
         found = reached if found is None else found.unionByName(reached)
         if hop < depth:
             nodes = reached.select("workspace_id", "seed_id", F.col("next").alias("at")).distinct()
             frontier = nodes.join(seen, ["workspace_id", "seed_id", "at"], "left_anti")
+            if hop > 1:
+                frontier = cut_lineage(frontier)
             seen = seen.unionByName(frontier)
     return found.groupBy("workspace_id", "seed_id", "edge_id", "direction").agg(
         F.min("hop").alias("hop"), F.min("next").alias("other_id"))

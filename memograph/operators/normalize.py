@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ def standardize(docs: DataFrame, as_of: Column) -> DataFrame:
         "author": F.coalesce(_first_text(docs, ["author", "created_by", "creator"]), F.lit("unknown")),
         "ts": F.coalesce(*times, as_of), "hierarchy": hierarchy, "team": team,
     }
-    kept = [c for c in ("id", "title", "content", "url", "parent_id", "path", "tags", "doc_id") if c in docs.columns]
+    kept = [c for c in ("id", "title", "content", "url", "parent_id", "path", "tags", "doc_id", "source_id", "metadata") if c in docs.columns]
     return docs.select(*kept, *[v.alias(k) for k, v in new.items()])
 
 
@@ -58,17 +60,24 @@ def long_enough(docs: DataFrame, minimum: int = 10) -> DataFrame:
     return docs.filter(F.length(F.coalesce("content", F.lit(""))) >= minimum)
 
 
-def distinct_content(docs: DataFrame, order: Sequence[str | Column] = ("id",), scope: Sequence[str] = ()) -> DataFrame:
-    """First document of each exact content.
+def distinct_content(docs: DataFrame, order: Sequence[str] = ("id",), scope: Sequence[str] = ("workspace_id",)) -> DataFrame:
+    """First document of each exact content within its scope (a workspace).
 
-    Only a digest and the id travel to decide who stays; a group of copies is
-    reduced to one row per task before the shuffle, and the texts move once.
+    Only a digest and the order columns travel to decide who stays; a group of
+    copies is reduced to one row per task before the shuffle, and the texts move
+    once. Rows that are sent again under the same id and content stay once.
     """
-    digest = F.sha2(F.coalesce("content", F.lit("")), 256)
+    from memograph.operators.upsert import keep_by
+
+    marked = docs.withColumn("_digest", F.sha2(F.coalesce("content", F.lit("")), 256))
     keys = [*scope, "_digest"]
-    marked = docs.withColumn("_digest", digest)
-    firsts = marked.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select("_first")
-    return marked.withColumn("_first", F.struct(*order)).join(firsts, "_first", "left_semi").select(*docs.columns)
+    firsts = marked.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select(
+        *[F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)], *[F.col(f"_first.{c}").alias(f"_o{n}") for n, c in enumerate(order)])
+    same = [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(keys)] + [
+        F.col(c).eqNullSafe(F.col(f"_o{n}")) for n, c in enumerate(order)]
+    stays = marked.join(firsts, reduce(and_, same), "left_semi")
+    # What is left of a key are rows of one id; the whole row settles which.
+    return keep_by(stays, [*keys, *order], [F.to_json(F.struct(*docs.columns))], newest=False).select(*docs.columns)
 
 
 def distinct_normalized(docs: DataFrame, keys: Sequence[str], content: str, order: Sequence[Column]) -> DataFrame:
@@ -111,12 +120,12 @@ def normalize(
 
 
 def normalization_counts(docs: DataFrame, minimum: int = 10) -> DataFrame:
-    """input, filtered, duplicates and output counters in one pass of aggregates."""
+    """input, filtered, duplicates and output counters in one pass of aggregates; copies count within a workspace."""
     size = F.length(F.coalesce("content", F.lit("")))
     digest = F.sha2(F.coalesce("content", F.lit("")), 256)
     valid = F.coalesce((F.col("id") != "") & (F.col("title") != "") & (F.col("content") != ""), F.lit(False))
-    first = docs.select("id", valid.alias("valid"), (size >= minimum).alias("long"), digest.alias("digest"))
-    per_content = first.groupBy("digest", "long").agg(
+    first = docs.select("workspace_id", "id", valid.alias("valid"), (size >= minimum).alias("long"), digest.alias("digest"))
+    per_content = first.groupBy("workspace_id", "digest", "long").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("valid", "id").alias("kept_valid"))
     return per_content.agg(
         F.sum("n").alias("input_documents"),

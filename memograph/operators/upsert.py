@@ -66,21 +66,19 @@ def upsert_events(events: DataFrame, tolerance_us: int = MINUTES_5) -> DataFrame
 def upsert_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One edge per key: maximum confidence, distinct evidence lines in order of arrival.
 
-    Evidence is reduced to distinct lines per key before any list is built.
-    Equal lines add nothing; a line contained in an earlier one is dropped too.
+    Rows are reduced to one per key and evidence line first, so the lists hold
+    distinct lines only. A line contained in an earlier one adds nothing.
     """
-    strongest = edges.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("merged_rows"))
-    lines = (
-        edges.filter(F.col("evidence").isNotNull() & (F.col("evidence") != ""))
-        .groupBy(*keys, "evidence").agg(F.min("seen_at").alias("first_seen"))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first_seen", "evidence"))).alias("lines"))
-    )
+    line = F.nullif(F.col("evidence"), F.lit(""))
+    per_line = edges.groupBy(*keys, line.alias("_line")).agg(
+        F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"), F.min("seen_at").alias("first_seen"))
+    grouped = per_line.groupBy(*keys).agg(
+        F.max("confidence").alias("confidence"), F.sum("n").alias("merged_rows"),
+        F.array_sort(F.collect_list(F.when(F.col("_line").isNotNull(), F.struct("first_seen", "_line")))).alias("lines"))
     merged = F.aggregate(
-        F.transform("lines", lambda l: l["evidence"]), F.lit(""),
-        lambda acc, line: F.when(acc == "", line).when(F.contains(acc, line), acc).otherwise(
-            F.concat(acc, F.lit("\n"), line)),
-    )
-    return strongest.join(lines.select(*keys, merged.alias("evidence")), list(keys), "left")
+        F.transform("lines", lambda l: l["_line"]), F.lit(None).cast("string"),
+        lambda acc, one: F.when(acc.isNull(), one).when(F.contains(acc, one), acc).otherwise(F.concat(acc, F.lit("\n"), one)))
+    return grouped.select(*keys, "confidence", "merged_rows", merged.alias("evidence"))
 
 
 def upsert_event_edges(edges: DataFrame) -> DataFrame:
@@ -124,6 +122,21 @@ def create_entities(mentions: DataFrame, existing: DataFrame | None = None) -> D
     return existing.unionByName(added.drop("name_key"))
 
 
+def closed_mapping(mapping: DataFrame) -> DataFrame:
+    """(duplicate_id, canonical_id) with chains followed to their end, per connected group of ids.
+
+    The canonical node of a group is the one that is nobody's duplicate, the smallest
+    of them if there are several, and the smallest node of all on a cycle.
+    """
+    from memograph.operators.resolution import components
+
+    links = mapping.filter("duplicate_id <> canonical_id").select("duplicate_id", "canonical_id").distinct()
+    grouped = components(links, "duplicate_id", "canonical_id")
+    ends = grouped.join(links.select(F.col("duplicate_id").alias("id")).distinct().withColumn("gone", F.lit(True)), "id", "left")
+    heads = ends.groupBy("label").agg(F.min(F.struct(F.coalesce("gone", F.lit(False)).alias("gone"), "id"))["id"].alias("canonical_id"))
+    return grouped.join(heads, "label").select(F.col("id").alias("duplicate_id"), "canonical_id").filter("duplicate_id <> canonical_id")
+
+
 def repoint(rows: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace ids by their canonical id; ids without a mapping stay."""
     out = rows
@@ -136,13 +149,19 @@ def repoint(rows: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> Data
 def merge_entities(
     entities: DataFrame, refs: DataFrame, edges: DataFrame, mapping: DataFrame, edge_rule: str = "reassign"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fold duplicate nodes into canonical ones: refs move, edges move or are dropped."""
+    """Fold duplicate nodes into canonical ones: refs move, edges move or are dropped.
+
+    A duplicate of a duplicate goes to the end of its chain, and an edge between
+    nodes that become one is dropped. Ids are unique across workspaces.
+    """
+    mapping = closed_mapping(mapping)
     duplicates = mapping.select(F.col("duplicate_id").alias("entity_id"))
     kept = entities.join(duplicates, "entity_id", "left_anti")
     moved = repoint(refs, mapping, ["entity_id"])
     moved = moved.groupBy("workspace_id", "chunk_id", "entity_id").agg(F.min("mention_text").alias("mention_text"))
     if edge_rule == "reassign":
-        pointed = repoint(edges, mapping, ["source_id", "target_id"])
+        before = edges.withColumn("_own", F.col("source_id") == F.col("target_id"))
+        pointed = repoint(before, mapping, ["source_id", "target_id"]).filter("_own OR source_id <> target_id").drop("_own")
     else:
         gone = mapping.select("duplicate_id")
         pointed = edges.join(gone, edges["source_id"] == gone["duplicate_id"], "left_anti")

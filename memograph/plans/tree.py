@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from memograph.session import cut_lineage
 
 
 def descend(
-    nodes: DataFrame, node_id: str, parent_id: str, step: Column, max_depth: int = 20, roots: Column | None = None
+    nodes: DataFrame, node_id: str, parent_id: str, step: Column, max_depth: int | None = None, roots: Column | None = None
 ) -> DataFrame:
     """Adds depth and path (the steps from the root down) to every node reachable from a root.
 
     Each level is one equi-join of the frontier with the nodes; a level is
     written before the next so a lost executor repeats one level only. Nodes on
-    a cycle have no root and are never visited.
+    a cycle have no root and are never visited, so the walk ends by itself. A
+    tree deeper than max_depth raises; nothing is cut off.
     """
     root = F.col(parent_id).isNull() if roots is None else roots
     columns = nodes.columns
@@ -23,12 +26,14 @@ def descend(
     level = cut_lineage(level)
     found = [level]
     rest = nodes.filter(~F.coalesce(root, F.lit(False)))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         frontier = level.select(F.col(node_id).alias(parent_id), F.col("path_steps").alias("_above"))
         level = cut_lineage(rest.join(frontier, parent_id).select(
             *columns, F.lit(depth).alias("depth"), F.concat("_above", F.array(step)).alias("path_steps")))
         if level.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth} levels")
         found.append(level)
     out = found[0]
     for part in found[1:]:

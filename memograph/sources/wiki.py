@@ -70,7 +70,7 @@ def blocks(raw: DataFrame, json: str = "json", table_text: bool = False) -> Data
         b("rich_text").alias("rich_text"))
 
 
-def page_contents(typed: DataFrame, max_depth: int = 20, keep_blank: bool = True) -> DataFrame:
+def page_contents(typed: DataFrame, max_depth: int | None = None, keep_blank: bool = True) -> DataFrame:
     """Text of each page: top-level blocks apart by a blank line, nested text below its block.
 
     A block without text hides everything nested in it, so the page text is the
@@ -174,7 +174,7 @@ def database_schema(databases: DataFrame, json: str = "json") -> DataFrame:
         F.coalesce(v["type"], F.lit("unknown")).alias("type"), chosen.alias("metadata"))
 
 
-def paths(nodes: DataFrame, max_depth: int = 20) -> DataFrame:
+def paths(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Slash-joined titles from the root for pages and databases; roots have no leading slash."""
     walked = descend(nodes, "node_id", "parent_id", F.col("title"), max_depth)
     return walked.withColumn("path", F.array_join("path_steps", "/")).drop("path_steps")

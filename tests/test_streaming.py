@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from memograph import adapters as A
@@ -108,3 +109,27 @@ def test_landed_tickets(spark, tmp_path):
 def test_patterns_of_stream_and_batch_agree(spark):
     batch = patterns.deployment_incidents(A.op_events(spark, SF)).count()
     assert runner.run_to_table(detectors.deployment_incidents(stream(spark)), "pairs").count() == batch
+
+
+def test_upsert_moves_keys_and_keeps_nulls(spark):
+    path = run_folder(spark, "table")
+    schema = "k string, part string, v int, n int"
+    sinks.upsert(spark.createDataFrame([("a", None, 1, 1), ("b", None, 1, 1), ("c", "q", 1, 1), (None, "q", 1, 1)], schema), path, ["k"], ["n"], ["part"])
+    sinks.upsert(spark.createDataFrame([("c", None, 2, 2), ("a", "r", 2, 2), (None, "s/ %", 2, 2)], schema), path, ["k"], ["n"], ["part"])
+    got = sorted((str(r["k"]), str(r["part"]), r["v"]) for r in spark.read.parquet(path).collect())
+    assert got == [("None", "s/ %", 2), ("a", "r", 2), ("b", "None", 1), ("c", "None", 2)]
+
+
+def test_depth_is_never_cut(spark):
+    from memograph.operators import graph
+    from memograph.plans.tree import descend
+
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(24)], "id long, up long")
+    assert descend(chain, "id", "up", F.col("id")).count() == 24
+    with pytest.raises(ValueError):
+        descend(chain, "id", "up", F.col("id"), max_depth=20)
+    edges = spark.createDataFrame([("w", k, k + 1, k) for k in range(4)], "workspace_id string, source_id long, target_id long, edge_id long")
+    seeds = spark.createDataFrame([("w", 0)], "workspace_id string, entity_id long")
+    assert graph.neighbourhood(edges, seeds, 4).agg(F.max("hop")).first()[0] == 4
+    with pytest.raises(ValueError):
+        graph.neighbourhood(edges, seeds, 0)
