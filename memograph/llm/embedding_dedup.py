@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from memograph.llm.common import components, stored
 
-CHUNK = 1024
+CHUNK, PAIRS, SMALL = 1024, 1 << 15, 64
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -82,6 +82,13 @@ def _unit(rows: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _bucket_starts(columns: list[np.ndarray]) -> np.ndarray:
+    """First row of each bucket, where any of the columns changes."""
+    change = np.ones(len(columns[0]), dtype=bool)
+    change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(change)
+
+
 def _label_low(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest reachable member of each, after linking i with j."""
     while True:
@@ -96,31 +103,40 @@ def _label_low(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return low
 
 
-def compare(x: np.ndarray, codes: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool,
-            at: tuple[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links per row, smallest linked row) over the pairs of left and right rows that first meet in bucket `at`."""
-    links, low = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-    table, code = at
-    for a in range(0, len(left), CHUNK):
-        rows = left[a:a + CHUNK]
-        for b in range(a if same else 0, len(right), CHUNK):
-            cols = right[b:b + CHUNK]
-            i, j = np.nonzero(x[rows] @ x[cols].T >= threshold)
-            i, j = rows[i], cols[j]
-            keep = i < j if same else np.ones(len(i), dtype=bool)
-            i, j = i[keep], j[keep]
-            for s in range(0, len(i), 1 << 15):
-                p, q = i[s:s + (1 << 15)], j[s:s + (1 << 15)]
-                met = codes[p][:, :table + 1, :, None] == codes[q][:, :table + 1, None, :]
-                first = met[:, :table].any(axis=(1, 2, 3)) == 0
-                lowest = np.where(met[:, table].any(axis=2), codes[p][:, table], np.iinfo(np.int64).max).min(axis=1)
-                own = first & (lowest == code)
-                p, q = p[own], q[own]
-                np.add.at(links, p, copies[q])
-                np.add.at(links, q, copies[p])
-                if len(p):
-                    low = _label_low(low, p, q)
-    return links, low
+def first_meetings(codes: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Whether each pair's bucket (table, code) is the first that both of its rows are filed in."""
+    met = codes[i][:, :, :, None] == codes[j][:, :, None, :]
+    shared = met.any(axis=3)
+    first = shared.any(axis=2).argmax(axis=1)
+    at = np.arange(len(i))
+    lowest = np.where(shared[at, first], codes[i][at, first], np.iinfo(np.int64).max).min(axis=1)
+    return (first == table) & (lowest == code)
+
+
+def near_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray,
+               threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bucket) of the pairs at or above the threshold: small buckets many at a time, large ones by blocks of products."""
+    small = (sizes <= SMALL) & (a == b)
+    for size in np.unique(sizes[small]):
+        which = np.flatnonzero(small & (sizes == size))
+        one, two = np.triu_indices(int(size), 1)
+        step = max(1, PAIRS // max(1, len(one)))
+        for k in range(0, len(which), step):
+            some = which[k:k + step]
+            i, j = ((starts[some][:, None] + side).ravel() for side in (one, two))
+            near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            yield i[near], j[near], np.repeat(some, len(one))[near]
+    for k in np.flatnonzero(~small).tolist():
+        rows = np.arange(starts[k], starts[k] + sizes[k])
+        left, right, same = rows[part[rows] == a[k]], rows[part[rows] == b[k]], a[k] == b[k]
+        for s in range(0, len(left), CHUNK):
+            for t in range(s if same else 0, len(right), CHUNK):
+                i, j = np.nonzero(x[left[s:s + CHUNK]] @ x[right[t:t + CHUNK]].T >= threshold)
+                i, j = left[s:s + CHUNK][i], right[t:t + CHUNK][j]
+                keep = i < j if same else np.ones(len(i), dtype=bool)
+                i, j = i[keep], j[keep]
+                for u in range(0, len(i), PAIRS):
+                    yield i[u:u + PAIRS], j[u:u + PAIRS], np.full(len(i[u:u + PAIRS]), k)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 6, rotations: int = 2, block: int = 2048, seed: int = 7,
@@ -178,18 +194,48 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 6
     held = classes.select("node", "copies", "vec").join(coded.select("node", "codes"), "node")
     work = cells.join(held, "node")
 
-    def meet(keys: tuple, group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("node")
-        part, a, b = group["part"].to_numpy(), keys[4].as_py(), keys[5].as_py()
-        x = _unit(group["vec"].to_pylist(), keys[1].as_py())
-        codes = np.frombuffer(b"".join(group["codes"].to_pylist()), dtype=np.int64).reshape(len(x), tables, rotations + 1)
-        links, low = compare(x, codes, group["copies"].to_numpy(), np.flatnonzero(part == a), np.flatnonzero(part == b), a == b,
-                             (keys[2].as_py(), keys[3].as_py()), threshold)
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        """Links of whole buckets, which lie one after the other."""
+        node, copies, part, tab, code, a, b, dim = (rows[c].to_numpy() for c in ("node", "copies", "part", "tab", "code", "a", "b", "dim"))
+        label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = _bucket_starts([label, dim, tab, code, a, b])
+        sizes = np.diff(np.concatenate([starts, [len(node)]]))
+        links, low = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
+        for d in np.unique(dim):
+            mine = np.flatnonzero(dim[starts] == d)
+            at = np.flatnonzero(dim == d)
+            inside = np.zeros(len(node), dtype=np.int64)
+            inside[at] = np.arange(len(at))
+            some = rows if len(at) == len(node) else rows.take(pa.array(at))
+            x = _unit(some["vec"].to_pylist(), int(d))
+            codes = np.frombuffer(b"".join(some["codes"].to_pylist()), dtype=np.int64).reshape(len(x), tables, rotations + 1)
+            for i, j, k in near_pairs(x, inside[starts[mine]], sizes[mine], part[at], a[starts[mine]], b[starts[mine]], threshold):
+                own = first_meetings(codes, i, j, tab[starts[mine][k]], code[starts[mine][k]])
+                i, j = at[i[own]], at[j[own]]
+                if len(i):
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    low = _label_low(low, i, j)
         found = np.flatnonzero(links > 0)
-        node = group["node"].to_numpy()
-        return pa.table({"node": pa.array(node[found]), "links": pa.array(links[found]), "low": pa.array(node[low[found]])})
+        return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(links[found]), pa.array(node[low[found]])], ["node", "links", "low"])
 
-    met = stored(work.groupBy(*key, "a", "b").applyInArrow(meet, "node long, links long, low long"))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets arrive in order; the last one of a batch may go on in the next and waits for it."""
+        held: pa.Table | None = None
+        for batch in batches:
+            for s in range(0, batch.num_rows, 8192):
+                part = pa.Table.from_batches([batch.slice(s, 8192)])
+                rows = part if held is None else pa.concat_tables([held, part])
+                starts = _bucket_starts([rows["label"].combine_chunks().dictionary_encode().indices.to_numpy(), *[rows[c].to_numpy() for c in ("dim", "tab", "code", "a", "b")]])
+                if starts[-1]:
+                    yield settle(rows.slice(0, int(starts[-1])).combine_chunks())
+                held = rows.slice(int(starts[-1]))
+        if held is not None:
+            yield settle(held.combine_chunks())
+
+    order = [*key, "a", "b"]
+    met = stored(work.select("node", *order, "part", "copies", "vec", "codes").repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(
+        meet, "node long, links long, low long"))
     totals = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     named = classes.join(totals, "node", "left").join(roots, "node", "left").select(
