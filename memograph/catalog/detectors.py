@@ -242,6 +242,33 @@ def detected_insights(spark, sf_dir):
         "workspace_id", F.lower("title").alias("title_key"), "insight_type", "confidence")
 
 
+INSIGHTS = """
+all_found AS (
+  SELECT workspace_id, md5(workspace_id || '|spike|' || event_type) AS insight_id, 'Abnormal volume spike in ' || event_type || ' events' AS title,
+    'The system detected an abnormal increase in ''' || event_type || ''' events. The current ' || CASE WHEN bs > 0
+      THEN 'rolling average is ' || printf('%.1f', (tm - bm) / bs) || ' standard deviations above historical baseline ('
+      ELSE 'rolling average increased ' || printf('%.1f', tm / greatest(bm, 0.1::DOUBLE)) || 'x over baseline (' END
+      || printf('%.2f', tm) || ' vs. ' || printf('%.2f', bm) || ' daily).' AS summary,
+    CASE WHEN event_type IN ('support_spike', 'customer_complaint') THEN 'support_spike' ELSE 'anomaly' END AS insight_type,
+    0.85::DOUBLE AS confidence, CASE WHEN event_type IN ('outage', 'incident', 'security_event') THEN 'high' ELSE 'medium' END AS severity,
+    ['Baseline daily rate: ' || printf('%.2f', bm), 'Target window daily rate: ' || printf('%.2f', tm)] AS evidence
+  FROM stats WHERE (bs > 0 AND (tm - bm) / bs >= 2.0 AND tm > 0.5) OR (bs = 0 AND tm > bm * 3 AND tm >= 1.5)
+  UNION ALL SELECT u.workspace_id, md5(u.workspace_id || '|instability|' || deployment_id),
+    'Deployment instability detected following release ''' || u.title || '''', 'Deployment ''' || u.title || ''' was followed by ' || issue_count
+      || ' incident events within a 2-hour window, indicating potential release regression or DB saturation.',
+    'deployment_instability', 0.9, CASE WHEN worst > 0 THEN 'critical' ELSE 'high' END,
+    ['Deployment timestamp: ' || strftime(d.ts, '%Y-%m-%dT%H:%M:%S.%f'), 'Subsequent incidents count: ' || issue_count]
+  FROM unstable u JOIN op_events d ON d.event_id = deployment_id
+  UNION ALL SELECT workspace_id, md5(workspace_id || '|bottleneck|' || type || '|' || lower(name)),
+    'Recurring operational bottleneck detected on ' || name, summary, 'recurring_bottleneck', 0.8, severity,
+    ['Linked issue events count: ' || issue_count] FROM bottlenecks),
+insights AS (
+  SELECT workspace_id, insight_type, max(confidence) AS confidence, max(insight_id) AS insight_id, arg_max(title, insight_id) AS title,
+    arg_max(summary, insight_id) AS summary, arg_max(severity, insight_id) AS severity, arg_max(evidence, insight_id) AS evidence
+  FROM all_found GROUP BY workspace_id, insight_type, lower(trim(title)))
+"""
+
+
 KEYWORDS = f"""
 month_events AS (SELECT * FROM op_events WHERE ts >= {ASOF} - INTERVAL 30 DAYS AND ts <= {ASOF}),
 title_words AS (SELECT workspace_id, event_id, event_type, us, title,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memograph import adapters as A
-from memograph.catalog.base import EVENT_REFS, OP_EVENTS, joined, query, us, with_ctes
+from memograph.catalog.base import ASOF, EVENT_REFS, OP_EVENTS, joined, query, us, with_ctes
+from memograph.catalog.detectors import BOTTLENECKS, INSIGHTS, UNSTABLE, VOLUME
 from memograph.operators import anomalies, workflow
 from memograph.session import cut_lineage
 from memograph.sources import webhooks
@@ -203,19 +204,41 @@ def escalation_routes(spark, sf_dir):
     return issues.escalation_routes(rows).select("workflow_id", "current_state", "total_triage_minutes", "bottleneck_identified")
 
 
-@query("incident_workflows")
+ALL_INSIGHTS = (OP_EVENTS, EVENT_REFS, VOLUME, UNSTABLE, BOTTLENECKS, INSIGHTS)
+
+
+def insights_of(spark, sf_dir, events):
+    return anomalies.all_insights(events, A.event_entity_refs(events), A.as_of())
+
+
+@query("incident_workflows", with_ctes(*ALL_INSIGHTS, """
+ten AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY insight_id) AS r FROM insights),
+advised AS (SELECT workspace_id, count(*) FILTER (WHERE insight_type IN ('deployment_instability', 'recurring_bottleneck')) AS n,
+    string_agg('Consider rolling back the deployment release: ''' || string_split(title, '''')[-2] || '''.', ' ' ORDER BY r)
+      FILTER (WHERE insight_type = 'deployment_instability') AS advice FROM ten WHERE r <= 10 GROUP BY 1)
+""", body="""
+SELECT workspace_id, md5('triage|' || workspace_id || '|' || event_id) AS workflow_id,
+  'Incident Response: Triage for ''' || title || '''' AS title,
+  CASE WHEN coalesce(severity, '') = 'high' OR event_type = 'outage' THEN 'high' ELSE 'medium' END AS priority,
+  coalesce(n, 0)::INTEGER AS insights,
+  'Investigate recent CPU utilization and saturated connection pool metrics.' || coalesce(' ' || advice, '') AS recommendations
+FROM op_events LEFT JOIN advised USING (workspace_id) WHERE event_type IN ('incident', 'outage')"""))
 def incident_workflows(spark, sf_dir):
     events = A.op_events(spark, sf_dir)
-    insights = anomalies.all_insights(events, A.event_entity_refs(events), A.as_of())
-    recent = events.filter("event_type IN ('incident', 'outage') AND ts >= TIMESTAMP '2024-01-30 00:00:00'")
-    made = workflow.incident_workflows(recent, insights, A.as_of())
+    incidents = events.filter("event_type IN ('incident', 'outage')")
+    made = workflow.incident_workflows(incidents, insights_of(spark, sf_dir, events), A.as_of())
     return made.select("workspace_id", "workflow_id", "title", "priority", F.size("related_insights").alias("insights"),
                        F.array_join("recommendations", " ").alias("recommendations"))
 
 
-@query("customer_escalations")
+@query("customer_escalations", with_ctes(OP_EVENTS, VOLUME.replace("day_offset > 7", "day_offset > 1").replace("day_offset <= 7", "day_offset <= 1"), body="""
+SELECT workspace_id, md5('escalation|' || workspace_id || '|' || md5(workspace_id || '|spike|' || event_type)) AS workflow_id,
+  'Customer Escalation: Abnormal volume spike in ' || event_type || ' events' AS title, 'medium' AS priority,
+  'Customer Support Lead Tier-2' AS assignee FROM stats
+WHERE event_type IN ('support_spike', 'customer_complaint')
+  AND ((bs > 0 AND (tm - bm) / bs >= 2.0 AND tm > 0.5) OR (bs = 0 AND tm > bm * 3 AND tm >= 1.5))"""))
 def customer_escalations(spark, sf_dir):
-    spikes = anomalies.volume_spikes(A.op_events(spark, sf_dir), A.as_of())
+    spikes = anomalies.volume_spikes(A.op_events(spark, sf_dir), A.as_of(), window_days=1)
     return workflow.customer_escalations(spikes).select("workspace_id", "workflow_id", "title", "priority", "assignee")
 
 
@@ -250,25 +273,27 @@ def event_histograms(spark, sf_dir):
     return digest.histograms(A.op_events(spark, sf_dir))
 
 
-@query("mean_confidence", with_ctes(OP_EVENTS, body="""
-SELECT workspace_id, round(avg(confidence), 2) AS confidence FROM op_events GROUP BY 1"""))
+@query("mean_confidence", with_ctes(*ALL_INSIGHTS, body="""
+SELECT workspace_id, round(avg(confidence), 2) AS confidence FROM (
+  SELECT workspace_id, confidence FROM op_events UNION ALL SELECT workspace_id, confidence FROM insights) GROUP BY 1"""))
 def mean_confidence(spark, sf_dir):
     from memograph.operators import digest
 
     events = A.op_events(spark, sf_dir)
-    return digest.mean_confidence(events, events.filter("false").select("workspace_id", "confidence"))
+    return digest.mean_confidence(events, insights_of(spark, sf_dir, events))
 
 
-@query("evidence_strings", with_ctes(OP_EVENTS, """
-lines AS (SELECT DISTINCT workspace_id, 'Event: ' || title || ' - ' || description AS line FROM op_events WHERE description IS NOT NULL),
+@query("evidence_strings", with_ctes(*ALL_INSIGHTS, """
+lines AS (SELECT workspace_id, 'Event: ' || title || ' - ' || description AS line FROM op_events WHERE description IS NOT NULL
+  UNION SELECT workspace_id, 'Insight: ' || title || ' - ' || summary FROM insights
+  UNION SELECT workspace_id, unnest(evidence) FROM insights),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY line) AS rank FROM lines)
 """, body="SELECT workspace_id, line, rank FROM ranked WHERE rank <= 15"))
 def evidence_strings(spark, sf_dir):
     from memograph.operators import digest
 
     events = A.op_events(spark, sf_dir)
-    none = events.filter("false").select("workspace_id", "title", F.col("title").alias("summary"), F.array("title").alias("evidence"))
-    return digest.evidence_lines(events, none)
+    return digest.evidence_lines(events, insights_of(spark, sf_dir, events))
 
 
 @query("timeline_reports")
@@ -280,10 +305,19 @@ def timeline_reports(spark, sf_dir):
     return digest.report_lines(page, "what happened")
 
 
-@query("digest_lists")
+@query("digest_lists", with_ctes(*ALL_INSIGHTS, COMMANDS, LATEST, f"""
+lines AS (
+  SELECT workspace_id, 'insight' AS section, row_number() OVER (PARTITION BY workspace_id ORDER BY title) AS rank, 3 AS most,
+    '[' || upper(severity) || '] ' || title || ' (Confidence: ' || printf('%.2f', confidence) || ')' AS line FROM insights
+  UNION ALL SELECT workspace_id, 'workflow', row_number() OVER (PARTITION BY workspace_id ORDER BY updated_us DESC, workflow_id), 3,
+    '[' || upper(replace(state, '_', ' ')) || '] ' || upper(priority) || ': Workflow ' || workflow_id[4:]
+  FROM latest WHERE state IN ('pending_review', 'blocked', 'in_progress', 'escalated')
+  UNION ALL SELECT workspace_id, 'event', row_number() OVER (PARTITION BY workspace_id ORDER BY us DESC, event_id), 5,
+    strftime(ts, '%Y-%m-%d %H:%M') || ' | ' || upper(event_type) || ' | ' || title
+  FROM op_events WHERE ts >= {ASOF} - INTERVAL 1 DAY AND ts <= {ASOF})
+""", body="SELECT workspace_id, section, rank, line FROM lines WHERE rank <= most"))
 def digest_lists(spark, sf_dir):
     from memograph.operators import digest
 
     events = A.op_events(spark, sf_dir)
-    insights = anomalies.all_insights(events, A.event_entity_refs(events), A.as_of())
-    return digest.top_lists(events, insights, workflow.latest(commands(spark, sf_dir)), A.as_of())
+    return digest.top_lists(events, insights_of(spark, sf_dir, events), workflow.latest(commands(spark, sf_dir)), A.as_of())

@@ -9,9 +9,9 @@ from memograph.catalog.base import OP_EVENTS, query, us, with_ctes
 from memograph.catalog.detectors import DEPLOYMENTS, GENERIC, ISSUES
 from memograph.catalog.events import SESSIONS
 from memograph.catalog.records import (
-    COMMANDS, HOOK_EVENTS, HOOKS, TRANSITIONS, shape_commands, shape_hooks,
+    COMMANDS, HOOK_EVENTS, HOOKS, SUBSCRIPTIONS, TRANSITIONS, shape_commands, shape_hooks,
 )
-from memograph.session import prepare
+from memograph.session import prepare, run_folder
 from memograph.streaming import detectors, runner, webhooks
 
 EVENT_LOG = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -90,13 +90,10 @@ def stream_recurring_incidents(spark, sf_dir):
     return runner.latest(rows, ["workspace_id", "entity"])
 
 
-@query("stream_subscriptions", with_ctes(HOOKS, """
-sets AS (SELECT ts, 'hook_' || event_id AS hook, 'sub_' || (user_id % 70) AS sub, ws,
-  CASE event_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' ELSE 'past_due' END AS status
-  FROM hooks WHERE event_type = 'signup' AND event_id % 4 IN (0, 1))
-""", body="""
+@query("stream_subscriptions", with_ctes(HOOKS, SUBSCRIPTIONS, body="""
 SELECT ws AS workspace_id, arg_max(sub, (ts, hook)) AS subscription_id, arg_max(status, (ts, hook)) AS status,
-  CASE WHEN arg_max(status, (ts, hook)) IN ('active', 'trialing') THEN 'pro' ELSE 'free' END AS plan FROM sets GROUP BY 1"""))
+  CASE WHEN arg_max(status, (ts, hook)) IN ('active', 'trialing') THEN 'pro' ELSE 'free' END AS plan FROM steps GROUP BY 1"""))
 def stream_subscriptions(spark, sf_dir):
-    rows = runner.run_to_table(webhooks.subscription_stream(shape_hooks(raw_stream(spark, sf_dir))), "billing", "update")
-    return runner.latest(rows, ["workspace_id"])
+    log = run_folder(spark, "billing")
+    webhooks.billing_log(shape_hooks(raw_stream(spark, sf_dir)), log, run_folder(spark, "billing-state")).trigger(availableNow=True).start().awaitTermination()
+    return webhooks.subscription_table(spark, log).select("workspace_id", "subscription_id", "status", "plan")

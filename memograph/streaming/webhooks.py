@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from memograph.operators.upsert import keep_by
 from memograph.sources import webhooks
 from memograph.streaming.detectors import deduplicate
 
@@ -19,19 +21,25 @@ def event_stream(raw: DataFrame, delay: str = "1 day") -> DataFrame:
     return webhooks.events(deduplicate(raw, delay))
 
 
-def subscription_stream(raw: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """Latest subscription per workspace in update or complete mode.
+def billing_log(raw: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Appends each trigger's subscription changes, ends included, to a table partitioned by batch.
 
-    An end names only the subscription; a static table (subscription_id,
-    workspace_id) of known owners gives its workspace.
+    A batch that is repeated after a failure overwrites its own partition, and a
+    webhook that is sent twice is counted once when the table is read.
     """
-    changes = webhooks.billing_changes(raw)
-    known = changes.filter("change = 'set'").select("workspace_id", "subscription_id", "status", "ts", "webhook_event_id")
-    if owners is not None:
-        ended = changes.filter("change = 'end'").drop("workspace_id").join(owners, "subscription_id")
-        known = known.unionByName(ended.select(
-            "workspace_id", "subscription_id", F.lit("canceled").alias("status"), "ts", "webhook_event_id"))
-    order = F.struct("ts", "webhook_event_id")
-    return known.groupBy("workspace_id").agg(
-        F.max_by("subscription_id", order).alias("subscription_id"), F.max_by("status", order).alias("status"),
-        F.max_by(F.when(F.col("status").isin("active", "trialing"), "pro").otherwise("free"), order).alias("plan"))
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = webhooks.billing_changes(batch).withColumn("batch", F.lit(epoch).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def subscription_table(spark: SparkSession, path: str) -> DataFrame:
+    """Latest plan of each workspace from the changes logged so far, whatever their batches.
+
+    An end names only its subscription, so it needs the sets before it, which may
+    lie in any earlier batch.
+    """
+    changes = spark.read.parquet(path).drop("batch")
+    once = keep_by(changes, ["webhook_event_id"], ["ts", "change", "subscription_id"], newest=True)
+    return webhooks.subscriptions(once)
