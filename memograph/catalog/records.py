@@ -231,15 +231,27 @@ def incident_workflows(spark, sf_dir):
                        F.array_join("recommendations", " ").alias("recommendations"))
 
 
-@query("customer_escalations", with_ctes(OP_EVENTS, VOLUME.replace("day_offset > 7", "day_offset > 1").replace("day_offset <= 7", "day_offset <= 1"), body="""
+#: Support tickets of every second workspace happen four times closer to the end: their volume spikes.
+CROWDED = f"""
+crowded AS (SELECT * REPLACE (CASE WHEN event_type = 'support_spike' AND workspace_id[4:]::INTEGER % 2 = 0
+  THEN make_timestamp(epoch_us({ASOF}) - (epoch_us({ASOF}) - epoch_us(ts)) // 4) ELSE ts END AS ts) FROM op_events)
+"""
+
+
+@query("customer_escalations", with_ctes(OP_EVENTS, CROWDED, VOLUME.replace("op_events", "crowded"), body="""
 SELECT workspace_id, md5('escalation|' || workspace_id || '|' || md5(workspace_id || '|spike|' || event_type)) AS workflow_id,
   'Customer Escalation: Abnormal volume spike in ' || event_type || ' events' AS title, 'medium' AS priority,
   'Customer Support Lead Tier-2' AS assignee FROM stats
 WHERE event_type IN ('support_spike', 'customer_complaint')
   AND ((bs > 0 AND (tm - bm) / bs >= 2.0 AND tm > 0.5) OR (bs = 0 AND tm > bm * 3 AND tm >= 1.5))"""))
 def customer_escalations(spark, sf_dir):
-    spikes = anomalies.volume_spikes(A.op_events(spark, sf_dir), A.as_of(), window_days=1)
-    return workflow.customer_escalations(spikes).select("workspace_id", "workflow_id", "title", "priority", "assignee")
+    events = A.op_events(spark, sf_dir)
+    end = F.unix_micros(A.as_of())
+    closer = F.timestamp_micros(end - F.floor((end - F.unix_micros("ts")) / 4))
+    even = F.substring("workspace_id", 4, 9).cast("int") % 2 == 0
+    crowded = events.withColumn("ts", F.when((F.col("event_type") == "support_spike") & even, closer).otherwise(F.col("ts")))
+    return workflow.customer_escalations(anomalies.volume_spikes(crowded, A.as_of())).select(
+        "workspace_id", "workflow_id", "title", "priority", "assignee")
 
 
 @query("event_edges", with_ctes(OP_EVENTS, """
