@@ -14,7 +14,6 @@ from memograph.session import prepare
 
 AS_OF = "2024-01-31 00:00:00"
 DOC_EPOCH = 1706572800  # 2024-01-30 00:00:00 UTC
-TEXT_TABLES = ("documents", "pages", "conversations")
 CHAT_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
@@ -24,17 +23,7 @@ def as_of() -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(found) if name in TEXT_TABLES else found
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Local runs only: the sample files hold one row group, which a single task would read.
-
-    A real collection has thousands of row groups and is left as it lies.
-    """
-    context = df.sparkSession.sparkContext
-    return df.repartition(context.defaultParallelism) if context.master.startswith("local") else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def op_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +118,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(""))
     )
     created = F.timestamp_seconds(F.lit(DOC_EPOCH) - i * 420)
-    return spread(docs.select(
+    return docs.select(
         F.concat(F.lit("doc_"), i).alias("id"),
         F.element_at(
             F.array(F.lit("slack"), F.lit("notion"), F.lit("jira"), F.lit("gdrive")), src % 4 + 1
@@ -148,7 +137,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 7 == 0, F.lit("platform")).alias("team"),
         F.array("lang").alias("tags"),
         i.alias("doc_id"),
-    ))
+    )
 
 
 def chat_users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,7 @@ def asked(spark, sf_dir):
     conv = A.table(spark, sf_dir, "conversations")
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]),
                           ((F.col("conv_id") * 5 + F.col("turn") * 3) % len(PHRASES) + 1).cast("int"))
-    return A.spread(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-                                F.concat(phrase, F.lit(" "), "text").alias("question")))
+    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(phrase, F.lit(" "), "text").alias("question"))
 
 
 def _profile_sql() -> str:

@@ -209,8 +209,9 @@ def clamp_confidence(v: Column, default: float = 0.8) -> Column:
 
 
 def entity_name_or_null(v: Column) -> Column:
+    """The whole name, since it is a key; cut it only for display."""
     name = strip(v)
-    return F.when(F.length(name) >= 2, F.left(name, F.lit(200)))
+    return F.when(F.length(name) >= 2, name)
 
 
 def title_keywords(title: Column) -> Column:

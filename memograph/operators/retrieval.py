@@ -96,10 +96,16 @@ def correlation_boost(ranked: DataFrame, correlations: DataFrame) -> DataFrame:
     }).withColumn("score", F.round(F.col("base_score") + F.col("correlation_boost"), 4))
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, correlations: DataFrame, as_of: Column) -> DataFrame:
-    """Filter, over-fetch by cosine, re-rank, boost correlated hits, and cut to each question's limit."""
+def hybrid_search(questions: DataFrame, chunks: DataFrame, correlations: DataFrame, as_of: Column,
+                  over_fetch: int = 3, at_least: int = 20) -> DataFrame:
+    """Filter, over-fetch by cosine, re-rank, boost correlated hits, and cut to each question's limit.
+
+    The feature re-ranks the `over_fetch` times limit nearest chunks, `at_least` 20. A chunk
+    below them stays out even if its boosts (0.47 in all, and a tenth of each correlation)
+    would lift it into the limit; a larger factor admits it.
+    """
     prepared = prepare_questions(questions, as_of)
-    fetched = filtered_knn(prepared, chunks, F.greatest(F.col("q_limit") * 3, F.lit(20)), conditions=admitted())
+    fetched = filtered_knn(prepared, chunks, F.greatest(F.col("q_limit") * over_fetch, F.lit(at_least)), conditions=admitted())
     boosted = correlation_boost(rank(fetched, as_of), correlations)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("base_score"), "candidate_rank")
     return boosted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("q_limit"))
@@ -121,14 +127,17 @@ def discover_workspace(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         F.max_by("workspace_id", F.struct("n", -F.col("first"))).alias("workspace_id"))
 
 
-def related_events(questions: DataFrame, events: DataFrame, event_limit: int = 10) -> DataFrame:
-    """Events near a question: by vector, and the latest ten per wanted entity; the first list wins."""
+def related_events(questions: DataFrame, events: DataFrame, event_limit: int = 10, per_entity: int = 10) -> DataFrame:
+    """Events near a question: by vector, and the latest per wanted entity; the first list wins.
+
+    Feature limits: the `event_limit` nearest and the `per_entity` latest of each entity.
+    """
     vectored = events.filter(F.col("embedding").isNotNull())
     semantic = filtered_knn(questions, vectored, event_limit, "event_id").select(
         "query_id", "workspace_id", "event_id", F.round("cosine", 4).alias("score"), F.lit(0).alias("list"))
     named = events.select("workspace_id", "event_id", "ts", F.explode(F.array_distinct("entities")).alias("entity"))
     w = Window.partitionBy("workspace_id", "entity").orderBy(F.desc_nulls_last("ts"), "event_id")
-    latest = named.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 10)
+    latest = named.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_entity)
     asked = questions.select("query_id", "workspace_id", F.explode("q_entities").alias("entity"))
     relational = asked.join(latest, ["workspace_id", "entity"]).select(
         "query_id", "workspace_id", "event_id", F.lit(None).cast("double").alias("score"), F.lit(1).alias("list")).distinct()

@@ -1,4 +1,4 @@
-"""Broadcast only what has been counted."""
+"""Broadcast only what has been measured."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_BYTES = 8 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a capped count proves the side small; otherwise leave the join to the planner.
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when rows and bytes prove small; otherwise leave the join to the planner.
 
-    The capped count stops after max_rows + 1 rows, whatever the size.
+    Measuring stops after max_rows + 1 rows, whatever the size. A row counts with the
+    length of its text form, which is at least what its values take.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    rows, size_sum = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size_sum <= max_bytes else df

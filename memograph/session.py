@@ -52,9 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where one application keeps its intermediate tables."""
+    return f"{shared_folder(spark).rstrip('/')}/memograph-{spark.sparkContext.applicationId}"
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new, never reused folder below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, never reused folder below the application's."""
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
