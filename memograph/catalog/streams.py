@@ -78,16 +78,32 @@ def stream_workflow_transitions(spark, sf_dir):
     return rows.select("workspace_id", "workflow_id", "seq", "from_state", "to_state")
 
 
-@query("stream_frequency_spikes")
+#: An hour is closed once the watermark, an hour behind the newest row, has passed its end.
+CLOSED = "(hour + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM seen)"
+
+
+@query("stream_frequency_spikes", with_ctes(OP_EVENTS, f"""
+seen AS (SELECT workspace_id, event_type, us, us // 3600000000 AS hour FROM op_events WHERE event_type <> 'discussion'),
+hours AS (SELECT workspace_id, event_type, hour, count(*) AS n FROM seen WHERE {CLOSED} GROUP BY ALL),
+summed AS (SELECT workspace_id, event_type, hour,
+    sum(n) OVER (PARTITION BY workspace_id, event_type ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)::BIGINT AS count_24h,
+    sum(n) OVER (PARTITION BY workspace_id, event_type ORDER BY hour RANGE BETWEEN 191 PRECEDING AND CURRENT ROW) AS span FROM hours)
+""", body="""
+SELECT workspace_id, event_type, hour, count_24h, (span - count_24h) / 7.0::DOUBLE AS daily_mean FROM summed
+WHERE count_24h >= 3 AND count_24h >= 2.5 * ((span - count_24h) / 7.0::DOUBLE)"""))
 def stream_frequency_spikes(spark, sf_dir):
-    rows = runner.run_to_table(detectors.frequency_spikes(event_stream(spark, sf_dir)), "spikes", "update")
-    return runner.latest(rows, ["workspace_id", "event_type"])
+    return detectors.spikes_by_hour(runner.run_to_table(detectors.frequency_hours(event_stream(spark, sf_dir)), "spikes"))
 
 
-@query("stream_recurring_incidents")
+@query("stream_recurring_incidents", with_ctes(OP_EVENTS, f"""
+seen AS (SELECT workspace_id, unnest(list_distinct(list_filter(entities, lambda e: lower(e) NOT IN {GENERIC}))) AS entity, us, us // 3600000000 AS hour
+  FROM op_events WHERE event_type IN ('incident', 'escalation')),
+hours AS (SELECT workspace_id, entity, hour, count(*) AS n FROM seen WHERE {CLOSED} GROUP BY ALL),
+summed AS (SELECT workspace_id, entity, hour,
+    sum(n) OVER (PARTITION BY workspace_id, entity ORDER BY hour RANGE BETWEEN 167 PRECEDING AND CURRENT ROW)::BIGINT AS event_count FROM hours)
+""", body="SELECT * FROM summed WHERE event_count >= 2"))
 def stream_recurring_incidents(spark, sf_dir):
-    rows = runner.run_to_table(detectors.recurring_incidents(event_stream(spark, sf_dir)), "repeats", "update")
-    return runner.latest(rows, ["workspace_id", "entity"])
+    return detectors.recurring_by_hour(runner.run_to_table(detectors.recurring_hours(event_stream(spark, sf_dir)), "repeats"))
 
 
 @query("stream_subscriptions", with_ctes(HOOKS, SUBSCRIPTIONS, body="""

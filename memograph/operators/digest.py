@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memograph import vocab
 from memograph.functions import text
 from memograph.operators import patterns, timeline
+from memograph.plans import timescan
 
 HOUR_US = 3_600_000_000
 
@@ -75,11 +76,16 @@ def pattern_report(events: DataFrame, refs: DataFrame) -> DataFrame:
         return rows.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")).select(
             "workspace_id", F.lit(section).alias("section"), "n")
 
+    # A sweep counts the issues within an hour of each deployment; no pairs are formed.
+    deployments = events.filter(F.col("event_type") == "deployment")
+    issues = events.filter(F.col("event_type").isin(vocab.ISSUE_TYPES))
+    followed = timescan.count_following(deployments, issues, ["workspace_id"], "ts", HOUR_US, {"issues": F.lit(1)}).groupBy("workspace_id").agg(
+        F.sum("issues").alias("n")).select("workspace_id", F.lit("deployment_incidents").alias("section"), "n")
     frequencies = patterns.incident_frequencies(events, refs).select("workspace_id", "name", "type").distinct()
     return (
         counted(timeline.temporal_clusters(events), "temporal_clusters")
         .unionByName(counted(frequencies, "incident_frequencies"))
-        .unionByName(counted(patterns.deployment_incidents(events), "deployment_incidents"))
+        .unionByName(followed.filter("n > 0"))
     )
 
 

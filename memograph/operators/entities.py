@@ -73,7 +73,7 @@ def cooccurrence(chunks: DataFrame, names: str = "entities", ts: str = "ts") ->
 
 
 def cooccurrence_neighbours(pairs: DataFrame) -> DataFrame:
-    """Both directions of every pair: an entity with each of its neighbours."""
-    back = pairs.select("workspace_id", F.col("entity_b").alias("entity"), F.col("entity_a").alias("neighbour"), "score")
-    forth = pairs.select("workspace_id", F.col("entity_a").alias("entity"), F.col("entity_b").alias("neighbour"), "score")
-    return forth.union(back).distinct()
+    """Both directions of every pair: an entity with each of its neighbours. The pairs are computed once."""
+    ends = F.array(F.struct(F.col("entity_a").alias("entity"), F.col("entity_b").alias("neighbour")),
+                   F.struct(F.col("entity_b").alias("entity"), F.col("entity_a").alias("neighbour")))
+    return pairs.select("workspace_id", F.explode(ends).alias("e"), "score").select("workspace_id", "e.entity", "e.neighbour", "score")

@@ -80,15 +80,13 @@ def deltas(events: DataFrame) -> DataFrame:
     )
 
 
-def timeline(events: DataFrame, refs: DataFrame, limit: int, exact_page: bool = False) -> DataFrame:
+def timeline(events: DataFrame, refs: DataFrame, limit: int) -> DataFrame:
     """Newest events per workspace with deltas inside the page and sorted entity names.
 
-    The page is bounded by limit per workspace, so its windows are small. With
-    exact_page the entity filter is the caller's and the page is cut from twice
-    the limit first.
+    The page is bounded by limit per workspace, so its windows are small. Filter
+    events before the call to page over some of them.
     """
-    page = latest_per_key(events, WS, 2 * limit if exact_page else limit)
-    page = page.filter(F.col("rank") <= limit)
+    page = latest_per_key(events, WS, limit)
     order = Window.partitionBy("workspace_id").orderBy(F.asc_nulls_first("ts"), F.desc("rank"))
     before = F.last("ts", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     out = page.withColumn("delta_seconds", (micros("ts") - F.unix_micros(before)) / F.lit(1_000_000.0))

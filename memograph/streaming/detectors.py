@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from memograph import vocab
 from memograph.functions import text
@@ -70,93 +70,44 @@ def recurring_windows(events: DataFrame, delay: str = "1 day", slide: str = "1 d
     return counts.filter("event_count >= 2").select("workspace_id", "entity", F.col("w.end").alias("window_end"), "event_count")
 
 
-def _combined(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Row counts per key within each Arrow batch, so a hot key sends few rows to its state."""
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.groupby(keys, as_index=False).size().rename(columns={"size": "n"})
+def hourly_counts(rows: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
+    """Counts per key and hour in append mode: an hour is written once, when the watermark has passed its end.
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select(*keys).mapInPandas(combine, ", ".join(f"{k} {types[k]}" for k in keys) + ", n long")
+    Event time alone decides, so the rows do not depend on how the input is cut into
+    batches, a silent key is closed like any other, and counts combine before the shuffle.
+    """
+    counted = rows.withWatermark("ts", delay).groupBy(*keys, F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*keys, F.floor(F.unix_micros("w.start") / HOUR_US).alias("hour"), "n")
 
 
-class _Spikes(StatefulProcessor):
-    """Hourly counts of one workspace and type over eight days; reports the last 24 hours against the week before."""
+def frequency_hours(events: DataFrame) -> DataFrame:
+    """Closed hours of each workspace and type; read them with spikes_by_hour."""
+    return hourly_counts(events.filter("event_type <> 'discussion'"), ["workspace_id", "event_type"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hours = handle.getMapState(
-            "hours", StructType([StructField("hour", LongType())]), StructType([StructField("n", LongType())]))
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        newest = -1
-        for frame in rows:
-            for hour, n in zip(frame["hour"].tolist(), frame["n"].tolist()):
-                held = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else (0,)
-                self.hours.updateValue((hour,), (held[0] + n,))
-                newest = max(newest, hour)
-        counts = {k[0]: v[0] for k, v in self.hours.iterator()}
-        now = max(counts) if counts else newest
-        # At most 8 * 24 buckets stay in state.
-        for hour in [h for h in counts if h <= now - 192]:
-            self.hours.removeKey((hour,))
-            counts.pop(hour)
-        day = sum(n for h, n in counts.items() if h > now - 24)
-        week = sum(n for h, n in counts.items() if h <= now - 24)
-        mean = week / 7.0
-        if day >= 3 and (week == 0 or day >= 2.5 * mean):
-            yield pd.DataFrame({
-                "workspace_id": [key[0]], "event_type": [key[1]], "hour": [now], "count_24h": [day], "daily_mean": [mean]})
+def spikes_by_hour(hours: DataFrame) -> DataFrame:
+    """Every closed hour at which the last 24 hours surge over the week before them.
 
-    def close(self) -> None:
-        pass
-
-
-def frequency_spikes(events: DataFrame) -> DataFrame:
-    """Spikes per workspace and type, judged after each micro-batch; needs the RocksDB state store.
-
-    Rows are combined to hourly counts before the shuffle.
+    One row per key and hour comes in, so a key's window is bounded by the hours it covers.
     """
-    scope = events.filter("event_type <> 'discussion'").select(
-        "workspace_id", "event_type", F.floor(F.unix_micros("ts") / HOUR_US).alias("hour"))
-    return _combined(scope, ["workspace_id", "event_type", "hour"]).groupBy("workspace_id", "event_type").transformWithStateInPandas(
-        statefulProcessor=_Spikes(),
-        outputStructType="workspace_id string, event_type string, hour long, count_24h long, daily_mean double",
-        outputMode="Update", timeMode="None")
-
+    w = Window.partitionBy("workspace_id", "event_type").orderBy("hour")
+    day, span = F.sum("n").over(w.rangeBetween(-23, 0)), F.sum("n").over(w.rangeBetween(-191, 0))
+    judged = hours.withColumns({"count_24h": day, "daily_mean": (span - day) / 7.0})
+    return judged.filter((F.col("count_24h") >= 3) & (F.col("count_24h") >= 2.5 * F.col("daily_mean"))).select(
+        "workspace_id", "event_type", "hour", "count_24h", "daily_mean")
 
-class _Recurring(StatefulProcessor):
-    """Times of one entity's incidents in the last seven days, as hourly counts."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hours = handle.getMapState(
-            "hours", StructType([StructField("hour", LongType())]), StructType([StructField("n", LongType())]))
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for hour, n in zip(frame["hour"].tolist(), frame["n"].tolist()):
-                held = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else (0,)
-                self.hours.updateValue((hour,), (held[0] + n,))
-        counts = {k[0]: v[0] for k, v in self.hours.iterator()}
-        now = max(counts)
-        for hour in [h for h in counts if h <= now - 168]:
-            self.hours.removeKey((hour,))
-            counts.pop(hour)
-        total = sum(counts.values())
-        if total >= 2:
-            yield pd.DataFrame({"workspace_id": [key[0]], "entity": [key[1]], "hour": [now], "event_count": [total]})
-
-    def close(self) -> None:
-        pass
+def recurring_hours(events: DataFrame) -> DataFrame:
+    """Closed hours of each entity's incidents; read them with recurring_by_hour."""
+    named = events.filter(F.col("event_type").isin(vocab.RECURRING_TYPES)).select(
+        "workspace_id", "ts", F.explode(F.array_distinct(text.without_generic(F.col("entities")))).alias("entity"))
+    return hourly_counts(named, ["workspace_id", "entity"])
 
 
-def recurring_incidents(events: DataFrame) -> DataFrame:
-    """Entities with two or more incidents in the 168 hour buckets up to their latest; needs RocksDB."""
-    named = events.filter(F.col("event_type").isin(vocab.RECURRING_TYPES)).select(
-        "workspace_id", F.explode(F.array_distinct(text.without_generic(F.col("entities")))).alias("entity"),
-        F.floor(F.unix_micros("ts") / HOUR_US).alias("hour"))
-    return _combined(named, ["workspace_id", "entity", "hour"]).groupBy("workspace_id", "entity").transformWithStateInPandas(
-        statefulProcessor=_Recurring(), outputStructType="workspace_id string, entity string, hour long, event_count long",
-        outputMode="Update", timeMode="None")
+def recurring_by_hour(hours: DataFrame) -> DataFrame:
+    """Every closed hour at which an entity has two or more incidents within the last 168 hours."""
+    w = Window.partitionBy("workspace_id", "entity").orderBy("hour").rangeBetween(-167, 0)
+    return hours.withColumn("event_count", F.sum("n").over(w)).filter("event_count >= 2").select("workspace_id", "entity", "hour", "event_count")
 
 
 class _Workflow(StatefulProcessor):
@@ -169,14 +120,15 @@ class _Workflow(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else (None, 0)
         current, changes = held[0], held[1]
-        for frame in rows:
-            for seq, wanted in sorted(zip(frame["seq"].tolist(), frame["to_state"].tolist())):
-                if wanted and wanted != current:
-                    changes += 1
-                    yield pd.DataFrame({
-                        "workspace_id": [key[0]], "workflow_id": [key[1]], "seq": [seq], "from_state": [current],
-                        "to_state": [wanted], "change_no": [changes]})
-                    current = wanted
+        # A batch may come in several frames; the order holds over all of them.
+        asked = sorted(pair for frame in rows for pair in zip(frame["seq"].tolist(), frame["to_state"].tolist()))
+        for seq, wanted in asked:
+            if wanted and wanted != current:
+                changes += 1
+                yield pd.DataFrame({
+                    "workspace_id": [key[0]], "workflow_id": [key[1]], "seq": [seq], "from_state": [current],
+                    "to_state": [wanted], "change_no": [changes]})
+                current = wanted
         if current is not None:
             self.state.update((current, changes))
 
