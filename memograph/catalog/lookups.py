@@ -141,17 +141,34 @@ def event_counts(spark, sf_dir):
     return A.op_events(spark, sf_dir).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("postmortems")
+@query("postmortems", with_ctes(OP_EVENTS, f"""
+ordered AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY us DESC, event_id) AS r FROM op_events),
+worst AS (SELECT workspace_id, arg_min(event_id, r) AS incident_id, arg_min(title, r) AS title, arg_min(coalesce(description, ''), r) AS summary,
+    max(us) AS at FROM ordered WHERE event_type = 'outage' GROUP BY 1),
+around AS (SELECT o.*, w.incident_id FROM op_events o JOIN worst w ON o.workspace_id = w.workspace_id AND o.us <= w.at),
+page AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY us DESC, event_id) AS k FROM around),
+steps AS (SELECT incident_id, string_agg('*   **' || strftime(ts, '%Y-%m-%d') || '**: ' || title || ' - ' || coalesce(description, '') || chr(10), '' ORDER BY us,
+    '*   **' || strftime(ts, '%Y-%m-%d') || '**: ' || title || ' - ' || coalesce(description, '') || chr(10)) AS lines FROM page WHERE k <= 5 GROUP BY 1),
+cited AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY us DESC, event_id) AS k FROM around WHERE description IS NOT NULL),
+proofs AS (SELECT incident_id, string_agg('*   [' || k || '] **' || title || '**: "' || description[:150] || '..."' || chr(10), '' ORDER BY k) AS lines
+  FROM cited WHERE k <= 3 GROUP BY 1)
+""", body=f"""
+SELECT workspace_id, incident_id, '# Incident Postmortem: ' || title || chr(10) || '**Date Generated**: ' || strftime({ASOF}, '%Y-%m-%d') || chr(10)
+  || '**Workspace**: ' || workspace_id || chr(10) || chr(10) || '## Executive Summary' || chr(10) || summary || chr(10) || chr(10)
+  || '## Incident Timeline' || chr(10) || coalesce(s.lines, 'No timeline events compiled.') || chr(10) || chr(10)
+  || '## Supporting Evidence' || chr(10) || coalesce(p.lines, 'No vector citations compiled.') AS document
+FROM worst LEFT JOIN steps s USING (incident_id) LEFT JOIN proofs p USING (incident_id)"""))
 def postmortems(spark, sf_dir):
-    """The latest outage of each workspace with the five events before it and the first lines naming its systems."""
+    """The latest outage of each workspace with the five events up to it and the three latest texts, a top list by feature."""
     events = A.op_events(spark, sf_dir)
     worst = timeline.latest_per_key(events.filter("event_type = 'outage'"), ["workspace_id"], 1).select(
-        "workspace_id", F.col("event_id").alias("incident_id"), "title", F.col("ts").alias("at"))
+        "workspace_id", F.col("event_id").alias("incident_id"), "title", F.col("description").alias("summary"), F.col("ts").alias("at"))
     around = events.join(worst.select("workspace_id", "incident_id", "at"), "workspace_id").filter("ts <= at")
-    page = timeline.latest_per_key(around, ["workspace_id", "incident_id"], 5).select("workspace_id", "incident_id", "ts", "title")
+    page = timeline.latest_per_key(around, ["workspace_id", "incident_id"], 5).select(
+        "workspace_id", "incident_id", "ts", "title", F.col("description").alias("summary"))
     proof = timeline.latest_per_key(around.filter("description IS NOT NULL"), ["workspace_id", "incident_id"], 3).select(
-        "workspace_id", "incident_id", F.col("description").alias("snippet"))
-    return digest.postmortems(worst, page, proof)
+        "workspace_id", "incident_id", F.col("rank").alias("n"), F.col("title").alias("document"), F.col("description").alias("content"))
+    return digest.postmortems(worst.drop("at"), page, proof, A.as_of())
 
 
 @query("spike_entities", with_ctes(OP_EVENTS, EVENT_REFS, VOLUME, f"""

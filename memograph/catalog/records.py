@@ -308,7 +308,26 @@ def evidence_strings(spark, sf_dir):
     return digest.evidence_lines(events, insights_of(spark, sf_dir, events))
 
 
-@query("timeline_reports")
+@query("timeline_reports", with_ctes(OP_EVENTS, EVENT_REFS, """
+page AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY us DESC, event_id) AS rank FROM op_events),
+cut AS (SELECT * FROM page WHERE rank <= 50),
+body AS (SELECT workspace_id, count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical,
+    count(*) FILTER (WHERE severity = 'high') AS high,
+    string_agg('- **' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '** | **' || upper(event_type) || '**' || coalesce(' [' || upper(severity) || ']', '')
+      || ' — *' || title || '*' || coalesce(chr(10) || '  * ' || description, ''), chr(10) ORDER BY us, rank DESC) AS log FROM cut GROUP BY 1),
+kinds AS (SELECT workspace_id, string_agg(event_type || ' (' || n || ')', ', ' ORDER BY event_type) AS types
+  FROM (SELECT workspace_id, event_type, count(*) AS n FROM cut GROUP BY ALL) GROUP BY 1),
+called AS (SELECT workspace_id, string_agg('- ' || name, chr(10) ORDER BY name) AS names
+  FROM (SELECT DISTINCT c.workspace_id, name FROM cut c JOIN refs r ON r.workspace_id = c.workspace_id AND r.chunk_id = c.chunk_id) GROUP BY 1)
+""", body="""
+SELECT workspace_id, '# Operational Health Summary (Heuristic Fallback)' || chr(10) || '**Query**: what happened' || chr(10) || chr(10)
+  || '## Executive Summary' || chr(10) || 'The analyzed timeline contains **' || total || ' operational events** within this scope. '
+  || 'The primary categories detected were: ' || types || '.' || chr(10)
+  || CASE WHEN critical > 0 OR high > 0 THEN '⚠️ **Warning**: The timeline contains high-severity issues (critical: ' || critical || ', high: ' || high
+    || '). Immediate attention is required.' ELSE '✅ **Status**: No critical or high-severity incidents detected in this window.' END || chr(10)
+  || coalesce(chr(10) || '## Impacted System Entities' || chr(10) || names || chr(10), '')
+  || chr(10) || '## Chronological Log' || chr(10) || log AS report
+FROM body JOIN kinds USING (workspace_id) LEFT JOIN called USING (workspace_id)"""))
 def timeline_reports(spark, sf_dir):
     from memograph.operators import digest, timeline
 

@@ -151,21 +151,32 @@ def report_lines(page: DataFrame, query: str) -> DataFrame:
     )
 
 
-def postmortems(incidents: DataFrame, page: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One Markdown postmortem per incident from its timeline page and evidence texts (both bounded top lists)."""
-    steps = page.groupBy("workspace_id", "incident_id").agg(F.array_sort(F.collect_list(F.struct("ts", "title"))).alias("steps"))
-    proof = evidence.groupBy("workspace_id", "incident_id").agg(F.array_sort(F.collect_set("snippet")).alias("snippets"))
+def postmortems(incidents: DataFrame, page: DataFrame, evidence: DataFrame, as_of: Column) -> DataFrame:
+    """One Markdown postmortem per incident from its timeline page and numbered evidence texts (both bounded top lists).
+
+    incidents: workspace_id, incident_id, title, summary; page: ts, title, summary; evidence:
+    n, document, content. A citation shows the first 150 letters of its content, as the
+    report defines.
+    """
+    # Headings and sentences of the report.
     keys = ["workspace_id", "incident_id"]
-    empty = F.array().cast("array<string>")
-    lines = F.coalesce(
-        F.transform("steps", lambda s: F.concat(F.lit("- "), F.date_format(s["ts"], "yyyy-MM-dd HH:mm"), F.lit(": "), s["title"])),
-        empty)
-    proofs = F.coalesce(F.transform("snippets", lambda s: F.concat(F.lit("- "), s)), empty)
+    event = F.concat(F.lit("*   **"), F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("N/A")), F.lit("**: "), "title",
+                     F.lit(" - "), F.coalesce("summary", F.lit("")), F.lit("\n"))
+    steps = page.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), event.alias("line")))).alias("steps"))
+    cited = F.concat(F.lit("*   ["), "n", F.lit("] **"), F.coalesce(F.nullif("document", F.lit("")), F.lit("document")), F.lit('**: "'),
+                     F.left("content", F.lit(150)), F.lit('..."\n'))
+    proof = evidence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", cited.alias("line")))).alias("proofs"))
+
+    def lines(column: str, otherwise: str) -> Column:
+        return F.coalesce(F.array_join(F.transform(column, lambda x: x["line"]), ""), F.lit(otherwise))
+
     return incidents.join(steps, keys, "left").join(proof, keys, "left").select(
         *keys,
-        F.concat_ws("\n", F.concat(F.lit("# Postmortem: "), "title"), F.lit("## Timeline"), F.array_join(lines, "\n"),
-                    F.lit("## Evidence"), F.array_join(proofs, "\n")).alias("document"),
-    )
+        F.concat(
+            F.lit("# Incident Postmortem: "), "title", F.lit("\n**Date Generated**: "), F.date_format(as_of, "yyyy-MM-dd"),
+            F.lit("\n**Workspace**: "), "workspace_id", F.lit("\n\n## Executive Summary\n"), F.coalesce("summary", F.lit("")),
+            F.lit("\n\n## Incident Timeline\n"), lines("steps", "No timeline events compiled."),
+            F.lit("\n\n## Supporting Evidence\n"), lines("proofs", "No vector citations compiled.")).alias("document"))
 
 
 def evidence_lines(events: DataFrame, insights: DataFrame, limit: int = 15) -> DataFrame:
