@@ -16,6 +16,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ok, message = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
+    if ok is None:
+        pytest.skip(message)
     assert ok, message
 
 
