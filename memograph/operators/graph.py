@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memograph.plans.bounded import broadcast_if_small
+from memograph.plans.substring import containing
 from memograph.session import cut_lineage
 
 WS = ["workspace_id"]
@@ -116,14 +116,14 @@ def chunks_of_entities(names: DataFrame, entities: DataFrame, refs: DataFrame, c
     """Chunks that mention a named entity: exact name first, else the first name containing it.
 
     `names` holds (workspace_id, wanted). The substring search runs for the
-    names without an exact match only; the counted question table is broadcast.
+    names without an exact match only.
     """
     key = F.lower(F.trim("wanted"))
     nodes = entities.select("workspace_id", "entity_id", "name")
     exact = names.withColumn("k", key).join(nodes.withColumn("k", F.lower("name")), ["workspace_id", "k"])
     exact = exact.groupBy("workspace_id", "wanted").agg(F.min_by("entity_id", "name").alias("entity_id"))
     missing = names.join(exact, ["workspace_id", "wanted"], "left_anti")
-    like = nodes.join(broadcast_if_small(missing), "workspace_id").filter(F.contains(F.lower("name"), key))
+    like = containing(nodes, F.lower("name"), missing, key, ["workspace_id"])
     like = like.groupBy("workspace_id", "wanted").agg(F.min_by("entity_id", F.struct("name", "entity_id")).alias("entity_id"))
     found = exact.unionByName(like)
     linked = linked_chunks(refs, found, limit).drop("rank")

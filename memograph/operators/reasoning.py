@@ -11,7 +11,7 @@ from memograph import vocab
 from memograph.functions import phrases, scoring, text
 from memograph.operators import retrieval
 from memograph.operators.upsert import keep_by
-from memograph.plans.bounded import broadcast_if_small
+from memograph.plans.substring import containing
 from memograph.session import cut_lineage
 
 # One sentence per profile.
@@ -93,7 +93,7 @@ def matching_patterns(questions: DataFrame, patterns: DataFrame) -> DataFrame:
     """Patterns whose entity list, as text, contains a wanted entity of the question."""
     asked = questions.select("query_id", "workspace_id", F.explode("q_entities").alias("entity"))
     listed = patterns.withColumn("_csv", F.lower(F.array_join("entities", ",")))
-    found = listed.join(broadcast_if_small(asked), "workspace_id").filter(F.contains("_csv", F.lower("entity")))
+    found = containing(listed, F.col("_csv"), asked, F.lower("entity"), ["workspace_id"])
     return found.drop("_csv", "entity").distinct()
 
 
@@ -206,21 +206,22 @@ def multi_hop_events(
 ) -> DataFrame:
     """Events reached from a question: by hit chunks, by chunks of its entities, or by naming one.
 
-    Wanted names come from the question and from its hits. The name table is
-    counted and broadcast; events are scanned once against it.
+    Wanted names come from the question and from its hits. A name table measured
+    small is broadcast; a larger one meets the events on shared trigrams.
     """
     own = questions.select("query_id", "workspace_id", F.explode("q_entities").alias("name"))
     from_hits = hits.select("query_id", "workspace_id", F.explode("entities").alias("name"))
     names = cut_lineage(own.unionByName(from_hits).select("query_id", "workspace_id", F.lower(F.trim("name")).alias("wanted")).distinct())
     nodes = refs.select("workspace_id", "name").distinct()
-    resolved = nodes.join(broadcast_if_small(names), "workspace_id").filter(F.contains(F.lower("name"), F.col("wanted"))).select(
-        "query_id", "workspace_id", "name").distinct()
+    resolved = containing(nodes, F.lower("name"), names, F.col("wanted"), ["workspace_id"]).select("query_id", "workspace_id", "name").distinct()
     by_entity = refs.join(resolved, ["workspace_id", "name"]).select("query_id", "workspace_id", "chunk_id")
     chunks = by_entity.union(hits.select("query_id", "workspace_id", "chunk_id")).distinct()
     linked = events.select("workspace_id", "chunk_id", "event_id").join(chunks, ["workspace_id", "chunk_id"]).select(
         "query_id", "workspace_id", "event_id")
-    said = F.contains(F.lower("title"), F.col("wanted")) | F.contains(F.lower(F.coalesce("description", F.lit(""))), F.col("wanted"))
-    naming = events.join(broadcast_if_small(names), "workspace_id").filter(said).select("query_id", "workspace_id", "event_id")
+    # Title and description are searched apart, so no name can span both.
+    texts = F.array(F.lower("title"), F.lower(F.coalesce("description", F.lit(""))))
+    said = events.select("workspace_id", "event_id", F.explode(texts).alias("said"))
+    naming = containing(said, F.col("said"), names, F.col("wanted"), ["workspace_id"]).select("query_id", "workspace_id", "event_id")
     bounds = questions.select("query_id", "q_start", "q_end")
     reached = linked.union(naming).distinct().join(events, ["workspace_id", "event_id"]).join(bounds, "query_id").filter(
         (F.col("q_start").isNull() | (F.col("ts") >= F.col("q_start"))) & (F.col("q_end").isNull() | (F.col("ts") <= F.col("q_end"))))

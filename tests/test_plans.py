@@ -176,3 +176,13 @@ def test_event_upsert_is_idempotent_and_order_free(spark):
     assert sorted(map(tuple, once.select(*key).collect())) == sorted(map(tuple, shuffled.select(*key).collect()))
     # The merged rows keep their first time, so a second pass merges only heads that lie within the tolerance.
     assert again.count() <= once.count()
+
+
+def test_containing_both_ways(spark):
+    from memograph.plans.substring import containing
+
+    texts = spark.createDataFrame([("w", i, t) for i, t in enumerate(["alpha beta", "beta", "b", "", "éta bé", None])] + [("v", 9, "beta")],
+                                  "ws string, n int, t string")
+    needles = spark.createDataFrame([("w", q) for q in ["beta", "b", "be", "", "éta", "missing", "a b", None]], "ws string, q string")
+    both = [sorted((r["n"], r["q"]) for r in containing(texts, F.col("t"), needles, F.col("q"), ["ws"], small=s).collect()) for s in (True, False)]
+    assert both[0] == both[1] and (0, "a b") in both[0] and (3, "") in both[0] and all(n != 9 for n, _ in both[0])
