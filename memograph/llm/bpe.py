@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import json
 import os
-import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,39 +117,67 @@ def _around(text: bytes, token: bytes) -> list[bytes]:
     return out
 
 
-def distinct_words(texts: list[bytes], special: list[bytes], classes: np.ndarray, most: int = 1 << 21) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_words(texts: list[bytes], special: list[bytes], classes: np.ndarray, most: int = 1 << 19) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words in byte order, each word's number among them, words per text)."""
-    parts, counts, group, size = [], [], [], 0
+    parts, counts, group, size = [pa.array([], pa.large_binary())], [np.zeros(0, dtype=np.int64)], [], 0
     for k, text in enumerate(texts):
         group.append(text)
         size += len(text)
         if size > most or k == len(texts) - 1:
             words, n = split_words(group, special, classes)
-            parts.append(words.dictionary_encode())
+            parts.append(words)
             counts.append(n)
             group, size = [], 0
-    if not parts:
-        return [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    merged = pa.chunked_array(parts).unify_dictionaries()
-    words = merged.chunk(0).dictionary
-    order = pc.sort_indices(words).to_numpy()
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return words.take(pa.array(order)).to_pylist(), place[np.concatenate([c.indices.to_numpy() for c in merged.chunks])], np.concatenate(counts)
-
-
-def by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the words by bucket, start of each bucket in it)."""
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()], np.concatenate(counts)
+
+
+def layout(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of an array of words."""
+    if not len(words):
+        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    _, offsets, data = words.buffers()
+    return np.frombuffer(offsets, dtype=np.int64)[words.offset:words.offset + len(words) + 1], np.frombuffer(data, dtype=np.uint8)
+
+
+def by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the words by bucket, start of each bucket in it); the bucket hashes the length and both ends of a word."""
+    offsets, data = layout(words)
+    sizes = np.diff(offsets)
+    hashed = sizes.astype(np.uint64)
+    for k in range(8):
+        inside = np.minimum(k, sizes - 1)
+        for at in (offsets[:-1] + inside, offsets[1:] - 1 - inside):
+            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + data[at]
+    bucket = ((hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """values[start:start + size] of each, concatenated."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """values[start:start + size] of each, concatenated; some at a time, since the places take more memory than the values."""
+    out = np.empty(int(sizes.sum()), dtype=values.dtype)
+    at = 0
+    for k in range(0, len(sizes), step):
+        size = sizes[k:k + step].astype(np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1])
+        out[at:at + total] = values[np.arange(total) + np.repeat(starts[k:k + step] - (ends - size), size)]
+        at += total
+    return out
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers for the shuffle: in two bytes where they fit, compressed."""
+    narrow = not len(values) or int(values.max()) < 1 << 16
+    return bytes([narrow]) + zstandard.compress(values.astype("<u2" if narrow else "<u4").tobytes(), 3)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), dtype="<u2" if data[0] else "<u4").astype(np.uint32)
 
 
 def special_tokens(path: str) -> list[bytes]:
@@ -191,55 +219,79 @@ def encode_blocks(texts: DataFrame, path: str, finish: Finish, schema: str, bloc
         words, _, _ = distinct_words([t or b"" for t in group["text"].to_pylist()], special, classes)
         order, starts = by_bucket(words, buckets)
         rows = [k for k in range(buckets) if starts[k] < starts[k + 1]]
+        offsets, data = layout(words.take(pa.array(order)))
+        cuts = [(int(starts[k]), int(starts[k + 1])) for k in rows]
         return pa.table({"block": pa.array([keys[0].as_py()] * len(rows), pa.int64()), "bucket": pa.array(rows, pa.int32()),
-                         "words": pa.array([[words[i] for i in order[starts[k]:starts[k + 1]]] for k in rows], pa.list_(pa.binary()))})
+                         "words": pa.array([zstandard.compress(data[offsets[a]:offsets[b]], 3) for a, b in cuts], pa.binary()),
+                         "sizes": pa.array([squeezed(np.diff(offsets[a:b + 1])) for a, b in cuts], pa.binary())})
 
     def answer(keys: tuple, group: pa.Table) -> pa.Table:
-        asked = group["words"].combine_chunks()
-        asked = asked.combine_chunks() if isinstance(asked, pa.ChunkedArray) else asked
-        coded = asked.flatten().dictionary_encode()
-        ids, sizes = encode_words(coded.dictionary.to_pylist(), path)
+        parts = []
+        for data, sizes in zip(group["words"].to_pylist(), group["sizes"].to_pylist()):
+            ends = np.concatenate([[0], np.cumsum(unsqueezed(sizes), dtype=np.int64)])
+            parts.append(pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(zstandard.decompress(data))]))
+        coded = pa.chunked_array([p.dictionary_encode() for p in parts]).unify_dictionaries()
+        ids, sizes = encode_words(coded.chunk(0).dictionary.to_pylist(), path)
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        places, at, out_ids, out_sizes = coded.indices.to_numpy(), 0, [], []
-        for n in pc.list_value_length(asked).to_pylist():
-            p = places[at:at + n]
-            out_ids.append(ragged(ids, starts[p], sizes[p].astype(np.int64)).tobytes())
-            out_sizes.append(sizes[p].tobytes())
-            at += n
-        return pa.table({"block": group["block"], "bucket": group["bucket"], "ids": pa.array(out_ids, pa.binary()), "sizes": pa.array(out_sizes, pa.binary())})
+        places = [c.indices.to_numpy() for c in coded.chunks]
+        return pa.table({"block": group["block"], "bucket": group["bucket"],
+                         "ids": pa.array([squeezed(ragged(ids, starts[p], sizes[p])) for p in places], pa.binary()),
+                         "sizes": pa.array([squeezed(sizes[p]) for p in places], pa.binary())})
 
     def join(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         words, numbers, per_text = distinct_words([t or b"" for t in left["text"].to_pylist()], special, classes)
         order, _ = by_bucket(words, buckets)
         replies = right.sort_by("bucket")
-        sizes, starts = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
-        sizes[order] = np.frombuffer(b"".join(replies["sizes"].to_pylist()), dtype=np.uint32)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        ids = np.frombuffer(b"".join(replies["ids"].to_pylist()), dtype=np.uint32)
+        none = np.zeros(0, dtype=np.uint32)
+        own = np.concatenate([none, *map(unsqueezed, replies["sizes"].to_pylist())])
+        sizes, starts = np.empty(len(words), dtype=np.uint32), np.empty(len(words), dtype=np.int64)
+        sizes[order] = own
+        starts[order] = np.cumsum(own, dtype=np.int64) - own
+        ids = np.concatenate([none, *map(unsqueezed, replies["ids"].to_pylist())])
+        del words, own
         taken = sizes[numbers]
-        ends = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], np.cumsum(per_text)])]
-        return finish(keys[0].as_py(), left, ragged(ids, starts[numbers], taken), np.diff(ends))
+        ends = np.concatenate([[0], np.cumsum(taken, dtype=np.int64)])[np.concatenate([[0], np.cumsum(per_text)])]
+        out = finish(keys[0].as_py(), left, ragged(ids, starts[numbers], taken), np.diff(ends))
+        pa.default_memory_pool().release_unused()
+        return out
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block long, bucket int, words array<binary>")
+    asked = dealt.groupBy("block").applyInArrow(ask, "block long, bucket int, words binary, sizes binary")
     replies = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, ids binary, sizes binary")
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(join, schema)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids) of each row of docs: ids is the binary of little-endian unsigned 32-bit ids of the whole text.
 
     As the library's encode with add_special_tokens=False and without truncation and padding.
     Null and empty texts have no ids; repeated rows each have their row; other columns are
-    ignored. No rows give no rows.
+    ignored. No rows give no rows. With decoded, a column of that name holds what the ids
+    decode to, joined in the same task instead of a second pass.
     """
+    table = pieces(path) if decoded else []
+
     def finish(block: int, rows: pa.Table, ids: np.ndarray, sizes: np.ndarray) -> pa.Table:
         ends = np.cumsum(sizes)
-        return pa.table({"id": rows["id"], "ids": pa.array([ids[e - s:e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
+        cut = [ids[e - s:e] for s, e in zip(sizes, ends)]
+        out = {"id": rows["id"], "ids": pa.array([c.tobytes() for c in cut], pa.binary())}
+        if decoded:
+            known = pa.array([*table, b""], pa.large_binary())
+            out["decoded"] = pa.array([join_pieces(c, known) for c in cut], pa.string())
+        return pa.table(out)
 
     blocks = 2 * partitions(docs.sparkSession)
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(blocks))
     texts = docs.select(key.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return encode_blocks(texts, path, finish, "id long, ids binary", blocks).withColumnRenamed("id", id_col)
+    return encode_blocks(texts, path, finish, "id long, ids binary" + ", decoded string" * decoded, blocks).withColumnRenamed("id", id_col)
+
+
+def join_pieces(ids: np.ndarray, known: pa.Array) -> str:
+    """The text of some ids: each id's piece, by position in the table of pieces; the last piece is for unknown ids."""
+    if not len(ids):
+        return ""
+    joined = known.take(pa.array(np.minimum(ids, len(known) - 1)))
+    ends = np.frombuffer(joined.buffers()[1], dtype=np.int64)
+    return joined.buffers()[2].to_pybytes()[ends[joined.offset]:ends[joined.offset + len(joined)]].decode("utf-8", "replace")
 
 
 def pieces(path: str) -> list[bytes]:
@@ -267,13 +319,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", name: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array([*table, b""], pa.large_binary())
         for batch in batches:
-            out = []
-            for value in batch.column(batch.num_columns - 1):
-                ids = np.frombuffer(value.as_py() or b"", dtype=np.uint32)
-                joined = known.take(pa.array(np.minimum(ids, len(table))))
-                start, end = (joined.offset, joined.offset + len(joined))
-                ends = np.frombuffer(joined.buffers()[1], dtype=np.int64)
-                out.append(joined.buffers()[2].to_pybytes()[ends[start]:ends[end]].decode("utf-8", "replace") if len(ids) else "")
+            out = [join_pieces(np.frombuffer(value.as_py() or b"", dtype=np.uint32), known) for value in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], [*rest, name])
 
     schema = tokens.select(*rest).schema.add(name, "string")

@@ -52,8 +52,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_bpe_roundtrip")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    found = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

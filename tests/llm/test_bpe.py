@@ -45,7 +45,15 @@ def test_encode_and_decode(spark, tokenizer):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(got[k]["ids"], dtype="<u4").tolist() == ids, t
         assert got[k]["decoded"] == tokenizer.decode(ids, skip_special_tokens=False) == (t or "")
-    assert bpe.encode(docs.limit(0), PATH).count() == 0
+    together = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encode(docs, PATH, decoded=True).collect()}
+    assert together == {k: (r["ids"], r["decoded"]) for k, r in got.items()}
+    assert bpe.encode(docs.limit(0), PATH, decoded=True).count() == 0
+
+
+def test_numbers_round_trip():
+    for values in ([], [0], [65535, 3], [65536, 1], [2 ** 32 - 1]):
+        v = np.array(values, dtype=np.uint32)
+        assert bpe.unsqueezed(bpe.squeezed(v)).tolist() == values
 
 
 def test_decode_any_ids(spark, tokenizer):
