@@ -206,7 +206,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """Rows of docs that stay: of each component the one with the smallest (id, text hash); repeated rows stay once."""
-    found = near_duplicates(docs, id_col, text_col, **params)
+    return stay(docs, near_duplicates(docs, id_col, text_col, **params), id_col, text_col)
+
+
+def stay(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each component found."""
     kept = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(id_col, F.lit(LAST_ID)).alias("id"), "mark")).alias("k")).select(
         F.col("k.id").alias("__id"), F.col("k.mark").alias("__mark"))
     keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("__mark", F.xxhash64(text_col))
