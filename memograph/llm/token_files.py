@@ -152,7 +152,7 @@ def below(value: Column, cuts: list[int], step: int = 64) -> Column:
     return (group - 1) * step + count(F.element_at(F.expr("array(" + ",".join(longs(g) for g in groups) + ")"), group))
 
 
-def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2, percentile: float = 95.0,
+def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2, percentile: float = 99.0,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, append the end id and write the ids in ascending id order; returns the manifest.
 
