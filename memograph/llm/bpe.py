@@ -279,7 +279,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out["decoded"] = pa.array([join_pieces(c, known) for c in cut], pa.string())
         return pa.table(out)
 
-    blocks = 2 * partitions(docs.sparkSession)
+    blocks = partitions(docs.sparkSession)
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(blocks))
     texts = docs.select(key.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return encode_blocks(texts, path, finish, "id long, ids binary" + ", decoded string" * decoded, blocks).withColumnRenamed("id", id_col)
