@@ -57,5 +57,6 @@ def test_odd_rows(spark):
 
 def test_large_buckets_form_no_pairs():
     keys, nodes = np.array([1] * 5 + [2] * 100 + [3]), np.arange(106)
-    left, right = simhash_wide.bucket_pairs(keys, nodes)
-    assert len(left) == 10 + 99 + 98 and (left != right).sum() == len(left)
+    kinds = np.array([0] * 5 + [2] * 40 + [1] * 40 + [0] * 20 + [1])
+    left, right = simhash_wide.bucket_pairs(keys, nodes, kinds)
+    assert len(left) == 10 + 79 + 39 and (left != right).all() and simhash_wide.part_count(200_000) == 10 and simhash_wide.part_count(10 ** 10) == 6
