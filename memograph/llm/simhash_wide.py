@@ -1,95 +1,19 @@
-"""SimHash near-duplicates at a similarity, with 256-bit fingerprints.
+"""Near-duplicates at a similarity, under the names of the 256-bit fingerprints that found them before.
 
-At a shingle similarity of 0.8 two fingerprints differ in about 15 % of their bits, too many
-for exact pigeonhole probing of 64 bits. Here each part of the fingerprint is probed where
-copies really differ: a bit flips between copies when its vote was close, so a text is filed
-under each part's own value and under the values with its closest votes flipped. Pairs that
-meet are verified on the whole fingerprint: a short distance links them, a long one does
-not, and between the two the shingles themselves are compared, unless the texts are already
-in one component. Of 1,119 pairs of the test tables with a similarity of 0.8 or more, 96 %
-met in a bucket.
+The work is done by `minhash`. `part_count` and `bucket_pairs` belong to the fingerprints and are
+used by no query: parts that widen with the input lose pairs, and so do large buckets cut short.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from memograph.llm.common import components, stored
-from memograph.llm.simhash import LAST_ID, stay
+from memograph.llm.minhash import SMALL, keep_one, near_duplicates, shingles
 
-WORDS = 4
-BITS = 64 * WORDS
-SMALL = 32
-ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
-
-
-def votes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray | None:
-    """Per bit, shingles that set it less those that do not; None for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return None
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    last = ends[shingle - 1:] or ends[-1:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(last), 1 << 14):
-        part = last[at:at + (1 << 14)]
-        h = np.fromiter((digest(joined[s:e - 1], seed) for s, e in zip(starts[at:], part)), dtype=np.uint64, count=len(part))
-        wide = np.empty((len(h), WORDS), dtype=np.uint64)
-        wide[:, 0] = h
-        for k, odd in enumerate(ODD):
-            x = (h ^ (h >> np.uint64(31))) * odd
-            wide[:, k + 1] = (x ^ (x >> np.uint64(29))) * ODD[0]
-        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return 2 * ones - len(last)
-
-
-def fingerprint(vote: np.ndarray | None) -> np.ndarray:
-    """Four signed words; zero for a text without words."""
-    if vote is None:
-        return np.zeros(WORDS, dtype=np.int64)
-    return np.packbits(vote > 0, bitorder="little").view(np.int64)
-
-
-def probe_keys(vote: np.ndarray | None, parts: int, flips: int) -> list[int]:
-    """The buckets of a text: in each part its own value, and those with any of the closest votes flipped."""
-    if vote is None:
-        return [-1]
-    keys = []
-    for k in range(parts):
-        a, b = BITS * k // parts, BITS * (k + 1) // parts
-        part = vote[a:b]
-        value = int((1 << np.flatnonzero(part > 0)).sum())
-        close = [1 << int(i) for i in np.argsort(np.abs(part), kind="stable")[:flips]]
-        for subset in range(1 << flips):
-            mask = sum(c for j, c in enumerate(close) if subset >> j & 1)
-            keys.append(k << 48 | value ^ mask)
-    return keys
-
-
-def expected(similarity: float) -> float:
-    """Differing bits expected at a shingle similarity: equally long texts with Jaccard j have cosine 2j / (1 + j)."""
-    return BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def shingles(text: bytes, size: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[k:k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def similar(a: bytes, b: bytes, size: int, similarity: float) -> bool:
-    """Whether the sets of shingles have at least this Jaccard similarity."""
-    x, y = shingles(a, size), shingles(b, size)
-    return len(x & y) >= similarity * len(x | y)
+__all__ = ["bucket_pairs", "keep_one", "near_duplicates", "part_count", "shingles"]
+BITS = 256
 
 
 def bucket_pairs(keys: np.ndarray, nodes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,88 +46,3 @@ def part_count(rows: int) -> int:
     Then the pairs that meet by chance grow with the number of texts and not with its square.
     """
     return max(4, min(10, int(BITS / (math.log2(max(rows, 2)) + 7))))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-                    parts: int | None = None, flips: int = 3) -> DataFrame:
-    """(id, mark, component_id) of each row of docs: component_id is the smallest id reachable by links.
-
-    Texts link when their fingerprints lie two deviations below the distance expected at the
-    similarity, or within two above it and their shingles reach it. Texts without words, null ones too, are one group. Repeated rows are linked and
-    each has its row; a null id counts as larger than any other and comes back as null. Other
-    columns are ignored. No rows give no rows.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [votes(t.as_py() or b"", shingle) for t in batch.column(2)]
-            words = np.stack([fingerprint(v) for v in found]) if found else np.zeros((0, WORDS), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), *[pa.array(words[:, k].copy()) for k in range(WORDS)],
-                pa.array([probe_keys(v, parts, flips) for v in found], pa.list_(pa.int64()))], ["id", "mark", *names, "keys"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets arrive in order; the last one of a batch waits for the next."""
-        none = np.zeros(0, dtype=np.int64)
-        keys, nodes, kinds = none, none, none
-        for batch in batches:
-            keys, nodes, kinds = (np.concatenate([held, batch.column(k).to_numpy()]) for k, held in enumerate((keys, nodes, kinds)))
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            rest = np.arange(cut, len(keys))
-            if len(rest) > 1 << 17:
-                # A bucket that never ends is linked in portions; its first and last rows of its own go on.
-                own = rest[kinds[rest] > 0]
-                cut, rest = len(keys), own[[0, -1]] if len(own) else rest[:0]
-            left, right = bucket_pairs(keys[:cut], nodes[:cut], kinds[:cut]) if cut else (none, none)
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
-            keys, nodes, kinds = keys[rest], nodes[rest], kinds[rest]
-        left, right = bucket_pairs(keys, nodes, kinds) if len(keys) > 1 else (none, none)
-        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
-
-    names = [f"w{k}" for k in range(WORDS)]
-    parts = parts or part_count(docs.count())
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("mark"),
-                         F.col(text_col).cast("binary").alias("text"))
-    schema = "id long, mark long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>"
-    rows = stored(source.mapInArrow(run, schema))
-    # Equal fingerprints are one node, numbered by its smallest id.
-    classes = stored(rows.groupBy(*names).agg(F.min(F.struct("id", "mark")).alias("first"), F.min("keys").alias("keys")).select(
-        *names, F.col("first.id").alias("node"), F.col("first.mark").alias("mark"), "keys"))
-    # Kind 0: a flipped value; 1: the part's own value; 2: own value of the first two parts.
-    own = F.when(F.col("pos") % (1 << flips) != 0, 0).when(F.col("pos") < 2 << flips, 2).otherwise(1)
-    filed = classes.select(F.posexplode("keys").alias("pos", "key"), "node").select("key", "node", own.cast("long").alias("kind")).repartition(
-        "key").sortWithinPartitions("key", "node")
-    pairs = filed.mapInArrow(meet, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda end: classes.select(F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names])
-    apart = sum((F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names[1:]),
-                F.bit_count(F.col(f"{names[0]}_a").bitwiseXOR(F.col(f"{names[0]}_b"))))
-    middle = expected(similarity)
-    spread = 2 * math.sqrt(middle * (1 - middle / BITS))
-    close = stored(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", apart).filter(F.col("apart") <= middle + spread).select("a", "b", "apart"))
-    sure = components(close.filter(F.col("apart") <= middle - spread))
-    of = lambda end: sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    open_pairs = stored(close.filter(F.col("apart") > middle - spread).join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-        "a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).filter("root_a <> root_b"))
-    asked = open_pairs.select(F.col("a").alias("node")).unionByName(open_pairs.select(F.col("b").alias("node"))).distinct()
-    texts = stored(source.join(classes.select("node", "mark").join(asked, "node").select(F.col("node").alias("id"), "mark"), ["id", "mark"]).dropDuplicates(
-        ["id", "mark"]).select(F.col("id").alias("node"), "text"))
-    shown = open_pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("root_a", "root_b", "text_a", "text_b")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(a.as_py() or b"", b.as_py() or b"", shingle, similarity) for a, b in zip(batch.column(2), batch.column(3))]
-            keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
-
-    joined = components(shown.mapInArrow(judge, "a long, b long"))
-    found = classes.select("node").join(sure, "node", "left").select("node", F.coalesce("root", "node").alias("first_root")).join(
-        joined.select(F.col("node").alias("first_root"), F.col("root").alias("joined_root")), "first_root", "left").select(
-        "node", F.coalesce("joined_root", "first_root").alias("component_id"))
-    named = classes.select(*names, "node").join(found, "node").drop("node")
-    back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return rows.join(named, names).select(back("id").alias(id_col), "mark", back("component_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """Rows of docs that stay: of each component the one with the smallest (id, text hash); repeated rows stay once."""
-    return stay(docs, near_duplicates(docs, id_col, text_col, **params), id_col, text_col)
