@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -45,3 +46,51 @@ def test_short_and_long_copies_go(spark):
                 rows += [(len(rows) + k, t) for k, t in enumerate(planted(rng, n, similarity))]
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert kept == {i for i, _ in rows if i % 2 == 0}
+
+
+def test_large_group_matches_brute_force(spark):
+    """Copies of a text that is not there itself, most of them near the limit, and some below it."""
+    rng = random.Random(4)
+    base, texts = [word(rng) for _ in range(300)], []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), rng.choice([3, 4, 5]) if k % 4 else 10):
+            words[at] = word(rng)
+        texts.append(" ".join(words))
+    sets = [minhash.shingle_set(t.encode(), 5) for t in texts]
+    root = list(range(len(sets)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if minhash.similar(sets[i], sets[j], 0.8)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            low = min(root[i], root[j])
+            changed |= root[i] != root[j]
+            root[i] = root[j] = low
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert 1 < len(set(root)) < 300 and got == dict(enumerate(root))
+
+
+def test_blocks_bring_all_unlike_roots_together(monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    rng = np.random.default_rng(5)
+    nodes, sizes = np.arange(100, 220), rng.integers(1, 30, 120)
+    for roots in (rng.integers(0, 3, 120), np.where(np.arange(120) % 40, 0, np.arange(120)), np.arange(120)):
+        groups = [set(g.tolist()) for g in minhash.comparisons(nodes, sizes, roots)]
+        assert all(any({100 + i, 100 + j} <= g for g in groups) for i in range(120) for j in range(i) if roots[i] != roots[j])
+        assert max(sum(sizes[n - 100] for n in g) for g in groups) <= 2 * (50 + 30)
+    assert not list(minhash.comparisons(nodes, sizes, nodes * 0))
+
+
+def test_links_reach_what_all_pairs_reach():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 14)).astype(np.uint64)) for _ in range(80)]
+    for similarity in (0.5, 0.8, 1.0):
+        parts = []
+        for found in (minhash.links(sets, similarity), [(i, j) for i in range(80) for j in range(i) if minhash.similar(sets[i], sets[j], similarity)]):
+            root = list(range(80))
+            for _ in range(80):
+                for i, j in found:
+                    root[i] = root[j] = min(root[i], root[j])
+            parts.append(root)
+        assert parts[0] == parts[1]
