@@ -94,3 +94,12 @@ def test_links_reach_what_all_pairs_reach():
                     root[i] = root[j] = min(root[i], root[j])
             parts.append(root)
         assert parts[0] == parts[1]
+
+
+def test_repeated_lines_neither_link_nor_part(spark):
+    rng = random.Random(7)
+    line, body = " ".join(word(rng) for _ in range(7)), [" ".join(word(rng) for _ in range(120)) for _ in range(3)]
+    rows = [(1, f"{body[0]} " + f"{line} " * 400), (2, f"{body[1]} " + f"{line} " * 400), (3, f"{body[2]} {line} {line}"), (4, f"{body[2]} " + f"{line} " * 300)]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[2][1], rows[3][1]) >= 0.8
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept == {1, 2, 3}
