@@ -188,20 +188,21 @@ def balls(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2,
                     parts: int = 3, bucket_cap: int = 64) -> DataFrame:
-    """(id, mark, fp, component_id) of each row of docs: component_id is the smallest id reachable by links.
+    """(id, mark, fp, component, component_id) of each row of docs: component numbers what links reach, component_id is its smallest id.
 
     Null and empty texts, and texts without words, have fingerprint zero and link as any
     other. Repeated rows are linked and each has its row. A null id counts as larger than
     any other and comes back as null. Other columns are ignored. No rows give no rows.
     """
     rows = fingerprints(docs, id_col, text_col, shingle)
-    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("root")))
-    # Several fingerprints can share a root only through a repeated id; their link is then already given.
+    # A fingerprint numbers its class: an id would not, as unlike texts can share one or have none.
+    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("low")).withColumn("root", F.col("fp")))
     found = components(link(classes, distance, parts, bucket_cap))
-    named = classes.join(found, classes["root"] == found["node"], "left").select(
-        "fp", F.coalesce(found["root"], classes["root"]).alias("component_id"))
+    placed = stored(classes.join(found, classes["fp"] == found["node"], "left").select(
+        "fp", "low", F.coalesce(found["root"], classes["fp"]).alias("component")))
+    named = placed.select("fp", "component").join(placed.groupBy("component").agg(F.min("low").alias("component_id")), "component")
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return rows.join(named, "fp").select(back("id").alias(id_col), "mark", "fp", back("component_id").alias("component_id"))
+    return rows.join(named, "fp").select(back("id").alias(id_col), "mark", "fp", "component", back("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -211,7 +212,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def stay(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of docs for each component found."""
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(id_col, F.lit(LAST_ID)).alias("id"), "mark")).alias("k")).select(
+    kept = found.groupBy("component").agg(F.min(F.struct(F.coalesce(id_col, F.lit(LAST_ID)).alias("id"), "mark")).alias("k")).select(
         F.col("k.id").alias("__id"), F.col("k.mark").alias("__mark"))
     keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("__mark", F.xxhash64(text_col))
     return keyed.join(kept, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")

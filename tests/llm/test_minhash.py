@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from memograph.llm import minhash
+from memograph.llm import minhash, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -103,3 +103,15 @@ def test_repeated_lines_neither_link_nor_part(spark):
     assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[2][1], rows[3][1]) >= 0.8
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert kept == {1, 2, 3}
+
+
+@pytest.mark.parametrize("operator", [minhash, simhash])
+def test_unlike_texts_without_an_id_of_their_own(spark, operator):
+    rng = random.Random(9)
+    one, two, three, four = (" ".join(word(rng) for _ in range(40)) for _ in range(4))
+    rows = [(None, one), (None, two), (None, one), (5, three), (None, three.upper()), (6, one + " x" if operator is minhash else one.upper()), (7, two[:50]), (7, four)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = sorted((tuple(r) for r in operator.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, two), (5, three), rows[5], (7, two[:50]), (7, four)], key=str)
+    found = operator.near_duplicates(docs)
+    assert found.count() == len(rows) and found.filter("doc_id is null and component_id is null").count() == 1
