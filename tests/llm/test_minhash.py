@@ -115,3 +115,17 @@ def test_unlike_texts_without_an_id_of_their_own(spark, operator):
     assert kept == sorted([(None, two), (5, three), rows[5], (7, two[:50]), (7, four)], key=str)
     found = operator.near_duplicates(docs)
     assert found.count() == len(rows) and found.filter("doc_id is null and component_id is null").count() == 1
+
+
+def test_recall_and_false_removals_by_band(spark):
+    """The pipeline's stage on planted pairs; test_large_group_matches_brute_force has a group of several hundred."""
+    rng, rows, band = random.Random(11), [], {}
+    for similarity in (0.5, 0.7, 0.78, 0.8, 0.85, 0.9, 0.95):
+        for k in range(100):
+            for t in planted(rng, 100, similarity):
+                band[len(rows)] = similarity
+                rows.append((len(rows), t))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    gone = [band[i] for i, _ in rows if i not in kept]
+    assert all(i % 2 for i in range(len(rows)) if i not in kept)
+    assert {s: gone.count(s) for s in sorted(set(band.values()))} == {0.5: 0, 0.7: 0, 0.78: 0, 0.8: 100, 0.85: 100, 0.9: 100, 0.95: 100}
