@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, html_text, mixing, quality, simhash, suffix_dedup, token_files
+from memograph.llm import (bpe, chunk_dedup, embedding_dedup, exact_dedup, html_text, importance, lexical_search, mixing, quality, simhash,
+                           suffix_dedup, token_files, vector_search)
 from memograph.llm.common import UPPER, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +120,66 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
+LOWERED_TEXT = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+
+
+@query("op11_importance_resampling", rf"""
+WITH step AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (SELECT doc_id, regexp_extract_all({LOWERED_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+target AS (SELECT regexp_extract_all({LOWERED_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+features AS (
+  SELECT doc_id, false AS wanted, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM docs
+  UNION ALL
+  SELECT NULL, true, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM target),
+bytes AS (
+  SELECT f, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT f, hex(encode(f)) AS h FROM features GROUP BY f)),
+codes AS (
+  SELECT f, xor(list_reduce([4294967295] || b, lambda c, x: xor(t[xor(c, x) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, step),
+placed AS (SELECT doc_id, wanted, bucket FROM features JOIN codes USING (f)),
+counts AS (SELECT bucket, count(*) FILTER (NOT wanted) AS s, count(*) FILTER (wanted) AS t FROM placed GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM counts) + 10000)
+                                 / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain FROM counts),
+weights AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM placed JOIN gains USING (bucket) WHERE NOT wanted GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(w) AS words, coalesce(n, 0) AS n_features,
+         coalesce(CASE WHEN total < 0 THEN -((n - 1 - total) // n) ELSE total // n END, 0) AS weight,
+         ('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT AS h
+  FROM docs d LEFT JOIN weights x ON d.doc_id = x.doc_id),
+noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place FROM noisy)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score,
+       CASE WHEN words >= 20 AND place <= 25 * (SELECT count(*) FROM noisy WHERE words >= 20) // 100 THEN place END AS rank
+FROM ranked""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_lexical_search", rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all({LOWERED_TEXT}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED_TEXT}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+sizes AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS total FROM docs),
+lengths AS (SELECT place, 50 + (50 * len(w) * docs) // total AS m FROM docs, sizes WHERE len(w) > 0),
+held AS (SELECT place, doc_id, term, count(*) AS tf FROM (SELECT place, doc_id, unnest(w) AS term FROM docs) GROUP BY place, doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT docs FROM sizes) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM held GROUP BY term),
+scores AS (
+  SELECT item_id, place, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM items JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (place) GROUP BY item_id, place, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op13_vector_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50).select(
+        "query_id", "rank", "vec_id", "score")
