@@ -20,6 +20,6 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int =
     return rows <= max_rows and size_sum <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a side that proves small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if is_small(df) else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
