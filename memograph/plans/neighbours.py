@@ -1,14 +1,20 @@
 """Exact nearest-neighbour join by cosine, in bounded blocks.
 
 Copies of a vector are searched once. Large groups are cut into cells around
-pivots; a query visits only cells that the triangle inequality cannot rule
-out, so the result equals a full scan. Cells and query sets are cut further into
-blocks of at most `block` rows, and one task multiplies one query block with
-one point block and keeps k rows per query: no pair list is ever built.
+pivots, their number growing with the square root of the group, and queries are
+dealt to the same cells. A query first searches its own cell: the distance of
+the k-th point found there bounds what any other cell can add, and it goes on
+to those cells alone that the triangle inequality cannot rule out, so the result
+equals a full scan. Cells are cut further into blocks of at most `block` rows on
+either side. Which (query block, cell, point block) have work is settled on ids
+before any vector moves: a point travels to the query blocks that need it and to
+no others. One task multiplies one query block with one point block and keeps k
+rows per query: no pair list is ever built.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,8 +27,8 @@ from memograph.functions.text import let
 from memograph.plans.bounded import broadcast_if_small
 from memograph.session import cut_lineage
 
-MAX_PIVOTS = 256
 SLACK = 1e-6
+ROUNDED = 1e-9  # cosines are kept to 9 decimals
 
 
 def _directions(vector: Column, zero_at: int) -> Column:
@@ -107,71 +113,86 @@ def knn_join(
 def _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_schema, id_type, q_type) -> DataFrame:
     """Best k representatives per query over all cells the triangle inequality leaves in play."""
     p_reps, q_reps = cut_lineage(p_reps), cut_lineage(q_reps)
-    # Pivots are at most MAX_PIVOTS vectors, by hash of their id: a fixed, small driver-side array.
-    wanted = pivots if pivots is not None else min(MAX_PIVOTS, 2 * -(-largest // block))
+    # Pivots are chosen by hash of their id; the driver holds the square root of the largest group.
+    wanted = pivots if pivots is not None else math.isqrt(largest or 0) + 1
     table = None
     if largest > block and wanted > 1:
         chosen = p_reps.select("_v", F.xxhash64("_rep").alias("_h")).orderBy("_h").limit(wanted).collect()
         table = np.array([r["_v"] for r in chosen], dtype=np.float64)
-    columns_q = q_reps.select("_g", F.col("_rep").alias("_q"), "_v").join(sizes, "_g")
-    columns_p = p_reps.select("_g", "_rep", "_v").join(sizes, "_g")
-    placed_schema = f"_g long, _rep {id_type}, _v array<double>, _points long, _queries long, _cell int, _away double"
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if table is None or b.empty:
-                b["_cell"], b["_away"] = 0, 2.0
-            else:
-                away = _to_pivots(_matrix(b["_v"]), table)
-                cell = away.argmin(axis=1)
-                big = (b["_points"] > block).to_numpy()
-                b["_cell"] = np.where(big, cell, 0).astype("int32")
-                b["_away"] = np.where(big, away[np.arange(len(b)), cell], 2.0)
-            yield b[["_g", "_rep", "_v", "_points", "_queries", "_cell", "_away"]]
-
-    placed = cut_lineage(columns_p.mapInPandas(place, placed_schema))
-    cells = placed.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_away").alias("r"))
-    # At most MAX_PIVOTS cells per group, so the list below is bounded.
-    maps = cells.groupBy("_g").agg(F.collect_list(F.struct("_cell", "n", "r")).alias("_cells"))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if b.empty:
-                continue
-            vectors = _matrix(b["_v"])
-            away = None if table is None else _to_pivots(vectors, table)
-            lists = []
-            for i, listed in enumerate(b["_cells"]):
-                cell = np.array([c["_cell"] for c in listed])
-                if away is None or len(cell) == 1:
-                    lists.append(cell.tolist())
-                    continue
-                n = np.array([c["n"] for c in listed])
-                r = np.array([c["r"] for c in listed])
-                d = away[i, cell]
-                near = np.argsort(d + r)
-                enough = int(np.searchsorted(np.cumsum(n[near]), k))
-                limit = (d + r)[near[min(enough, len(near) - 1)]] + SLACK
-                lists.append(cell[d - r <= limit].tolist())
-            out = b[["_g", "_q", "_v", "_queries"]].copy()
-            out["_visits"] = lists
-            yield out
-
-    visits = columns_q.join(maps, "_g").select("_g", "_q", "_v", "_queries", "_cells").mapInPandas(
-        visit, f"_g long, _q {q_type}, _v array<double>, _queries long, _visits array<int>")
-    blocks = cells.select("_g", "_cell", F.ceil(F.col("n") / block).alias("_pb"))
-    q_block = F.pmod(F.xxhash64("_q"), F.ceil(F.col("_queries") / block)).cast("int")
-    asked = visits.select("_g", "_q", "_v", q_block.alias("_qb"), F.explode("_visits").alias("_cell")).join(
-        blocks, ["_g", "_cell"]).select(
-        "_g", "_q", "_v", "_qb", "_cell", F.explode(F.sequence(F.lit(0), (F.col("_pb") - 1).cast("int"))).alias("_pb"))
-    held = placed.join(blocks, ["_g", "_cell"]).select(
-        "_g", "_rep", "_v", "_cell", F.pmod(F.xxhash64("_rep"), F.col("_pb")).cast("int").alias("_pb"),
-        F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_queries") / block) - 1).cast("int"))).alias("_qb"))
-
-    place_keys = ["_g", "_cell", "_pb", "_qb"]
-    partial = asked.groupBy(*place_keys).cogroup(held.groupBy(*place_keys)).applyInPandas(multiply, partial_schema)
+
+    def placed(side: DataFrame, id_column: str, id_kind: str) -> DataFrame:
+        """Each vector with its nearest pivot's cell and the distance to it; groups of one block have one cell."""
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if table is None or b.empty:
+                    b["_cell"], b["_away"] = 0, 2.0
+                else:
+                    away = _to_pivots(_matrix(b["_v"]), table)
+                    cell = away.argmin(axis=1)
+                    big = (b["_points"] > block).to_numpy()
+                    b["_cell"] = np.where(big, cell, 0).astype("int32")
+                    b["_away"] = np.where(big, away[np.arange(len(b)), cell], 2.0)
+                yield b[["_g", id_column, "_v", "_cell", "_away"]]
+
+        rows = side.select("_g", F.col("_rep").alias(id_column), "_v").join(sizes.select("_g", "_points"), "_g")
+        return cut_lineage(rows.mapInPandas(place, f"_g long, {id_column} {id_kind}, _v array<double>, _cell int, _away double"))
+
+    points, queries = placed(p_reps, "_rep", id_type), placed(q_reps, "_q", q_type)
+    cells = cut_lineage(points.groupBy("_g", "_cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_away").alias("r")).withColumn("_pbs", F.ceil(F.col("n") / block).cast("int")))
+    # A query block holds queries of one cell of one group.
+    crowds = queries.groupBy("_g", F.col("_cell").alias("_home")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qbs"))
+    queries = cut_lineage(queries.withColumnRenamed("_cell", "_home").join(crowds, ["_g", "_home"]).select(
+        "_g", "_home", F.pmod(F.xxhash64("_q"), F.col("_qbs")).cast("int").alias("_qb"), "_q", "_v"))
+    work = ["_g", "_home", "_qb", "_cell", "_pb"]
+
+    def search(visits: DataFrame) -> DataFrame:
+        """Partial results of (_g, _home, _qb, _q, _cell, _pbs) rows; a point goes where some query of the block needs it."""
+        def spread(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_pbs") - 1))).drop("_pbs")
+
+        triples = cut_lineage(visits.select("_g", "_home", "_qb", "_cell", "_pbs").distinct())
+        block_of = F.pmod(F.xxhash64("_rep"), F.col("_pbs")).cast("int")
+        held = points.select("_g", "_cell", "_rep", "_v").join(triples, ["_g", "_cell"]).withColumn("_pb", block_of)
+        asked = spread(visits).join(queries.select("_g", "_q", "_v"), ["_g", "_q"])
+        return cut_lineage(asked.select(*work, "_q", "_v").groupBy(*work).cogroup(
+            held.select(*work, "_rep", "_v").groupBy(*work)).applyInPandas(multiply, partial_schema))
+
+    asked = queries.drop("_v")
+    own = search(asked.withColumn("_cell", F.col("_home")).join(cells.select("_g", "_cell", "_pbs"), ["_g", "_cell"]))
     best = Window.partitionBy("_g", "_q").orderBy(F.desc("_cos"), F.asc("_rep"))
-    return partial.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+    own = own.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
+    if table is None:
+        return own.drop("_n")
+    own = cut_lineage(own)
+    reach = own.filter(F.col("_n") == k).select("_g", "_q", F.col("_cos").alias("_kth"))
+    # One row per query block and group: the cells of the group, as many as there are pivots at most.
+    maps = cells.groupBy("_g").agg(F.collect_list(F.struct("_cell", "n", "r", "_pbs")).alias("_cells")).join(
+        cut_lineage(queries.select("_g", "_home", "_qb").distinct()), "_g")
+
+    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        listed = right["_cells"].iloc[0] if len(right) else []
+        cell, n, pbs = (np.array([c[f] for c in listed], dtype="int64") for f in ("_cell", "n", "_pbs"))
+        r = np.array([c["r"] for c in listed], dtype="float64")
+        rows, at = np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64")
+        if len(left) and len(cell) > 1:
+            away = _to_pivots(_matrix(left["_v"]), table)[:, cell]
+            near = np.argsort(away + r, axis=1)
+            enough = np.minimum((np.cumsum(n[near], axis=1) < k).sum(axis=1), len(cell) - 1)
+            limit = np.take_along_axis(away + r, near[np.arange(len(left)), enough][:, None], axis=1)[:, 0]
+            kth = left["_kth"].to_numpy(dtype="float64")
+            limit = np.fmin(limit, np.sqrt(np.maximum(2.0 - 2.0 * (kth - ROUNDED), 0.0))) + SLACK
+            open_ = (away - r <= limit[:, None]) & (cell != left["_home"].to_numpy()[:, None])
+            rows, at = np.nonzero(open_)
+        out = left[["_g", "_home", "_qb", "_q"]].iloc[rows].reset_index(drop=True) if len(left) else pd.DataFrame(
+            {c: np.array([], dtype="int64") for c in ("_g", "_home", "_qb")} | {"_q": np.array([], dtype=object)})
+        return out.assign(_cell=cell[at].astype("int32"), _pbs=pbs[at].astype("int32"))
+
+    block_keys = ["_g", "_home", "_qb"]
+    visits = cut_lineage(queries.join(reach, ["_g", "_q"], "left").groupBy(*block_keys).cogroup(maps.groupBy(*block_keys)).applyInPandas(
+        visit, f"_g long, _home int, _qb int, _q {q_type}, _cell int, _pbs int"))
+    both = own.drop("_n").unionByName(search(visits))
+    return both.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
 def _expand(reps, p_ids, q_rows, q_reps, k, keys, query_id, point_id) -> DataFrame:
