@@ -9,28 +9,52 @@ from pyspark.sql import functions as F
 
 from memograph.plans.bounded import is_small
 
+WINDOW = 1000
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of up to three characters of a text, and the empty one."""
-    n = F.length(text)
+
+def grams(rows: DataFrame, text: Column, columns: Sequence[str | Column]) -> DataFrame:
+    """The columns with _gram, a row for each distinct run of up to three characters of the text, and the empty one.
+
+    Long texts are cut into overlapping windows first, because finding a place in a text
+    takes time in proportion to it.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)), F.lit(WINDOW))
+    windows = rows.select(*columns, text.alias("_text")).withColumn(
+        "_window", F.explode(F.transform(starts, lambda at: F.substring(F.col("_text"), at, F.lit(WINDOW + 2))))).drop("_text")
+    n = F.length("_window")
 
     def of(size: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
-        return F.when(n >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda at: F.substring(F.col("_window"), at, F.lit(size)))
+        return F.when(n >= size, runs).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(F.array(F.lit("")), of(1), of(2), of(3))
+    every = F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+    return windows.withColumn("_gram", F.explode(every)).drop("_window").distinct()
 
 
 def containing(texts: DataFrame, text: Column, needles: DataFrame, needle: Column, keys: Sequence[str], small: bool | None = None) -> DataFrame:
     """Rows of texts with each row of needles, of the same keys, whose needle they contain.
 
     A table of needles that is measured small is broadcast and the texts are scanned in
-    place. Beyond that both sides meet on the keys and the needle's first three characters,
-    which every text that contains it holds, and the whole needle is tested then. Column
-    names other than the keys must differ.
+    place. Beyond that each needle is looked up by one of its runs of three characters (the
+    whole needle if it is shorter), the one that the fewest texts hold. What travels for it
+    is a hash of each text with its runs, of those runs only that needles have; a text itself
+    moves once, to the needles that its hash was found for, and the whole needle is tested
+    there. Column names other than the keys must differ. Null texts and needles match nothing.
     """
     if is_small(needles) if small is None else small:
         return texts.join(F.broadcast(needles), list(keys)).filter(F.contains(text, needle))
-    held = texts.withColumn("_text", text).withColumn("_gram", F.explode(_grams(F.col("_text"))))
-    wanted = needles.withColumn("_needle", needle).withColumn("_gram", F.substring("_needle", 1, 3))
-    return held.join(wanted, [*keys, "_gram"]).filter(F.contains("_text", F.col("_needle"))).drop("_text", "_needle", "_gram")
+    keys = list(keys)
+    mark = F.xxhash64(text).alias("_mark")
+    wanted = needles.select(*keys, needle.alias("_needle")).filter("_needle IS NOT NULL").distinct()
+    n = F.length("_needle")
+    own = F.when(n < 3, F.array("_needle")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda at: F.substring(F.col("_needle"), at, F.lit(3))))
+    spelt = wanted.select(*keys, "_needle", F.explode(F.array_distinct(own)).alias("_gram"))
+    held = grams(texts.filter(text.isNotNull()), text, [*keys, mark]).join(spelt.select(*keys, "_gram").distinct(), [*keys, "_gram"], "left_semi")
+    counted = held.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A needle with a run that no text holds occurs nowhere.
+    rarest = spelt.join(counted, [*keys, "_gram"], "left").groupBy(*keys, "_needle").agg(
+        F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_absent")).filter("_absent = 0")
+    found = held.join(rarest.select(*keys, "_needle", "_gram"), [*keys, "_gram"]).select(*keys, "_mark", "_needle")
+    met = texts.withColumns({"_mark": mark, "_text": text}).join(found, [*keys, "_mark"]).filter(F.contains("_text", F.col("_needle"))).drop("_mark", "_text")
+    return met.join(needles.withColumn("_needle", needle), [*keys, "_needle"]).drop("_needle")
