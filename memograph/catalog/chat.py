@@ -50,6 +50,24 @@ def day_documents(spark, sf_dir):
         F.array_join("participants", ",").alias("participants"))
 
 
+@query("day_sections", with_ctes(CHAT, RESOLVED, """
+dated AS (SELECT *, strftime(make_timestamp(sec * 1000000), '%Y-%m-%d') AS day FROM written WHERE thread_ts IS NULL),
+placed AS (SELECT *, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY channel_id, day ORDER BY sec
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS cut FROM dated),
+parts AS (SELECT channel_id, channel_name, day, cut, string_agg(line, chr(10) ORDER BY sec) AS body, min(sec) AS first FROM placed GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY channel_id, day ORDER BY cut) AS section FROM parts)
+""", body="""
+SELECT 'slack_chat_' || channel_id || '_' || day || CASE WHEN section > 1 THEN '#' || section ELSE '' END AS id,
+  md5('Slack messages in #' || channel_name || ' on ' || day || ':' || chr(10) || chr(10) || body) AS content_md5, first * 1000000 + 100 AS created_us,
+  (SELECT count(*) FROM dated d WHERE d.channel_id = n.channel_id AND d.day = n.day) AS message_count
+FROM numbered n"""))
+def day_sections(spark, sf_dir):
+    """Day documents in sections of 2,000 bytes: busy days far above the bound come in many."""
+    _, loose = chat.route(chat.resolve(A.chat_messages(spark, sf_dir), A.chat_users(spark, sf_dir)))
+    return chat.day_documents(loose, section_bytes=2000).select(
+        "id", F.md5("content").alias("content_md5"), us("created_time", "created_us"), "message_count")
+
+
 @query("channel_scope", with_ctes(CHAT, body="""
 SELECT channel_id, ts FROM messages WHERE channel_id IN ('C1', 'C3') OR channel_name = 'chan_5'
   AND make_timestamp(sec * 1000000 + 100) >= TIMESTAMP '2024-01-01 00:00:00'"""))

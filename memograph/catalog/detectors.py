@@ -28,6 +28,15 @@ def incident_frequency(spark, sf_dir):
     return patterns.frequency_breakdown(patterns.incident_frequencies(events, A.event_entity_refs(events)))
 
 
+@query("ranked_frequencies", with_ctes(OP_EVENTS, EVENT_REFS, FREQUENCIES, body="""
+SELECT workspace_id, name, type, CAST(sum(n) AS BIGINT) AS incident_count,
+  row_number() OVER (ORDER BY sum(n) DESC, workspace_id, name, type) AS rank FROM freq GROUP BY workspace_id, name, type"""))
+def ranked_frequencies(spark, sf_dir):
+    events = A.op_events(spark, sf_dir)
+    counted = patterns.frequency_breakdown(patterns.incident_frequencies(events, A.event_entity_refs(events)))
+    return patterns.ranked_frequencies(counted).drop("breakdown")
+
+
 @query("deployment_incidents", with_ctes(OP_EVENTS, DEPLOYMENTS, body=f"""
 SELECT d.workspace_id, d.event_id AS deployment_id, i.event_id AS incident_id, i.event_type, i.severity,
   (i.us - d.us) / 1000000.0::DOUBLE AS delay_seconds,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memograph import adapters as A
 from memograph.catalog.base import EVENT_REFS, OP_EVENTS, joined, query, us, with_ctes
 from memograph.operators import timeline, upsert
+from memograph.session import cut_lineage
 
 DURATION = """CASE WHEN d < 60 THEN CAST(floor(d) AS BIGINT) || 's'
   WHEN d < 3600 THEN CAST(floor(d / 60) AS BIGINT) || 'm'
@@ -152,3 +153,66 @@ def event_upsert(spark, sf_dir):
     merged = upsert.upsert_events(A.op_events(spark, sf_dir), tolerance_us=3_600_000_000)
     return merged.select("workspace_id", "event_type", "event_id", us("ts", "ts_us"), "description", "severity",
                          "confidence", "merged_rows")
+
+
+NAMED = """
+parted AS (SELECT o.*, t.k FROM op_events o JOIN typed_events t ON o.event_id = 'event_' || t.event_id),
+named AS (
+  SELECT workspace_id, 'Daily ' || event_type AS title, event_type, event_id, us, confidence, 'part' || (k % 3) AS name, k::VARCHAR AS value FROM parted
+  UNION ALL SELECT workspace_id, 'Daily ' || event_type, event_type, event_id, us, confidence, 'by', '"' || event_id || '"' FROM parted WHERE k % 2 = 0),
+newest AS (SELECT workspace_id, event_type, {by} AS part, name, arg_max(value, (us, event_id)) AS value FROM named GROUP BY ALL),
+merged AS (SELECT workspace_id, event_type, part, '{{' || string_agg('"' || name || '":' || value, ',' ORDER BY name) || '}}' AS metadata FROM newest GROUP BY ALL)
+"""
+
+
+def with_names(spark, sf_dir):
+    """Events of one title a type, with metadata whose names differ from row to row and clash in some."""
+    raw = A.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("event_"), "event_id").alias("event_id"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    own = F.concat(F.lit('"part'), F.col("k") % 3, F.lit('":'), F.col("k"))
+    by = F.when(F.col("k") % 2 == 0, F.concat(F.lit(',"by":"'), "event_id", F.lit('"'))).otherwise("")
+    return A.op_events(spark, sf_dir).drop("metadata").join(raw, "event_id").withColumns({
+        "title": F.concat(F.lit("Daily "), "event_type"), "metadata": F.concat(F.lit("{"), own, by, F.lit("}"))})
+
+
+@query("event_metadata", with_ctes(OP_EVENTS, NAMED.format(by="us // 86400000000"), body="""
+SELECT workspace_id, event_type, part AS day, metadata FROM merged"""))
+def event_metadata(spark, sf_dir):
+    """Events of a type and day upserted: the sessions are cut by the day, so each merges a whole day."""
+    rows = with_names(spark, sf_dir)
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("long")
+    return upsert.merged_metadata(rows.withColumn("day", day), ["workspace_id", "event_type", "day"], "metadata", F.struct(F.unix_micros("ts"), F.col("event_id")))
+
+
+@query("insight_metadata", with_ctes(OP_EVENTS, NAMED.format(by="title"), body="""
+SELECT workspace_id, event_type AS insight_type, arg_max(event_id, (us, event_id)) AS insight_id, max(confidence) AS confidence, any_value(m.metadata) AS metadata
+FROM named n JOIN merged m USING (workspace_id, event_type) GROUP BY ALL"""))
+def insight_metadata(spark, sf_dir):
+    rows = with_names(spark, sf_dir).select(
+        "workspace_id", F.col("event_type").alias("insight_type"), "title", F.col("event_id").alias("insight_id"), F.col("ts").alias("generated_at"),
+        "confidence", "metadata")
+    return upsert.upsert_insights(rows).select("workspace_id", "insight_type", "insight_id", "confidence", "metadata")
+
+
+@query("ranked_clusters", with_ctes(OP_EVENTS, SESSIONS, body="""
+SELECT workspace_id, cluster_id, event_count, start_us,
+  row_number() OVER (ORDER BY event_count DESC, start_us, workspace_id, cluster_id) AS rank FROM clusters"""))
+def ranked_clusters(spark, sf_dir):
+    return timeline.ranked_clusters(timeline.temporal_clusters(A.op_events(spark, sf_dir))).select(
+        "workspace_id", "cluster_id", "event_count", "start_us", "rank")
+
+
+@query("timeline_entity_page", with_ctes(OP_EVENTS, EVENT_REFS, """
+asked AS (SELECT DISTINCT workspace_id || '/' || name AS query_id, workspace_id, name AS entity FROM refs WHERE type = 'system')
+""", body="""
+SELECT query_id, event_id, row_number() OVER (PARTITION BY query_id ORDER BY us DESC, event_id) AS rank
+FROM asked a JOIN op_events o USING (workspace_id)
+WHERE EXISTS (SELECT 1 FROM refs r WHERE r.workspace_id = o.workspace_id AND r.chunk_id = o.chunk_id AND r.name = a.entity)
+QUALIFY rank <= 3"""))
+def timeline_entity_page(spark, sf_dir):
+    """Each workspace and service: about one event in twenty mentions it, so most of what is fetched is rejected."""
+    events = A.op_events(spark, sf_dir)
+    refs = cut_lineage(A.event_entity_refs(events))
+    asked = refs.filter("type = 'system'").select(
+        F.concat("workspace_id", F.lit("/"), "name").alias("query_id"), "workspace_id", F.col("name").alias("entity"), F.lit(3).alias("page_limit")).distinct()
+    return timeline.entity_page(events, refs, asked).select("query_id", "event_id", "rank")

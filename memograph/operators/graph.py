@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memograph.plans import ranking
 from memograph.plans.substring import containing
 from memograph.session import cut_lineage
 
@@ -149,5 +148,6 @@ def top_neighbours(neighbours: DataFrame, limit: int = 10) -> DataFrame:
     return neighbours.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def page(rows: DataFrame, order: Sequence[str | Column], limit: int, offset: int = 0) -> DataFrame:
-    return rows.orderBy(*order).offset(offset).limit(limit)
+def page(entities: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Entities by name, ties by id: the `limit` after the first `offset`, with their places."""
+    return ranking.page(entities, [F.col("name"), F.col("entity_id")], limit, offset, "place")

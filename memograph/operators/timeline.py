@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from memograph.functions import text
 from memograph.plans import timescan
+from memograph.plans.late import first_passing
+from memograph.plans.ranking import with_rank
 from memograph.plans.timescan import micros
 
 WS = ["workspace_id"]
@@ -100,6 +102,27 @@ def timeline(events: DataFrame, refs: DataFrame, limit: int) -> DataFrame:
     return out.join(named, ["workspace_id", "chunk_id"], "left")
 
 
+def entity_page(events: DataFrame, refs: DataFrame, questions: DataFrame) -> DataFrame:
+    """The newest events of each question's workspace that mention its entity, up to its limit.
+
+    questions: query_id, workspace_id, entity, page_limit. Events are fetched newest first, twice the
+    limit at a time, and only the fetched ones are looked up in the mentions; a question whose
+    page is not full fetches on until it is, or its workspace has no more. Events without a
+    time come last.
+    """
+    def mentioned(fetched: DataFrame) -> DataFrame:
+        named = refs.select("workspace_id", "chunk_id", F.col("name").alias("entity")).distinct()
+        return fetched.join(named, ["workspace_id", "chunk_id", "entity"], "left_semi")
+
+    newest = [-F.coalesce(micros("ts"), F.lit(-(1 << 62))), F.col("event_id")]
+    return first_passing(events, questions, WS, "query_id", newest, "page_limit", mentioned)
+
+
+def ranked_clusters(clusters: DataFrame) -> DataFrame:
+    """Clusters with their place by size over all workspaces, the largest first; ties by start, workspace and number."""
+    return with_rank(clusters, [F.desc("event_count"), F.col("start_us"), F.col("workspace_id"), F.col("cluster_id")])
+
+
 def temporal_clusters(events: DataFrame, gap_us: int = HOURS_2) -> DataFrame:
     """Runs of events at most a gap apart, numbered per workspace; single events are not clusters."""
     cells = timescan.session_cells(events, WS, "ts", gap_us)

@@ -6,6 +6,8 @@ All of them combine map-side, so a hot key costs one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +38,40 @@ def insert_missing(current: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return current.unionByName(keep_by(fresh, keys, order, newest=False))
 
 
+def merged_metadata(rows: DataFrame, keys: Sequence[str], metadata: str, order: Column) -> DataFrame:
+    """(keys, metadata): the JSON objects of a group as one, the last row by `order` winning each name.
+
+    Objects are taken apart into one row per name, so a group never meets in a list: per
+    (group, name) one value is kept, map-side first, and only the names of a group, each
+    once, come together. Values keep their JSON types; names are sorted. Text that is no
+    object counts as empty, and a group without names has no row. Keys match null-safely
+    through grouping alone.
+    """
+    named = rows.select(*keys, order.alias("_order"), F.explode(F.from_json(metadata, "map<string,variant>")).alias("_name", "_value"))
+    # Equal times are settled by the value itself.
+    value = F.to_json("_value")
+    newest = named.groupBy(*keys, "_name").agg(F.max_by(value, F.struct("_order", value)).alias("_value"))
+    entries = F.array_sort(F.collect_list(F.struct("_name", "_value")))
+    typed = F.transform(entries, lambda e: F.struct(e["_name"], F.parse_json(e["_value"])))
+    return newest.groupBy(*keys).agg(F.to_json(F.map_from_entries(typed)).alias("metadata"))
+
+
+def with_metadata(merged: DataFrame, rows: DataFrame, keys: Sequence[str], metadata: str, order: Column) -> DataFrame:
+    """Merged rows with the metadata of all rows of their keys; an empty object where there is none."""
+    found = merged_metadata(rows, keys, metadata, order)
+    found = found.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("metadata").alias("_merged"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)])
+    return merged.drop("metadata").join(found, same, "left").withColumn("metadata", F.coalesce("_merged", F.lit("{}"))).drop(
+        "_merged", *[f"_k{n}" for n in range(len(keys))])
+
+
 def upsert_events(events: DataFrame, tolerance_us: int = MINUTES_5) -> DataFrame:
     """Merge events of equal title, type and workspace that follow each other within the tolerance.
 
     The earliest row gives id and time, gaps in description and severity are
-    filled from later rows, confidence is the maximum. Rows without a time join
-    the earliest group of their key.
+    filled from later rows, confidence is the maximum, and metadata are merged,
+    later rows winning a name. Rows without a time join the earliest group of
+    their key and count as its latest.
     """
     keyed = events.withColumn("title_key", F.lower(F.trim("title")))
     keys = ["workspace_id", "event_type", "title_key"]
@@ -50,7 +80,7 @@ def upsert_events(events: DataFrame, tolerance_us: int = MINUTES_5) -> DataFrame
     untimed = keyed.filter(F.col("ts").isNull()).withColumn("session_no", F.lit(1).cast("long"))
     numbered = timed.unionByName(untimed.select(*timed.columns))
     order = F.struct(F.coalesce(micros("ts"), F.lit(1 << 62)), "event_id")
-    return numbered.groupBy(*keys, "session_no").agg(
+    merged = numbered.groupBy(*keys, "session_no").agg(
         F.min_by("event_id", order).alias("event_id"),
         F.min_by("title", order).alias("title"),
         F.min("ts").alias("ts"),
@@ -58,9 +88,9 @@ def upsert_events(events: DataFrame, tolerance_us: int = MINUTES_5) -> DataFrame
         F.min_by("severity", F.when(F.col("severity").isNotNull(), order)).alias("severity"),
         F.max("confidence").alias("confidence"),
         F.min_by("chunk_id", order).alias("chunk_id"),
-        F.max_by("metadata", F.when(F.col("metadata") != "{}", order)).alias("metadata"),
         F.count(F.lit(1)).alias("merged_rows"),
     )
+    return with_metadata(merged, numbered, [*keys, "session_no"], "metadata", order)
 
 
 def upsert_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,16 +118,18 @@ def upsert_event_edges(edges: DataFrame) -> DataFrame:
 
 
 def upsert_insights(insights: DataFrame) -> DataFrame:
-    """Newest insight per lower-cased title, type and workspace, with the maximum confidence."""
+    """Newest insight per lower-cased title, type and workspace, with the maximum confidence.
+
+    A metadata column, if there is one, is merged over all rows of a key, the newest winning a name.
+    """
     payload = F.struct(*[c for c in insights.columns if c not in ("workspace_id", "insight_type", "confidence")])
-    return (
-        insights.groupBy("workspace_id", "insight_type", F.lower(F.trim("title")).alias("title_key"))
-        .agg(
-            F.max_by(payload, F.struct("generated_at", "insight_id")).alias("p"),
-            F.max("confidence").alias("confidence"),
-        )
-        .select("workspace_id", "insight_type", "confidence", "p.*")
-    )
+    keys, order = ["workspace_id", "insight_type", "title_key"], F.struct("generated_at", "insight_id")
+    keyed = insights.withColumn("title_key", F.lower(F.trim("title")))
+    merged = keyed.groupBy(*keys).agg(F.max_by(payload, order).alias("p"), F.max("confidence").alias("confidence")).select(
+        *keys, "confidence", "p.*")
+    if "metadata" in insights.columns:
+        merged = with_metadata(merged, keyed, keys, "metadata", order)
+    return merged.drop("title_key")
 
 
 def entity_refs(mentions: DataFrame) -> DataFrame:

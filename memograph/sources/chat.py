@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memograph.plans.ranking import with_running_total
+
+SECTION_BYTES = 1 << 20
 # How the export marks a user in a text.
 MENTION = r"<@(U[A-Z0-9]+)>"
 
@@ -67,30 +72,42 @@ def route(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return threads, loose
 
 
-def _assemble(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lines in time order, first and last time, sorted participants and the size of each group.
+def _assemble(messages: DataFrame, keys: Sequence[str], section_bytes: int) -> DataFrame:
+    """Sections of each group with their lines in time order, and what holds for the whole group.
 
-    One group is one document, so its rows meet in one task by definition; the
-    order is fixed inside the row.
+    Prefix sums of the lines' bytes cut a group where a section has `section_bytes`, so no
+    list is longer than that and one line, however busy the group. Groups below the bound
+    are one section.
     """
     when = stamp(F.col("ts"))
     line = F.concat("user_name", F.lit(" ["), F.date_format(when, "HH:mm:ss"), F.lit("]: "), "clean_text")
-    return messages.groupBy(*keys, "channel_name").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(when.alias("at"), "ts", line.alias("line")))), lambda m: m["line"]), "\n"
-        ).alias("body"),
-        F.min(when).alias("created_time"), F.max(when).alias("last_edited_time"),
+    group = [*keys, "channel_name"]
+    lines = messages.select(*group, when.alias("at"), "ts", "user", "user_name", line.alias("line"))
+    # Lines that are alike in all of these are interchangeable.
+    placed = with_running_total(lines, group, [F.col("at"), F.col("ts"), F.col("line")], F.octet_length("line") + 1)
+    sections = placed.groupBy(*group, F.floor(F.col("before") / section_bytes).alias("section")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "ts", "line"))), lambda m: m["line"]), "\n").alias("body"),
+        F.min("at").alias("created_time"), F.max("at").alias("last_edited_time"))
+    # A long line may leave numbers out: sections are counted as they are.
+    numbered = Window.partitionBy(*group).orderBy("section")
+    sections = sections.withColumn("section", F.row_number().over(numbered) - 1)
+    whole = lines.groupBy(*group).agg(
         F.array_sort(F.collect_set("user_name")).alias("participants"), F.count(F.lit(1)).alias("n"),
-        F.min_by(F.when(F.col("user").isNull(), "System").otherwise(F.col("user_name")), F.struct(when, "ts")).alias("starter"),
-    )
+        F.min_by(F.when(F.col("user").isNull(), "System").otherwise(F.col("user_name")), F.struct("at", "ts")).alias("starter"))
+    same = reduce(and_, [sections[c].eqNullSafe(whole[c]) for c in group])
+    return sections.join(whole, same).select(*[sections[c] for c in sections.columns], "participants", "n", "starter")
+
+
+def _part(section: Column) -> Column:
+    return F.when(section > 0, F.concat(F.lit("#"), section + 1)).otherwise("")
 
 
-def thread_documents(threads: DataFrame) -> DataFrame:
-    """One document per thread."""
-    t = _assemble(threads, ["channel_id", "thread_key"])
+def thread_documents(threads: DataFrame, section_bytes: int = SECTION_BYTES) -> DataFrame:
+    """One document per thread, and one more for each further section of a thread beyond the bound."""
+    t = _assemble(threads, ["channel_id", "thread_key"], section_bytes)
     # Id, path and title formats.
     return t.select(
-        F.concat(F.lit("slack_thread_"), "channel_id", F.lit("_"), "thread_key").alias("id"), F.lit("slack").alias("source"),
+        F.concat(F.lit("slack_thread_"), "channel_id", F.lit("_"), "thread_key", _part(F.col("section"))).alias("id"), F.lit("slack").alias("source"),
         F.concat("channel_id", F.lit(":"), "thread_key").alias("source_id"), F.col("channel_id").alias("parent_id"),
         F.concat(F.lit("/Slack/"), "channel_name", F.lit("/Thread_"), "thread_key").alias("path"),
         F.concat(F.lit("Slack Thread: "), "starter", F.lit(" in #"), "channel_name").alias("title"),
@@ -102,13 +119,13 @@ def thread_documents(threads: DataFrame) -> DataFrame:
     )
 
 
-def day_documents(loose: DataFrame) -> DataFrame:
-    """One document per channel and day of messages outside threads."""
+def day_documents(loose: DataFrame, section_bytes: int = SECTION_BYTES) -> DataFrame:
+    """One document per channel and day of messages outside threads, and one more for each further section."""
     dated = loose.withColumn("day", F.date_format(stamp(F.col("ts")), "yyyy-MM-dd"))
-    d = _assemble(dated, ["channel_id", "day"])
+    d = _assemble(dated, ["channel_id", "day"], section_bytes)
     # Id, path, title and header formats.
     return d.select(
-        F.concat(F.lit("slack_chat_"), "channel_id", F.lit("_"), "day").alias("id"), F.lit("slack").alias("source"),
+        F.concat(F.lit("slack_chat_"), "channel_id", F.lit("_"), "day", _part(F.col("section"))).alias("id"), F.lit("slack").alias("source"),
         F.concat("channel_id", F.lit(":"), "day").alias("source_id"), F.col("channel_id").alias("parent_id"),
         F.concat(F.lit("/Slack/"), "channel_name", F.lit("/"), "day").alias("path"),
         F.concat(F.lit("Slack Chat: #"), "channel_name", F.lit(" ("), "day", F.lit(")")).alias("title"),
@@ -121,7 +138,7 @@ def day_documents(loose: DataFrame) -> DataFrame:
     )
 
 
-def documents(messages: DataFrame, users: DataFrame) -> DataFrame:
+def documents(messages: DataFrame, users: DataFrame, section_bytes: int = SECTION_BYTES) -> DataFrame:
     """Thread and day documents of an export."""
     threads, loose = route(resolve(messages, users))
-    return thread_documents(threads).drop("reply_count").unionByName(day_documents(loose).drop("message_count"))
+    return thread_documents(threads, section_bytes).drop("reply_count").unionByName(day_documents(loose, section_bytes).drop("message_count"))
