@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memograph import adapters as A
 from memograph.catalog.base import query, with_ctes
-from memograph.operators import entities, graph, resolution, upsert
+from memograph.operators import entities, graph, graphbuild, resolution, upsert
 
 NODES = """
 nodes AS (
@@ -73,6 +73,12 @@ def found_entities(spark, sf_dir):
     return graph.find_entities(nodes(spark, sf_dir), contains="Nation_1", kind="team").select("entity_id", "name")
 
 
+@query("entity_page", with_ctes(NODES, body="""
+SELECT entity_id, name, row_number() OVER (ORDER BY name, entity_id) AS place FROM nodes QUALIFY place BETWEEN 36 AND 85"""))
+def entity_page(spark, sf_dir):
+    return graph.page(nodes(spark, sf_dir), limit=50, offset=35).select("entity_id", "name", "place")
+
+
 @query("filtered_edges", with_ctes(NODES, body="""
 SELECT edge_id FROM edges WHERE relationship_type = 'part_of'
   AND (target_id IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1)
@@ -311,3 +317,67 @@ def graph_build(spark, sf_dir):
     counts = refs.groupBy("entity_id").agg(F.count(F.lit(1)).alias("chunks"))
     return built.join(counts, "entity_id").select(
         "workspace_id", "type", "name", F.array_join("aliases", ",").alias("aliases"), "source_chunk_id", "chunks")
+
+
+def product_mentions(spark, sf_dir):
+    """Four spellings of each part, a token further apart each, and an edge from one to the next."""
+    part = A.table(spark, sf_dir, "part")
+    full = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    names = [F.upper(full), F.concat_ws("/", "p_name", "p_type", "p_brand"), F.concat(full, F.lit(" unit")), F.concat(F.lit("Old "), full, F.lit(" Unit"))]
+    rows = part.select("p_partkey", F.posexplode(F.array(*names)).alias("position", "name"))
+    mentions = rows.select(
+        F.lit("w").alias("workspace_id"), F.concat(F.lit("c"), F.floor(F.col("p_partkey") / 3)).alias("chunk_id"),
+        ((F.col("p_partkey") % 3) * 4 + F.col("position")).alias("position"), "name", F.lit("system").alias("type"), F.col("p_partkey").alias("seen_at"),
+        F.when(F.col("position") == 2, F.concat(F.lit("part "), "p_partkey")).alias("description"))
+    later = mentions.select("chunk_id", F.col("position").alias("next_at"), F.col("name").alias("target"))
+    edges = mentions.join(later, "chunk_id").filter("next_at = position + 1").select(
+        "workspace_id", "chunk_id", F.col("name").alias("source"), "target", F.lit("depends_on").alias("relationship_type"),
+        (F.lit(0.5) + F.col("position") / 100).alias("confidence"), F.lit(None).cast("string").alias("evidence"), "seen_at")
+    return mentions, edges
+
+
+PRODUCTS = """
+spelt AS (
+  SELECT 'c' || (p_partkey // 3) AS chunk, p_partkey AS seen, p_partkey % 3 * 4 + v AS position, CASE v
+      WHEN 0 THEN upper(p_name || ' ' || p_type || ' ' || p_brand) WHEN 1 THEN p_name || '/' || p_type || '/' || p_brand
+      WHEN 2 THEN p_name || ' ' || p_type || ' ' || p_brand || ' unit' ELSE 'Old ' || p_name || ' ' || p_type || ' ' || p_brand || ' Unit' END AS name,
+    CASE WHEN v = 2 THEN 'part ' || p_partkey END AS about
+  FROM part, (SELECT unnest(range(4)) AS v)),
+keyed AS (SELECT *, lower(name) AS key, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))), ' ') AS k FROM spelt),
+sets AS (SELECT DISTINCT k, string_split(k, ' ') AS t FROM keyed),
+pairs AS (SELECT a.k AS x, b.k AS y FROM sets a JOIN sets b ON a.k <> b.k AND abs(len(a.t) - len(b.t)) <= 1
+  WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE >= 0.8),
+reach AS (SELECT k AS a, k AS b FROM sets UNION SELECT a, y FROM reach JOIN pairs ON b = x),
+groups AS (SELECT a AS k, min(b) AS g FROM reach GROUP BY a),
+names AS (SELECT key, k, arg_min(name, (seen, name)) AS name, min(seen) AS seen FROM keyed GROUP BY key, k),
+heads AS (SELECT g, arg_min(name, (seen, key)) AS head, arg_min(key, (seen, key)) AS head_key, string_agg(name, '|' ORDER BY name) AS aliases
+  FROM names JOIN groups USING (k) GROUP BY g),
+told AS (SELECT g, arg_min(about, (seen, about)) FILTER (WHERE about IS NOT NULL) AS description, arg_min(chunk, (seen, chunk)) AS source_chunk_id,
+    count(DISTINCT chunk) AS chunks FROM keyed JOIN groups USING (k) GROUP BY g),
+steps AS (SELECT a.position, x.g AS s, y.g AS t FROM keyed a JOIN keyed b ON a.chunk = b.chunk AND b.position = a.position + 1
+  JOIN groups x ON x.k = a.k JOIN groups y ON y.k = b.k),
+links AS (SELECT s, t, max(0.5 + position / 100.0::DOUBLE) AS confidence, count(*) AS n FROM steps GROUP BY s, t)
+"""
+
+
+@query("graph_build_twice", "WITH RECURSIVE " + PRODUCTS + """
+SELECT 'node' AS part, head AS a, aliases AS b, description AS c, source_chunk_id AS d, chunks AS n, NULL::DOUBLE AS confidence FROM heads JOIN told USING (g)
+UNION ALL SELECT 'edge', x.head, y.head, NULL, NULL, n, confidence FROM links JOIN heads x ON x.g = s JOIN heads y ON y.g = t""")
+def graph_build_twice(spark, sf_dir):
+    """The graph of parts in two batches; spellings of one part fall into either, so the second joins groups of the first."""
+    mentions, edges = product_mentions(spark, sf_dir)
+    graph = None
+    for batch in (0, 1):
+        some = (F.col("seen_at") + F.col("position")) % 2 == batch
+        graph = graphbuild.extend(graph, mentions.filter(some), edges.filter(F.col("seen_at") % 2 == batch))
+    found, refs, links = graphbuild.tables(graph)
+    counts = refs.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    heads = found.select("entity_id", "name")
+    none = F.lit(None).cast("string")
+    points = found.join(counts, "entity_id").select(
+        F.lit("node").alias("part"), F.col("name").alias("a"), F.array_join("aliases", "|").alias("b"), F.col("description").alias("c"),
+        F.col("source_chunk_id").alias("d"), "n", F.lit(None).cast("double").alias("confidence"))
+    lines = links.join(heads.withColumnsRenamed({"entity_id": "source_id", "name": "a"}), "source_id").join(
+        heads.withColumnsRenamed({"entity_id": "target_id", "name": "b"}), "target_id").select(
+        F.lit("edge").alias("part"), "a", "b", none.alias("c"), none.alias("d"), F.col("merged_rows").alias("n"), "confidence")
+    return points.unionByName(lines)

@@ -9,6 +9,7 @@ from memograph import vocab
 from memograph.functions import scoring, text
 from memograph.plans import timescan
 from memograph.plans.rangejoin import follow_join
+from memograph.plans.ranking import with_rank
 from memograph.plans.timescan import micros
 
 WS = ["workspace_id"]
@@ -47,6 +48,11 @@ def frequency_breakdown(frequencies: DataFrame) -> DataFrame:
     )
 
 
+def ranked_frequencies(breakdown: DataFrame) -> DataFrame:
+    """Entities with their place by number of issues over all workspaces, the most first; ties by workspace, name and type."""
+    return with_rank(breakdown, [F.desc("incident_count"), F.col("workspace_id"), F.col("name"), F.col("type")])
+
+
 def deployment_incidents(events: DataFrame, minutes: float = 60.0) -> DataFrame:
     """Every issue within the threshold after a deployment of the same workspace."""
     deployments = events.filter(F.col("event_type") == "deployment").select(
@@ -94,16 +100,19 @@ def pattern_events(patterns: DataFrame, events: DataFrame, as_of: Column, days:
     return recent.join(keyed, ["workspace_id", "entity"]).select("workspace_id", "pattern_id", "event_id")
 
 
-def escalation_chains(events: DataFrame, minutes: int = 60) -> DataFrame:
-    """Issue or discussion events up to an hour after a deployment, with their joint entities."""
+def escalation_chains(events: DataFrame, minutes: int = 60, issues: DataFrame | None = None) -> DataFrame:
+    """Issue or discussion events up to an hour after a deployment, with their joint entities.
+
+    Deployments come from events, and so do the issues unless they are given.
+    """
     deployments = events.filter(F.col("event_type") == "deployment").select(
         "workspace_id", F.col("event_id").alias("deployment_id"), F.col("ts").alias("deployed_at"),
         F.col("title").alias("deployment_title"), F.col("entities").alias("deployment_entities"),
     )
-    issues = events.filter(F.col("event_type").isin(vocab.CHAIN_TYPES)).select(
+    later = (events if issues is None else issues).filter(F.col("event_type").isin(vocab.CHAIN_TYPES)).select(
         "workspace_id", "event_id", "ts", "title", "entities"
     )
-    pairs = follow_join(deployments, issues, WS, "deployed_at", "ts", minutes * MINUTE_US)
+    pairs = follow_join(deployments, later, WS, "deployed_at", "ts", minutes * MINUTE_US)
     joint = F.array_sort(text.without_generic(F.array_union("entities", "deployment_entities")))
     return pairs.select(
         "workspace_id",

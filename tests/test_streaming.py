@@ -73,7 +73,7 @@ def test_repeated_webhooks_count_once(spark, tmp_path):
 def test_ingest_is_repeatable(spark, tmp_path):
     docs = A.raw_documents(spark, SF)
     chunk_path, event_path = str(tmp_path / "chunks"), str(tmp_path / "events")
-    write = ingest.batch_writer(chunk_path, event_path)
+    write = ingest.batch_writer(chunk_path, event_path, A.as_of())
     write(docs, 0)
     first = spark.read.parquet(chunk_path).drop("seen_at").count(), spark.read.parquet(event_path).count()
     write(docs, 1)
@@ -90,7 +90,7 @@ def test_ingest_stream(spark, tmp_path):
     landed = str(tmp_path / "landed")
     docs.write.parquet(landed)
     source = spark.readStream.schema(docs.schema).parquet(landed)
-    query = ingest.ingest(source, str(tmp_path / "c"), str(tmp_path / "e"), str(tmp_path / "log")).trigger(availableNow=True).start()
+    query = ingest.ingest(source, str(tmp_path / "c"), str(tmp_path / "e"), str(tmp_path / "log"), A.as_of()).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "c")).count() > 0
 
