@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memograph import adapters as A
 from memograph.catalog.base import ASOF, OP_EVENTS, query, us, with_ctes
+from memograph.catalog.detectors import CHAINS, DEPLOYMENTS, RECURRING
 from memograph.catalog.documents import LEFT, RAW_DOCS, RIGHT, STANDARD
 from memograph.catalog.search import (
     CORRELATIONS, QUESTIONS, VECTORS, lite_events, questions, stored_chunks, stored_correlations,
@@ -160,19 +161,28 @@ def root_cause_links(spark, sf_dir):
     return found.select("query_id", "from_event", "to_event", "type", "score")
 
 
-@query("root_cause_confidence", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, TRACES, """
-per AS (SELECT query_id, count(*) AS n, avg(score) AS s FROM links GROUP BY 1)
+@query("root_cause_confidence", with_ctes(
+    RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, TRACES, OP_EVENTS, DEPLOYMENTS, RECURRING, CHAINS, """
+per AS (SELECT query_id, count(*) AS n, avg(score) AS s FROM links GROUP BY 1),
+known AS (SELECT workspace_id, pattern_id, lower(entities) AS csv FROM recurring_patterns
+  UNION ALL SELECT workspace_id, pattern_id, lower(array_to_string(ents, ',')) FROM chains),
+wanted_names AS (SELECT query_id, workspace_id, unnest(list_append(asked, 'Service_' || label)) AS e FROM questions),
+fitting AS (SELECT query_id, count(DISTINCT pattern_id) AS p FROM wanted_names w JOIN known k ON k.workspace_id = w.workspace_id
+  AND contains(csv, lower(e)) GROUP BY 1)
 """, body="""
-SELECT q.query_id, coalesce(n, 0) AS link_count,
-  round(CASE WHEN n > 0 THEN least(0.5::DOUBLE + s * 0.4::DOUBLE, 0.99::DOUBLE) ELSE 0.5 END, 2) AS trace_confidence
-FROM questions q LEFT JOIN per p ON p.query_id = q.query_id"""))
+SELECT q.query_id, coalesce(n, 0) AS link_count, coalesce(f.p, 0) AS pattern_count,
+  round(least(CASE WHEN n > 0 THEN least(0.5::DOUBLE + s * 0.4::DOUBLE, 0.99::DOUBLE) ELSE 0.5 END
+    + CASE WHEN f.p > 0 THEN 0.1::DOUBLE ELSE 0 END, 0.99::DOUBLE), 2) AS trace_confidence
+FROM questions q LEFT JOIN per p ON p.query_id = q.query_id LEFT JOIN fitting f ON f.query_id = q.query_id"""))
 def root_cause_confidence(spark, sf_dir):
     rows = stored_chunks(spark, sf_dir)
     prepared = cut_lineage(retrieval.prepare_questions(questions(spark, sf_dir), A.as_of()))
     events = cut_lineage(retrieval.related_events(prepared, lite_events(rows), 10))
-    none = patterns.recurring_incidents(A.op_events(spark, sf_dir).filter("false"), A.as_of()).withColumn("last_detected", A.as_of())
-    traced = reasoning.root_cause(prepared, events, stored_correlations(rows), none)
-    return traced["summary"].select("query_id", "link_count", "trace_confidence")
+    # The questions ask for a service too, as the patterns name it.
+    service = F.concat(F.lit("Service_"), F.regexp_extract("query_id", r"^q(\d+)_", 1))
+    asking = prepared.withColumn("q_entities", F.array_append("q_entities", service))
+    traced = reasoning.root_cause(asking, events, stored_correlations(rows), pattern_table(spark, sf_dir))
+    return traced["summary"].select("query_id", "link_count", "pattern_count", "trace_confidence")
 
 
 def pattern_table(spark, sf_dir):
@@ -205,7 +215,9 @@ names AS (SELECT DISTINCT query_id, workspace_id, lower(e) AS wanted FROM (
 refs AS (SELECT DISTINCT workspace_id, chunk_id, unnest(entities) AS name FROM chunks),
 resolved AS (SELECT DISTINCT query_id, n.workspace_id, name FROM refs r JOIN names n ON n.workspace_id = r.workspace_id AND contains(lower(name), wanted)),
 reach AS (SELECT DISTINCT query_id, r.workspace_id, chunk_id FROM resolved x JOIN refs r ON r.workspace_id = x.workspace_id AND r.name = x.name
-  UNION SELECT query_id, workspace_id, chunk_id FROM top),
+  UNION SELECT query_id, workspace_id, chunk_id FROM top
+  UNION SELECT n.query_id, c.workspace_id, c.chunk_id FROM names n JOIN chunks c ON c.workspace_id = n.workspace_id
+    JOIN standard_docs d ON d.id = c.chunk_id WHERE contains(lower(d.title), wanted) OR contains(lower(c.text), wanted)),
 timed AS (SELECT e.query_id, e.chunk_id, c.us, row_number() OVER (PARTITION BY e.query_id ORDER BY c.us DESC, 'event_' || e.chunk_id) AS r
   FROM reach e JOIN chunks c ON c.chunk_id = e.chunk_id JOIN questions q ON q.query_id = e.query_id
   WHERE q.q_start IS NULL OR c.ts BETWEEN q.q_start AND q.q_end)
@@ -216,7 +228,7 @@ def multi_hop_events(spark, sf_dir):
     hits = cut_lineage(retrieval.filtered_knn(prepared, rows, 5).select("query_id", "workspace_id", "chunk_id", "entities"))
     refs = rows.select("workspace_id", "chunk_id", F.explode("entities").alias("name")).distinct()
     events = rows.select("workspace_id", "chunk_id", F.concat(F.lit("event_"), "chunk_id").alias("event_id"), "ts",
-                         F.lit("").alias("title"), F.lit("").alias("description"))
+                         "title", F.col("text").alias("description"))
     return reasoning.multi_hop_events(prepared, hits, refs, events).select("query_id", "event_id", "rank")
 
 

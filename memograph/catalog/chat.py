@@ -69,10 +69,10 @@ def day_sections(spark, sf_dir):
 
 
 @query("channel_scope", with_ctes(CHAT, body="""
-SELECT channel_id, ts FROM messages WHERE channel_id IN ('C1', 'C3') OR channel_name = 'chan_5'
-  AND make_timestamp(sec * 1000000 + 100) >= TIMESTAMP '2024-01-01 00:00:00'"""))
+SELECT channel_id, ts FROM messages WHERE (channel_id IN ('C1', 'C3') OR channel_name = 'chan_5')
+  AND make_timestamp(sec * 1000000 + 100) >= TIMESTAMP '2024-01-04 00:00:00'"""))
 def channel_scope(spark, sf_dir):
-    scoped = chat.in_scope(A.chat_messages(spark, sf_dir), A.as_of(), ["C1", "C3", "chan_5"], 30)
+    scoped = chat.in_scope(A.chat_messages(spark, sf_dir), A.as_of(), ["C1", "C3", "chan_5"], 27)
     return scoped.select("channel_id", "ts")
 
 

@@ -340,34 +340,6 @@ def report_timeline(spark, sf_dir):
         "workspace_id", "id", "event_type", us("ts", "ts_us"), "summary", "severity")
 
 
-@query("digest_metrics", with_ctes(OP_EVENTS, EVENT_REFS, VOLUME, UNSTABLE, BOTTLENECKS, f"""
-insight_rows AS (
-  SELECT workspace_id, 'Abnormal volume spike in ' || event_type || ' events' AS title,
-    CASE WHEN event_type IN ('support_spike', 'customer_complaint') THEN 'support_spike' ELSE 'anomaly' END AS insight_type
-  FROM stats WHERE (bs > 0 AND (tm - bm) / bs >= 2.0 AND tm > 0.5) OR (bs = 0 AND tm > bm * 3 AND tm >= 1.5)
-  UNION ALL SELECT workspace_id, 'Deployment instability detected following release ''' || title || '''',
-    'deployment_instability' FROM unstable
-  UNION ALL SELECT workspace_id, 'Recurring operational bottleneck detected on ' || name, 'recurring_bottleneck'
-  FROM bottlenecks),
-insights AS (SELECT DISTINCT workspace_id, insight_type, lower(title) FROM insight_rows),
-event_counts AS (SELECT workspace_id, count(*) FILTER (WHERE event_type IN ('incident', 'outage')) AS incidents,
-    count(*) FILTER (WHERE event_type = 'deployment') AS deployments
-  FROM op_events WHERE ts >= {ASOF} - INTERVAL 1 DAY AND ts <= {ASOF} GROUP BY 1),
-insight_counts AS (SELECT workspace_id, count(*) AS insights, count(*) FILTER (WHERE insight_type = 'anomaly') AS anomalies
-  FROM insights GROUP BY 1)
-""", body="""
-SELECT coalesce(e.workspace_id, i.workspace_id) AS workspace_id, coalesce(incidents, 0) AS incidents,
-  coalesce(deployments, 0) AS deployments, coalesce(anomalies, 0) AS anomalies, coalesce(insights, 0) AS insights,
-  'Daily Ops Digest: ' || coalesce(incidents, 0) || ' incidents, ' || coalesce(deployments, 0) || ' deploys, '
-    || coalesce(anomalies, 0) || ' anomalies.' AS text
-FROM event_counts e FULL JOIN insight_counts i ON e.workspace_id = i.workspace_id"""))
-def digest_metrics(spark, sf_dir):
-    events = A.op_events(spark, sf_dir)
-    insights = anomalies.all_insights(events, A.event_entity_refs(events), A.as_of())
-    return digest.metrics(events, insights, None, A.as_of(), "daily_ops").select(
-        "workspace_id", "incidents", "deployments", "anomalies", "insights", "text")
-
-
 @query("pattern_report", with_ctes(OP_EVENTS, EVENT_REFS, FREQUENCIES, DEPLOYMENTS, f"""
 marked AS (
   SELECT *, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 7200000000 THEN 1 ELSE 0 END AS opens

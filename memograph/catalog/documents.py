@@ -196,6 +196,28 @@ mentions AS (SELECT id, name, type FROM all_mentions WHERE r = 1)
 """
 
 
+# The entity graph of the mentions: names equal without case are one, and token sets that are near each other one group.
+MENTION_GRAPH = """
+kept AS (SELECT workspace_id, id AS chunk, doc_id AS seen, trim(name) AS name, lower(trim(name)) AS key,
+    CASE WHEN type IN ('person', 'team', 'project', 'product', 'system', 'workflow', 'incident', 'deployment', 'customer', 'department', 'document',
+      'decision', 'metric', 'tool') THEN type ELSE 'document' END AS type
+  FROM mentions JOIN standard_docs USING (id) WHERE length(trim(name)) >= 2),
+kept_names AS (SELECT workspace_id, type, key, arg_min(name, (seen, name)) AS name, min(seen) AS seen,
+    list_sort(list_distinct(regexp_extract_all(key, '[a-z0-9]+'))) AS t FROM kept GROUP BY 1, 2, 3),
+kept_sets AS (SELECT DISTINCT workspace_id, type, t FROM kept_names),
+near_sets AS (SELECT a.workspace_id, a.type, a.t AS x, b.t AS y FROM kept_sets a JOIN kept_sets b ON a.workspace_id = b.workspace_id AND a.type = b.type AND a.t <> b.t
+  WHERE len(list_intersect(a.t, b.t)) >= 0.8 * len(list_distinct(list_concat(a.t, b.t)))),
+met AS (SELECT workspace_id, type, t AS a, t AS b FROM kept_sets
+  UNION SELECT m.workspace_id, m.type, a, y FROM met m JOIN near_sets n ON n.workspace_id = m.workspace_id AND n.type = m.type AND b = x),
+joined_sets AS (SELECT workspace_id, type, a AS t, min(b) AS g FROM met GROUP BY 1, 2, 3),
+built_heads AS (SELECT n.workspace_id, n.type, g, arg_min(n.name, (n.seen, n.key)) AS name, string_agg(DISTINCT n.name, ',' ORDER BY n.name) AS aliases
+  FROM kept_names n JOIN joined_sets j USING (workspace_id, type, t) GROUP BY 1, 2, 3),
+kept_refs AS (SELECT DISTINCT k.workspace_id, k.type, j.g, k.chunk, k.seen FROM kept k JOIN kept_names n USING (workspace_id, type, key)
+  JOIN joined_sets j ON j.workspace_id = n.workspace_id AND j.type = n.type AND j.t = n.t),
+built AS (SELECT h.workspace_id, h.type, h.name, h.aliases, arg_min(r.chunk, (r.seen, r.chunk)) AS source_chunk_id, count(*) AS chunks
+  FROM built_heads h JOIN kept_refs r ON r.workspace_id = h.workspace_id AND r.type = h.type AND r.g = h.g GROUP BY h.workspace_id, h.type, h.g, h.name, h.aliases)
+"""
+
 @query("entity_mentions", with_ctes(RAW_DOCS, STANDARD, WORDS, body="""
 SELECT id, lower(name) AS name_key, type FROM mentions"""))
 def entity_mentions(spark, sf_dir):
@@ -234,7 +256,7 @@ def cooccurrence(spark, sf_dir):
     return entities.cooccurrence(named).select("workspace_id", "entity_a", "entity_b", "score", us("last_seen", "last_seen_us"))
 
 
-@query("chunk_events", with_ctes(RAW_DOCS, STANDARD, CLEAN, r"""
+@query("chunk_events", with_ctes(RAW_DOCS, STANDARD, WORDS, CLEAN, r"""
 low AS (SELECT *, lower(content) AS l, lower(title) AS lt,
   list_filter(list_transform(string_split(replace(content, chr(10), ' '), '.'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: s <> '') AS sentences
   FROM clean_docs),
@@ -244,20 +266,23 @@ kinds AS (SELECT *, CASE
   WHEN regexp_matches(l, 'meeting|sync|standup|retro|weekly|all-hands|kickoff') THEN 'meeting'
   WHEN regexp_matches(l, 'escalat(ion|e)|paged|pager|alert') THEN 'escalation'
   WHEN source = 'slack' AND length(content) > 40 THEN 'discussion' END AS event_type,
-  array_to_string(sentences[1:2], '. ') AS lead FROM low)
+  array_to_string(sentences[1:2], '. ') AS lead FROM low),
+teams AS (SELECT id, string_agg(DISTINCT t, ',' ORDER BY t) AS teams FROM (
+  SELECT id, team AS t FROM clean_docs WHERE team <> 'unknown'
+  UNION SELECT id, split_part(name, ' ', 1) FROM mentions WHERE contains(lower(name), 'team') OR name IN ('Engineering', 'Product', 'Support', 'Devops')) GROUP BY id)
 """, body="""
 SELECT workspace_id, 'event_' || id AS event_id, event_type,
   CASE WHEN event_type = 'incident' AND NOT (contains(lt, 'incident') OR contains(lt, 'outage')) THEN 'Incident: ' || title
     WHEN event_type = 'deployment' AND NOT (contains(lt, 'deploy') OR contains(lt, 'release'))
       THEN 'Deployment/Release: ' || title ELSE title END AS title,
   md5(CASE WHEN lead = '' THEN left(content, 200) WHEN length(lead) > 200 THEN left(lead, 197) || '...' ELSE lead END)
-    AS summary_md5, CASE WHEN team <> 'unknown' THEN team ELSE '' END AS own_team
-FROM kinds WHERE event_type IS NOT NULL"""))
+    AS summary_md5, coalesce(t.teams, '') AS related_teams
+FROM kinds k LEFT JOIN teams t USING (id) WHERE event_type IS NOT NULL"""))
 def chunk_events(spark, sf_dir):
     docs = clean(spark, sf_dir).withColumnsRenamed({"content": "text", "id": "chunk_id"})
-    found = extraction.chunk_events(docs.withColumn("entities", F.array().cast("array<string>")))
+    found = extraction.chunk_events(entities.payload(entities.tag(docs)))
     return found.select("workspace_id", "event_id", "event_type", "title", F.md5("summary").alias("summary_md5"),
-                        F.array_join("related_teams", ",").alias("own_team"))
+                        joined(F.array_distinct("related_teams"), "related_teams"))
 
 
 LINES = rf"""

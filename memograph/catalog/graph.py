@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memograph import adapters as A
 from memograph.catalog.base import query, with_ctes
+from memograph.catalog.documents import MENTION_GRAPH, RAW_DOCS, STANDARD, WORDS
 from memograph.operators import entities, graph, graphbuild, resolution, upsert
 
 NODES = """
@@ -307,7 +308,8 @@ def entity_resolution(spark, sf_dir):
     return resolution.resolve(wanted, stored).select("name", "entity_id", "stage")
 
 
-@query("graph_build")
+@query("graph_build", with_ctes(RAW_DOCS, STANDARD, WORDS, MENTION_GRAPH, body="""
+SELECT workspace_id, type, name, aliases, source_chunk_id, chunks FROM built""").replace("WITH ", "WITH RECURSIVE ", 1))
 def graph_build(spark, sf_dir):
     docs = A.raw_documents(spark, sf_dir)
     tagged = entities.tag(docs, "content")
@@ -345,8 +347,10 @@ spelt AS (
   FROM part, (SELECT unnest(range(4)) AS v)),
 keyed AS (SELECT *, lower(name) AS key, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))), ' ') AS k FROM spelt),
 sets AS (SELECT DISTINCT k, string_split(k, ' ') AS t FROM keyed),
-pairs AS (SELECT a.k AS x, b.k AS y FROM sets a JOIN sets b ON a.k <> b.k AND abs(len(a.t) - len(b.t)) <= 1
+-- Sets of at most eight tokens at 0.8 or more are one within the other, so the larger holds the smaller's first token.
+within AS (SELECT a.k AS x, b.k AS y FROM sets a JOIN (SELECT k, t, unnest(t) AS token FROM sets) b ON b.token = a.t[1] AND len(b.t) > len(a.t)
   WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE >= 0.8),
+pairs AS (SELECT x, y FROM within UNION ALL SELECT y, x FROM within),
 reach AS (SELECT k AS a, k AS b FROM sets UNION SELECT a, y FROM reach JOIN pairs ON b = x),
 groups AS (SELECT a AS k, min(b) AS g FROM reach GROUP BY a),
 names AS (SELECT key, k, arg_min(name, (seen, name)) AS name, min(seen) AS seen FROM keyed GROUP BY key, k),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memograph import adapters as A
 from memograph.catalog.base import ASOF, EVENT_REFS, OP_EVENTS, joined, query, with_ctes
 from memograph.catalog.detectors import UNSTABLE, VOLUME
-from memograph.catalog.documents import standard
+from memograph.catalog.documents import LINES, MENTION_GRAPH, RAW_DOCS, STANDARD, WORDS, standard
 from memograph.catalog.graph import NODES, REFS, item_refs, nodes
 from memograph.catalog.wiki import BLOCKS, raw_blocks
 from memograph.operators import anomalies, digest, entities, extraction, graph, normalize, resolution, timeline, workflow
@@ -119,15 +119,37 @@ def _mentions(spark, sf_dir):
     return entities.mention_rows(tagged.withColumns({"chunk_id": F.col("id"), "seen_at": F.col("doc_id")}), ["workspace_id", "chunk_id", "seen_at"])
 
 
-@query("extraction_counts")
+@query("extraction_counts", with_ctes(RAW_DOCS, STANDARD, WORDS, MENTION_GRAPH, """
+found AS (SELECT workspace_id, id, count(*) AS n FROM mentions JOIN standard_docs USING (id) GROUP BY 1, 2),
+created AS (SELECT source_chunk_id AS id, count(*) AS n FROM built GROUP BY 1),
+told AS (SELECT chunk AS id, count(*) AS n FROM kept_refs WHERE type IN ('person', 'project', 'system') GROUP BY 1)
+""", body="""
+SELECT workspace_id, id AS chunk_id, f.n AS entities_found, coalesce(c.n, 0) AS entities_new, coalesce(t.n, 0) AS relationships_stored
+FROM found f LEFT JOIN created c USING (id) LEFT JOIN told t USING (id)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def extraction_counts(spark, sf_dir):
+    """Relationships are the references of a document to the people, projects and systems it names."""
     found = _mentions(spark, sf_dir)
-    built, _ = resolution.build_graph(found)
-    none = found.filter("false").select("workspace_id", "chunk_id")
-    return extraction.extraction_counts(found, built, none)
-
-
-@query("event_graph")
+    built, refs = resolution.build_graph(found)
+    linked = refs.join(built.select("entity_id", "type"), "entity_id").filter(F.col("type").isin("person", "project", "system"))
+    return extraction.extraction_counts(found, built, linked)
+
+
+@query("event_graph", with_ctes(RAW_DOCS, STANDARD, LINES, """
+line_rows AS (SELECT *, md5(id || '|' || line_no) AS event_id, lower(trim(title, ' ')) AS tk, epoch_us(ts) AS us FROM found_lines),
+opened AS (SELECT *, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 300000000 THEN 1 ELSE 0 END AS opens FROM line_rows
+  WHERE us IS NOT NULL WINDOW w AS (PARTITION BY workspace_id, event_type, tk ORDER BY us, event_id)),
+sessioned AS (SELECT workspace_id, event_type, tk, id, line_no, event_id, us, sum(opens) OVER (PARTITION BY workspace_id, event_type, tk
+    ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM opened
+  UNION ALL SELECT workspace_id, event_type, tk, id, line_no, event_id, us, 1 FROM line_rows WHERE us IS NULL),
+merged AS (SELECT workspace_id, event_type, tk, g, arg_min(event_id, (coalesce(us, 4611686018427387904), event_id)) AS sid, count(*) AS merged_rows
+  FROM sessioned GROUP BY ALL),
+titles AS (SELECT s.workspace_id, s.id, s.tk, arg_max(m.sid, s.line_no) AS sid FROM sessioned s JOIN merged m USING (workspace_id, event_type, tk, g) GROUP BY 1, 2, 3),
+steps AS (SELECT workspace_id, id, tk, lag(tk) OVER (PARTITION BY id ORDER BY line_no) AS before FROM line_rows),
+links AS (SELECT DISTINCT s.workspace_id, a.sid AS s, b.sid AS t FROM steps s JOIN titles a ON a.id = s.id AND a.tk = s.tk
+  JOIN titles b ON b.id = s.id AND b.tk = s.before WHERE before IS NOT NULL),
+degrees AS (SELECT s, count(*) AS n FROM links GROUP BY s)
+""", body="""
+SELECT workspace_id, sid AS event_id, event_type, 0.6::DOUBLE AS confidence, merged_rows, coalesce(n, 0) AS edges FROM merged LEFT JOIN degrees ON s = sid"""))
 def event_graph(spark, sf_dir):
     docs = standard(spark, sf_dir).withColumnsRenamed({"content": "text", "id": "chunk_id"})
     events, edges = extraction.event_graph(docs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memograph import adapters as A
 from memograph.catalog.base import ASOF, EVENT_REFS, OP_EVENTS, joined, query, us, with_ctes
 from memograph.catalog.detectors import BOTTLENECKS, INSIGHTS, UNSTABLE, VOLUME
-from memograph.operators import anomalies, workflow
+from memograph.operators import anomalies, digest, workflow
 from memograph.session import cut_lineage
 from memograph.sources import webhooks
 
@@ -28,16 +28,19 @@ def shape_hooks(e):
     ws = F.concat(F.lit("ws_"), F.col("user_id") % 50)
     svc = F.concat(F.lit("svc_"), F.col("event_id") % 12)
     kind = F.col("event_type")
+    # Payloads whose kind stands in the header alone; of those, every other one has no header either and is no event.
+    bare = F.col("event_id") % 5 == 1
+    header = F.when(bare & (F.col("event_id") % 2 == 0), F.when(kind == "purchase", "deployment").when(kind == "click", "release"))
     alert = F.to_json(F.struct(
         ws.alias("workspace_id"), F.when(F.col("event_id") % 3 == 0, svc).alias("project_name"), svc.alias("project"),
         F.concat(F.lit("boom "), "event_id").alias("error_message"),
         F.element_at(F.array(*[F.lit(x) for x in ("fatal", "error", "warning", "info", "odd")]), (F.col("event_id") % 5 + 1).cast("int")).alias("level")))
     deploy = F.to_json(F.struct(
         ws.alias("workspace_id"), F.struct(svc.alias("name")).alias("repository"),
-        F.struct(F.lit("staging").alias("environment"), F.struct(F.concat(F.lit("dev"), F.col("user_id") % 9).alias("login")).alias("creator")).alias("deployment")))
+        F.when(~bare, F.struct(F.lit("staging").alias("environment"), F.struct(F.concat(F.lit("dev"), F.col("user_id") % 9).alias("login")).alias("creator"))).alias("deployment")))
     release = F.to_json(F.struct(
         ws.alias("workspace_id"), F.struct(svc.alias("name")).alias("repository"),
-        F.struct(F.concat(F.lit("v"), F.col("event_id") % 7).alias("tag_name")).alias("release")))
+        F.when(~bare, F.struct(F.concat(F.lit("v"), F.col("event_id") % 7).alias("tag_name"))).alias("release")))
     chat = F.to_json(F.struct(ws.alias("workspace_id"), F.struct(
         F.lit("message").alias("type"), F.when(F.col("event_id") % 10 == 3, "message_changed").alias("subtype"),
         F.when(F.col("event_id") % 4 == 0, "incident-room").otherwise("general").alias("channel"),
@@ -54,7 +57,7 @@ def shape_hooks(e):
         kind == "signup", bill).otherwise(release)
     source = F.when(kind == "error", "sentry").when(kind == "view", "slack").when(kind == "signup", "stripe").otherwise("github")
     return e.select(F.concat(F.lit("hook_"), "event_id").alias("webhook_event_id"), source.alias("source"), payload.alias("payload"),
-                    F.lit(None).cast("string").alias("kind"), F.col("ts").cast("timestamp").alias("received_at"))
+                    header.alias("kind"), F.col("ts").cast("timestamp").alias("received_at"))
 
 
 HOOK_EVENTS = """
@@ -62,10 +65,15 @@ hook_events AS (
   SELECT ws AS workspace_id, 'event_hook_' || event_id AS event_id, 'incident' AS event_type, 'Sentry Alert: ' || svc || ' Exception' AS title,
     'boom ' || event_id AS summary, CASE event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low'
       ELSE 'high' END AS severity, epoch_us(ts) AS ts_us FROM hooks WHERE event_type = 'error'
-  UNION ALL SELECT ws, 'event_hook_' || event_id, 'deployment', 'GitHub Deployment: ' || svc || ' to staging',
-    'Deployment of ' || svc || ' (main) to staging triggered by dev' || (user_id % 9) || '.', 'low', epoch_us(ts) FROM hooks WHERE event_type = 'purchase'
-  UNION ALL SELECT ws, 'event_hook_' || event_id, 'release', 'GitHub Release: ' || svc || ' v' || (event_id % 7),
-    'GitHub release v' || (event_id % 7) || ' published in repository ' || svc || ' by unknown.', 'low', epoch_us(ts) FROM hooks WHERE event_type = 'click'
+  UNION ALL SELECT ws, 'event_hook_' || event_id, 'deployment',
+    'GitHub Deployment: ' || svc || ' to ' || CASE WHEN event_id % 5 = 1 THEN 'production' ELSE 'staging' END,
+    'Deployment of ' || svc || ' (main) to ' || CASE WHEN event_id % 5 = 1 THEN 'production triggered by unknown_author.'
+      ELSE 'staging triggered by dev' || (user_id % 9) || '.' END, 'low', epoch_us(ts) FROM hooks
+    WHERE event_type = 'purchase' AND (event_id % 5 <> 1 OR event_id % 2 = 0)
+  UNION ALL SELECT ws, 'event_hook_' || event_id, 'release',
+    'GitHub Release: ' || svc || ' ' || CASE WHEN event_id % 5 = 1 THEN 'v1.0.0' ELSE 'v' || (event_id % 7) END,
+    'GitHub release ' || CASE WHEN event_id % 5 = 1 THEN 'v1.0.0' ELSE 'v' || (event_id % 7) END || ' published in repository ' || svc || ' by unknown.',
+    'low', epoch_us(ts) FROM hooks WHERE event_type = 'click' AND (event_id % 5 <> 1 OR event_id % 2 = 0)
   UNION ALL SELECT ws, 'event_hook_' || event_id, 'incident',
     'Slack Incident Chat: #' || CASE WHEN event_id % 4 = 0 THEN 'incident-room' ELSE 'general' END,
     CASE WHEN event_id % 6 = 1 THEN 'Alert: it FAILED' ELSE 'all fine' END, 'medium', epoch_us(ts) FROM hooks
@@ -195,13 +203,25 @@ def workflow_alerts(spark, sf_dir):
     return workflow.alerts(rows).select("workflow_id", "message", "address")
 
 
-@query("escalation_routes", with_ctes(COMMANDS, LATEST, body="""
-SELECT workflow_id, state AS current_state, 60 AS total_triage_minutes, 'No clear bottleneck.' AS bottleneck_identified FROM latest"""))
+@query("escalation_routes", with_ctes(COMMANDS, LATEST, """
+numbered AS (SELECT l.*, workflow_id[4:]::INT AS k, c.created FROM latest l JOIN (SELECT workflow_id, min(ts) AS created FROM commands GROUP BY 1) c USING (workflow_id))
+""", body="""
+SELECT workflow_id, state AS current_state,
+  CASE WHEN k % 4 = 0 THEN '[{"step":1,"role":"Lead"},{"step":2,"role":"Person ' || k || '"}]'
+    ELSE '[{"step":1,"role":"Assignee","duration_minutes":30,"timestamp":"' || strftime(created, '%Y-%m-%dT%H:%M:%S') || '"}]' END AS escalation_route,
+  CASE WHEN k % 4 = 0 THEN 10 + k % 50 ELSE 60 END AS total_triage_minutes,
+  CASE WHEN k % 4 = 0 AND k % 8 = 0 THEN 'Waiting for ' || k ELSE 'No clear bottleneck.' END AS bottleneck_identified FROM numbered"""))
 def escalation_routes(spark, sf_dir):
+    """Workflows with a recorded route, with an empty one and no minutes, and with nothing recorded."""
     from memograph.operators import issues
 
-    rows = workflow.latest(commands(spark, sf_dir)).withColumn("metadata", F.lit("{}"))
-    return issues.escalation_routes(rows).select("workflow_id", "current_state", "total_triage_minutes", "bottleneck_identified")
+    k = F.substring("workflow_id", 4, 20).cast("int")
+    recorded = F.concat(
+        F.lit('{"escalation_route":[{"step":1,"role":"Lead"},{"step":2,"role":"Person '), k, F.lit('"}],"total_triage_minutes":'), 10 + k % 50,
+        F.when(k % 8 == 0, F.concat(F.lit(',"bottleneck_identified":"Waiting for '), k, F.lit('"'))).otherwise(""), F.lit("}"))
+    metadata = F.when(k % 4 == 0, recorded).when(k % 4 == 1, F.lit('{"escalation_route":[],"total_triage_minutes":0}')).when(k % 4 == 2, F.lit("{}"))
+    rows = workflow.latest(commands(spark, sf_dir)).withColumn("metadata", metadata)
+    return issues.escalation_routes(rows).select("workflow_id", "current_state", "escalation_route", "total_triage_minutes", "bottleneck_identified")
 
 
 ALL_INSIGHTS = (OP_EVENTS, EVENT_REFS, VOLUME, UNSTABLE, BOTTLENECKS, INSIGHTS)
@@ -352,3 +372,34 @@ def digest_lists(spark, sf_dir):
 
     events = A.op_events(spark, sf_dir)
     return digest.top_lists(events, insights_of(spark, sf_dir, events), workflow.latest(commands(spark, sf_dir)), A.as_of())
+
+
+@query("digest_metrics", with_ctes(OP_EVENTS, EVENT_REFS, VOLUME, UNSTABLE, BOTTLENECKS, COMMANDS, LATEST, f"""
+insight_rows AS (
+  SELECT workspace_id, 'Abnormal volume spike in ' || event_type || ' events' AS title,
+    CASE WHEN event_type IN ('support_spike', 'customer_complaint') THEN 'support_spike' ELSE 'anomaly' END AS insight_type
+  FROM stats WHERE (bs > 0 AND (tm - bm) / bs >= 2.0 AND tm > 0.5) OR (bs = 0 AND tm > bm * 3 AND tm >= 1.5)
+  UNION ALL SELECT workspace_id, 'Deployment instability detected following release ''' || title || '''',
+    'deployment_instability' FROM unstable
+  UNION ALL SELECT workspace_id, 'Recurring operational bottleneck detected on ' || name, 'recurring_bottleneck'
+  FROM bottlenecks),
+insights AS (SELECT DISTINCT workspace_id, insight_type, lower(title) FROM insight_rows),
+event_counts AS (SELECT workspace_id, count(*) FILTER (WHERE event_type IN ('incident', 'outage')) AS incidents,
+    count(*) FILTER (WHERE event_type = 'deployment') AS deployments
+  FROM op_events WHERE ts >= {ASOF} - INTERVAL 1 DAY AND ts <= {ASOF} GROUP BY 1),
+insight_counts AS (SELECT workspace_id, count(*) AS insights, count(*) FILTER (WHERE insight_type = 'anomaly') AS anomalies
+  FROM insights GROUP BY 1),
+flow_counts AS (SELECT workspace_id, count(*) AS workflows, count(*) FILTER (WHERE state = 'blocked') AS blocked FROM latest
+  WHERE state IN ('pending_review', 'blocked', 'in_progress', 'escalated') GROUP BY 1)
+""", body="""
+SELECT workspace_id, coalesce(incidents, 0) AS incidents,
+  coalesce(deployments, 0) AS deployments, coalesce(anomalies, 0) AS anomalies, coalesce(insights, 0) AS insights,
+  coalesce(workflows, 0) AS workflows, coalesce(blocked, 0) AS blocked,
+  'Daily Ops Digest: ' || coalesce(incidents, 0) || ' incidents, ' || coalesce(deployments, 0) || ' deploys, '
+    || coalesce(anomalies, 0) || ' anomalies.' AS text
+FROM event_counts FULL JOIN insight_counts USING (workspace_id) FULL JOIN flow_counts USING (workspace_id)"""))
+def digest_metrics(spark, sf_dir):
+    events = A.op_events(spark, sf_dir)
+    insights = anomalies.all_insights(events, A.event_entity_refs(events), A.as_of())
+    return digest.metrics(events, insights, workflow.latest(commands(spark, sf_dir)), A.as_of(), "daily_ops").select(
+        "workspace_id", "incidents", "deployments", "anomalies", "insights", "workflows", "blocked", "text")

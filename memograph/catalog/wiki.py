@@ -58,7 +58,9 @@ def wiki_pages(spark, sf_dir):
 @query("wiki_rows", """
 SELECT 'row_' || p_partkey AS id, 'Parts/' || p_name AS path, p_name AS title,
   md5('Name: ' || p_name || chr(10) || 'Size: ' || p_size || chr(10) || 'Tags: [''' || p_type || ''', ''' || p_brand || ''']'
-    || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Even: True' ELSE '' END) AS content_md5 FROM part""")
+    || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Even: True' ELSE '' END
+    || CASE WHEN p_partkey % 4 < 2 THEN chr(10) || chr(10) || 'About ' || p_name || CASE WHEN p_partkey % 4 = 0 THEN chr(10) || 'In ' || p_type ELSE '' END
+      || chr(10) || chr(10) || p_brand ELSE '' END) AS content_md5 FROM part""")
 def wiki_rows(spark, sf_dir):
     part = A.table(spark, sf_dir, "part")
 
@@ -75,8 +77,18 @@ def wiki_rows(spark, sf_dir):
     ).alias("properties")))
     rows = part.select(F.concat(F.lit("row_"), "p_partkey").alias("row_id"), F.lit("db_parts").alias("database_id"),
                        F.lit("Parts").alias("database_path"), props.alias("json"))
-    none = rows.select(F.col("row_id").alias("page_id"), F.lit("").alias("content"))
-    return wiki.row_documents(rows, none).select("id", "path", "title", F.md5("content").alias("content_md5"))
+    # Rows with blocks of their own, some nested; rows with one blank block; rows without any.
+    row, key = F.concat(F.lit("row_"), "p_partkey"), F.col("p_partkey") % 4
+
+    def block(number, parent, content):
+        return part.select(row.alias("page_id"), F.concat(F.lit(f"b{number}_"), "p_partkey").alias("block_id"),
+                           (F.concat(F.lit(f"b{parent}_"), "p_partkey") if parent else F.lit(None).cast("string")).alias("parent_id"),
+                           F.lit(number).alias("position"), content.alias("content"), key.alias("key"))
+
+    typed = block(1, None, F.concat(F.lit("About "), "p_name")).filter("key < 2").unionByName(
+        block(2, 1, F.concat(F.lit("In "), "p_type")).filter("key = 0")).unionByName(
+        block(3, None, F.col("p_brand")).filter("key < 2")).unionByName(block(4, None, F.lit("")).filter("key = 2"))
+    return wiki.row_documents(rows, wiki.page_contents(typed.drop("key"))).select("id", "path", "title", F.md5("content").alias("content_md5"))
 
 
 @query("wiki_paths", """
