@@ -6,8 +6,9 @@ positions, leftmost on ties, so equal strings pick the same anchor and one suffi
 span / 2 bytes is enough. A suffix can only matter if its leading bytes, `length - span + 1`
 of them, occur at another anchor; counting a hash of these leaves few suffixes.
 
-The suffixes that are left are range-partitioned by their leading bytes with sampled
-splitters. Equal leading bytes always share a bucket, so suffixes on both sides of a bucket
+The suffixes that are left are range-partitioned by their leading bytes. The splitters come
+from a sample of these bytes that the first pass keeps, so nothing is computed twice for
+them. Equal leading bytes always share a bucket, so suffixes on both sides of a bucket
 boundary differ within them and no match crosses it. A bucket sorts its suffixes by multikey
 quicksort, and what stands before the anchors, reversed, likewise. Common prefix lengths of
 neighbours then give classes: a string is repeated exactly if another has the same class
@@ -19,6 +20,7 @@ aggregation instead.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,10 @@ PIECE = 1 << 19
 LAST_ID = (1 << 63) - 1
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))  # odd multipliers
 SMALL = 32
+SAMPLED = 64  # one leading string in so many is kept for the splitters
+PER_SPLITTER = 8
+CHUNK = 1 << 17
+WITNESS = 2
 
 
 def anchors(text: bytes, length: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,13 +181,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def suffixes(texts: DataFrame, length: int, span: int) -> DataFrame:
-    """(id, mark, place, first, last, lead) of every anchor; lead is a hash of its leading bytes."""
+    """(id, mark, place, first, last, lead, sample) of every anchor; lead is a hash of its leading bytes.
+
+    sample holds the leading bytes where that hash chooses them, and is null elsewhere.
+    """
     lead = length - span + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                ids, marks, columns, hashes = [], [], [], []
+                ids, marks, columns, hashes, samples = [], [], [], [], []
                 for k in range(at, min(at + 64, batch.num_rows)):
                     text = batch.column(2)[k].as_py() or b""
                     if len(text) < length:
@@ -190,22 +199,30 @@ def suffixes(texts: DataFrame, length: int, span: int) -> DataFrame:
                     ids.append(np.full(len(found[0]), batch.column(0)[k].as_py()))
                     marks.append(np.full(len(found[0]), batch.column(1)[k].as_py()))
                     columns.append(found)
-                    hashes += [xxhash.xxh3_64_intdigest(text[p:p + lead]) for p in found[0].tolist()]
+                    own = [xxhash.xxh3_64_intdigest(text[p:p + lead]) for p in found[0].tolist()]
+                    hashes += own
+                    samples += [text[p:p + lead] if h % SAMPLED == 0 else None for p, h in zip(found[0].tolist(), own)]
                 if ids:
                     place, first, last = (np.concatenate(c).astype(np.int32) for c in zip(*columns))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(marks)), pa.array(place), pa.array(first), pa.array(last),
-                                                      pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))], ["id", "mark", "place", "first", "last", "lead"])
+                                                      pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(samples, pa.binary())],
+                                                     ["id", "mark", "place", "first", "last", "lead", "sample"])
 
-    return texts.mapInArrow(run, "id long, mark long, place int, first int, last int, lead long")
+    return texts.mapInArrow(run, "id long, mark long, place int, first int, last int, lead long, sample binary")
 
 
 def find(docs: DataFrame, texts: DataFrame, length: int, span: int, group_cap: int) -> DataFrame:
     """(id, mark, runs) of the texts (the rows of docs, dealt by id and mark) with repeated strings: runs of their starts."""
     spark = docs.sparkSession
     lead = length - span + 1
-    leads = stored(suffixes(docs, length, span).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    n = partitions(spark)
+    every = stored(suffixes(docs, length, span))
+    leads = stored(every.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.max("sample").alias("sample")).filter("n > 1"))
     crowded = (leads.agg(F.max("n")).first()[0] or 0) > group_cap
-    kept = suffixes(docs, length, span).join(leads, "lead").groupBy("id", "mark").agg(
+    # A few leading strings for every bucket, those with the smallest hashes; the driver holds no more than that.
+    chosen = leads.filter("sample IS NOT NULL").orderBy("lead").limit(n * PER_SPLITTER).select("sample").collect()
+    splitters = sorted(bytes(r["sample"]) for r in chosen)[PER_SPLITTER - 1::PER_SPLITTER]
+    kept = every.drop("sample").join(leads.drop("sample"), "lead").groupBy("id", "mark").agg(
         F.collect_set(F.struct("place", "first", "last", (F.col("n") > group_cap).alias("many"))).alias("found"))
     wanted = texts.join(kept, ["id", "mark"]).select("id", "mark", "text", "found")
 
@@ -217,11 +234,13 @@ def find(docs: DataFrame, texts: DataFrame, length: int, span: int, group_cap: i
                 for at in range(0, len(found), 4096):
                     part = found[at:at + 4096]
                     one = pa.array(np.zeros(len(part), dtype=np.int64))
+                    leading = [text[f["place"]:f["place"] + lead] for f in part]
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0)[k:k + 1].take(one), batch.column(1)[k:k + 1].take(one), *[pa.array([f[c] for f in part], pa.int32()) for c in ("place", "first", "last")],
-                        pa.array([text[f["place"]:f["place"] + lead] for f in part], pa.binary()), pa.array([text[f["first"]:f["place"]] for f in part], pa.binary()),
-                        pa.array([text[f["place"] + lead:f["last"] + length] for f in part], pa.binary())],
-                        ["id", "mark", "place", "first", "last", "leading", "before", "rest"])
+                        pa.array(leading, pa.binary()), pa.array([text[f["first"]:f["place"]] for f in part], pa.binary()),
+                        pa.array([text[f["place"] + lead:f["last"] + length] for f in part], pa.binary()),
+                        pa.array([bisect_right(splitters, b) for b in leading], pa.int32())],
+                        ["id", "mark", "place", "first", "last", "leading", "before", "rest", "bucket"])
 
     def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
@@ -253,9 +272,8 @@ def find(docs: DataFrame, texts: DataFrame, length: int, span: int, group_cap: i
         if held:
             yield settle(held)
 
-    n = partitions(spark)
-    columns = "id long, mark long, place int, first int, last int, leading binary, before binary, rest binary"
-    dealt = wanted.mapInArrow(cut, columns).repartitionByRange(n, "leading").sortWithinPartitions("leading")
+    columns = "id long, mark long, place int, first int, last int, leading binary, before binary, rest binary, bucket int"
+    dealt = wanted.mapInArrow(cut, columns).repartition(n, "bucket").sortWithinPartitions("bucket", "leading")
     found = dealt.mapInArrow(bucket, "id long, mark long, first int, last int")
     if crowded:
         found = found.unionByName(count_strings(wanted, length))
@@ -263,8 +281,28 @@ def find(docs: DataFrame, texts: DataFrame, length: int, span: int, group_cap: i
 
 
 def count_strings(wanted: DataFrame, length: int) -> DataFrame:
-    """(id, mark, first, last) for the suffixes marked `many`: each of their strings is counted by its digest."""
+    """(id, mark, first, last) for the suffixes marked `many`: each of their strings is counted by its digest.
+
+    A task settles what repeats among CHUNK of its own strings and sends one witness for each
+    such digest, so a string that all texts share travels once per chunk, not once per text.
+    """
+    names = ["id", "mark", "first", "high", "low", "state"]
+
+    def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        ids, marks, starts, high, low = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((low, high))
+        equal = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+        again, more = np.concatenate([[False], equal]), np.concatenate([equal, [False]])
+        state = np.zeros(len(ids), dtype=np.int32)
+        state[order] = again | more
+        witness = order[more & ~again]
+        row = np.concatenate([np.arange(len(ids)), witness])
+        state = np.concatenate([state, np.full(len(witness), WITNESS, dtype=np.int32)])
+        return pa.RecordBatch.from_arrays([*(pa.array(c[row]) for c in (ids, marks, starts, high, low)), pa.array(state)], names)
+
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             for k in range(batch.num_rows):
                 text = batch.column(2)[k].as_py()
@@ -272,13 +310,20 @@ def count_strings(wanted: DataFrame, length: int) -> DataFrame:
                     if f["many"]:
                         starts = np.arange(f["first"], f["last"] + 1, dtype=np.int32)
                         digests = np.frombuffer(b"".join(hashlib.blake2b(text[s:s + length], digest_size=16).digest() for s in starts.tolist()), np.int64).reshape(-1, 2)
-                        one = pa.array(np.zeros(len(starts), dtype=np.int64))
-                        yield pa.RecordBatch.from_arrays([batch.column(0)[k:k + 1].take(one), batch.column(1)[k:k + 1].take(one), pa.array(starts),
-                                                          pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["id", "mark", "first", "high", "low"])
+                        held.append([np.full(len(starts), batch.column(0)[k].as_py()), np.full(len(starts), batch.column(1)[k].as_py()), starts,
+                                     digests[:, 0], digests[:, 1]])
+                        size += len(starts)
+                        if size >= CHUNK:
+                            yield settle(held)
+                            held, size = [], 0
+        if held:
+            yield settle(held)
 
-    strings = wanted.filter(F.exists("found", lambda f: f["many"])).mapInArrow(spell, "id long, mark long, first int, high long, low long")
-    twice = strings.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high", "low")
-    return strings.join(twice, ["high", "low"]).select("id", "mark", "first", F.col("first").alias("last"))
+    strings = wanted.filter(F.exists("found", lambda f: f["many"])).mapInArrow(spell, "id long, mark long, first int, high long, low long, state int")
+    single = strings.filter("state = 0")
+    twice = strings.filter("state <> 1").groupBy("high", "low").agg(F.sum(F.greatest("state", F.lit(1))).alias("n")).filter("n > 1").select("high", "low")
+    settled = strings.filter("state = 1").select("id", "mark", "first").unionByName(single.join(twice, ["high", "low"]).select("id", "mark", "first"))
+    return settled.withColumn("last", F.col("first"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, span: int = 320, group_cap: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
