@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from memograph import adapters as A
 from memograph.catalog.base import ASOF, OP_EVENTS, query, us, with_ctes
-from memograph.catalog.detectors import CHAINS, DEPLOYMENTS, RECURRING
+from memograph.catalog.detectors import CHAINS, DEPLOYMENTS, FREQUENCIES, ISSUES, RECURRING
 from memograph.catalog.documents import LEFT, RAW_DOCS, RIGHT, STANDARD
+from memograph.catalog.records import ALL_INSIGHTS
 from memograph.catalog.search import (
     CORRELATIONS, QUESTIONS, VECTORS, lite_events, questions, stored_chunks, stored_correlations,
 )
 from memograph import vocab
 from memograph.functions import text
-from memograph.operators import patterns, reasoning, retrieval
+from memograph.operators import anomalies, patterns, reasoning, retrieval
 from memograph.session import cut_lineage
 
 PHRASES = [
@@ -232,6 +233,59 @@ def multi_hop_events(spark, sf_dir):
     return reasoning.multi_hop_events(prepared, hits, refs, events).select("query_id", "event_id", "rank")
 
 
+def event_questions(spark, sf_dir):
+    """The questions over documents, with the event log of their workspaces as what has happened there."""
+    return cut_lineage(retrieval.prepare_questions(questions(spark, sf_dir), A.as_of()))
+
+
+@query("multi_hop", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, *ALL_INSIGHTS, FREQUENCIES, DEPLOYMENTS, f"""
+near AS (SELECT q.query_id, q.workspace_id, c.chunk_id, c.entities, row_number() OVER (PARTITION BY q.query_id ORDER BY
+    round(list_dot_product(q.q, c.v) / (sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(c.v, c.v))), 9) DESC, c.chunk_id) AS r
+  FROM questions q JOIN chunks c ON c.workspace_id = q.workspace_id WHERE q_start IS NULL OR c.ts BETWEEN q_start AND q_end),
+top AS (SELECT * FROM near WHERE r <= 5),
+names AS (SELECT DISTINCT query_id, workspace_id, lower(e) AS wanted FROM (
+  SELECT query_id, workspace_id, unnest(asked) AS e FROM questions UNION ALL SELECT query_id, workspace_id, unnest(entities) FROM top)),
+mentioned AS (SELECT DISTINCT query_id, r.workspace_id, chunk_id FROM refs r JOIN names n ON n.workspace_id = r.workspace_id AND contains(lower(name), wanted)),
+reach AS (SELECT m.query_id, event_id FROM mentioned m JOIN op_events o ON o.workspace_id = m.workspace_id AND o.chunk_id = m.chunk_id
+  UNION SELECT t.query_id, event_id FROM top t JOIN op_events o ON o.workspace_id = t.workspace_id AND o.chunk_id = t.chunk_id
+  UNION SELECT n.query_id, event_id FROM names n JOIN op_events o ON o.workspace_id = n.workspace_id
+    WHERE contains(lower(title), wanted) OR contains(lower(coalesce(description, '')), wanted)),
+dated AS (SELECT r.query_id, o.us, o.event_id FROM reach r JOIN op_events o USING (event_id) JOIN questions q USING (query_id)
+  WHERE q_start IS NULL OR o.ts BETWEEN q_start AND q_end),
+reached AS (SELECT query_id, least(count(*), 100) AS n FROM dated GROUP BY 1),
+shown AS (SELECT q.query_id, o.us, o.event_id, row_number() OVER (PARTITION BY q.query_id ORDER BY o.us DESC, o.event_id) AS r
+  FROM questions q JOIN op_events o USING (workspace_id)
+  WHERE (q_start IS NULL OR o.ts BETWEEN q_start AND q_end) AND (q.query_id NOT IN (SELECT query_id FROM mentioned)
+    OR EXISTS (SELECT 1 FROM mentioned m WHERE m.query_id = q.query_id AND m.chunk_id = o.chunk_id AND m.workspace_id = o.workspace_id))),
+paged AS (SELECT *, (us - lag(us) OVER (PARTITION BY query_id ORDER BY us, r DESC)) / 1000000.0::DOUBLE AS d FROM shown WHERE r <= 50),
+pages AS (SELECT query_id, count(*) AS n, max(d) AS gap FROM paged GROUP BY 1),
+opening AS (SELECT *, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 7200000000 THEN 1 ELSE 0 END AS opens
+  FROM op_events WINDOW w AS (PARTITION BY workspace_id ORDER BY us, event_id)),
+numbering AS (SELECT workspace_id, sum(opens) OVER (PARTITION BY workspace_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS c FROM opening),
+crowds AS (SELECT workspace_id, count(*) AS n FROM (SELECT workspace_id, c FROM numbering GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1),
+affected AS (SELECT workspace_id, count(DISTINCT (name, type)) AS n FROM freq GROUP BY 1),
+followed AS (SELECT d.workspace_id, count(*) AS n FROM deps d JOIN op_events i ON i.workspace_id = d.workspace_id
+  AND i.us BETWEEN d.us AND d.us + 3600000000 WHERE i.event_type IN {ISSUES} GROUP BY 1),
+told AS (SELECT workspace_id, count(*) AS n, round(avg(confidence), 2) AS confidence FROM insights GROUP BY 1),
+hit_counts AS (SELECT query_id, count(*) AS n FROM top GROUP BY 1)
+""", body="""
+SELECT q.query_id, coalesce(h.n, 0) AS hits, coalesce(e.n, 0) AS events, coalesce(p.n, 0) AS timeline_events, p.gap AS longest_gap_seconds,
+  coalesce(c.n, 0) AS temporal_clusters, coalesce(a.n, 0) AS incident_frequencies, coalesce(f.n, 0) AS deployment_incidents,
+  coalesce(t.n, 0) AS insights, coalesce(t.confidence, 0.8) AS confidence
+FROM questions q LEFT JOIN hit_counts h ON h.query_id = q.query_id LEFT JOIN reached e ON e.query_id = q.query_id LEFT JOIN pages p ON p.query_id = q.query_id
+  LEFT JOIN crowds c ON c.workspace_id = q.workspace_id LEFT JOIN affected a ON a.workspace_id = q.workspace_id
+  LEFT JOIN followed f ON f.workspace_id = q.workspace_id LEFT JOIN told t ON t.workspace_id = q.workspace_id"""))
+def multi_hop(spark, sf_dir):
+    """Questions over documents, followed into the event log of their workspaces."""
+    log = cut_lineage(A.op_events(spark, sf_dir))
+    refs = cut_lineage(A.event_entity_refs(log))
+    insights = cut_lineage(anomalies.all_insights(log, refs, A.as_of()))
+    parts = reasoning.multi_hop(event_questions(spark, sf_dir), stored_chunks(spark, sf_dir), refs, log, insights)
+    return parts["summary"].select(
+        "query_id", "hits", "events", "timeline_events", "longest_gap_seconds", "temporal_clusters", "incident_frequencies", "deployment_incidents",
+        "insights", "confidence")
+
+
 def answered(spark, sf_dir):
     rows = stored_chunks(spark, sf_dir)
     asked_rows = cut_lineage(questions(spark, sf_dir))

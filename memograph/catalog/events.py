@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memograph import adapters as A
-from memograph.catalog.base import EVENT_REFS, OP_EVENTS, joined, query, us, with_ctes
+from memograph.catalog.base import ASOF, EVENT_REFS, OP_EVENTS, joined, query, us, with_ctes
 from memograph.operators import timeline, upsert
 from memograph.session import cut_lineage
 
@@ -216,3 +216,32 @@ def timeline_entity_page(spark, sf_dir):
     asked = refs.filter("type = 'system'").select(
         F.concat("workspace_id", F.lit("/"), "name").alias("query_id"), "workspace_id", F.col("name").alias("entity"), F.lit(3).alias("page_limit")).distinct()
     return timeline.entity_page(events, refs, asked).select("query_id", "event_id", "rank")
+
+
+@query("timeline_build", with_ctes(OP_EVENTS, EVENT_REFS, f"""
+spaces AS (SELECT DISTINCT workspace_id, workspace_id[4:]::INT AS k FROM op_events),
+asked AS (SELECT workspace_id || '/' || v AS query_id, *, CASE WHEN (k + v) % 2 = 0 THEN ['incident', 'outage', 'deployment'] END AS types,
+    CASE WHEN v = 2 THEN ['high', 'critical'] END AS severities, CASE WHEN v = 1 THEN {ASOF} - INTERVAL 20 DAYS END AS start,
+    CASE WHEN v > 0 THEN 'service_' || (k % 20) END AS entity FROM spaces, (SELECT unnest(range(3)) AS v)),
+fitting AS (SELECT query_id, o.*, row_number() OVER (PARTITION BY query_id ORDER BY us DESC, event_id) AS rank
+  FROM asked a JOIN op_events o USING (workspace_id)
+  WHERE (types IS NULL OR list_contains(types, event_type)) AND (severities IS NULL OR list_contains(severities, severity))
+    AND (start IS NULL OR ts >= start)
+    AND (entity IS NULL OR EXISTS (SELECT 1 FROM refs r WHERE r.workspace_id = o.workspace_id AND r.chunk_id = o.chunk_id AND r.name = entity))),
+cut AS (SELECT *, (us - lag(us) OVER (PARTITION BY query_id ORDER BY us, rank DESC)) / 1000000.0::DOUBLE AS d FROM fitting WHERE rank <= 6),
+named AS (SELECT workspace_id, chunk_id, string_agg(name, ',' ORDER BY name) AS entity_names FROM refs GROUP BY ALL)
+""", body=f"""
+SELECT query_id, event_id, rank, d AS delta_seconds, {DURATION} AS delta_text, entity_names FROM cut LEFT JOIN named USING (workspace_id, chunk_id)"""))
+def timeline_build(spark, sf_dir):
+    """Three questions a workspace: by type, by entity and time, by entity and severity."""
+    events = A.op_events(spark, sf_dir)
+    refs = cut_lineage(A.event_entity_refs(events))
+    k, v = F.substring("workspace_id", 4, 9).cast("int"), F.col("v")
+    asked = events.select("workspace_id").distinct().withColumn("v", F.explode(F.array(*[F.lit(n) for n in range(3)]))).select(
+        F.concat("workspace_id", F.lit("/"), v).alias("query_id"), "workspace_id", F.lit(6).alias("page_limit"),
+        F.when((k + v) % 2 == 0, F.array(F.lit("incident"), F.lit("outage"), F.lit("deployment"))).alias("types"),
+        F.when(v == 2, F.array(F.lit("high"), F.lit("critical"))).alias("severities"),
+        F.when(v == 1, F.timestamp_micros(F.unix_micros(A.as_of()) - 20 * 86_400_000_000)).alias("start"), F.lit(None).cast("timestamp").alias("end"),
+        F.when(v > 0, F.concat(F.lit("service_"), k % 20)).alias("entity"))
+    return timeline.build(events, refs, asked).select(
+        "query_id", "event_id", "rank", "delta_seconds", "delta_text", joined("entity_names", "entity_names"))

@@ -164,6 +164,24 @@ def workflow_transitions(spark, sf_dir):
     return workflow.transitions(commands(spark, sf_dir)).drop("ts")
 
 
+PEOPLE = "CASE WHEN workflow_type = 'customer_escalation' THEN 'Head of Customer Relations' ELSE 'Director of Engineering / Incident Commander' END"
+FLOW_LOG = f"""
+given AS (
+  SELECT workspace_id, workflow_id, seq, us, 'state' AS kind, to_state AS value FROM asked WHERE to_state IS NOT NULL
+  UNION ALL SELECT workspace_id, workflow_id, seq, us, 'assignee', CASE WHEN action = 'escalate' THEN {PEOPLE} ELSE assignee END FROM asked
+    WHERE action = 'escalate' OR assignee IS NOT NULL),
+flow_log AS (
+  SELECT workspace_id, workflow_id, seq, us, kind, before AS from_value, value AS to_value
+  FROM (SELECT *, lag(value) OVER (PARTITION BY workflow_id, kind ORDER BY us, seq) AS before FROM given) WHERE before IS DISTINCT FROM value
+  UNION ALL SELECT workspace_id, workflow_id, arg_min(seq, (us, seq)), min(us), 'link', NULL, 'asset_' || (seq % 40) FROM asked WHERE action = 'link' GROUP BY 1, 2, 7)
+"""
+
+
+@query("workflow_log", with_ctes(COMMANDS, FLOW_LOG, body="SELECT * FROM flow_log"))
+def workflow_log(spark, sf_dir):
+    return workflow.log(commands(spark, sf_dir))
+
+
 LATEST = """
 latest AS (SELECT workspace_id, workflow_id, workflow_type, arg_max(to_state, (us, seq)) FILTER (WHERE to_state IS NOT NULL) AS state,
   arg_max(priority, (us, seq)) FILTER (WHERE priority IS NOT NULL) AS priority,

@@ -236,7 +236,7 @@ def lite_events(rows):
         F.array("chunk_id").alias("source_refs"))
 
 
-@query("evidence", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(60), """
+EVIDENCE = """
 hits AS (SELECT * FROM placed WHERE rank <= 20),
 joined_pairs AS (SELECT DISTINCT h.query_id, least(b.chunk_id, b.related_id) AS lo, greatest(b.chunk_id, b.related_id) AS hi, b.type
   FROM hits h JOIN both_ends b ON b.workspace_id = h.workspace_id AND b.chunk_id = h.chunk_id
@@ -248,29 +248,65 @@ uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id,
 raised AS (SELECT h.query_id, h.chunk_id, h.rank AS search_rank, round(h.score + least(coalesce(raise, 0.0), 0.15::DOUBLE), 4) AS score
   FROM uniq h LEFT JOIN raises r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id),
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, search_rank) AS rank FROM raised)
-""", body="SELECT query_id, chunk_id, score AS score, rank FROM final WHERE rank <= 10"))
+"""
+
+
+@query("evidence", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(60), EVIDENCE,
+                             body="SELECT query_id, chunk_id, score AS score, rank FROM final WHERE rank <= 10"))
 def evidence(spark, sf_dir):
     rows = stored_chunks(spark, sf_dir)
     parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of())
     return parts["chunks"].select("query_id", "chunk_id", "score", "rank")
 
 
-@query("evidence_events", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, """
+FOUND_EVENTS = """
 near AS (SELECT q.query_id, q.workspace_id, c.chunk_id, row_number() OVER (PARTITION BY q.query_id ORDER BY
     round(list_dot_product(q.q, c.v) / (sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(c.v, c.v))), 9) DESC, c.chunk_id) AS r
   FROM questions q JOIN chunks c ON c.workspace_id = q.workspace_id),
 named AS (SELECT workspace_id, chunk_id, us, unnest(list_distinct(entities)) AS entity FROM chunks),
 latest AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, entity ORDER BY us DESC, 'event_' || chunk_id) AS r FROM named),
-asked_for AS (SELECT query_id, workspace_id, unnest(asked) AS entity FROM questions)
-""", body="""
-SELECT query_id, 'event_' || chunk_id AS event_id FROM near WHERE r <= 10
-UNION SELECT a.query_id, 'event_' || chunk_id FROM asked_for a JOIN latest l ON l.workspace_id = a.workspace_id
-  AND l.entity = a.entity AND l.r <= 10"""))
+asked_for AS (SELECT query_id, workspace_id, unnest(asked) AS entity FROM questions),
+found_events AS (SELECT query_id, chunk_id FROM near WHERE r <= 10
+  UNION SELECT a.query_id, chunk_id FROM asked_for a JOIN latest l ON l.workspace_id = a.workspace_id
+    AND l.entity = a.entity AND l.r <= 10)
+"""
+
+
+@query("evidence_events", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, FOUND_EVENTS,
+                                    body="SELECT query_id, 'event_' || chunk_id AS event_id FROM found_events"))
 def evidence_events(spark, sf_dir):
     prepared = retrieval.prepare_questions(questions(spark, sf_dir), A.as_of())
     return retrieval.related_events(prepared, lite_events(chunks(spark, sf_dir)), 10).select("query_id", "event_id")
 
 
+@query("evidence_timeline", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(60), EVIDENCE, FOUND_EVENTS, """
+mixed AS (SELECT query_id, 'chunk' AS type, f.chunk_id AS id, us FROM final f JOIN chunks c USING (chunk_id) WHERE rank <= 10
+  UNION ALL SELECT query_id, 'event', 'event_' || chunk_id, us FROM found_events JOIN chunks USING (chunk_id))
+""", body="SELECT query_id, type, id, row_number() OVER (PARTITION BY query_id ORDER BY us DESC, type, id) AS rank FROM mixed"))
+def evidence_timeline(spark, sf_dir):
+    rows = stored_chunks(spark, sf_dir)
+    parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of())
+    return parts["timeline"].select("query_id", "type", "id", "rank")
+
+
+@query("event_vector_search", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, """
+kinds AS (SELECT *, ['incident', 'deployment', 'discussion'][label % 3 + 1] AS kind FROM chunks),
+near AS (SELECT q.query_id, c.chunk_id, row_number() OVER (PARTITION BY q.query_id ORDER BY
+    round(list_dot_product(q.q, c.v) / (sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(c.v, c.v))), 9) DESC, c.chunk_id) AS r
+  FROM questions q JOIN kinds c ON c.workspace_id = q.workspace_id
+  WHERE (q.label % 2 = 0 OR kind IN ('incident', 'deployment')) AND (q_start IS NULL OR c.ts BETWEEN q_start AND q_end))
+""", body="SELECT query_id, 'event_' || chunk_id AS event_id, r AS rank FROM near WHERE r <= 7"))
+def event_vector_search(spark, sf_dir):
+    """Questions of odd labels want two of three event types; some have a time range."""
+    kind = F.element_at(F.array(F.lit("incident"), F.lit("deployment"), F.lit("discussion")), (F.col("label") % 3 + 1).cast("int"))
+    rows = chunks(spark, sf_dir)
+    events = lite_events(rows).drop("event_type").join(rows.select(F.concat(F.lit("event_"), "chunk_id").alias("event_id"), kind.alias("event_type")), "event_id")
+    odd = F.regexp_extract("query_id", r"^q(\d+)_", 1).cast("int") % 2 == 1
+    asked = retrieval.prepare_questions(questions(spark, sf_dir), A.as_of()).withColumn(
+        "q_types", F.when(odd, F.array(F.lit("incident"), F.lit("deployment"))))
+    return retrieval.search_events(asked, events, 7).select("query_id", "event_id", F.col("candidate_rank").alias("rank"))
+
+
 @query("evidence_days", with_ctes(RAW_DOCS, STANDARD, VECTORS, QUESTIONS, HITS.rstrip().rstrip(","), """
 rows AS (SELECT query_id, ts::DATE AS day, 1 AS d, 0 AS e FROM ranked WHERE candidate_rank <= 10
   UNION ALL SELECT query_id, day, 0, 1 FROM (SELECT q.query_id, c.ts::DATE AS day, row_number() OVER (PARTITION BY q.query_id ORDER BY

@@ -9,10 +9,10 @@ from memograph.catalog.base import OP_EVENTS, query, us, with_ctes
 from memograph.catalog.detectors import DEPLOYMENTS, GENERIC, ISSUES
 from memograph.catalog.events import SESSIONS
 from memograph.catalog.records import (
-    COMMANDS, HOOK_EVENTS, HOOKS, SUBSCRIPTIONS, TRANSITIONS, shape_commands, shape_hooks,
+    COMMANDS, FLOW_LOG, HOOK_EVENTS, HOOKS, SUBSCRIPTIONS, TRANSITIONS, shape_commands, shape_hooks,
 )
 from memograph.session import prepare, run_folder
-from memograph.streaming import detectors, runner, webhooks
+from memograph.streaming import detectors, runner, webhooks, workflows
 
 EVENT_LOG = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,11 +35,13 @@ def stream_deployment_incidents(spark, sf_dir):
     return runner.run_to_table(detectors.deployment_incidents(event_stream(spark, sf_dir)), "chains")
 
 
-@query("stream_sessions", with_ctes(OP_EVENTS, SESSIONS, body="SELECT workspace_id, event_count, start_us, end_us FROM clusters"))
+@query("stream_sessions", with_ctes(OP_EVENTS, SESSIONS, body="""
+SELECT workspace_id, event_count, start_us, end_us FROM clusters
+WHERE end_us + 7200000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM op_events)"""))
 def stream_sessions(spark, sf_dir):
-    rows = runner.run_to_table(detectors.activity_sessions(event_stream(spark, sf_dir)), "sessions", "complete")
-    return runner.latest(rows, ["workspace_id", "start_time"]).select(
-        "workspace_id", "event_count", us("start_time", "start_us"), us("end_time", "end_us"))
+    """Each session once, when the watermark has passed the gap after its last event; its state goes then."""
+    rows = runner.run_to_table(detectors.activity_sessions(event_stream(spark, sf_dir)), "sessions")
+    return rows.select("workspace_id", "event_count", us("start_time", "start_us"), us("end_time", "end_us"))
 
 
 @query("stream_cooccurrence", with_ctes(OP_EVENTS, """
@@ -78,6 +80,13 @@ def stream_workflow_transitions(spark, sf_dir):
     return rows.select("workspace_id", "workflow_id", "seq", "from_state", "to_state")
 
 
+@query("stream_workflow_log", with_ctes(COMMANDS, FLOW_LOG, body="""
+SELECT * FROM flow_log WHERE us // 1000 < (SELECT max(us) // 1000 - 3600000 FROM commands)"""))
+def stream_workflow_log(spark, sf_dir):
+    """Commands out of order: what lies an hour or more behind the newest one has been released."""
+    return runner.run_to_table(workflows.log(shape_commands(raw_stream(spark, sf_dir)), delay="1 hour"), "workflow-log")
+
+
 #: An hour is closed once the watermark, an hour behind the newest row, has passed its end.
 CLOSED = "(hour + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM seen)"
 

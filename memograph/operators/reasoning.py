@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from memograph import vocab
 from memograph.functions import phrases, scoring, text
-from memograph.operators import retrieval
+from memograph.operators import digest, retrieval
 from memograph.operators.upsert import keep_by
+from memograph.plans.late import first_passing
 from memograph.plans.substring import containing
 from memograph.session import cut_lineage
 
@@ -201,6 +202,20 @@ def answer(
             "findings": key_findings(parts["chunks"], traced["patterns"])}
 
 
+def wanted_names(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, workspace_id, wanted): lower-case names from each question and from its hits."""
+    own = questions.select("query_id", "workspace_id", F.explode("q_entities").alias("name"))
+    from_hits = hits.select("query_id", "workspace_id", F.explode("entities").alias("name"))
+    return cut_lineage(own.unionByName(from_hits).select("query_id", "workspace_id", F.lower(F.trim("name")).alias("wanted")).distinct())
+
+
+def entity_chunks(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """(query_id, workspace_id, chunk_id): chunks that refer to an entity whose name contains a wanted one."""
+    nodes = refs.select("workspace_id", "name").distinct()
+    resolved = containing(nodes, F.lower("name"), names, F.col("wanted"), ["workspace_id"]).select("query_id", "workspace_id", "name").distinct()
+    return refs.join(resolved, ["workspace_id", "name"]).select("query_id", "workspace_id", "chunk_id").distinct()
+
+
 def multi_hop_events(
     questions: DataFrame, hits: DataFrame, refs: DataFrame, events: DataFrame, newest: int = 100
 ) -> DataFrame:
@@ -209,12 +224,8 @@ def multi_hop_events(
     Wanted names come from the question and from its hits. A name table measured
     small is broadcast; a larger one meets the events on shared trigrams.
     """
-    own = questions.select("query_id", "workspace_id", F.explode("q_entities").alias("name"))
-    from_hits = hits.select("query_id", "workspace_id", F.explode("entities").alias("name"))
-    names = cut_lineage(own.unionByName(from_hits).select("query_id", "workspace_id", F.lower(F.trim("name")).alias("wanted")).distinct())
-    nodes = refs.select("workspace_id", "name").distinct()
-    resolved = containing(nodes, F.lower("name"), names, F.col("wanted"), ["workspace_id"]).select("query_id", "workspace_id", "name").distinct()
-    by_entity = refs.join(resolved, ["workspace_id", "name"]).select("query_id", "workspace_id", "chunk_id")
+    names = wanted_names(questions, hits)
+    by_entity = entity_chunks(names, refs)
     chunks = by_entity.union(hits.select("query_id", "workspace_id", "chunk_id")).distinct()
     linked = events.select("workspace_id", "chunk_id", "event_id").join(chunks, ["workspace_id", "chunk_id"]).select(
         "query_id", "workspace_id", "event_id")
@@ -229,6 +240,51 @@ def multi_hop_events(
     return reached.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= newest)
 
 
+def in_range() -> Column:
+    return (F.col("q_start").isNull() | (F.col("ts") >= F.col("q_start"))) & (F.col("q_end").isNull() | (F.col("ts") <= F.col("q_end")))
+
+
+def multi_hop(
+    questions: DataFrame, chunks: DataFrame, refs: DataFrame, events: DataFrame, insights: DataFrame,
+    nearest: int = 5, newest: int = 100, page: int = 50,
+) -> dict[str, DataFrame]:
+    """Everything one question leads to: hits, events, a timeline, patterns, insights, and a summary row.
+
+    questions are prepared ones. The timeline holds the `page` newest events of the workspace in
+    the question's range that an entity of the question or of its hits is mentioned with, or any
+    event where no such entity is known. Patterns and insights are those of the workspace; the
+    confidence is the mean over its insights, 0.8 where there is none.
+    """
+    hits = cut_lineage(retrieval.filtered_knn(questions, chunks, nearest, conditions=in_range()).select(
+        "query_id", "workspace_id", "chunk_id", "entities", "cosine"))
+    reached = cut_lineage(multi_hop_events(questions, hits, refs, events, newest))
+    mentioned = cut_lineage(entity_chunks(wanted_names(questions, hits), refs))
+    bound = mentioned.select("query_id").distinct().withColumn("bound", F.lit(True))
+    asking = cut_lineage(questions.select("query_id", "workspace_id", "q_start", "q_end", F.lit(page).alias("page_limit")).join(bound, "query_id", "left"))
+
+    def wanted(fetched: DataFrame) -> DataFrame:
+        inside = fetched.filter(in_range())
+        linked = mentioned.withColumn("_linked", F.lit(True))
+        return inside.join(linked, ["query_id", "workspace_id", "chunk_id"], "left").filter(
+            F.col("bound").isNull() | F.col("_linked")).drop("_linked")
+
+    order = [-F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62))), F.col("event_id")]
+    shown = cut_lineage(first_passing(events, asking, ["workspace_id"], "query_id", order, "page_limit", wanted))
+    by_time = Window.partitionBy("query_id").orderBy(F.asc_nulls_first("ts"), F.desc("rank"))
+    timeline = shown.withColumn("delta_seconds", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by_time))) / 1_000_000)
+    patterns = digest.pattern_report(events, refs)
+    parts = {"hits": hits, "events": reached, "timeline": timeline, "patterns": patterns, "insights": insights}
+    out = questions.select("query_id", "workspace_id", "question", "q_start", "q_end")
+    for name, rows in (("hits", hits), ("events", reached)):
+        out = out.join(rows.groupBy("query_id").agg(F.count(F.lit(1)).alias(name)), "query_id", "left")
+    gaps = timeline.groupBy("query_id").agg(F.count(F.lit(1)).alias("timeline_events"), F.max("delta_seconds").alias("longest_gap_seconds"))
+    sections = patterns.groupBy("workspace_id").pivot("section", ["temporal_clusters", "incident_frequencies", "deployment_incidents"]).agg(F.first("n"))
+    told = insights.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("insights"), F.round(F.avg("confidence"), 2).alias("confidence"))
+    counts = ["hits", "events", "timeline_events", "temporal_clusters", "incident_frequencies", "deployment_incidents", "insights"]
+    summary = out.join(gaps, "query_id", "left").join(sections, "workspace_id", "left").join(told, "workspace_id", "left")
+    return {**parts, "summary": summary.fillna(0, counts).fillna(0.8, ["confidence"])}
+
+
 def alert_context(alerts: DataFrame, answers: DataFrame, findings: DataFrame) -> DataFrame:
     """Diagnostic text of an alert from the answer to its title and its first two findings."""
     w = Window.partitionBy("query_id").orderBy("kind", "n")

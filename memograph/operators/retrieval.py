@@ -145,6 +145,22 @@ def related_events(questions: DataFrame, events: DataFrame, event_limit: int = 1
     return merged.drop("list").join(events.drop("embedding"), ["workspace_id", "event_id"])
 
 
+def search_events(questions: DataFrame, events: DataFrame, limit: int = 10) -> DataFrame:
+    """The `limit` events nearest to each question in its workspace, of its types and inside its time range.
+
+    questions are prepared ones with q_types, a list of event types; a null one admits all.
+    """
+    wanted = (F.col("q_types").isNull() | F.array_contains("q_types", F.col("event_type"))) & (
+        F.col("q_start").isNull() | (F.col("ts") >= F.col("q_start"))) & (F.col("q_end").isNull() | (F.col("ts") <= F.col("q_end")))
+    return filtered_knn(questions, events.filter(F.col("embedding").isNotNull()), limit, "event_id", conditions=wanted)
+
+
+def newest_first(mixed: DataFrame) -> DataFrame:
+    """Each question's chunks and events in one list, the newest first and undated last; a list is bounded by its search limits."""
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("ts"), "type", "id")
+    return mixed.withColumn("rank", F.row_number().over(w))
+
+
 def evidence(
     questions: DataFrame, chunks: DataFrame, events: DataFrame, correlations: DataFrame, as_of: Column, limit: int = 10
 ) -> dict[str, DataFrame]:
@@ -182,7 +198,7 @@ def evidence(
         "query_id", F.lit("event").alias("type"), F.col("event_id").alias("id"),
         F.coalesce(F.try_element_at("source_refs", F.lit(1)), F.lit("system")).alias("source"), "ts",
         F.coalesce("score", F.lit(0.8)).alias("score"), F.col("summary").alias("content"), "entities"))
-    return {"questions": prepared, "chunks": final, "events": found, "correlations": pairs.drop("lo", "hi"), "timeline": mixed}
+    return {"questions": prepared, "chunks": final, "events": found, "correlations": pairs.drop("lo", "hi"), "timeline": newest_first(mixed)}
 
 
 def day_groups(hits: DataFrame, events: DataFrame, limit_days: int = 10) -> DataFrame:

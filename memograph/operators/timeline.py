@@ -118,6 +118,32 @@ def entity_page(events: DataFrame, refs: DataFrame, questions: DataFrame) -> Dat
     return first_passing(events, questions, WS, "query_id", newest, "page_limit", mentioned)
 
 
+def build(events: DataFrame, refs: DataFrame, questions: DataFrame) -> DataFrame:
+    """A timeline for each question: newest events first, with deltas inside the page and sorted entity names.
+
+    questions: query_id, workspace_id, page_limit, and the filters types (a list), severities
+    (a list), start, end and entity; a null filter admits all. Filters are looked at on fetched
+    events, and a page that is not full fetches on.
+    """
+    def admitted(fetched: DataFrame) -> DataFrame:
+        def opt(name: str, condition: Column) -> Column:
+            return F.col(name).isNull() | condition
+
+        inside = fetched.filter(
+            opt("types", F.array_contains("types", F.col("event_type"))) & opt("severities", F.array_contains("severities", F.col("severity")))
+            & opt("start", F.col("ts") >= F.col("start")) & opt("end", F.col("ts") <= F.col("end")))
+        named = refs.select("workspace_id", "chunk_id", F.col("name").alias("entity"), F.lit(True).alias("_named")).distinct()
+        return inside.join(named, ["workspace_id", "chunk_id", "entity"], "left").filter(opt("entity", F.col("_named"))).drop("_named")
+
+    newest = [-F.coalesce(micros("ts"), F.lit(-(1 << 62))), F.col("event_id")]
+    page = first_passing(events, questions, WS, "query_id", newest, "page_limit", admitted)
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_first("ts"), F.desc("rank"))
+    before = F.last("ts", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = page.withColumn("delta_seconds", (micros("ts") - F.unix_micros(before)) / F.lit(1_000_000.0))
+    names = refs.groupBy("workspace_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("entity_names"))
+    return out.withColumn("delta_text", text.duration_text(F.col("delta_seconds"))).join(names, ["workspace_id", "chunk_id"], "left")
+
+
 def ranked_clusters(clusters: DataFrame) -> DataFrame:
     """Clusters with their place by size over all workspaces, the largest first; ties by start, workspace and number."""
     return with_rank(clusters, [F.desc("event_count"), F.col("start_us"), F.col("workspace_id"), F.col("cluster_id")])
@@ -170,8 +196,3 @@ def previous_deployment(events: DataFrame, issue_types: Sequence[str] = ("incide
             F.floor((F.col("us") - F.col("d.us")) / 60_000_000).alias("minutes_after"),
         )
     )
-
-
-def chronological(rows: DataFrame, newest_first: bool) -> DataFrame:
-    order = F.desc_nulls_last("ts") if newest_first else F.asc_nulls_first("ts")
-    return rows.orderBy(order, F.asc("id"))

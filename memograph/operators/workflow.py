@@ -43,15 +43,36 @@ def transitions(commands: DataFrame) -> DataFrame:
         *keys, "seq", "ts", F.col("previous_to_state").alias("from_state"), "to_state", notes.alias("notes"))
 
 
-def latest(commands: DataFrame) -> DataFrame:
-    """Current row of every workflow: the last given value of each field."""
-    order = F.struct("ts", "seq")
-    kind = F.col("workflow_type")
+def owner_of(kind: Column) -> Column:
+    """Who takes over an escalated workflow of this type."""
     owner = F.lit(DEFAULT_OWNER)
     for name, person in ESCALATION_OWNERS.items():
         owner = F.when(kind == name, person).otherwise(owner)
+    return owner
+
+
+def log(commands: DataFrame) -> DataFrame:
+    """Changes of state and assignee and first links of each workflow: (keys, seq, us, kind, from_value, to_value)."""
+    keys = ["workspace_id", "workflow_id"]
+    person = F.when(F.col("action") == "escalate", owner_of(F.col("workflow_type"))).otherwise(F.col("assignee"))
+
+    def changes(value: Column, kind: str) -> DataFrame:
+        given = commands.select(*keys, "seq", micros("ts").alias("us"), value.alias("value")).filter("value IS NOT NULL")
+        ordered = timescan.carry_last(given, keys, ["us", "seq"], "value", "us", cell_us=60_000_000)
+        changed = ordered.filter(F.col("previous_value").isNull() | (F.col("previous_value") != F.col("value")))
+        return changed.select(*keys, "seq", "us", F.lit(kind).alias("kind"), F.col("previous_value").alias("from_value"), F.col("value").alias("to_value"))
+
+    links = commands.filter(F.col("related_event").isNotNull()).groupBy(*keys, "related_event").agg(
+        F.min(F.struct(micros("ts").alias("us"), "seq")).alias("first"))
+    return changes(requested_state(), "state").unionByName(changes(person, "assignee")).unionByName(links.select(
+        *keys, "first.seq", "first.us", F.lit("link").alias("kind"), F.lit(None).cast("string").alias("from_value"), F.col("related_event").alias("to_value")))
+
+
+def latest(commands: DataFrame) -> DataFrame:
+    """Current row of every workflow: the last given value of each field."""
+    order = F.struct("ts", "seq")
     state = requested_state()
-    assignee = F.when(F.col("action") == "escalate", owner).otherwise(F.col("assignee"))
+    assignee = F.when(F.col("action") == "escalate", owner_of(F.col("workflow_type"))).otherwise(F.col("assignee"))
 
     def last_given(value: Column, name: str) -> Column:
         return F.max_by(value, F.when(value.isNotNull(), order)).alias(name)
