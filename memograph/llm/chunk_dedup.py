@@ -14,10 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memograph.llm.common import stored
+
 GEAR = np.random.default_rng(2024).integers(0, 1 << 16, size=256, dtype=np.uint16)
+FREQUENT = 4096
 FLAGS = "id long, mark long, start int, size int, low long, high long, fresh boolean"
 
 
@@ -76,10 +79,15 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, least: int, bits: int, m
                     pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(marks), pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()),
                     pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(fresh, pa.bool_())], ["id", "mark", "start", "size", "low", "high", "fresh"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text_col).alias("mark"),
+    return docs.select(_number(id_col, text_col).alias("id"), F.xxhash64(text_col).alias("mark"),
                        F.col(text_col).cast("binary").alias("text")).mapInArrow(run, FLAGS)
 
 
+def _number(id_col: str, text_col: str) -> Column:
+    """The id; texts without one are documents of their own, in the upper half of the numbers, by a hash of the text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(text_col), 3) + F.lit(3 << 61))
+
+
 def removed_spans(text: bytes, spans: list[tuple[int, int]], min_bytes: int) -> list[tuple[int, int]]:
     """Runs of adjoining (start, size), at least min_bytes long, drawn in to whole characters."""
     runs: list[list[int]] = []
@@ -107,13 +115,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     n_repeated counts the bytes in chunks that occur more than once anywhere. Null and empty
     texts have no chunks and give an empty text. Rows that share an id count as one document,
-    and of repeated rows each has its result. A null id counts as larger than any other.
-    Other columns are ignored. No rows give no rows.
+    and of repeated rows each has its result. Unlike texts with null ids are documents of their
+    own and count as larger than any id below 6e18. Other columns are ignored. No rows give
+    no rows.
     """
     pieces = chunks(docs, id_col, text_col, least, bits, most)
-    repeated = pieces.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
-    found = pieces.join(repeated.select("low", "high", "first"), ["low", "high"]).groupBy("id", "mark").agg(
-        F.collect_set(F.struct("start", "size", (~F.col("fresh") | (F.col("id") > F.col("first"))).alias("goes"))).alias("found"))
+    repeated = stored(pieces.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1"))
+    # Fewer than FREQUENT digests can hold a share of 1 / FREQUENT each: they are looked up where the chunks
+    # lie, and their chunks go on under a hash of their own place, which spreads them and meets nothing.
+    heavy = F.col("n") > (repeated.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    often = F.broadcast(repeated.filter(heavy).select("low", "high", F.col("first").alias("often")))
+    known = F.col("often").isNotNull()
+    marked = pieces.join(often, ["low", "high"], "left").withColumns({
+        "low": F.when(known, F.xxhash64("mark", "start", "id")).otherwise(F.col("low")), "high": F.when(known, F.lit(0)).otherwise(F.col("high"))})
+    seldom = repeated.filter(~heavy).select("low", "high", "first")
+    first = F.coalesce("often", "first")
+    found = marked.join(seldom, ["low", "high"], "left").filter(first.isNotNull()).groupBy("id", "mark").agg(
+        F.collect_set(F.struct("start", "size", (~F.col("fresh") | (F.col("id") > first)).alias("goes"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +151,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.string())],
                                              ["id", "n_bytes", "n_repeated", "n_removed", "n_spans", "text"])
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
+    keyed = docs.select(F.col(id_col).cast("long").alias("own"), _number(id_col, text_col).alias("id"),
                         F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
     joined = keyed.join(found, ["id", "mark"], "left").select("own", "text", "found")
     return joined.mapInArrow(run, "id long, n_bytes long, n_repeated long, n_removed long, n_spans long, text string").withColumnRenamed("id", id_col)
