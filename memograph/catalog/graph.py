@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memograph import adapters as A
 from memograph.catalog.base import query, with_ctes
 from memograph.catalog.documents import MENTION_GRAPH, RAW_DOCS, STANDARD, WORDS
+from memograph.functions.embedding import hashed_trigrams
 from memograph.operators import entities, graph, graphbuild, resolution, upsert
 
 NODES = """
@@ -234,6 +235,21 @@ def entity_create(spark, sf_dir):
     return upsert.create_entities(mentions).select("workspace_id", "entity_id", "name", "source_chunk_id")
 
 
+@query("entity_create_known", """
+WITH m AS (SELECT p_brand AS workspace_id, lower(p_name) AS name_key, p_name AS name, p_partkey FROM part),
+known AS (SELECT workspace_id, name_key, upper(arg_min(name, p_partkey)) AS name, 'p' || min(p_partkey) AS chunk FROM m WHERE p_partkey % 2 = 0 GROUP BY 1, 2),
+fresh AS (SELECT workspace_id, name_key, arg_min(name, p_partkey) AS name, 'p' || min(p_partkey) AS chunk FROM m GROUP BY 1, 2)
+SELECT f.workspace_id, md5(f.workspace_id || '|product|' || f.name_key) AS entity_id, coalesce(k.name, f.name) AS name,
+  coalesce(k.chunk, f.chunk) AS source_chunk_id FROM fresh f LEFT JOIN known k ON k.workspace_id = f.workspace_id AND k.name_key = f.name_key""")
+def entity_create_known(spark, sf_dir):
+    """Parts of even numbers are stored, in capitals; all parts are mentioned then, and only the rest are new."""
+    mentions = A.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("workspace_id"), F.lit("product").alias("type"), F.col("p_name").alias("name"),
+        F.concat(F.lit("p"), "p_partkey").alias("chunk_id"), F.col("p_partkey").alias("seen_at"), F.lit(0).alias("position"))
+    known = upsert.create_entities(mentions.filter("seen_at % 2 = 0")).withColumn("name", F.upper("name"))
+    return upsert.create_entities(mentions, known).select("workspace_id", "entity_id", "name", "source_chunk_id")
+
+
 @query("entity_merge", """
 WITH canon AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS c FROM part),
 refs AS (SELECT DISTINCT 'o' || l_orderkey AS chunk_id, c AS entity FROM lineitem JOIN canon ON p_partkey = l_partkey),
@@ -308,6 +324,41 @@ def entity_resolution(spark, sf_dir):
     return resolution.resolve(wanted, stored).select("name", "entity_id", "stage")
 
 
+# crc32 of a text's bytes, by the table that eight shifts of each byte give.
+NAME_VECTORS = """
+crc_steps AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+spelt AS (SELECT DISTINCT name, '  ' || lower(name) || ' ' AS p FROM (SELECT name FROM wanted UNION ALL SELECT name FROM stored)),
+tris AS (SELECT name, unnest(list_transform(range(length(p) - 2), lambda i: substr(p, i + 1, 3))) AS g FROM spelt),
+slots AS (SELECT name, xor(list_reduce([4294967295] || list_transform(range(3), lambda i: ascii(substr(g, i + 1, 1))::BIGINT),
+    lambda c, x: xor(t[xor(c, x) % 256 + 1], c >> 8)), 4294967295) % 128 AS slot, count(*) AS n FROM tris, crc_steps GROUP BY ALL),
+sizes AS (SELECT name, sqrt(sum(n * n)) AS size FROM slots GROUP BY name)
+"""
+
+
+@query("entity_resolution_vectors", """
+WITH stored AS (SELECT min(p_partkey) AS entity_id, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part GROUP BY ALL),
+wanted AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_type || ' ' || p_brand
+    WHEN 1 THEN p_name || p_type || ' ' || p_brand ELSE 'zq' || p_size || 'xj' END AS name FROM part),
+""" + NAME_VECTORS + """,
+exact AS (SELECT w.name, s.entity_id FROM wanted w JOIN stored s ON s.name = w.name),
+dots AS (SELECT w.name, s.name AS ename, sum(a.n * b.n) AS dot FROM wanted w JOIN slots a ON a.name = w.name JOIN slots b ON b.slot = a.slot
+  JOIN stored s ON s.name = b.name WHERE w.name NOT IN (SELECT name FROM exact) GROUP BY ALL),
+near AS (SELECT d.name, d.ename, round(dot / (x.size * y.size), 9) AS c FROM dots d JOIN sizes x ON x.name = d.name JOIN sizes y ON y.name = d.ename),
+best AS (SELECT name, arg_max(ename, (c, -k)) AS ename, max(c) AS c FROM (SELECT *, row_number() OVER (ORDER BY ename) AS k FROM near) GROUP BY name)
+SELECT w.name, coalesce(x.entity_id, s.entity_id) AS entity_id, CASE WHEN x.name IS NOT NULL THEN 'exact' WHEN s.name IS NOT NULL THEN 'vector' ELSE 'new' END AS stage
+FROM wanted w LEFT JOIN exact x ON x.name = w.name LEFT JOIN best b ON b.name = w.name AND b.c >= 0.92 LEFT JOIN stored s ON s.name = b.ename""")
+def entity_resolution_vectors(spark, sf_dir):
+    """Names with a missing space share no token set with the stored ones; their letters still give them away."""
+    part = A.table(spark, sf_dir, "part")
+    full = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    stored = part.groupBy(full.alias("name")).agg(F.min("p_partkey").alias("entity_id")).select(
+        F.lit("w").alias("workspace_id"), F.lit("product").alias("type"), "entity_id", "name", F.array().cast("array<string>").alias("aliases"))
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, full).when(k == 1, F.concat("p_name", "p_type", F.lit(" "), "p_brand")).otherwise(F.concat(F.lit("zq"), "p_size", F.lit("xj")))
+    wanted = part.select(F.lit("w").alias("workspace_id"), F.lit("product").alias("type"), name.alias("name"))
+    return resolution.resolve(wanted, stored, embed=hashed_trigrams(128)).select("name", "entity_id", "stage")
+
+
 @query("graph_build", with_ctes(RAW_DOCS, STANDARD, WORDS, MENTION_GRAPH, body="""
 SELECT workspace_id, type, name, aliases, source_chunk_id, chunks FROM built""").replace("WITH ", "WITH RECURSIVE ", 1))
 def graph_build(spark, sf_dir):

@@ -104,3 +104,16 @@ def deep_paths(spark, sf_dir):
     nodes = A.table(spark, sf_dir, "part").select(
         k.alias("node_id"), F.when(k % 27 != 0, k - 1).alias("parent_id"), k.cast("string").alias("title"))
     return wiki.paths(nodes).select("node_id", "depth", "path")
+
+
+@query("insert_or_ignore", """
+WITH current AS (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT k, v, 'old' AS made FROM current
+UNION ALL SELECT o_orderkey, o_custkey + 1, 'new' FROM orders WHERE o_orderkey % 3 = 0""")
+def insert_or_ignore(spark, sf_dir):
+    """Keys that are there stay as they are; of two new rows of a key the first is added."""
+    orders = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
+    current = orders.filter("k % 3 <> 0").select("k", "v", F.lit("old").alias("made"), F.lit(0).alias("seen_at"))
+    again = orders.select("k", F.explode(F.array(F.lit(1), F.lit(2))).alias("seen_at"), "v").select(
+        "k", (F.col("v") + F.col("seen_at")).alias("v"), F.lit("new").alias("made"), "seen_at")
+    return upsert.insert_missing(current, again, ["k"], ["seen_at"]).select("k", "v", "made")
