@@ -136,3 +136,26 @@ def test_depth_is_never_cut(spark):
     assert graph.neighbourhood(edges, seeds, 4).agg(F.max("hop")).first()[0] == 4
     with pytest.raises(ValueError):
         graph.neighbourhood(edges, seeds, 0)
+
+
+def test_late_commands_find_their_place(spark, tmp_path):
+    """Commands shuffled over many small batches against the batch log, once a far later command has moved the watermark."""
+    import random
+
+    from memograph.catalog.records import shape_commands
+    from memograph.operators import workflow
+    from memograph.streaming import workflows
+
+    rng = random.Random(6)
+    raw = spark.read.schema(LOG).parquet(f"{SF}/events.parquet").orderBy("ts").limit(300).collect()
+    sent = list(raw)
+    rng.shuffle(sent)
+    last = raw[-1]
+    sent.append(type(last)(*[last[0] + 10 ** 9, last[1] + timedelta(days=400), 10 ** 9, "signup", 1.0, last[5]]))
+    for i in range(0, len(sent), 40):
+        spark.createDataFrame([tuple(r) for r in sent[i:i + 40]], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream_in = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = runner.run_to_table(workflows.log(shape_commands(stream_in), delay="300 days"), "late-commands")
+    want = workflow.log(shape_commands(spark.createDataFrame([tuple(r) for r in raw], LOG)))
+    columns = ["workspace_id", "workflow_id", "seq", "us", "kind", "from_value", "to_value"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
