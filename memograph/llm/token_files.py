@@ -20,21 +20,25 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memograph.llm.bpe import encode_blocks
-from memograph.llm.common import partitions, stored
+from memograph.llm.bpe import BLOCK_BYTES, encode_blocks
+from memograph.llm.common import blocks_for, partitions, stored
+from memograph.plans.ranking import with_running_total
 from memograph.session import run_folder
 
 MAGIC = b"PFR1"
 PER_BLOCK, LANES = 512, 16
 LAST_ID = (1 << 63) - 1
+ROW_BYTES = 1024  # what a row counts for beside its text
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -130,26 +134,45 @@ def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a shared folder; a path without a scheme is a mounted one."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The file system of a folder or file, which the driver has named with its scheme."""
+    return fs.FileSystem.from_uri(uri)
 
 
-def splitters(docs: DataFrame, id_col: str, blocks: int) -> list[int]:
-    """Ids that cut the rows into ranges of about equal count; an id with many rows appears several times."""
-    shares = [k / blocks for k in range(1, blocks)]
-    found = docs.select(F.percentile_approx(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), shares, 20 * blocks).alias("s")).first()["s"] if shares else None
-    return sorted(found or [])
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark's default file system understands it, scheme included: tasks do not guess."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def below(value: Column, cuts: list[int], step: int = 64) -> Column:
-    """How many of the sorted cuts are below the value, looked up in two levels."""
-    if not cuts:
-        return F.lit(0)
-    longs = lambda xs: "array(" + ",".join(f"cast({x} as bigint)" for x in xs) + ")"
-    groups = [cuts[k:k + step] for k in range(0, len(cuts), step)]
-    count = lambda c: F.size(F.filter(c, lambda s: s < value))
-    group = F.greatest(count(F.expr(longs([g[0] for g in groups]))), F.lit(1))
-    return (group - 1) * step + count(F.element_at(F.expr("array(" + ",".join(longs(g) for g in groups) + ")"), group))
+def cuts_by_bytes(rows: DataFrame, blocks: int) -> list[tuple[int, bool, int]]:
+    """First (id, absent, mark) of every block but the first, of blocks of about BLOCK_BYTES of text, `blocks` or more of them.
+
+    A key with many rows may begin several blocks. One tuple for each block passes through the driver.
+    """
+    order = ["id", "absent", "mark"]
+    placed = stored(with_running_total(rows, [], [F.col(c) for c in order], F.col("bytes")))
+    total = placed.agg(F.max(F.col("before") + F.col("bytes"))).first()[0] or 0
+    share = -(-total // max(blocks, blocks_for(total, BLOCK_BYTES))) or 1
+    firsts = placed.groupBy(F.floor(F.col("before") / share).alias("block")).agg(F.min(F.struct(*order)).alias("first"))
+    return sorted((r["first"]["id"], r["first"]["absent"], r["first"]["mark"]) for r in firsts.filter("block > 0").collect())
+
+
+def block_of(cuts: list[tuple[int, bool, int]]) -> Callable[..., Column]:
+    """The block of a row by (id, absent, mark); rows of a key that begins several blocks spread over them by their number."""
+    ids = np.array([c[0] for c in cuts], dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def place(key: pd.Series, absent: pd.Series, mark: pd.Series, row: pd.Series) -> pd.Series:
+        keys = key.to_numpy()
+        low, high = np.searchsorted(ids, keys, side="left"), np.searchsorted(ids, keys, side="right")
+        for k in np.flatnonzero(high > low).tolist():
+            own = (int(keys[k]), bool(absent.iloc[k]), int(mark.iloc[k]))
+            first, last = bisect_left(cuts, own, low[k], high[k]), bisect_right(cuts, own, low[k], high[k])
+            low[k] = first + int(row.iloc[k]) % (last - first + 1)
+        return pd.Series(low)
+
+    return place
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2, percentile: float = 99.0,
@@ -161,16 +184,13 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2
     hash of their text; null ids come last. Other columns of docs are ignored. No rows give no files.
     """
     spark = docs.sparkSession
-    folder = folder or run_folder(spark, "tokens")
-    blocks = 2 * partitions(spark)
-    cuts = splitters(docs, id_col, blocks)
+    folder = qualified(spark, folder or run_folder(spark, "tokens"))
     key, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(text_col)
-    # An id that is a cut itself spreads over the ranges beside its cuts, in the order of its marks.
-    under, same = below(key, cuts), F.lit(0)
-    if cuts:
-        same = F.when(key < LAST_ID, below(F.least(key, F.lit(LAST_ID - 1)) + 1, cuts)).otherwise(F.lit(len(cuts))) - under
-    part = F.floor((mark / 2.0 ** 64 + 0.5) * (same + 1))
-    block = (under + F.least(part, same)).cast("long")
+    absent = F.col(id_col).cast("long").isNull()
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + ROW_BYTES
+    cuts = cuts_by_bytes(docs.select(key.alias("id"), absent.alias("absent"), mark.alias("mark"), size.alias("bytes")),
+                         2 * partitions(spark))
+    block = block_of(cuts)(key, absent, mark, F.monotonically_increasing_id()) if cuts else F.lit(0).cast("long")
     texts = docs.select(block.alias("block"), F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).cast("binary").alias("text"))
 
     def finish(block: int, rows: pa.Table, ids: np.ndarray, sizes: np.ndarray) -> pa.Table:
@@ -188,7 +208,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2
             out.write(data)
         return pa.table({"block": [block], "path": [f"{folder}/{name}"], "n_texts": [len(own)], "n_ids": [int(sizes.sum()) + len(own)]})
 
-    files = stored(encode_blocks(texts, path, finish, "block long, path string, n_texts long, n_ids long", blocks))
+    files = stored(encode_blocks(texts, path, finish, "block long, path string, n_texts long, n_ids long", len(cuts) + 1))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
