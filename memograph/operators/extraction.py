@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memograph import vocab
 from memograph.functions import text
 from memograph.operators import upsert
+from memograph.session import cut_lineage
 
 RESPONSE_SCHEMA = """
 entities array<struct<name:string,type:string,description:string>>,
@@ -87,22 +88,22 @@ def event_graph(chunks: DataFrame, tolerance_us: int = upsert.MINUTES_5) -> tupl
     An edge names its ends by title within the chunk. The last event of a title
     is the one an edge points to, and events merged away point to their survivor.
     """
-    found = line_events(chunks)
-    shaped = found.withColumn("metadata", F.lit("{}"))
-    events = upsert.upsert_events(shaped, tolerance_us)
-    survivors = survivor_map(shaped, tolerance_us)
+    # Lines are classified once; the events, their survivors and the edges all read the narrow result.
+    found = cut_lineage(line_events(chunks).withColumn("metadata", F.lit("{}")))
+    events = upsert.upsert_events(found, tolerance_us)
+    survivors = survivor_map(found, tolerance_us)
     titles = (
         found.join(survivors, ["workspace_id", "event_id"])
         .groupBy("workspace_id", "chunk_id", F.lower(F.trim("title")).alias("title_key"))
         .agg(F.max_by("survivor_id", "line_no").alias("id"))
     )
-    edges = sequential_edges(chunks)
+    # The lines of a chunk come from one row.
+    before = F.lag(F.lower(F.trim("title"))).over(Window.partitionBy("workspace_id", "chunk_id").orderBy("line_no"))
+    edges = found.select("workspace_id", "chunk_id", F.lower(F.trim("title")).alias("s"), before.alias("t")).filter("t IS NOT NULL").withColumns(
+        {"relationship_type": F.lit("occurred_after"), "confidence": F.lit(0.5)})
     src = titles.select("workspace_id", "chunk_id", F.col("title_key").alias("s"), F.col("id").alias("source_event_id"))
     dst = titles.select("workspace_id", "chunk_id", F.col("title_key").alias("t"), F.col("id").alias("target_event_id"))
-    resolved = (
-        edges.withColumn("s", F.lower(F.trim("source_title"))).withColumn("t", F.lower(F.trim("target_title")))
-        .join(src, ["workspace_id", "chunk_id", "s"]).join(dst, ["workspace_id", "chunk_id", "t"])
-    )
+    resolved = edges.join(src, ["workspace_id", "chunk_id", "s"]).join(dst, ["workspace_id", "chunk_id", "t"])
     return events, upsert.upsert_event_edges(resolved)
 
 

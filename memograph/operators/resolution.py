@@ -179,7 +179,9 @@ def build_graph(mentions: DataFrame, threshold: float = vocab.JACCARD_THRESHOLD)
 
     checked = mentions.withColumn("type", text.entity_type_or_document(F.col("type"))).withColumn(
         "name", text.entity_name_or_null(F.col("name"))).filter(F.col("name").isNotNull())
-    canon = canonical_names(checked, threshold)
+    # Written once: mentions are found in texts, and both the names and the references read them.
+    checked = cut_lineage(checked)
+    canon = cut_lineage(canonical_names(checked, threshold))
     by_key = checked.withColumn("name_key", F.lower(F.trim("name"))).join(
         canon.select(*BLOCK, "name_key", "entity_id", "canonical_name"), [*BLOCK, "name_key"])
     aliases = canon.groupBy(*BLOCK, "entity_id", "canonical_name").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
