@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memograph.llm.common import partitions
+from memograph.llm.common import blocks_for, partitions
 
 OTHER, LETTER, NUMBER, WHITE = range(4)
 #: Endings that form one word with the apostrophe before them (fixed values of the split pattern).
@@ -203,6 +203,11 @@ def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]
 
 
 Finish = Callable[[int, pa.Table, np.ndarray, np.ndarray], pa.Table]
+BLOCK_BYTES = 32 << 20  # of text in a block, about
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
 def encode_blocks(texts: DataFrame, path: str, finish: Finish, schema: str, blocks: int) -> DataFrame:
@@ -279,7 +284,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out["decoded"] = pa.array([join_pieces(c, known) for c in cut], pa.string())
         return pa.table(out)
 
-    blocks = partitions(docs.sparkSession)
+    blocks = max(partitions(docs.sparkSession), blocks_for(text_bytes(docs, text_col), BLOCK_BYTES))
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(blocks))
     texts = docs.select(key.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return encode_blocks(texts, path, finish, "id long, ids binary" + ", decoded string" * decoded, blocks).withColumnRenamed("id", id_col)
