@@ -72,9 +72,10 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, max_epochs: f
     are ignored. Reruns agree. No rows give no rows.
     """
     weight = F.greatest(F.coalesce(quality_weight(F.col(text_col)) if quality is None else quality, F.lit(0.0)), F.lit(1e-9))
-    rows = docs.select(
+    # Written once: the range partitioning samples its input, and texts are not to be read twice for it.
+    rows = stored(docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        (-F.log(draw(F.col(id_col), seed)) / weight).alias("key"))
+        (-F.log(draw(F.col(id_col), seed)) / weight).alias("key")))
     order = ["source", "key", "id", "mark"]
     ranged = stored(rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(
         "*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
