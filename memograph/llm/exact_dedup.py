@@ -9,7 +9,7 @@ shuffle, in which no group exceeds the share that makes a digest heavy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memograph.llm.common import ascii_lower, stored
@@ -58,8 +58,10 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trac
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of docs that stay, with their own columns. Of repeated rows (same id and text) one stays."""
-    kept = decide(docs, id_col, text_col, **params).filter("kept").select(
-        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)).withColumn("__id", F.col(id_col))
-    hit = keyed.join(kept, keyed["__sha"].eqNullSafe(kept["__sha"]) & keyed["__id"].eqNullSafe(kept["__id"]), "left_semi")
-    return hit.dropDuplicates(["__sha", "__id"]).drop("__sha", "__id")
+    # Plain keys without nulls, so that one exchange of the texts serves the join and the grouping after it.
+    def plain(c: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+    kept = decide(docs, id_col, text_col, **params).filter("kept").select(plain(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumns({"__sha": F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256), "__id": plain(id_col)})
+    return keyed.join(kept, ["__sha", "__id"], "left_semi").dropDuplicates(["__sha", "__id"]).select(*docs.columns)
