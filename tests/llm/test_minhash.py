@@ -129,3 +129,53 @@ def test_recall_and_false_removals_by_band(spark):
     gone = [band[i] for i, _ in rows if i not in kept]
     assert all(i % 2 for i in range(len(rows)) if i not in kept)
     assert {s: gone.count(s) for s in sorted(set(band.values()))} == {0.5: 0, 0.7: 0, 0.78: 0, 0.8: 100, 0.85: 100, 0.9: 100, 0.95: 100}
+
+
+def prose(rng, n):
+    return [("".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))) for _ in range(n)]
+
+
+def data():
+    """Groups of copies with a few changed words, and texts of their own."""
+    rng, rows, group = random.Random(8), [], {}
+    for g in range(25):
+        base = prose(rng, rng.choice([60, 200, 500]))
+        for c in range(1 + g % 6 if g else 60):
+            words = list(base)
+            for _ in range(int(len(words) * rng.choice([0, 0.01, 0.02])) if c else 0):
+                words[rng.randrange(len(words))] = "changed"
+            rows.append((len(rows), " ".join(words)))
+            group[rows[-1][0]] = g
+    return rows, group
+
+
+def brute(rows, similarity=0.8):
+    sets = {i: minhash.shingles(t.encode(), 5) for i, t in rows}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i in sets:
+            for j in sets:
+                if root[i] > root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                    root[i], changed = root[j], True
+    return root
+
+
+def test_groups_of_copies(spark):
+    rows, group = data()
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, keys string, w0 int").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    want = brute(rows)
+    assert all(group[i] == group[c] for i, c in got.items())
+    assert np.mean([got[i] == want[i] for i in got]) > 0.97
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(got.values()))
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "one"), (3, "one"), (None, "one"), (4, "two words"), (5, "w " * 60000), (6, "W " * 60000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 3), (1, 1), (2, 1), (3, 3), (3, 3), (4, 4), (5, 5), (6, 5)]
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0

@@ -9,8 +9,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from memograph.llm import quality
+from test_minhash import brute
 from test_mixing import fill
-from test_simhash_wide import brute
 
 SF = "/root/testdata/sf0.001"
 
