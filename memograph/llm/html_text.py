@@ -135,8 +135,20 @@ def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The text of the best run: white space joined to one space, blocks joined by one space; empty if no run scores above zero."""
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(from, to) of the contiguous run with the largest sum, the first of equal ones; empty if none is above zero."""
+    best, best_from, best_to, total, since = 0.0, 0, 0, 0.0, 0
+    for i, s in enumerate(scores):
+        if total <= 0:
+            total, since = 0.0, i
+        total += s
+        if total > best:
+            best, best_from, best_to = total, since, i + 1
+    return best_from, best_to
+
+
+def scored(page: str, weights: dict[str, float]) -> tuple[list[float], list[str]]:
+    """The score of every token, and the text it stands for."""
     found = list(tokens(page))
     has_mark = any(inside for *_, inside in found)
     run, scores = [], []
@@ -154,14 +166,14 @@ def extract(page: str, weights: dict[str, float]) -> str:
             value += weights.get("m:in" if inside else "m:out", 4.0 if inside else -4.0)
         scores.append(n * value)
         run.append("" if hint else html.unescape(text) if "&" in text else text)
-    best, best_from, best_to, total, since = 0.0, 0, 0, 0.0, 0
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, since = 0.0, i
-        total += s
-        if total > best:
-            best, best_from, best_to = total, since, i + 1
-    return " ".join("".join(run[best_from:best_to]).split())
+    return scores, run
+
+
+def extract(page: str, weights: dict[str, float]) -> str:
+    """The text of the best run: white space joined to one space, blocks joined by one space; empty if no run scores above zero."""
+    scores, texts = scored(page, weights)
+    since, until = best_run(scores)
+    return " ".join("".join(texts[since:until]).split())
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 2000) -> dict[str, float]:

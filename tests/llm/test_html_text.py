@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from memograph.llm import html_text
@@ -35,16 +37,32 @@ def test_bodies(weights, mark):
         assert html_text.extract(page(body, mark), weights) == text
 
 
-def test_scan_is_the_best_run(weights):
-    """The run found is the best of all runs, by trying each."""
-    source = page(next(iter(BODIES)), mark=False)
-    scores = []
-    for kind, feature, text, _ in html_text.tokens(source):
-        n = len(text.split()) if kind == "w" else 1
-        w = weights.get(feature, -0.3 if kind == "t" else (-2.0 if feature.split(":")[1] else 1.0))
-        scores.append(n * (min(w, -0.5) if kind == "w" and feature.split(":")[1] else w))
-    assert max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)) > 0
-    assert html_text.extract(source, weights)
+def all_runs(scores):
+    """The largest sum of a run, and the first run that has it, by trying each."""
+    runs = [(sum(scores[i:j]), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+    best = max(runs, default=(0.0, 0, 0))
+    return best[0], (-best[1], -best[2])
+
+
+def test_scan_is_the_best_run_of_any_scores():
+    rng = random.Random(3)
+    for n in [0, 1, 2, *range(3, 60)]:
+        scores = [float(rng.randint(-6, 5)) for _ in range(n)]
+        since, until = html_text.best_run(scores)
+        assert sum(scores[since:until]) == max(0.0, all_runs(scores)[0])
+    assert html_text.best_run([-1.0, -2.0]) == (0, 0) and html_text.best_run([]) == (0, 0)
+
+
+@pytest.mark.parametrize("mark", [True, False])
+def test_scan_is_the_best_run(weights, mark):
+    """The text of a page is that of the run with the largest score of all."""
+    for body in list(BODIES)[:5]:
+        source = page(body, mark)
+        scores, texts = html_text.scored(source, weights)
+        most, (since, until) = all_runs(scores)
+        found = html_text.best_run(scores)
+        assert most > 0 and abs(sum(scores[slice(*found)]) - most) < 1e-9
+        assert html_text.extract(source, weights) == " ".join("".join(texts[since:until]).split())
 
 
 def test_rows(spark, weights):
