@@ -159,7 +159,7 @@ def best_of(queries: np.ndarray, points: np.ndarray, low: np.ndarray, floor: np.
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, goal: float = 0.97, tables: int = 2, rotations: int | None = None, per_bucket: int = 256,
-            first: int = 8, most: int = 4096, block: int = 4096, seed: int = 13, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            first: int = 8, most: int = 4096, block: int = 512, seed: int = 13, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k nearest other rows found.
 
     score is the cosine in double precision; ties go to the smaller id, null ids last. Null,
