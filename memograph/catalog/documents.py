@@ -88,6 +88,18 @@ def resent_documents(spark, sf_dir):
     return normalize.normalize(sent).select("id", "workspace_id", F.md5("content").alias("content_md5"))
 
 
+@query("enriched_documents", with_ctes(RAW_DOCS, STANDARD, CLEAN, body="""
+SELECT id, workspace_id, CASE WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END AS title, md5(content) AS content_md5,
+  CASE WHEN doc_id % 2 = 0 THEN 'checked' END AS mark FROM clean_docs"""))
+def enriched_documents(spark, sf_dir):
+    """A hook that rewrites some titles, leaves the others null, and adds a column."""
+    def hook(docs):
+        return docs.withColumns({"title": F.when(F.col("doc_id") % 3 == 0, F.upper("title")), "mark": F.when(F.col("doc_id") % 2 == 0, "checked")})
+
+    found = normalize.normalize(standard(spark, sf_dir), enrichment=hook)
+    return found.select("id", "workspace_id", "title", F.md5("content").alias("content_md5"), "mark")
+
+
 @query("allowed_sources", with_ctes(RAW_DOCS, STANDARD, body="""
 SELECT source, count(*) AS n FROM standard_docs WHERE lower(source) IN ('slack', 'notion') GROUP BY 1"""))
 def allowed_sources(spark, sf_dir):

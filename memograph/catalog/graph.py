@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memograph import adapters as A
 from memograph.catalog.base import query, with_ctes
 from memograph.catalog.documents import MENTION_GRAPH, RAW_DOCS, STANDARD, WORDS
+from memograph.functions import text
 from memograph.functions.embedding import hashed_trigrams
 from memograph.operators import entities, graph, graphbuild, resolution, upsert
 
@@ -335,6 +336,22 @@ sizes AS (SELECT name, sqrt(sum(n * n)) AS size FROM slots GROUP BY name)
 """
 
 
+@query("alias_resolution", """
+WITH stored AS (SELECT p_partkey AS k, 'part number ' || p_partkey AS name FROM part),
+wanted AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'PN-' || p_partkey WHEN 1 THEN p_brand || '/' || p_partkey ELSE 'none of ' || p_partkey END AS name,
+  p_partkey AS k FROM part)
+SELECT name, CASE WHEN k % 3 < 2 THEN k END AS entity_id, CASE WHEN k % 3 < 2 THEN 'alias' ELSE 'new' END AS stage FROM wanted""")
+def alias_resolution(spark, sf_dir):
+    """Stored entities keep their aliases as one text, with blanks and empty entries."""
+    part = A.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    stored = part.select(F.lit("w").alias("workspace_id"), F.lit("product").alias("type"), k.alias("entity_id"), F.concat(F.lit("part number "), k).alias("name"),
+                         text.alias_list(F.concat(F.lit(" pn-"), k, F.lit(" ,, "), F.upper("p_brand"), F.lit("/"), k, F.lit(","))).alias("aliases"))
+    name = F.when(k % 3 == 0, F.concat(F.lit("PN-"), k)).when(k % 3 == 1, F.concat("p_brand", F.lit("/"), k)).otherwise(F.concat(F.lit("none of "), k))
+    wanted = part.select(F.lit("w").alias("workspace_id"), F.lit("product").alias("type"), name.alias("name"))
+    return resolution.resolve(wanted, stored).select("name", "entity_id", "stage")
+
+
 @query("entity_resolution_vectors", """
 WITH stored AS (SELECT min(p_partkey) AS entity_id, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part GROUP BY ALL),
 wanted AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_type || ' ' || p_brand

@@ -8,7 +8,7 @@ from memograph import adapters as A
 from memograph.catalog.base import query
 from memograph.operators import upsert
 from memograph.session import run_folder
-from memograph.sources import sinks, wiki
+from memograph.sources import documents, sinks, wiki
 
 ORDER_ROWS = """
 sent AS (SELECT o_orderkey AS chunk_id, o_orderstatus AS workspace_id,
@@ -117,3 +117,23 @@ def insert_or_ignore(spark, sf_dir):
     again = orders.select("k", F.explode(F.array(F.lit(1), F.lit(2))).alias("seen_at"), "v").select(
         "k", (F.col("v") + F.col("seen_at")).alias("v"), F.lit("new").alias("made"), "seen_at")
     return upsert.insert_missing(current, again, ["k"], ["seen_at"]).select("k", "v", "made")
+
+
+@query("landed_documents", """
+SELECT 'T-' || o_orderkey AS id, 'jira' AS source, 'ws_' || (o_custkey % 5) AS workspace_id, o_orderpriority AS title, NULL AS content,
+  epoch_us(o_orderdate::TIMESTAMP) AS created_us FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'F-' || o_orderkey, 'gdrive', 'ws_' || (o_custkey % 5), o_orderpriority, 'Total ' || round(o_totalprice * 100)::BIGINT, NULL
+FROM orders WHERE o_orderkey % 2 = 1""")
+def landed_documents(spark, sf_dir):
+    """Orders landed as ticket lines in JSON, without content and with a field too many, and as drive files in Parquet, without a time."""
+    orders = A.table(spark, sf_dir, "orders")
+    space, even = F.concat(F.lit("ws_"), F.col("o_custkey") % 5).alias("workspace_id"), F.col("o_orderkey") % 2 == 0
+    tickets, files = run_folder(spark, "tickets"), run_folder(spark, "files")
+    orders.filter(even).select(
+        F.concat(F.lit("T-"), "o_orderkey").alias("id"), space, F.col("o_orderpriority").alias("title"),
+        F.col("o_orderdate").cast("timestamp").alias("created_time"), F.lit("github").alias("source"), F.lit(1).alias("votes")).write.json(tickets)
+    orders.filter(~even).select(
+        F.concat(F.lit("F-"), "o_orderkey").alias("id"), space, F.col("o_orderpriority").alias("title"),
+        F.concat(F.lit("Total "), F.round(F.col("o_totalprice") * 100).cast("long")).alias("content")).write.parquet(files)
+    found = documents.read_tickets(spark, tickets).unionByName(documents.read_drive(spark, files, "parquet"))
+    return found.select("id", "source", "workspace_id", "title", "content", F.unix_micros("created_time").alias("created_us"))
