@@ -113,8 +113,9 @@ def knn_join(
 def _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_schema, id_type, q_type) -> DataFrame:
     """Best k representatives per query over all cells the triangle inequality leaves in play."""
     p_reps, q_reps = cut_lineage(p_reps), cut_lineage(q_reps)
-    # Pivots are chosen by hash of their id; the driver holds the square root of the largest group.
-    wanted = pivots if pivots is not None else math.isqrt(largest or 0) + 1
+    # Pivots are chosen by hash of their id: two for each block of the largest group, as cells far below a block
+    # cost more pieces of work than they save, and no more than its square root, which the driver can hold.
+    wanted = pivots if pivots is not None else min(math.isqrt(largest or 0) + 1, 2 * -(-(largest or 0) // block))
     table = None
     if largest > block and wanted > 1:
         chosen = p_reps.select("_v", F.xxhash64("_rep").alias("_h")).orderBy("_h").limit(wanted).collect()
