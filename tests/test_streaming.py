@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memograph import adapters as A
+from memograph.catalog import chat
 from memograph.operators import patterns
 from memograph.session import run_folder
 from memograph.sources import documents, sinks
@@ -159,3 +160,10 @@ def test_late_commands_find_their_place(spark, tmp_path):
     want = workflow.log(shape_commands(spark.createDataFrame([tuple(r) for r in raw], LOG)))
     columns = ["workspace_id", "workflow_id", "seq", "us", "kind", "from_value", "to_value"]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_channel_scope_takes_the_whole_lookback(spark, tmp_path):
+    """Messages of the first days of the month lie within thirty days of the fixed time."""
+    turns = [(c, 0, "user", "hi") for c in (1, 3, 5, 2)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(r["channel_id"] for r in chat.channel_scope(spark, str(tmp_path)).collect()) == ["C1", "C3", "C5"]
