@@ -35,13 +35,11 @@ def stream_deployment_incidents(spark, sf_dir):
     return runner.run_to_table(detectors.deployment_incidents(event_stream(spark, sf_dir)), "chains")
 
 
-@query("stream_sessions", with_ctes(OP_EVENTS, SESSIONS, body="""
-SELECT workspace_id, event_count, start_us, end_us FROM clusters
-WHERE end_us + 7200000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM op_events)"""))
+@query("stream_sessions", with_ctes(OP_EVENTS, SESSIONS, body="SELECT workspace_id, event_count, start_us, end_us FROM clusters"))
 def stream_sessions(spark, sf_dir):
-    """Each session once, when the watermark has passed the gap after its last event; its state goes then."""
-    rows = runner.run_to_table(detectors.activity_sessions(event_stream(spark, sf_dir)), "sessions")
-    return rows.select("workspace_id", "event_count", us("start_time", "start_us"), us("end_time", "end_us"))
+    """All sessions of the log, open ones too, as they stand after its last row."""
+    rows = runner.run_to_table(detectors.activity_sessions(event_stream(spark, sf_dir)), "sessions", "complete")
+    return runner.last_batch(rows).select("workspace_id", "event_count", us("start_time", "start_us"), us("end_time", "end_us"))
 
 
 @query("stream_cooccurrence", with_ctes(OP_EVENTS, """

@@ -13,7 +13,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     """Drain a stream into a new Parquet table with its own checkpoint.
 
     Update mode writes every changed row with its batch number; latest() keeps
-    the last of each key.
+    the last of each key. Complete mode writes all rows with each batch; last_batch()
+    keeps what stands at the end.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -37,3 +38,9 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return keep_by(rows, keys, ["batch_no"], newest=True).drop("batch_no")
+
+
+def last_batch(rows: DataFrame) -> DataFrame:
+    """Rows of the newest batch; earlier ones hold sessions that later rows have merged."""
+    newest = rows.agg(F.max("batch_no")).first()[0]
+    return rows.filter(F.col("batch_no") == F.lit(newest)).drop("batch_no")

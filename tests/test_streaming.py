@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memograph import adapters as A
-from memograph.catalog import chat
+from memograph.catalog import chat, streams
 from memograph.operators import patterns
 from memograph.session import run_folder
 from memograph.sources import documents, sinks
@@ -37,6 +37,27 @@ def test_hourly_results_do_not_depend_on_batches(spark, tmp_path, made, judged):
     assert rows and rows == sorted(map(tuple, cut.collect()))
 
 
+def test_sessions_of_the_whole_log(spark, tmp_path):
+    """Open sessions count too, and a session that a later row joins to another is not left behind."""
+    base, schema = datetime(2024, 1, 1), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    minutes = [0, 20, 40, 160, 180, 110, 2000, 2010, 5000]
+    for i, m in enumerate(minutes):
+        row = (i, base + timedelta(minutes=m), 1, "click", 1.0, '{"k": 1}')
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = A.shape_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log")))
+    got = runner.last_batch(runner.run_to_table(detectors.activity_sessions(log, gap="80 minutes", delay="1 day"), "all-sessions", "complete"))
+    found = sorted((r["event_count"], r["start_time"], r["end_time"]) for r in got.collect())
+    assert found == [(2, base + timedelta(minutes=2000), base + timedelta(minutes=2010)), (6, base, base + timedelta(minutes=180))]
+
+
+def test_open_sessions_of_the_query(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1, 10, i), 1, "click", 1.0, '{"k": 1}') for i in range(3)]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "sf").mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "sf" / "events.parquet")
+    assert [r["event_count"] for r in streams.stream_sessions(spark, str(tmp_path / "sf")).collect()] == [3]
+
+
 def test_workflow_order_across_small_frames(spark, tmp_path):
     schema = "workspace_id string, workflow_id string, seq long, ts timestamp, action string, state string"
     rows = [("w", "f", s, datetime(2024, 1, 1), "transition", f"s{s}") for s in (3, 1, 4, 2)]
