@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; texts link at a similarity of 0.8 on shingles of five words."""
+    """One document of each group stays: candidates by SimHash and by minimum hashes, links at a similarity of 0.8 on shingles of five words."""
     return minhash.keep_one(docs, shingle=5, similarity=0.8)
 
 

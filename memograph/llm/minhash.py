@@ -1,4 +1,8 @@
-"""Near-duplicates at a similarity of shingle sets, by banded minimum hashes.
+"""Near-duplicates at a similarity of shingle sets, by SimHash fingerprints and banded minimum hashes.
+
+Fingerprints of the same shingles that differ in at most two bits (`simhash.link`) give the first
+candidates: the closest texts. Minimum hashes reach on to the similarity asked for, where fingerprints
+of 64 bits lie too far apart.
 
 Two sets agree in one minimum hash with a probability equal to their Jaccard similarity, whatever
 their sizes and however many others there are, so the rule needs no adapting to the input: a pair
@@ -22,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memograph.llm import simhash
 from memograph.llm.common import components, stored
 from memograph.llm.simhash import LAST_ID, stay
 
@@ -141,10 +146,17 @@ def by_key(batches: Iterator[pa.RecordBatch], columns: int, give: Callable[...,
         yield from give(*held)
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of classes (node, fp) that SimHash links: equal fingerprints, and those within two bits."""
+    heads = stored(classes.groupBy("fp").agg(F.min("node").alias("root")))
+    equal = classes.join(heads, "fp").filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(simhash.link(heads).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, mark, component, component_id) of each row of docs: component numbers what links reach, component_id is its smallest id.
 
-    Texts link when their sets of shingles reach the similarity. Texts without words, null ones too,
+    Texts link when their sets of shingles reach the similarity; every candidate is checked for it. Texts without words, null ones too,
     are one group. Repeated rows are linked and each has its row. Rows of one id or with a null id are
     told apart by their texts; a component_id is null when all ids are. Other columns are ignored. No
     rows give no rows.
@@ -154,8 +166,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
-                ["id", "mark", "digest", "size", "keys"])
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([simhash.fingerprint(t.as_py() or b"", shingle, 42) for t in batch.column(2)], pa.int64())],
+                ["id", "mark", "digest", "size", "keys", "fp"])
 
     def met(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         left, right, large = small_pairs(keys, nodes, sizes)
@@ -198,13 +211,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "hashes"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
-    rows = stored(source.mapInArrow(run, "id long, mark long, digest binary, size long, keys array<long>"))
+    rows = stored(source.mapInArrow(run, "id long, mark long, digest binary, size long, keys array<long>, fp long"))
     classes = stored(rows.groupBy("digest").agg(
         F.min("id").alias("low"), F.min(F.struct(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "mark")).alias("first"), F.min("size").alias("size"),
-        F.min("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
+        F.min("keys").alias("keys"), F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
     filed = classes.select(F.explode("keys").alias("key"), "node", "size").repartition("key").sortWithinPartitions("key", "node")
     buckets = stored(filed.mapInArrow(lambda b: by_key(b, 3, met), "key long, a long, b long"))
-    pairs = stored(buckets.filter("key is null").select("a", "b").distinct())
+    pairs = stored(buckets.filter("key is null").select("a", "b").unionByName(fingerprint_pairs(classes.select("node", "fp"))).distinct())
     crowded = buckets.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("size"))
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

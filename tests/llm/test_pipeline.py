@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from memograph.llm import quality
+from memograph.llm import minhash, quality, simhash
 from test_minhash import brute
 from test_mixing import fill
 
@@ -70,3 +70,20 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and got.count() > 0
+
+
+def test_near_dedup_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """The stage's SimHash links texts within two bits, each pair then checked at 0.8."""
+    words = [f"w{k}" for k in range(3000)]
+    other = [f"v{k}" for k in range(3000)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), " ".join(other), "one\n" * 400 + "a b c d e f", "one\n" * 400 + "g h i j k l"]
+    fps = [simhash.fingerprint(t.encode(), 5, 42) for t in texts]
+    assert [(fps[a] ^ fps[b] & (1 << 64) - 1).bit_count() <= 2 for a, b in ((0, 1), (3, 4), (0, 2))] == [True, True, False]
+    classes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    assert sorted(map(tuple, minhash.fingerprint_pairs(classes).collect())) == [(0, 1), (3, 4)]
+
+    asked, link = [], simhash.link
+    monkeypatch.setattr(simhash, "link", lambda *given: asked.append(1) or link(*given))
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 2, 3, 4]
+    assert asked == [1]
