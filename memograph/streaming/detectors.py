@@ -111,7 +111,7 @@ def recurring_by_hour(hours: DataFrame) -> DataFrame:
 
 
 class _Workflow(StatefulProcessor):
-    """Current state of one workflow; emits a row per change."""
+    """Current state of one workflow; emits a row per change, those of a batch in one frame."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", StructType([
@@ -121,16 +121,15 @@ class _Workflow(StatefulProcessor):
         held = self.state.get() if self.state.exists() else (None, 0)
         current, changes = held[0], held[1]
         # A batch may come in several frames; the order holds over all of them.
-        asked = sorted(pair for frame in rows for pair in zip(frame["seq"].tolist(), frame["to_state"].tolist()))
+        asked, out = sorted(pair for frame in rows for pair in zip(frame["seq"].tolist(), frame["to_state"].tolist())), []
         for seq, wanted in asked:
             if wanted and wanted != current:
                 changes += 1
-                yield pd.DataFrame({
-                    "workspace_id": [key[0]], "workflow_id": [key[1]], "seq": [seq], "from_state": [current],
-                    "to_state": [wanted], "change_no": [changes]})
+                out.append((key[0], key[1], seq, current, wanted, changes))
                 current = wanted
-        if current is not None:
+        if out:
             self.state.update((current, changes))
+            yield pd.DataFrame(out, columns=["workspace_id", "workflow_id", "seq", "from_state", "to_state", "change_no"])
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,32 @@ def test_channel_scope_takes_the_whole_lookback(spark, tmp_path):
     turns = [(c, 0, "user", "hi") for c in (1, 3, 5, 2)]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert sorted(r["channel_id"] for r in chat.channel_scope(spark, str(tmp_path)).collect()) == ["C1", "C3", "C5"]
+
+
+class Cell:
+    """A state variable that counts how often it is reached."""
+
+    calls = 0
+
+    def __init__(self, value):
+        self.value = value
+
+    def __getattr__(self, name):
+        Cell.calls += 1
+        return {"exists": lambda: self.value is not None, "get": lambda: self.value if not isinstance(self.value, list) else iter(self.value),
+                "update": lambda v: setattr(self, "value", v), "put": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", []),
+                "appendList": lambda v: self.value.extend(v), "keys": lambda: iter(list(self.value)), "registerTimer": lambda ms: TIMERS.append(ms),
+                "updateValue": lambda k, v: self.value.__setitem__(k, v)}[name]
+
+
+TIMERS = []
+
+
+def test_changes_of_a_workflow_come_in_one_frame():
+    flow = detectors._Workflow()
+    flow.state = Cell(None)
+    frame = pd.DataFrame({"seq": range(100), "to_state": [f"s{k % 3}" for k in range(100)]})
+    first = list(flow.handleInputRows(("w", "f"), iter([frame]), None))
+    assert [len(f) for f in first] == [100] and first[0]["change_no"].tolist() == list(range(1, 101))
+    again = list(flow.handleInputRows(("w", "f"), iter([pd.DataFrame({"seq": [100, 101], "to_state": ["s0", "s1"]})]), None))
+    assert again[0].values.tolist() == [["w", "f", 101, "s0", "s1", 101]]
