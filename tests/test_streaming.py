@@ -1,6 +1,7 @@
 """Streams against their batch twins, and repeatable keyed writes."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -11,7 +12,7 @@ from memograph.catalog import chat, streams
 from memograph.operators import patterns
 from memograph.session import run_folder
 from memograph.sources import documents, sinks
-from memograph.streaming import detectors, ingest, runner, webhooks
+from memograph.streaming import detectors, ingest, runner, webhooks, workflows
 
 SF = "/root/testdata/sf0.001"
 LOG = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -218,3 +219,18 @@ def test_changes_of_a_workflow_come_in_one_frame():
     assert [len(f) for f in first] == [100] and first[0]["change_no"].tolist() == list(range(1, 101))
     again = list(flow.handleInputRows(("w", "f"), iter([pd.DataFrame({"seq": [100, 101], "to_state": ["s0", "s1"]})]), None))
     assert again[0].values.tolist() == [["w", "f", 101, "s0", "s1", 101]]
+
+
+def test_a_batch_of_commands_reaches_the_state_a_few_times():
+    flow = workflows._Workflow()
+    flow.handle, flow.waiting, flow.held, flow.assets = Cell(0), Cell([]), Cell(None), Cell({})
+    frame = pd.DataFrame({"us": [(200 - k) * 1000 for k in range(200)], "seq": range(200), "to_state": ["a", "b"] * 100, "to_person": None, "asset": "x"})
+    frame = pd.concat([frame, frame.iloc[:1].assign(to_state="z")])
+    Cell.calls = 0
+    assert list(flow.handleInputRows(("w", "f"), iter([frame]), None)) == [] and TIMERS == [2]
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 101)
+    out = list(flow.handleExpiredTimer(("w", "f"), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 2)))[0]
+    assert (out["kind"] == "state").sum() == 100 and (out["kind"] == "link").sum() == 1 and TIMERS == [2, 102] and Cell.calls <= 12
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 500)
+    out = list(flow.handleExpiredTimer(("w", "f"), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 102)))[0]
+    assert len(out) == 100 and out["to_value"].iloc[-1] == "z" and flow.waiting.value == []
