@@ -1,12 +1,13 @@
 """Exact nearest-neighbour join by cosine, in bounded blocks.
 
 Copies of a vector are searched once. Large groups are cut into cells around
-pivots, their number growing with the square root of the group, and queries are
+pivots, two to a block, and queries are
 dealt to the same cells. A query first searches its own cell: the distance of
 the k-th point found there bounds what any other cell can add, and it goes on
 to those cells alone that the triangle inequality cannot rule out, so the result
-equals a full scan. Cells are cut further into blocks of at most `block` rows on
-either side. Which (query block, cell, point block) have work is settled on ids
+equals a full scan. Cells are cut further into blocks on either side. A block has
+`block` rows, in a larger group half of it up to WIDEST: a vector then travels to
+a fixed number of blocks, however large the group, until blocks are WIDEST. Which (query block, cell, point block) have work is settled on ids
 before any vector moves: a point travels to the query blocks that need it and to
 no others. One task multiplies one query block with one point block and keeps k
 rows per query: no pair list is ever built.
@@ -28,6 +29,8 @@ from memograph.plans.bounded import broadcast_if_small
 from memograph.session import cut_lineage
 
 SLACK = 1e-6
+#: Most rows of a block, and most products held at once.
+WIDEST, HELD = 1 << 16, 1 << 22
 ROUNDED = 1e-9  # cosines are kept to 9 decimals
 
 
@@ -49,6 +52,31 @@ def _to_pivots(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * points @ pivots.T, 0.0))
 
 
+def best_of(asking: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, point, cosine) of the k points with the largest rounded cosine for each row; ties go to the first point.
+
+    The k-th of some points bounds what can be among the best, so few products are ever ordered.
+    """
+    some, found = max(k, min(len(points), 1024)), []
+    step = max(1, HELD // len(points))
+    for start in range(0, len(asking), step):
+        cos = asking[start:start + step] @ points.T
+        if k < len(points):
+            # What is no number comes last.
+            ranked = np.where(np.isnan(cos), -np.inf, cos) if np.isnan(cos).any() else cos
+            least = np.partition(ranked[:, :some], some - k, axis=1)[:, some - k]
+            row, point = np.nonzero(ranked >= least[:, None] - 2 * ROUNDED)
+        else:
+            row, point = (a.ravel() for a in np.indices(cos.shape))
+        value = np.round(cos[row, point], 9)
+        order = np.lexsort((point, -value, row))
+        row, point, value = row[order], point[order], value[order]
+        first = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - first < k
+        found.append((row[kept] + start, point[kept], value[kept]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
 def knn_join(
     queries: DataFrame, points: DataFrame, k: int, keys: Sequence[str],
     query_id: str, point_id: str, vector: str = "embedding", block: int = 2048, pivots: int | None = None,
@@ -93,14 +121,11 @@ def knn_join(
                 "_g": np.array([], dtype="int64"), "_q": left["_q"].iloc[:0].to_numpy() if len(left.columns) else none,
                 "_rep": right["_rep"].iloc[:0].to_numpy() if len(right.columns) else none, "_cos": np.array([], dtype="float64")})
         right = right.sort_values("_rep", kind="stable").reset_index(drop=True)
-        cos = np.round(_matrix(left["_v"]) @ _matrix(right["_v"]).T, 9)
-        top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(left)), top.shape[1])
+        at, top, cos = best_of(_matrix(left["_v"]), _matrix(right["_v"]), k)
         return pd.DataFrame({
-            "_g": left["_g"].to_numpy()[at], "_q": left["_q"].to_numpy()[at],
-            "_rep": right["_rep"].to_numpy()[top.ravel()], "_cos": cos[at, top.ravel()],
-        })
+            "_g": left["_g"].to_numpy()[at], "_q": left["_q"].to_numpy()[at], "_rep": right["_rep"].to_numpy()[top], "_cos": cos})
 
+    block = max(block, min(WIDEST, max(largest or 0, asked_most or 0) // 2))
     if max(largest or 0, asked_most or 0) <= block:
         # Every group fits one block: one product per group is the whole answer.
         reps = q_reps.select("_g", F.col("_rep").alias("_q"), "_v").groupBy("_g").cogroup(
@@ -114,7 +139,7 @@ def _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_
     """Best k representatives per query over all cells the triangle inequality leaves in play."""
     p_reps, q_reps = cut_lineage(p_reps), cut_lineage(q_reps)
     # Pivots are chosen by hash of their id: two for each block of the largest group, as cells far below a block
-    # cost more pieces of work than they save, and no more than its square root, which the driver can hold.
+    # cost more pieces of work and more copies of a vector than they save, and no more than its square root.
     wanted = pivots if pivots is not None else min(math.isqrt(largest or 0) + 1, 2 * -(-(largest or 0) // block))
     table = None
     if largest > block and wanted > 1:

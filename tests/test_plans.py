@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memograph.operators import resolution, timeline, upsert
 from memograph.plans import timescan
 from memograph.plans.bounded import broadcast_if_small
+from memograph.plans import neighbours
 from memograph.plans.neighbours import knn_join
 from memograph.plans.rangejoin import follow_join
 
@@ -135,6 +136,35 @@ def test_one_block_and_many_blocks_agree(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, cut))
 
 
+def test_best_of_equals_a_stable_sort():
+    """Ties, rows without numbers and points without numbers, over more points than the first bound looks at."""
+    rng = np.random.default_rng(2)
+    for n, m, k in ((50, 7, 10), (40, 1500, 6), (30, 1100, 1050)):
+        a, b = np.round(rng.normal(size=(n, 3)), 1), np.round(rng.normal(size=(m, 3)), 1)
+        a[3], b[::5] = np.nan, np.nan
+        cos = np.round(a @ b.T, 9)
+        top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+        row, point, value = neighbours.best_of(a, b, k)
+        assert row.tolist() == np.repeat(np.arange(n), top.shape[1]).tolist() and point.tolist() == top.ravel().tolist()
+        assert np.allclose(value, cos[row, point], equal_nan=True)
+
+
+def test_pieces_of_work_do_not_grow_with_the_group(spark, monkeypatch):
+    """Vectors without structure, in a group of many small blocks: query blocks meet a bounded number of point blocks."""
+    rng, cut, pieces = np.random.default_rng(4), neighbours.cut_lineage, []
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["_g", "_home", "_qb", "_cell", "_pbs"]:
+            pieces.append(out.agg(F.sum("_pbs")).first()[0])
+        return out
+
+    monkeypatch.setattr(neighbours, "cut_lineage", counted)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(1600)], "id long, embedding array<double>")
+    assert knn_join(df, df.withColumnRenamed("id", "near"), 3, [], "id", "near", block=8).count() == 4800
+    assert 0 < sum(pieces) <= 1000
+
+
 def test_broadcast_needs_a_proven_size(spark):
     small, large = spark.range(10), spark.range(100)
     assert "broadcast" in broadcast_if_small(small, 20)._jdf.queryExecution().toString().lower()
