@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memograph.functions import text
 from memograph.plans import timescan
+from memograph.plans.bounded import broadcast_if_small
 from memograph.plans.late import first_passing
 from memograph.plans.ranking import with_rank
 from memograph.plans.timescan import micros
@@ -111,8 +112,10 @@ def entity_page(events: DataFrame, refs: DataFrame, questions: DataFrame) -> Dat
     time come last.
     """
     def mentioned(fetched: DataFrame) -> DataFrame:
-        named = refs.select("workspace_id", "chunk_id", F.col("name").alias("entity")).distinct()
-        return fetched.join(named, ["workspace_id", "chunk_id", "entity"], "left_semi")
+        keys = ["workspace_id", "chunk_id", "entity"]
+        named = refs.select("workspace_id", "chunk_id", F.col("name").alias("entity"))
+        # The mentions are scanned in place for what was fetched; only those that were asked for travel.
+        return fetched.join(named.join(broadcast_if_small(fetched.select(*keys).distinct()), keys, "left_semi"), keys, "left_semi")
 
     newest = [-F.coalesce(micros("ts"), F.lit(-(1 << 62))), F.col("event_id")]
     return first_passing(events, questions, WS, "query_id", newest, "page_limit", mentioned)

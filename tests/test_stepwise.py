@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memograph import adapters as A
 from memograph.operators import correlation, entities, graphbuild, patterns, upsert
+from memograph.plans import late
 from memograph.plans.late import first_passing
 from memograph.plans.neighbours import knn_join
 from memograph.plans.ranking import with_running_total
@@ -101,6 +102,25 @@ def test_late_filter_fetches_until_full(spark):
     assert first_passing(rows, asked.limit(0), ["ws"], "q", [F.col("n")], "many", lambda s: s).count() == 0
 
 
+def test_questions_at_one_place_share_a_fetch(spark, monkeypatch):
+    plans, write = [], late.cut_lineage
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(late, "cut_lineage", spy)
+    rows = spark.createDataFrame([(n % 2, n, n % 7) for n in range(400)], "ws int, n int, rest int")
+    asked = spark.createDataFrame([(f"{ws}/{rest}", ws, rest, 2 + rest % 2) for ws in (0, 1) for rest in range(7)], "q string, ws int, wanted int, many int")
+    got = first_passing(rows, asked, ["ws"], "q", [F.col("n")], "many", lambda some: some.filter("rest = wanted"))
+    want = [(q, n, rank) for q, ws, rest, many in map(tuple, asked.collect())
+            for rank, n in enumerate([n for n in range(400) if n % 2 == ws and n % 7 == rest][:many], 1)]
+    assert sorted((r["q"], r["n"], r["rank"]) for r in got.collect()) == sorted(want)
+    # All rows are ordered once a workspace; a question orders those up to the last place wanted.
+    assert "windowspecdefinition(ws#" in plans[0] and "windowspecdefinition(q#" not in plans[0]
+    assert all("_to#" in plan for plan in plans if "windowspecdefinition(q#" in plan)
+
+
 def test_running_totals_over_spread_groups(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), n, rng.choice([None, 1, 2, 5])) for n in range(600)]
