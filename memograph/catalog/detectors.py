@@ -210,8 +210,9 @@ FROM linked l JOIN refs r USING (workspace_id, chunk_id)"""))
 def instability_entities(spark, sf_dir):
     events = A.op_events(spark, sf_dir)
     unstable = anomalies.deployment_instability(events, A.as_of())
-    linked = anomalies.instability_events(unstable, events, A.as_of())
-    return anomalies.supporting_entities(linked, A.event_entity_refs(events))
+    refs = A.event_entity_refs(events)
+    linked = anomalies.instability_events(unstable, anomalies.deciding_issues(events, refs, A.as_of()), A.as_of())
+    return anomalies.supporting_entities(linked, refs)
 
 
 BOTTLENECKS = f"""

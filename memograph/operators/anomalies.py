@@ -145,6 +145,27 @@ def instability_events(unstable: DataFrame, events: DataFrame, as_of: Column, da
     return deployments.select(*columns).unionByName(linked.select(*columns))
 
 
+def deciding_issues(events: DataFrame, refs: DataFrame, as_of: Column, days: int = 7, width_us: int = 7_200_000_000) -> DataFrame:
+    """The events of the last days, of the issues only those that decide which entities a span of the given width reaches.
+
+    Time is cut into cells of that width. A span that begins in one cell ends in the next, so
+    it meets an entity exactly if the entity's last issue of the first cell or its first
+    issue of the next lies in it. An entity keeps these two a cell, however many issues there are.
+    """
+    columns = ["workspace_id", "chunk_id", "ts", "event_id", "event_type"]
+    recent = events.filter((F.col("ts") >= since(as_of, days)) & (F.col("ts") <= as_of)).select(*columns)
+    issue = F.coalesce(F.col("event_type").isin(vocab.ISSUE_TYPES), F.lit(False))
+    place = F.struct("ts", "event_id", "event_type")
+    # A chunk's first and last issue of a cell stand for it before its entities are looked up.
+    per_chunk = recent.filter(issue).groupBy("workspace_id", "chunk_id", timescan.cell_of(timescan.micros("ts"), width_us).alias("cell")).agg(
+        F.min(place).alias("first"), F.max(place).alias("last"))
+    per_name = per_chunk.join(refs, ["workspace_id", "chunk_id"]).groupBy("workspace_id", "name", "type", "cell").agg(
+        F.min(F.struct("first", "chunk_id")).alias("first"), F.max(F.struct("last", "chunk_id")).alias("last"))
+    ends = F.array(*[F.struct(F.col(f"{end}.chunk_id").alias("chunk_id"), F.col(f"{end}.{end}").alias("event")) for end in ("first", "last")])
+    kept = per_name.select("workspace_id", F.explode(ends).alias("e")).select("workspace_id", "e.chunk_id", "e.event.*").distinct()
+    return recent.filter(~issue).unionByName(kept.select(*columns))
+
+
 def recurring_bottlenecks(events: DataFrame, refs: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
     """Entities behind two or more issue events of the last days, in workspaces with two or more events.
 

@@ -1,5 +1,6 @@
 """Detectors, graph and records on small hand-made rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -186,3 +187,25 @@ def test_billing_end_of_an_old_subscription_changes_nothing(spark):
         hook(5, "customer.subscription.deleted", "s2"), ("h6", "stripe", "not json", None, NOW)], webhooks.PAYLOAD_COLUMNS)
     got = {r["workspace_id"]: (r["subscription_id"], r["status"], r["plan"]) for r in webhooks.subscriptions(webhooks.billing_changes(raw)).collect()}
     assert got == {"w": ("new", "trialing", "pro"), "v": ("s2", "canceled", "free")}
+
+
+def test_deciding_issues_reach_the_entities_that_all_issues_reach(spark, now):
+    rng = random.Random(5)
+    minutes = [*range(0, 900, 20), 120, 240, 10_079, 10_081, 11_000]
+    rows = [(rng.choice(["deployment", "incident", "outage", "incident", "meeting", None]), timedelta(minutes=rng.choice(minutes) - 30, seconds=rng.choice([0, 0, 7])),
+             {"ws": rng.choice(["w", "v", None]), "chunk": rng.choice([f"c{n}" for n in range(9)] + [None]), "entities": rng.sample("abcdefg", 2)}) for _ in range(700)]
+    rows += [("incident", None, {})]
+    events = rows_of(spark, rows).unionByName(rows_of(spark, rows[:40]))
+    refs = events.filter("ts IS NOT NULL").select("workspace_id", "chunk_id", F.explode("entities").alias("name"), F.lit("system").alias("type")).filter(
+        F.xxhash64("chunk_id", "name") % 3 == 0).distinct()
+    unstable = anomalies.deployment_instability(events, now)
+    every = anomalies.instability_events(unstable, events, now)
+    some = anomalies.instability_events(unstable, anomalies.deciding_issues(events, refs, now), now)
+    want, got = (sorted(map(str, anomalies.supporting_entities(linked, refs).collect())) for linked in (every, some))
+    assert got == want and len(want) > 20
+
+    # Ten times the issues of a chunk are no more rows.
+    crowd = rows_of(spark, [("deployment", timedelta(hours=3), {})] + [("incident", timedelta(minutes=m / 10), {"chunk": "c"}) for m in range(1000)])
+    linked = anomalies.instability_events(anomalies.deployment_instability(crowd, now), anomalies.deciding_issues(
+        crowd, crowd.select("workspace_id", F.lit("c").alias("chunk_id"), F.lit("api").alias("name"), F.lit("system").alias("type")).distinct(), now), now)
+    assert linked.count() <= 5
