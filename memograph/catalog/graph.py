@@ -182,10 +182,18 @@ pairs AS (SELECT a.s AS entity_a, b.s AS entity_b, count(*)::DOUBLE AS score FRO
 """
 
 
+LINES_A_TASK = 200_000
+
+
 def supplier_pairs(spark, sf_dir):
-    baskets = A.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    lines = A.table(spark, sf_dir, "lineitem")
+    # A task gets a bounded number of lines; the count is read from the files' footers.
+    tasks = -(-lines.count() // LINES_A_TASK) or 1
+    slot = F.pmod(F.xxhash64("l_orderkey"), F.lit(16 * tasks)).alias("slot")
+    dealt = lines.select(slot, "l_orderkey", "l_suppkey", "l_shipdate").repartition(tasks, "slot")
+    baskets = dealt.groupBy("slot", "l_orderkey").agg(
         F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("entities"), F.max("l_shipdate").cast("timestamp").alias("ts"))
-    return entities.cooccurrence(baskets.withColumn("workspace_id", F.lit("w")))
+    return entities.cooccurrence(baskets.withColumn("workspace_id", F.lit("w")), slot="slot", tasks=tasks)
 
 
 @query("supplier_cooccurrence", with_ctes(PAIRS, body="SELECT * FROM pairs"))

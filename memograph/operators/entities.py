@@ -61,15 +61,22 @@ def pairs_of(names: Column) -> Column:
     ))
 
 
-def cooccurrence(chunks: DataFrame, names: str = "entities", ts: str = "ts") -> DataFrame:
+def cooccurrence(chunks: DataFrame, names: str = "entities", ts: str = "ts", slot: str | None = None, tasks: int | None = None) -> DataFrame:
     """How often two names share a chunk, and when last.
 
     Pairs are formed inside a row and summed map-side, so frequent pairs travel
-    as one row per task.
+    as one row per task. Chunks that are dealt by a column `slot` are summed by slot where
+    they lie, and the slots' sums by `tasks` tasks; what a task holds is then as much as a slot
+    and a task are given, however many pairs there are in all.
     """
-    pairs = chunks.select("workspace_id", F.col(ts).alias("ts"), F.explode(pairs_of(F.col(names))).alias("p"))
-    return pairs.groupBy("workspace_id", "p.entity_a", "p.entity_b").agg(
+    keys = ["workspace_id", "entity_a", "entity_b"]
+    dealt = [] if slot is None else [slot]
+    pairs = chunks.select(*dealt, "workspace_id", F.col(ts).alias("ts"), F.explode(pairs_of(F.col(names))).alias("p"))
+    summed = pairs.groupBy(*dealt, "workspace_id", "p.entity_a", "p.entity_b").agg(
         F.count(F.lit(1)).cast("double").alias("score"), F.max("ts").alias("last_seen"))
+    if slot is None:
+        return summed
+    return summed.repartition(tasks, "entity_a", "entity_b").groupBy(*keys).agg(F.sum("score").alias("score"), F.max("last_seen").alias("last_seen"))
 
 
 def cooccurrence_neighbours(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from memograph import adapters as A
+from memograph.catalog import graph
 from memograph.operators import correlation, entities, graphbuild, patterns, upsert
 from memograph.plans import late
 from memograph.plans.late import first_passing
@@ -190,3 +191,24 @@ def test_undated_documents_get_the_time_of_ingest(spark):
     chunks, _ = ingest.process(docs.withColumn("tags", F.array(F.lit("en"))).withColumn("parent_id", F.lit("")).withColumn("path", F.lit("")), F.lit("2025-05-05 00:00:00").cast("timestamp"))
     assert {str(r["ts"]) for r in chunks.collect()} == {"2025-05-05 00:00:00"}
     assert A.AS_OF.startswith("2024")
+
+
+def test_pairs_dealt_by_slots_equal_pairs_at_once(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["w", "v", None]), rng.choice([None, rng.sample(["a", "A", "b", "c", "d", None], rng.randint(0, 4))]),
+             rng.choice([None, BASE + timedelta(minutes=n)]), n) for n in range(300)]
+    chunks = spark.createDataFrame(rows, "workspace_id string, entities array<string>, ts timestamp, n long")
+    slots = chunks.withColumn("slot", F.col("n") % 7).repartition(3, "slot")
+    got = entities.cooccurrence(slots, slot="slot", tasks=5)
+    assert got.rdd.getNumPartitions() == 5
+    assert rows_of(got, *got.columns) == rows_of(entities.cooccurrence(chunks), *got.columns) and got.count() > 5
+
+
+def test_supplier_pairs_get_more_tasks_with_more_lines(spark, tmp_path, monkeypatch):
+    lines = [(n // 3, n * 7 % 11, BASE + timedelta(days=n % 5)) for n in range(90)] + [(None, 1, None), (None, 2, None), (5, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = rows_of(graph.supplier_pairs(spark, str(tmp_path)), "entity_a", "entity_b", "score", "last_seen")
+    monkeypatch.setattr(graph, "LINES_A_TASK", 10)
+    many = graph.supplier_pairs(spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 10
+    assert rows_of(many, "entity_a", "entity_b", "score", "last_seen") == want and len(want) > 10
