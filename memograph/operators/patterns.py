@@ -103,17 +103,20 @@ def pattern_events(patterns: DataFrame, events: DataFrame, as_of: Column, days:
 def escalation_chains(events: DataFrame, minutes: int = 60, issues: DataFrame | None = None) -> DataFrame:
     """Issue or discussion events up to an hour after a deployment, with their joint entities.
 
-    Deployments come from events, and so do the issues unless they are given.
+    Deployments come from events, and so do the issues unless they are given. Generic names
+    are left out once an event, not once a pair: the pairs grow with the square of the events.
     """
+    named = text.without_generic(F.col("entities"))
     deployments = events.filter(F.col("event_type") == "deployment").select(
         "workspace_id", F.col("event_id").alias("deployment_id"), F.col("ts").alias("deployed_at"),
-        F.col("title").alias("deployment_title"), F.col("entities").alias("deployment_entities"),
+        F.col("title").alias("deployment_title"), named.alias("deployment_entities"),
     )
     later = (events if issues is None else issues).filter(F.col("event_type").isin(vocab.CHAIN_TYPES)).select(
-        "workspace_id", "event_id", "ts", "title", "entities"
+        "workspace_id", "event_id", "ts", "title", named.alias("entities")
     )
     pairs = follow_join(deployments, later, WS, "deployed_at", "ts", minutes * MINUTE_US)
-    joint = F.array_sort(text.without_generic(F.array_union("entities", "deployment_entities")))
+    # No null is left in the lists, so the plain sort does what array_sort does with a comparison a pair of names.
+    joint = F.sort_array(F.array_union("entities", "deployment_entities"))
     return pairs.select(
         "workspace_id",
         F.concat(F.lit("pattern_chain_"), "deployment_id", F.lit("_"), "event_id").alias("pattern_id"),
