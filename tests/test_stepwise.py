@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memograph import adapters as A
 from memograph.catalog import graph
 from memograph.operators import correlation, entities, graphbuild, patterns, upsert
-from memograph.plans import late
+from memograph.plans import late, substring
 from memograph.plans.late import first_passing
 from memograph.plans.neighbours import knn_join
 from memograph.plans.ranking import with_running_total
@@ -148,6 +148,27 @@ def test_one_long_text_moves_once(spark):
     assert got[0] == got[1] and (1, "the needle é") in got[0] and (2, "the") in got[0]
 
 
+def test_many_names_are_looked_up_by_long_runs(spark, monkeypatch):
+    looked, grams = [], substring.grams
+    monkeypatch.setattr(substring, "grams", lambda *a: looked.append(grams(*a)) or looked[-1])
+    texts = spark.createDataFrame([("w", f"Supplier#{n:09d}") for n in range(900)] + [("w", None), ("v", "Supplier#000000001")], "ws string, t string")
+    needles = spark.createDataFrame([("w", f"{n:09d}") for n in range(1, 1300, 2)] + [("w", None), ("v", "00001")], "ws string, q string")
+    got = sorted((r["t"], r["q"]) for r in containing(texts, F.col("t"), needles, F.col("q"), ["ws"]).collect())
+    assert got == sorted([(f"Supplier#{n:09d}", f"{n:09d}") for n in range(1, 900, 2)] + [("Supplier#000000001", "00001")])
+    # Not every name is tested against every text, and a run is held by few of them.
+    held = {r["_gram"]: r["n"] for r in looked[0].filter("length(_gram) = 8 AND ws = 'w'").groupBy("_gram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert held["00000012"] == 11 and held["00000120"] == 1
+
+
+def test_long_runs_across_windows(spark, monkeypatch):
+    monkeypatch.setattr(substring, "WINDOW", 10)
+    body = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = spark.createDataFrame([("w", body), ("w", body[::-1]), ("w", "")], "ws string, t string")
+    needles = spark.createDataFrame([("w", b[at:at + n]) for b in (body, body[::-1]) for n in (0, 1, 2, 3, 7, 8, 9, 20) for at in range(0, 30, 3)], "ws string, q string").distinct()
+    got = [sorted((r["t"], r["q"]) for r in containing(texts, F.col("t"), needles, F.col("q"), ["ws"], small=s).collect()) for s in (True, False)]
+    assert got[0] == got[1] and len(got[0]) > 60
+
+
 def test_neighbours_by_cells_equal_a_full_scan(spark):
     rng = random.Random(9)
     centres = [[rng.gauss(0, 3) for _ in range(5)] for _ in range(6)]
