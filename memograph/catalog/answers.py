@@ -10,7 +10,8 @@ from memograph.catalog.detectors import CHAINS, DEPLOYMENTS, FREQUENCIES, ISSUES
 from memograph.catalog.documents import LEFT, RAW_DOCS, RIGHT, STANDARD
 from memograph.catalog.records import ALL_INSIGHTS
 from memograph.catalog.search import (
-    CORRELATIONS, EVIDENCE, FOUND_EVENTS, QUESTIONS, VECTORS, hits_sql, lite_events, questions, stored_chunks, stored_correlations,
+    CORRELATIONS, EVIDENCE, FOUND_EVENTS, QUESTIONS, VECTORS, chunk_texts, hits_sql, lite_events, questions, stored_chunks, stored_correlations,
+    stored_keys, stored_traits,
 )
 from memograph import vocab
 from memograph.functions import text
@@ -155,7 +156,7 @@ links AS (SELECT * FROM linked WHERE r = 1)
 @query("root_cause_links", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, TRACES, body="""
 SELECT query_id, 'event_' || f AS from_event, 'event_' || t AS to_event, type, score AS score FROM links"""))
 def root_cause_links(spark, sf_dir):
-    rows = stored_chunks(spark, sf_dir)
+    rows = stored_traits(spark, sf_dir)
     prepared = retrieval.prepare_questions(questions(spark, sf_dir), A.as_of())
     events = cut_lineage(retrieval.related_events(prepared, lite_events(rows), 10))
     found = reasoning.links(events, stored_correlations(rows))
@@ -176,7 +177,7 @@ SELECT q.query_id, coalesce(n, 0) AS link_count, coalesce(f.p, 0) AS pattern_cou
     + CASE WHEN f.p > 0 THEN 0.1::DOUBLE ELSE 0 END, 0.99::DOUBLE), 2) AS trace_confidence
 FROM questions q LEFT JOIN per p ON p.query_id = q.query_id LEFT JOIN fitting f ON f.query_id = q.query_id"""))
 def root_cause_confidence(spark, sf_dir):
-    rows = stored_chunks(spark, sf_dir)
+    rows = stored_traits(spark, sf_dir)
     prepared = cut_lineage(retrieval.prepare_questions(questions(spark, sf_dir), A.as_of()))
     events = cut_lineage(retrieval.related_events(prepared, lite_events(rows), 10))
     # The questions ask for a service too, as the patterns name it.
@@ -287,9 +288,10 @@ def multi_hop(spark, sf_dir):
 
 
 def answered(spark, sf_dir):
-    rows = stored_chunks(spark, sf_dir)
+    rows = stored_keys(spark, sf_dir)
     asked_rows = cut_lineage(questions(spark, sf_dir))
-    return reasoning.answer(asked_rows, rows, lite_events(rows), stored_correlations(rows), pattern_table(spark, sf_dir), A.as_of())
+    return reasoning.answer(asked_rows, rows, lite_events(rows), stored_correlations(rows), pattern_table(spark, sf_dir), A.as_of(),
+                            texts=chunk_texts(spark, sf_dir))
 
 
 def three(cause: str, impact: str, remedy: str) -> str:

@@ -24,21 +24,42 @@ chunks AS (
 """
 
 
-def chunks(spark, sf_dir):
+def keyed_chunks(spark, sf_dir):
+    """Embedded documents; the digest of a text is taken where the text lies, before it meets its vector."""
     vec = A.table(spark, sf_dir, "embeddings")
-    docs = standard(spark, sf_dir)
+    docs = standard(spark, sf_dir).withColumn("text_key", F.sha2("content", 256))
     service = F.concat(F.lit("service_"), F.col("label") % 4)
     return vec.join(docs, vec["vec_id"] == docs["doc_id"]).select(
         F.col("id").alias("chunk_id"), F.col("vec_id").alias("seen_at"), "workspace_id", "source", "source_type", "author",
-        "team", "ts", "hierarchy", F.col("content").alias("text"), "title", "path", "embedding", "label",
+        "team", "ts", "hierarchy", F.col("content").alias("text"), "text_key", "title", "path", "embedding", "label",
         F.when(F.col("vec_id") % 5 == 1, F.array(service, F.lit("topic_1"))).otherwise(F.array(service)).alias("entities"))
 
 
+def chunks(spark, sf_dir):
+    return keyed_chunks(spark, sf_dir).drop("text_key")
+
+
 def stored_chunks(spark, sf_dir):
     """The chunk table as a store holds it, for queries that read it several times."""
     return cut_lineage(chunks(spark, sf_dir))
 
 
+def stored_traits(spark, sf_dir):
+    """The chunk table without texts, for queries that return none."""
+    return cut_lineage(keyed_chunks(spark, sf_dir).drop("text", "text_key"))
+
+
+def stored_keys(spark, sf_dir):
+    """The chunk table with the digest of each text; the texts themselves are fetched for hits, from `chunk_texts`."""
+    return cut_lineage(keyed_chunks(spark, sf_dir).drop("text"))
+
+
+def chunk_texts(spark, sf_dir):
+    """Texts by chunk and digest."""
+    return standard(spark, sf_dir).select("workspace_id", F.col("id").alias("chunk_id"), F.sha2("content", 256).alias("text_key"),
+                                          F.col("content").alias("text"))
+
+
 def stored_correlations(rows):
     """The correlation table as a store holds it: computed once, then read."""
     return cut_lineage(correlation.correlate(rows))
@@ -184,7 +205,7 @@ def filtered_knn(spark, sf_dir):
 @query("hybrid_search", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(20), body="""
 SELECT query_id, chunk_id, rank, score AS score, round(boost, 6) AS correlation_boost FROM placed WHERE rank <= 5"""))
 def hybrid_search(spark, sf_dir):
-    rows = stored_chunks(spark, sf_dir)
+    rows = stored_traits(spark, sf_dir)
     found = retrieval.hybrid_search(questions(spark, sf_dir), rows, stored_correlations(rows), A.as_of())
     return found.select("query_id", "chunk_id", "rank", "score",
                         F.round("correlation_boost", 6).alias("correlation_boost"))
@@ -194,7 +215,7 @@ def hybrid_search(spark, sf_dir):
 SELECT p.query_id, p.chunk_id, b.related_id, b.type, b.score AS correlation_score FROM placed p
 LEFT JOIN both_ends b ON b.workspace_id = p.workspace_id AND b.chunk_id = p.chunk_id WHERE rank <= 5"""))
 def correlation_context(spark, sf_dir):
-    rows = stored_chunks(spark, sf_dir)
+    rows = stored_traits(spark, sf_dir)
     links = stored_correlations(rows)
     found = retrieval.hybrid_search(questions(spark, sf_dir), rows, links, A.as_of())
     return retrieval.correlation_context(found.select("query_id", "workspace_id", "chunk_id"), links).select(
@@ -254,8 +275,8 @@ final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 @query("evidence", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, QUESTIONS, hits_sql(60), EVIDENCE,
                              body="SELECT query_id, chunk_id, score AS score, rank FROM final WHERE rank <= 10"))
 def evidence(spark, sf_dir):
-    rows = stored_chunks(spark, sf_dir)
-    parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of())
+    rows = stored_keys(spark, sf_dir)
+    parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of(), texts=chunk_texts(spark, sf_dir))
     return parts["chunks"].select("query_id", "chunk_id", "score", "rank")
 
 
@@ -284,8 +305,8 @@ mixed AS (SELECT query_id, 'chunk' AS type, f.chunk_id AS id, us FROM final f JO
   UNION ALL SELECT query_id, 'event', 'event_' || chunk_id, us FROM found_events JOIN chunks USING (chunk_id))
 """, body="SELECT query_id, type, id, row_number() OVER (PARTITION BY query_id ORDER BY us DESC, type, id) AS rank FROM mixed"))
 def evidence_timeline(spark, sf_dir):
-    rows = stored_chunks(spark, sf_dir)
-    parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of())
+    rows = stored_keys(spark, sf_dir)
+    parts = retrieval.evidence(questions(spark, sf_dir), rows, lite_events(rows), stored_correlations(rows), A.as_of(), texts=chunk_texts(spark, sf_dir))
     return parts["timeline"].select("query_id", "type", "id", "rank")
 
 

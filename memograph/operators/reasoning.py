@@ -190,10 +190,10 @@ def key_findings(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def answer(
     questions: DataFrame, chunks: DataFrame, events: DataFrame, correlations: DataFrame, patterns: DataFrame,
-    as_of: Column, limit: int = 10,
+    as_of: Column, limit: int = 10, texts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Classify, gather evidence, trace causes and compose an answer for a table of questions."""
-    parts = retrieval.evidence(questions, chunks, events, correlations, as_of, limit)
+    """Classify, gather evidence, trace causes and compose an answer for a table of questions; texts as for `retrieval.evidence`."""
+    parts = retrieval.evidence(questions, chunks, events, correlations, as_of, limit, texts)
     parts["chunks"], parts["events"] = cut_lineage(parts["chunks"]), cut_lineage(parts["events"])
     traced = root_cause(parts["questions"], parts["events"], parts["correlations"].withColumnsRenamed(
         {"chunk_id": "source_a", "related_id": "source_b"}).drop("query_id").distinct(), patterns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memograph.functions import phrases, scoring, text
 from memograph.operators.correlation import by_source
 from memograph.operators.upsert import keep_by
+from memograph.plans.bounded import broadcast_if_small
 from memograph.plans.neighbours import knn_join, top_k_scan
 from memograph.session import cut_lineage
 
@@ -161,14 +162,29 @@ def newest_first(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("rank", F.row_number().over(w))
 
 
+def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hits with their text, found by chunk and digest; texts are scanned in place while the hits are few, and no other text travels."""
+    keys = ["workspace_id", "chunk_id", "text_key"]
+    wanted = broadcast_if_small(hits.select(*keys).distinct())
+    found = texts.select(*keys, "text").join(wanted, keys, "left_semi").dropDuplicates(keys)
+    return hits.join(found, keys, "left")
+
+
 def evidence(
-    questions: DataFrame, chunks: DataFrame, events: DataFrame, correlations: DataFrame, as_of: Column, limit: int = 10
+    questions: DataFrame, chunks: DataFrame, events: DataFrame, correlations: DataFrame, as_of: Column, limit: int = 10,
+    texts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Chunks, events, correlations and the mixed newest-first list for every question."""
+    """Chunks, events, correlations and the mixed newest-first list for every question.
+
+    Texts lie in the chunks, or in a table of workspace_id, chunk_id, text_key and text;
+    chunks then carry text_key, a digest of the text.
+    """
     doubled = questions.withColumn("limit", F.lit(limit * 2))
     prepared = prepare_questions(doubled, as_of)
     # At most 2 * limit rows per question, read by four branches below.
     hits = cut_lineage(hybrid_search(doubled, chunks, correlations, as_of))
+    if texts is not None:
+        hits = cut_lineage(with_texts(hits, texts))
     found = related_events(prepared, events, limit)
 
     linked = hits.select("query_id", "workspace_id", "chunk_id").join(by_source(correlations), ["workspace_id", "chunk_id"])

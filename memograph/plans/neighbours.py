@@ -1,8 +1,9 @@
 """Exact nearest-neighbour join by cosine, in bounded blocks.
 
-Copies of a vector are searched once. Large groups are cut into cells around
-pivots, two to a block, and queries are
-dealt to the same cells. A query first searches its own cell: the distance of
+Copies of a vector are searched once: hashes that occur twice are counted first,
+and only their rows meet by the vector itself. A vector travels as it came, with
+its length; the unit vector is made where it is multiplied. Large groups are cut
+into cells around pivots, two to a block, and queries are dealt to the same cells. A query first searches its own cell: the distance of
 the k-th point found there bounds what any other cell can add, and it goes on
 to those cells alone that the triangle inequality cannot rule out, so the result
 equals a full scan. Cells are cut further into blocks on either side. A block has
@@ -24,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memograph.functions.scoring import norm
-from memograph.functions.text import let
 from memograph.plans.bounded import broadcast_if_small
 from memograph.session import cut_lineage
 
@@ -34,18 +34,22 @@ WIDEST, HELD = 1 << 16, 1 << 22
 ROUNDED = 1e-9  # cosines are kept to 9 decimals
 
 
-def _directions(vector: Column, zero_at: int) -> Column:
+def _directions(vector: Column, size: Column, zero_at: int) -> Column:
     """Unit vector with two more axes; a zero vector points along its own side's axis, at cosine 0 to all."""
-    def scaled(size: Column) -> Column:
-        flag = F.when(size == 0, 1.0).otherwise(0.0)
-        axes = F.array(flag, F.lit(0.0)) if zero_at == 0 else F.array(F.lit(0.0), flag)
-        return F.concat(F.transform(vector, lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size)), axes)
+    flag = F.when(size == 0, 1.0).otherwise(0.0)
+    axes = F.array(flag, F.lit(0.0)) if zero_at == 0 else F.array(F.lit(0.0), flag)
+    return F.concat(F.transform(vector, lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size)), axes)
 
-    return let(norm(vector), scaled)
 
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_numpy()])
+def _matrix(rows: pd.DataFrame, zero_at: int) -> np.ndarray:
+    """The same unit vectors, as rows of a matrix."""
+    vectors = np.stack([np.asarray(v, dtype=np.float64) for v in rows["_x"].to_numpy()])
+    size = rows["_size"].to_numpy(dtype=np.float64)
+    zero = size == 0
+    axes = np.zeros((len(vectors), 2))
+    axes[zero, zero_at] = 1.0
+    scaled = np.where(zero[:, None], 0.0, vectors / np.where(zero, 1.0, size)[:, None])
+    return np.hstack([scaled, axes])
 
 
 def _to_pivots(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -79,7 +83,7 @@ def best_of(asking: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def knn_join(
     queries: DataFrame, points: DataFrame, k: int, keys: Sequence[str],
-    query_id: str, point_id: str, vector: str = "embedding", block: int = 2048, pivots: int | None = None,
+    query_id: str, point_id: str, vector: str = "embedding", block: int = 16384, pivots: int | None = None,
 ) -> DataFrame:
     """The k points of the same keys with the largest cosine for every query; ties go to the smaller id.
 
@@ -90,24 +94,39 @@ def knn_join(
     group = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
 
     def prepared(side: DataFrame, id_column: str, zero_at: int) -> DataFrame:
-        rows = side.filter(F.col(vector).isNotNull())
-        return rows.select(*keys, group.alias("_g"), F.col(id_column).alias("_id"),
-                           _directions(F.col(vector), zero_at).alias("_v")).withColumn("_vk", F.xxhash64("_v"))
+        kind = side.schema[vector].dataType.simpleString()
+        given = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+        rows = side.filter(F.col(vector).isNotNull()).select(*keys, group.alias("_g"), F.col(id_column).alias("_id"), given.alias("_x"))
+        sized = rows.withColumn("_size", norm(F.col("_x")))
+        return cut_lineage(sized.withColumn("_vk", F.xxhash64(_directions(F.col("_x"), F.col("_size"), zero_at))))
 
     q_rows, p_rows = prepared(queries, query_id, 0), prepared(points, point_id, 1)
     # Copies: one representative is searched; at most k ids of a copy group can ever be returned.
     copy_keys = [*keys, "_g", "_vk", "_v"]
-    order = Window.partitionBy(*copy_keys).orderBy("_id")
-    p_ids = p_rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).groupBy(*copy_keys).agg(
-        F.array_sort(F.collect_list("_id")).alias("_ids"))
-    p_reps = p_ids.select(*keys, "_g", "_v", F.element_at("_ids", 1).alias("_rep"))
-    q_reps = q_rows.groupBy(*copy_keys).agg(F.min("_id").alias("_rep"))
+    p_alone, p_shared = _split(p_rows, 1)
+    q_alone, q_shared = _split(q_rows, 0)
+    p_reps, p_ids = p_alone.filter("_id IS NOT NULL").select("_g", F.col("_id").alias("_rep"), "_x", "_size"), None
+    q_reps = q_alone.select("_g", F.col("_id").alias("_rep"), "_x", "_size")
+    owners = q_alone.select(*keys, "_g", "_id", F.col("_id").alias("_q"))
+    one = F.first(F.struct("_x", "_size")).alias("_r")
+    if p_shared is not None:
+        order = Window.partitionBy(*copy_keys).orderBy("_id")
+        listed = cut_lineage(p_shared.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).groupBy(*copy_keys).agg(
+            F.array_sort(F.collect_list("_id")).alias("_ids"), one).filter(F.size("_ids") > 0).select(
+            "_g", F.element_at("_ids", 1).alias("_rep"), "_ids", "_r._x", "_r._size"))
+        p_ids = p_reps.select("_g", "_rep", F.array("_rep").alias("_ids")).unionByName(listed.select("_g", "_rep", "_ids"))
+        p_reps = p_reps.unionByName(listed.drop("_ids"))
+    if q_shared is not None:
+        firsts = cut_lineage(q_shared.groupBy(*copy_keys).agg(F.min("_id").alias("_rep"), one).select("_g", "_vk", "_v", "_rep", "_r._x", "_r._size"))
+        q_reps = q_reps.unionByName(firsts.select("_g", "_rep", "_x", "_size"))
+        owners = owners.unionByName(cut_lineage(q_shared.join(firsts.select("_g", "_vk", "_v", F.col("_rep").alias("_q")), ["_g", "_vk", "_v"]).select(
+            *keys, "_g", "_id", "_q")))
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("_g").agg(F.count(F.lit(1)).alias(name))
 
     # Row counts bound the distinct vectors from above and need no vector column.
-    sizes = counted(p_rows.select("_g"), "_points").join(counted(q_rows.select("_g"), "_queries"), "_g")
+    sizes = cut_lineage(counted(p_rows.select("_g"), "_points").join(counted(q_rows.select("_g"), "_queries"), "_g"))
     largest, asked_most = sizes.agg(F.max("_points"), F.max("_queries")).first()
     id_type = p_reps.schema["_rep"].dataType.simpleString()
     q_type = q_reps.schema["_rep"].dataType.simpleString()
@@ -121,71 +140,79 @@ def knn_join(
                 "_g": np.array([], dtype="int64"), "_q": left["_q"].iloc[:0].to_numpy() if len(left.columns) else none,
                 "_rep": right["_rep"].iloc[:0].to_numpy() if len(right.columns) else none, "_cos": np.array([], dtype="float64")})
         right = right.sort_values("_rep", kind="stable").reset_index(drop=True)
-        at, top, cos = best_of(_matrix(left["_v"]), _matrix(right["_v"]), k)
+        at, top, cos = best_of(_matrix(left, 0), _matrix(right, 1), k)
         return pd.DataFrame({
             "_g": left["_g"].to_numpy()[at], "_q": left["_q"].to_numpy()[at], "_rep": right["_rep"].to_numpy()[top], "_cos": cos})
 
     block = max(block, min(WIDEST, max(largest or 0, asked_most or 0) // 2))
     if max(largest or 0, asked_most or 0) <= block:
         # Every group fits one block: one product per group is the whole answer.
-        reps = q_reps.select("_g", F.col("_rep").alias("_q"), "_v").groupBy("_g").cogroup(
-            p_reps.select("_g", "_rep", "_v").groupBy("_g")).applyInPandas(multiply, partial_schema)
+        reps = q_reps.withColumnRenamed("_rep", "_q").groupBy("_g").cogroup(p_reps.groupBy("_g")).applyInPandas(multiply, partial_schema)
     else:
         reps = _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_schema, id_type, q_type)
-    return _expand(reps, p_ids, q_rows, q_reps, k, keys, query_id, point_id)
+    return _expand(reps, p_ids, owners, k, keys, query_id, point_id)
+
+
+def _split(rows: DataFrame, zero_at: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose vector hash nobody shares in their group, and the others with their unit vector, if there are any."""
+    twice = cut_lineage(rows.groupBy("_g", "_vk").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_g", "_vk"))
+    if twice.isEmpty():
+        return rows, None
+    known = broadcast_if_small(twice)
+    shared = rows.join(known, ["_g", "_vk"], "left_semi").withColumn("_v", _directions(F.col("_x"), F.col("_size"), zero_at))
+    return rows.join(known, ["_g", "_vk"], "left_anti"), shared
 
 
 def _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_schema, id_type, q_type) -> DataFrame:
     """Best k representatives per query over all cells the triangle inequality leaves in play."""
-    p_reps, q_reps = cut_lineage(p_reps), cut_lineage(q_reps)
     # Pivots are chosen by hash of their id: two for each block of the largest group, as cells far below a block
     # cost more pieces of work and more copies of a vector than they save, and no more than its square root.
     wanted = pivots if pivots is not None else min(math.isqrt(largest or 0) + 1, 2 * -(-(largest or 0) // block))
     table = None
     if largest > block and wanted > 1:
-        chosen = p_reps.select("_v", F.xxhash64("_rep").alias("_h")).orderBy("_h").limit(wanted).collect()
-        table = np.array([r["_v"] for r in chosen], dtype=np.float64)
+        chosen = p_reps.select("_x", "_size", F.xxhash64("_rep").alias("_h")).orderBy("_h").limit(wanted).collect()
+        table = _matrix(pd.DataFrame({"_x": [r["_x"] for r in chosen], "_size": [r["_size"] for r in chosen]}), 1)
 
-    def placed(side: DataFrame, id_column: str, id_kind: str) -> DataFrame:
+    def placed(side: DataFrame, id_column: str, id_kind: str, zero_at: int) -> DataFrame:
         """Each vector with its nearest pivot's cell and the distance to it; groups of one block have one cell."""
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if table is None or b.empty:
                     b["_cell"], b["_away"] = 0, 2.0
                 else:
-                    away = _to_pivots(_matrix(b["_v"]), table)
+                    away = _to_pivots(_matrix(b, zero_at), table)
                     cell = away.argmin(axis=1)
                     big = (b["_points"] > block).to_numpy()
                     b["_cell"] = np.where(big, cell, 0).astype("int32")
                     b["_away"] = np.where(big, away[np.arange(len(b)), cell], 2.0)
-                yield b[["_g", id_column, "_v", "_cell", "_away"]]
+                yield b[["_g", id_column, "_x", "_size", "_cell", "_away"]]
 
-        rows = side.select("_g", F.col("_rep").alias(id_column), "_v").join(sizes.select("_g", "_points"), "_g")
-        return cut_lineage(rows.mapInPandas(place, f"_g long, {id_column} {id_kind}, _v array<double>, _cell int, _away double"))
+        rows = side.withColumnRenamed("_rep", id_column).join(sizes.select("_g", "_points"), "_g")
+        kind = side.schema["_x"].dataType.simpleString()
+        return cut_lineage(rows.mapInPandas(place, f"_g long, {id_column} {id_kind}, _x {kind}, _size double, _cell int, _away double"))
 
-    points, queries = placed(p_reps, "_rep", id_type), placed(q_reps, "_q", q_type)
+    points, queries = placed(p_reps, "_rep", id_type, 1), placed(q_reps, "_q", q_type, 0)
     cells = cut_lineage(points.groupBy("_g", "_cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("_away").alias("r")).withColumn("_pbs", F.ceil(F.col("n") / block).cast("int")))
     # A query block holds queries of one cell of one group.
-    crowds = queries.groupBy("_g", F.col("_cell").alias("_home")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qbs"))
-    queries = cut_lineage(queries.withColumnRenamed("_cell", "_home").join(crowds, ["_g", "_home"]).select(
-        "_g", "_home", F.pmod(F.xxhash64("_q"), F.col("_qbs")).cast("int").alias("_qb"), "_q", "_v"))
+    crowds = cut_lineage(queries.groupBy("_g", F.col("_cell").alias("_home")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qbs")))
+    queries = queries.withColumnRenamed("_cell", "_home").join(crowds, ["_g", "_home"]).select(
+        "_g", "_home", F.pmod(F.xxhash64("_q"), F.col("_qbs")).cast("int").alias("_qb"), "_q", "_x", "_size")
     work = ["_g", "_home", "_qb", "_cell", "_pb"]
 
-    def search(visits: DataFrame) -> DataFrame:
-        """Partial results of (_g, _home, _qb, _q, _cell, _pbs) rows; a point goes where some query of the block needs it."""
+    def search(visits: DataFrame, asking: DataFrame) -> DataFrame:
+        """Partial results of (_g, _home, _qb, _q, _cell, _pbs) rows and those with their vectors; a point goes where some query of the block needs it."""
         def spread(rows: DataFrame) -> DataFrame:
             return rows.withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_pbs") - 1))).drop("_pbs")
 
         triples = cut_lineage(visits.select("_g", "_home", "_qb", "_cell", "_pbs").distinct())
         block_of = F.pmod(F.xxhash64("_rep"), F.col("_pbs")).cast("int")
-        held = points.select("_g", "_cell", "_rep", "_v").join(triples, ["_g", "_cell"]).withColumn("_pb", block_of)
-        asked = spread(visits).join(queries.select("_g", "_q", "_v"), ["_g", "_q"])
-        return cut_lineage(asked.select(*work, "_q", "_v").groupBy(*work).cogroup(
-            held.select(*work, "_rep", "_v").groupBy(*work)).applyInPandas(multiply, partial_schema))
+        held = points.select("_g", "_cell", "_rep", "_x", "_size").join(triples, ["_g", "_cell"]).withColumn("_pb", block_of)
+        return cut_lineage(spread(asking).select(*work, "_q", "_x", "_size").groupBy(*work).cogroup(
+            held.select(*work, "_rep", "_x", "_size").groupBy(*work)).applyInPandas(multiply, partial_schema))
 
-    asked = queries.drop("_v")
-    own = search(asked.withColumn("_cell", F.col("_home")).join(cells.select("_g", "_cell", "_pbs"), ["_g", "_cell"]))
+    home = queries.withColumn("_cell", F.col("_home")).join(cells.select("_g", "_cell", "_pbs"), ["_g", "_cell"])
+    own = search(home, home)
     best = Window.partitionBy("_g", "_q").orderBy(F.desc("_cos"), F.asc("_rep"))
     own = own.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
     if table is None:
@@ -202,7 +229,7 @@ def _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_
         r = np.array([c["r"] for c in listed], dtype="float64")
         rows, at = np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64")
         if len(left) and len(cell) > 1:
-            away = _to_pivots(_matrix(left["_v"]), table)[:, cell]
+            away = _to_pivots(_matrix(left, 0), table)[:, cell]
             near = np.argsort(away + r, axis=1)
             enough = np.minimum((np.cumsum(n[near], axis=1) < k).sum(axis=1), len(cell) - 1)
             limit = np.take_along_axis(away + r, near[np.arange(len(left)), enough][:, None], axis=1)[:, 0]
@@ -217,18 +244,19 @@ def _pruned(q_reps, p_reps, sizes, k, block, pivots, largest, multiply, partial_
     block_keys = ["_g", "_home", "_qb"]
     visits = cut_lineage(queries.join(reach, ["_g", "_q"], "left").groupBy(*block_keys).cogroup(maps.groupBy(*block_keys)).applyInPandas(
         visit, f"_g long, _home int, _qb int, _q {q_type}, _cell int, _pbs int"))
-    both = own.drop("_n").unionByName(search(visits))
+    both = own.drop("_n").unionByName(search(visits, visits.join(queries.select("_g", "_q", "_x", "_size"), ["_g", "_q"])))
     return both.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
-def _expand(reps, p_ids, q_rows, q_reps, k, keys, query_id, point_id) -> DataFrame:
-    """Back to all ids: every copy of a point, then every copy of a query."""
-    listed = p_ids.select("_g", F.element_at("_ids", 1).alias("_rep"), "_ids")
-    spread = reps.join(listed, ["_g", "_rep"]).select("_g", "_q", "_cos", F.explode("_ids").alias("_point"))
+def _expand(reps, p_ids, owners, k, keys, query_id, point_id) -> DataFrame:
+    """Back to all ids: every copy of a point, if there are any, then every copy of a query."""
+    if p_ids is None:
+        spread = reps.withColumnRenamed("_rep", "_point")
+    else:
+        spread = reps.join(p_ids, ["_g", "_rep"]).select("_g", "_q", "_cos", F.explode("_ids").alias("_point"))
     final = Window.partitionBy("_g", "_q").orderBy(F.desc("_cos"), F.asc("_point"))
     chosen = spread.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
-    owners = q_rows.join(q_reps.select("_g", "_vk", "_v", F.col("_rep").alias("_q")), ["_g", "_vk", "_v"])
-    return owners.select(*keys, "_g", F.col("_id").alias(query_id), "_q").join(chosen, ["_g", "_q"]).select(
+    return owners.withColumnRenamed("_id", query_id).join(chosen, ["_g", "_q"]).select(
         *keys, query_id, F.col("_point").alias(point_id), F.col("_cos").alias("cosine"), "rank")
 
 

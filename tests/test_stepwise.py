@@ -6,9 +6,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from memograph import adapters as A
-from memograph.catalog import graph
-from memograph.operators import correlation, entities, graphbuild, patterns, upsert
-from memograph.plans import late, substring
+from memograph.catalog import graph, search
+from memograph.operators import correlation, entities, graphbuild, patterns, retrieval, upsert
+from memograph.plans import late, neighbours, substring
 from memograph.plans.late import first_passing
 from memograph.plans.neighbours import knn_join
 from memograph.plans.ranking import with_running_total
@@ -233,3 +233,56 @@ def test_supplier_pairs_get_more_tasks_with_more_lines(spark, tmp_path, monkeypa
     many = graph.supplier_pairs(spark, str(tmp_path))
     assert many.rdd.getNumPartitions() == 10
     assert rows_of(many, "entity_a", "entity_b", "score", "last_seen") == want and len(want) > 10
+
+
+def test_vectors_travel_as_they_came_and_once_if_nobody_shares_them(spark, monkeypatch):
+    """Single precision stays single; without copies no task groups rows by their vector."""
+    stored, cut = [], neighbours.cut_lineage
+
+    def kept(df):
+        out = cut(df)
+        stored.append((out, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    rng = random.Random(12)
+    rows = [(i, f"w{i % 2}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, ws string, embedding array<float>")
+    monkeypatch.setattr(neighbours, "cut_lineage", kept)
+    whole = knn_join(df, df.withColumnRenamed("id", "near"), 3, ["ws"], "id", "near").collect()
+    many = knn_join(df, df.withColumnRenamed("id", "near"), 3, ["ws"], "id", "near", block=20, pivots=4).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, many)) and len(whole) == 600
+    kinds = {f.dataType.simpleString() for out, _ in stored for f in out.schema if f.dataType.simpleString().startswith("array")}
+    assert "array<float>" in kinds and "array<double>" not in kinds
+    assert not any("collect_list(_id" in plan for _, plan in stored)
+
+
+def test_neighbours_among_scaled_copies_nulls_and_repeated_rows(spark):
+    """Vectors of one direction are one class, also with null ids and rows that come twice; zero vectors are at cosine 0."""
+    rng = random.Random(13)
+    rows = [(i, [x * (1 + i % 2) for x in ([1.0, 2.0, 0.5] if i % 3 == 0 else [0.0, 0.0, 0.0] if i == 1 else [rng.gauss(0, 1) for _ in range(3)])]) for i in range(60)]
+    df = spark.createDataFrame([*rows, *rows[:4], (None, [1.0, 2.0, 0.5]), (77, None)], "id int, embedding array<double>")
+    points = df.withColumnRenamed("id", "near")
+    whole = knn_join(df, points, 4, [], "id", "near").select("id", "near", "rank", "cosine").collect()
+    cut = knn_join(df, points, 4, [], "id", "near", block=8, pivots=3).select("id", "near", "rank", "cosine").collect()
+    assert sorted(map(str, whole)) == sorted(map(str, cut))
+    first = sorted((r["rank"], r["near"]) for r in whole if r["id"] == 9)
+    assert first[:3] == [(1, 0), (2, 0), (3, 3)] and len(first) == 4 and {r["cosine"] for r in whole if r["id"] == 1} == {0.0}
+
+
+def test_texts_fetched_for_hits_equal_texts_in_chunks(spark):
+    """A chunk that comes twice keeps its own text each time."""
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    rows = [(f"c{i}", f"Body {i % 5}  of note", [float(i % 7), 1.0, float(i % 3)], BASE + timedelta(minutes=i), i) for i in range(24)]
+    rows += [("c3", "Another body", [3.0, 1.0, 0.0], BASE, 30), ("c4", None, [4.0, 1.0, 1.0], BASE, 31), ("c5", "Body 0  of note", [5.0, 1.0, 2.0], BASE, 32)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<double>, ts timestamp, seen_at int").select(
+        "*", F.lit("w").alias("workspace_id"), F.lit("slack").alias("source"), F.lit("chat").alias("source_type"), F.lit("a").alias("author"),
+        F.lit("t").alias("team"), F.array(F.lit("x")).alias("hierarchy"), F.array(F.lit("Docker")).alias("entities"), F.col("chunk_id").alias("title"))
+    asked = spark.createDataFrame([("q", "w", "docker trouble", [1.0, 1.0, 1.0]), ("r", "w", "postgres", [5.0, 1.0, 0.0])],
+                                  "query_id string, workspace_id string, question string, embedding array<double>")
+    links, events = correlation.correlate(chunks), search.lite_events(chunks)
+    keyed = chunks.withColumn("text_key", F.sha2("text", 256))
+    want = retrieval.evidence(asked, chunks, events, links, now, 6)
+    got = retrieval.evidence(asked, keyed.drop("text"), events, links, now, 6, texts=keyed.select("workspace_id", "chunk_id", "text_key", "text"))
+    assert rows_of(got["chunks"], "query_id", "chunk_id", "text", "rank") == rows_of(want["chunks"], "query_id", "chunk_id", "text", "rank")
+    assert rows_of(got["timeline"], "query_id", "type", "id", "content") == rows_of(want["timeline"], "query_id", "type", "id", "content")
+    assert got["chunks"].count() == 12
