@@ -187,9 +187,13 @@ def root_cause_confidence(spark, sf_dir):
     return traced["summary"].select("query_id", "link_count", "pattern_count", "trace_confidence")
 
 
+#: What the detectors of patterns read.
+PATTERN_COLUMNS = ["workspace_id", "event_id", "event_type", "title", "ts", "entities"]
+
+
 def pattern_table(spark, sf_dir):
-    """Patterns of the event log, stored once."""
-    return cut_lineage(patterns.all_patterns(A.op_events(spark, sf_dir), A.as_of()))
+    """Patterns of the event log; the events are stored once, the patterns are not: they grow with the square of the events."""
+    return patterns.all_patterns(cut_lineage(A.op_events(spark, sf_dir).select(*PATTERN_COLUMNS)), A.as_of())
 
 
 @query("matched_patterns", with_ctes(OP_EVENTS, f"""

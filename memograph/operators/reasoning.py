@@ -11,6 +11,7 @@ from memograph import vocab
 from memograph.functions import phrases, scoring, text
 from memograph.operators import digest, retrieval
 from memograph.operators.upsert import keep_by
+from memograph.plans.bounded import broadcast_if_small
 from memograph.plans.late import first_passing
 from memograph.plans.substring import containing
 from memograph.session import cut_lineage
@@ -90,18 +91,38 @@ def links(events: DataFrame, correlations: DataFrame) -> DataFrame:
                    ["from_no", "to_no", -F.col("score"), "type"], newest=False)
 
 
+def pattern_matches(questions: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Patterns whose entity list, as text, contains a wanted entity of the question; a row for each such entity.
+
+    Patterns of workspaces without a question are left out first, so that Spark can do so
+    before it pairs their events.
+    """
+    asked = questions.select("query_id", "workspace_id", F.explode("q_entities").alias("entity"))
+    spaces = broadcast_if_small(asked.select("workspace_id").distinct())
+    listed = patterns.join(spaces, ["workspace_id"], "left_semi").withColumn("_csv", F.lower(F.array_join("entities", ",")))
+    return containing(listed, F.col("_csv"), asked, F.lower("entity"), ["workspace_id"]).drop("_csv", "entity")
+
+
 def matching_patterns(questions: DataFrame, patterns: DataFrame) -> DataFrame:
     """Patterns whose entity list, as text, contains a wanted entity of the question."""
-    asked = questions.select("query_id", "workspace_id", F.explode("q_entities").alias("entity"))
-    listed = patterns.withColumn("_csv", F.lower(F.array_join("entities", ",")))
-    found = containing(listed, F.col("_csv"), asked, F.lower("entity"), ["workspace_id"])
-    return found.drop("_csv", "entity").distinct()
+    return pattern_matches(questions, patterns).distinct()
+
+
+def pattern_counts(matches: DataFrame) -> DataFrame:
+    """Distinct matches of each question; two hashes of a row travel for it, as patterns grow with the square of the events."""
+    row = [c for c in matches.columns if c != "query_id"]
+    marks = matches.select("query_id", F.xxhash64(*row).alias("_a"), F.xxhash64(F.lit(1), *row).alias("_b")).distinct()
+    return marks.groupBy("query_id").agg(F.count(F.lit(1)).alias("pattern_count"))
 
 
 def root_cause(questions: DataFrame, events: DataFrame, correlations: DataFrame, patterns: DataFrame) -> dict[str, DataFrame]:
-    """Chain, links, patterns, explanation lines and confidence of every question."""
+    """Chain, links, patterns, explanation lines and confidence of every question.
+
+    matches are the patterns with a row for each entity that they match; what repeated rows do
+    not change is better read from there.
+    """
     linked = links(events, correlations)
-    matched = matching_patterns(questions, patterns)
+    matches = pattern_matches(questions, patterns)
     titles = events.select("query_id", "event_id", "title")
     steps = (
         linked.join(titles.withColumnsRenamed({"event_id": "from_event", "title": "from_title"}), ["query_id", "from_event"])
@@ -113,13 +134,13 @@ def root_cause(questions: DataFrame, events: DataFrame, correlations: DataFrame,
     per = linked.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("link_count"), F.avg("score").alias("mean_score"),
         F.min_by("from_event", F.struct("from_step", "to_step")).alias("first_event"))
-    named = matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("pattern_count"))
+    named = pattern_counts(matches)
     counted = questions.select("query_id", "workspace_id").join(per, "query_id", "left").join(named, "query_id", "left")
     n, p = F.coalesce("link_count", F.lit(0)), F.coalesce("pattern_count", F.lit(0))
     summary = counted.select(
         "query_id", "workspace_id", n.alias("link_count"), p.alias("pattern_count"), "first_event",
         scoring.chain_confidence(n, F.coalesce("mean_score", F.lit(0.0)), p > 0).alias("trace_confidence"))
-    return {"chain": chains(events), "links": linked, "patterns": matched, "steps": steps, "summary": summary}
+    return {"chain": chains(events), "links": linked, "patterns": matches.distinct(), "matches": matches, "steps": steps, "summary": summary}
 
 
 def synthesize(classified: DataFrame, parts: dict[str, DataFrame], traced: dict[str, DataFrame]) -> DataFrame:
@@ -131,7 +152,7 @@ def synthesize(classified: DataFrame, parts: dict[str, DataFrame], traced: dict[
     triggers = traced["summary"].join(
         parts["events"].select("query_id", F.col("event_id").alias("first_event"), F.col("title").alias("trigger")),
         ["query_id", "first_event"], "left")
-    recurring = traced["patterns"].filter(F.col("pattern_type") == "recurring_incident").groupBy("query_id").agg(
+    recurring = traced["matches"].filter(F.col("pattern_type") == "recurring_incident").groupBy("query_id").agg(
         F.min_by("name", F.struct(-F.unix_micros("last_detected"), "pattern_id")).alias("problem"))
     rows = (
         classified.join(triggers.drop("workspace_id"), "query_id", "left").join(tops, "query_id", "left")
@@ -176,13 +197,15 @@ def synthesize(classified: DataFrame, parts: dict[str, DataFrame], traced: dict[
 
 
 def key_findings(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Up to three chunk excerpts and two patterns per question."""
+    """Up to three chunk excerpts and two patterns per question; a pattern may come more than once."""
     first = chunks.filter(F.col("rank") <= 3).select(
         "query_id", F.lit("chunk").alias("kind"), F.col("rank").cast("long").alias("n"), F.col("chunk_id").alias("ref"),
         F.concat(F.lit("Semantic overlap found in "), "source_type", F.lit(": '"),
                  text.strip(F.substring("text", 1, 150)), F.lit("...'")).alias("finding"))
     w = Window.partitionBy("query_id").orderBy(F.desc("last_detected"), "pattern_id")
-    second = patterns.withColumn("n", F.row_number().over(w).cast("long")).filter(F.col("n") <= 2).select(
+    # Each task keeps the rows of its two first places; what is distinct is settled among them.
+    firsts = patterns.withColumn("_place", F.dense_rank().over(w)).filter(F.col("_place") <= 2).drop("_place").distinct()
+    second = firsts.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 2).withColumn("n", F.col("n").cast("long")).select(
         "query_id", F.lit("pattern").alias("kind"), "n", F.col("pattern_id").alias("ref"),
         F.concat(F.lit("Registered alert pattern: '"), "name", F.lit("' ("), "description", F.lit(")")).alias("finding"))
     return first.unionByName(second)
@@ -199,7 +222,7 @@ def answer(
         {"chunk_id": "source_a", "related_id": "source_b"}).drop("query_id").distinct(), patterns)
     classified = classify(questions.select("query_id", "workspace_id", "question"))
     return {**parts, **{f"trace_{k}": v for k, v in traced.items()}, "answers": synthesize(classified, parts, traced),
-            "findings": key_findings(parts["chunks"], traced["patterns"])}
+            "findings": key_findings(parts["chunks"], traced["matches"])}
 
 
 def wanted_names(questions: DataFrame, hits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memograph import adapters as A
 from memograph.catalog import graph, search
-from memograph.operators import correlation, entities, graphbuild, patterns, retrieval, upsert
+from memograph.operators import correlation, entities, graphbuild, patterns, reasoning, retrieval, upsert
 from memograph.plans import late, neighbours, substring
 from memograph.plans.late import first_passing
 from memograph.plans.neighbours import knn_join
@@ -286,3 +286,21 @@ def test_texts_fetched_for_hits_equal_texts_in_chunks(spark):
     assert rows_of(got["chunks"], "query_id", "chunk_id", "text", "rank") == rows_of(want["chunks"], "query_id", "chunk_id", "text", "rank")
     assert rows_of(got["timeline"], "query_id", "type", "id", "content") == rows_of(want["timeline"], "query_id", "type", "id", "content")
     assert got["chunks"].count() == 12
+
+
+def test_matched_patterns_are_counted_without_travelling(spark):
+    """Patterns that match by two names or come twice count once, and no description is shuffled for it."""
+    rows = [("w", f"p{i % 8}", "escalation_chain", "n", f"long {i % 8}", "high", 0.8, [f"service_{i % 4}", "docker"]) for i in range(12)] + [
+        ("v", "p0", "escalation_chain", "n", "elsewhere", "high", 0.8, ["docker"])]
+    found = spark.createDataFrame(rows, "workspace_id string, pattern_id string, pattern_type string, name string, description string, severity string, "
+                                        "confidence double, entities array<string>").withColumn("last_detected", F.lit(BASE))
+    asked = spark.createDataFrame([("q", "w", ["Docker", "service_1"]), ("r", "w", ["service_3"]), ("s", "w", ["none"])],
+                                  "query_id string, workspace_id string, q_entities array<string>")
+    counts = reasoning.pattern_counts(reasoning.pattern_matches(asked, found))
+    assert {r["query_id"]: r["pattern_count"] for r in counts.collect()} == {"q": 8, "r": 2}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not any("hashpartitioning" in line and "description" in line for line in plan.splitlines())
+    hits = spark.createDataFrame([], "query_id string, rank int, chunk_id string, source_type string, text string")
+    told = reasoning.key_findings(hits, reasoning.pattern_matches(asked, found))
+    assert sorted((r["query_id"], r["n"], r["ref"]) for r in told.collect()) == [("q", 1, "p0"), ("q", 2, "p1"), ("r", 1, "p3"), ("r", 2, "p7")]
+    assert reasoning.matching_patterns(asked, found).count() == 10
