@@ -28,13 +28,15 @@ def hashed_trigrams(size: int = 128) -> Embedder:
     def encode(names: list[str]) -> list[list[float]]:
         import zlib
 
-        out = []
+        import numpy as np
+
+        out, slots = [], {}
         for name in names:
             padded = f"  {name.lower()} "
-            vector = [0.0] * size
-            for i in range(len(padded) - 2):
-                vector[zlib.crc32(padded[i:i + 3].encode()) % size] += 1.0
-            out.append(vector)
+            three = [padded[i:i + 3] for i in range(len(padded) - 2)]
+            for t in set(three).difference(slots):
+                slots[t] = zlib.crc32(t.encode()) % size
+            out.append(np.bincount([slots[t] for t in three], minlength=size).astype("float32"))
         return out
 
     return batched(encode)

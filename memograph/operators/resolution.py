@@ -13,6 +13,8 @@ from memograph.plans.neighbours import knn_join
 from memograph.session import cut_lineage
 
 BLOCK = ["workspace_id", "type"]
+#: Most names that one task embeds.
+NAMES_A_TASK = 20_000
 
 
 def _token_sets(rows: DataFrame) -> DataFrame:
@@ -72,6 +74,17 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float = vocab.JAC
     return pairs.filter(F.col("score") >= threshold).select(*BLOCK, "left_set", "right_set", "score").distinct()
 
 
+def embedded(rows: DataFrame, name: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """Rows with their name's vector: each distinct name is embedded once, by as many tasks as the names need.
+
+    Files of short names are few, and a filter on the vector would embed the rows that a name comes from.
+    """
+    distinct = cut_lineage(rows.select(name).distinct())
+    tasks = max(-(-distinct.count() // NAMES_A_TASK), 1)
+    vectors = cut_lineage(distinct.repartition(tasks).withColumn("embedding", embed(F.col(name))))
+    return rows.join(vectors.withColumnRenamed(name, "_name"), F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
+
+
 def resolve(
     names: DataFrame, entities: DataFrame, embed: Callable[[Column], Column] | None = None,
     jaccard: float = vocab.JACCARD_THRESHOLD, cosine: float = vocab.NAME_COSINE_THRESHOLD,
@@ -81,8 +94,9 @@ def resolve(
     Each stage sees only what the stages before left over. Every candidate is
     considered, and ties go to the first entity by name and id.
     """
-    wanted = names.select(*BLOCK, F.trim("name").alias("name")).filter(F.col("name") != "").distinct()
-    nodes = entities.select(*BLOCK, "entity_id", F.col("name").alias("entity_name"), "aliases")
+    # Written once: every stage reads both, and no stage's filter may reach below what made them.
+    wanted = cut_lineage(names.select(*BLOCK, F.trim("name").alias("name")).filter(F.col("name") != "").distinct())
+    nodes = cut_lineage(entities.select(*BLOCK, "entity_id", F.col("name").alias("entity_name"), "aliases"))
     first = F.struct("entity_name", "entity_id")
 
     def picked(rows: DataFrame, stage: str) -> DataFrame:
@@ -117,9 +131,8 @@ def resolve(
     if embed is not None:
         rest = left_over(name_sets.select(*BLOCK, "name"), overlap)
         keyed = nodes.withColumn("key", F.concat_ws("\u0001", "entity_name", F.col("entity_id").cast("string")))
-        near = knn_join(
-            rest.withColumn("embedding", embed(F.col("name"))), keyed.withColumn("embedding", embed(F.col("entity_name"))),
-            1, BLOCK, "name", "key").filter(F.col("cosine") >= cosine)
+        near = knn_join(embedded(rest, "name", embed), embedded(keyed, "entity_name", embed), 1, BLOCK, "name", "key").filter(
+            F.col("cosine") >= cosine)
         done = done.unionByName(near.join(keyed.select(*BLOCK, "key", "entity_id"), [*BLOCK, "key"]).select(
             *BLOCK, "name", "entity_id", F.lit("vector").alias("stage")))
     return wanted.join(done, [*BLOCK, "name"], "left").withColumn("stage", F.coalesce("stage", F.lit("new")))

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,22 @@ def test_entity_resolution_stages(spark):
                    "kubernetes clusters": ("n3", "vector"), "something else": (None, "new")}
 
 
+def test_a_name_is_embedded_once_however_many_rows_it_comes_from(spark):
+    asked, vector = spark.sparkContext.accumulator(0), embedding.hashed_trigrams()
+
+    @F.pandas_udf("string")
+    def seen(names: pd.Series) -> pd.Series:
+        asked.add(len(names))
+        return names
+
+    rows = spark.range(3000).select(F.lit("w").alias("workspace_id"), F.lit("system").alias("type"), F.concat(F.lit("alpha beta "), F.col("id") % 3).alias("name"), "id")
+    nodes = rows.groupBy("workspace_id", "type", "name").agg(F.min("id").alias("entity_id")).withColumn("aliases", F.array().cast("array<string>"))
+    names = rows.withColumn("name", F.replace("name", F.lit("a b"), F.lit("ab")))
+    got = resolution.resolve(names, nodes, lambda c: vector(seen(c)), jaccard=0.95, cosine=0.8).select("name", "entity_id", "stage").collect()
+    assert sorted(map(tuple, got)) == [(f"alphabeta {n}", n, "vector") for n in range(3)]
+    assert asked.value == 6
+
+
 def test_graph_lookup_prefers_the_exact_name(spark):
     nodes = spark.createDataFrame([("w", "1", "api gateway"), ("w", "2", "api")], "workspace_id string, entity_id string, name string")
     refs = spark.createDataFrame([("w", "c1", "1"), ("w", "c2", "2")], "workspace_id string, chunk_id string, entity_id string")
