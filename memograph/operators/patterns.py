@@ -100,8 +100,8 @@ def pattern_events(patterns: DataFrame, events: DataFrame, as_of: Column, days:
     return recent.join(keyed, ["workspace_id", "entity"]).select("workspace_id", "pattern_id", "event_id")
 
 
-def escalation_chains(events: DataFrame, minutes: int = 60, issues: DataFrame | None = None) -> DataFrame:
-    """Issue or discussion events up to an hour after a deployment, with their joint entities.
+def chain_pairs(events: DataFrame, minutes: int = 60, issues: DataFrame | None = None) -> DataFrame:
+    """Issue or discussion events up to an hour after a deployment, with both titles and their joint entities.
 
     Deployments come from events, and so do the issues unless they are given. Generic names
     are left out once an event, not once a pair: the pairs grow with the square of the events.
@@ -117,6 +117,11 @@ def escalation_chains(events: DataFrame, minutes: int = 60, issues: DataFrame |
     pairs = follow_join(deployments, later, WS, "deployed_at", "ts", minutes * MINUTE_US)
     # No null is left in the lists, so the plain sort does what array_sort does with a comparison a pair of names.
     joint = F.sort_array(F.array_union("entities", "deployment_entities"))
+    return pairs.select("workspace_id", "deployment_id", "event_id", "deployment_title", "title", joint.alias("entities"))
+
+
+def chain_patterns(pairs: DataFrame) -> DataFrame:
+    """The pattern of each pair of `chain_pairs`."""
     return pairs.select(
         "workspace_id",
         F.concat(F.lit("pattern_chain_"), "deployment_id", F.lit("_"), "event_id").alias("pattern_id"),
@@ -127,10 +132,15 @@ def escalation_chains(events: DataFrame, minutes: int = 60, issues: DataFrame |
             F.lit("'. Temporal spacing: less than 60 minutes."),
         ).alias("description"),
         F.lit("high").alias("severity"), F.lit(0.85).alias("confidence"),
-        joint.alias("entities"), "deployment_id", "event_id",
+        "entities", "deployment_id", "event_id",
     )
 
 
+def escalation_chains(events: DataFrame, minutes: int = 60, issues: DataFrame | None = None) -> DataFrame:
+    """The patterns of all pairs of a deployment and an event of the hour after it; see `chain_pairs`."""
+    return chain_patterns(chain_pairs(events, minutes, issues))
+
+
 def frequency_spikes(events: DataFrame, as_of: Column) -> DataFrame:
     """Types whose last 24 hours reach 3 events and 2.5 times the prior week's daily mean."""
     scope = events.filter(

@@ -13,7 +13,9 @@ ones they replace:
 * neighbour lists: new against all, the rest against new, and a list that loses a member is
   searched again;
 * escalation chains: changed deployments against all events, the other deployments against
-  changed events; recurring incidents and spikes of the touched workspaces.
+  changed events; recurring incidents and spikes of the touched workspaces. A chain counts
+  as long as neither of its events has a version newer than the batch that wrote it, so chains,
+  which grow with the square of the events, are never grouped, compared or marked as deleted.
 
 Workspace and key columns are not null.
 """
@@ -21,7 +23,6 @@ Workspace and key columns are not null.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ KEYS = {"chunks": [WS, "chunk_id"], "events": [WS, "event_id"], "pairs": [WS, "e
 CHUNK_COLUMNS = [WS, "chunk_id", "embedding", "entities", "ts", "source", "seen_at"]
 EVENT_COLUMNS = [WS, "event_id", "event_type", "title", "ts", "entities"]
 PATTERN_COLUMNS = [WS, "pattern_id", "pattern_type", "name", "description", "severity", "confidence", "entities"]
+CHAINS = "chains"
 NEAR = "array<struct<away:double,match_id:string>>"
 
 
@@ -85,6 +87,22 @@ class Store:
         marked.write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(marked.schema).parquet(folder).filter("NOT gone").drop("gone")
 
+    def chains(self) -> DataFrame | None:
+        """Chains whose two events have not changed since the batch that wrote them."""
+        found = self.versions(CHAINS)
+        if found is None:
+            return None
+        last, versions = self.last(), self.versions("events").groupBy(*KEYS["events"])
+        moved = versions.agg(F.count(F.lit(1)).alias("n"), F.max("no").alias("newest")).filter("n > 1").drop("n")
+        older = found.filter(F.col("no") < last)
+        for end in ("deployment_id", "event_id"):
+            ends = moved.select(F.col(WS).alias("_ws"), F.col("event_id").alias("_end"), "newest")
+            older = older.join(ends, (F.col(WS) == F.col("_ws")) & (F.col(end) == F.col("_end")) & (F.col("no") < F.col("newest")), "left_anti")
+        return found.filter(F.col("no") == last).unionByName(older).drop("no")
+
+    def write_chains(self, no: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{CHAINS}/no={no}")
+
     def commit(self, batch_id: str, no: int, base: int = 0) -> None:
         row = self.spark.createDataFrame([(no, batch_id, base)], "no int, batch_id string, base int")
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
@@ -94,6 +112,7 @@ class Store:
         no = self.last() + 1
         for table in KEYS:
             self.write(table, no, self.current(table))
+        self.write_chains(no, self.chains())
         self.commit(f"compacted-{no}", no, base=no)
 
 
@@ -190,19 +209,16 @@ class Maintained:
         self.store.write("neighbours", no, fresh.unionByName(merged), gone=ids.join(fresh, keys, "left_anti"))
 
     def _patterns(self, no: int, held: DataFrame | None, changed: DataFrame, after: DataFrame) -> None:
-        keys, ids, ends = KEYS["patterns"], changed.select(WS, "event_id"), ("deployment_id", "event_id")
+        keys, ids = KEYS["patterns"], changed.select(WS, "event_id")
         others = after.join(ids, [WS, "event_id"], "left_anti")
-        chains = patterns.escalation_chains(changed, issues=after).unionByName(patterns.escalation_chains(others, issues=changed))
-        whole = patterns.recurring_incidents(after, self.as_of).select(*PATTERN_COLUMNS).unionByName(
-            patterns.frequency_spikes(after, self.as_of).select(*PATTERN_COLUMNS))
-        found = cut_lineage(chains.select(*PATTERN_COLUMNS, *ends).unionByName(whole, allowMissingColumns=True))
+        self.store.write_chains(no, patterns.chain_pairs(changed, issues=after).unionByName(patterns.chain_pairs(others, issues=changed)))
+        found = cut_lineage(patterns.recurring_incidents(after, self.as_of).select(*PATTERN_COLUMNS).unionByName(
+            patterns.frequency_spikes(after, self.as_of).select(*PATTERN_COLUMNS)))
         if held is None:
             self.store.write("patterns", no, found)
             return
-        there = held.join(changed.select(WS).distinct(), WS, "left_semi")
-        ended = reduce(DataFrame.unionByName, [there.join(ids.withColumnRenamed("event_id", end), [WS, end], "left_semi").select(*keys) for end in ends])
-        looked = there.filter(F.col("deployment_id").isNull()).select(*keys)
-        self.store.write("patterns", no, found, gone=ended.unionByName(looked).distinct().join(found, keys, "left_anti"))
+        looked = held.join(changed.select(WS).distinct(), WS, "left_semi").select(*keys)
+        self.store.write("patterns", no, found, gone=looked.distinct().join(found, keys, "left_anti"))
 
     def chunks(self) -> DataFrame:
         return self.store.current("chunks")
@@ -214,7 +230,8 @@ class Maintained:
         return self.store.current("pairs")
 
     def patterns(self) -> DataFrame:
-        return self.store.current("patterns").select(*PATTERN_COLUMNS).withColumn("last_detected", self.as_of)
+        whole = self.store.current("patterns").select(*PATTERN_COLUMNS)
+        return whole.unionByName(patterns.chain_patterns(self.store.chains()).select(*PATTERN_COLUMNS)).withColumn("last_detected", self.as_of)
 
     def neighbours(self) -> DataFrame:
         """(workspace, chunk, match, cosine): each chunk's list without itself."""

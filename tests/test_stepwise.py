@@ -68,6 +68,25 @@ def test_batches_give_what_one_run_gives(spark, tmp_path):
     check()
 
 
+def test_chains_are_kept_by_the_versions_of_their_events(spark, tmp_path):
+    """No chain is grouped or written again because another event of its deployment changed."""
+    def event(n, kind, minute, title="t"):
+        return ("w", f"e{n}", kind, title, BASE + timedelta(minutes=minute), ["db"])
+
+    store = Maintained(spark, str(tmp_path / "chains"), F.lit("2024-01-22 00:00:00").cast("timestamp"), k=2)
+    chunks = spark.createDataFrame([], CHUNKS)
+    for n, events in enumerate(([event(0, "deployment", 0), event(1, "incident", 5), event(2, "incident", 9)],
+                                [event(1, "incident", 6, "new"), event(3, "deployment", 1)], [event(3, "discussion", 1)])):
+        assert store.apply(f"b{n}", chunks, spark.createDataFrame(events, EVENTS))
+    assert rows_of(store.store.versions("chains"), "no", "deployment_id", "event_id", "title") == sorted(map(str, spark.createDataFrame(
+        [(1, "e0", "e1", "t"), (1, "e0", "e2", "t"), (2, "e0", "e1", "new"), (2, "e3", "e1", "new"), (2, "e3", "e2", "t"), (3, "e0", "e3", "t")],
+        "no int, deployment_id string, event_id string, title string").collect()))
+    assert sorted((r.deployment_id, r.event_id, r.title) for r in store.store.chains().collect()) == [("e0", "e1", "new"), ("e0", "e2", "t"), ("e0", "e3", "t")]
+    plan = store.store.chains()._jdf.queryExecution().optimizedPlan().toString()
+    assert all("title" not in line for line in plan.splitlines() if "Aggregate" in line)
+    assert store.store.versions("patterns").filter("pattern_type = 'escalation_chain'").isEmpty()
+
+
 def test_graph_in_batches_equals_one_build(spark):
     rng = random.Random(1)
     words = ["core", "api", "db", "auth", "web", "cache", "old"]
