@@ -10,7 +10,7 @@ from memograph.catalog.detectors import CHAINS, DEPLOYMENTS, RECURRING, SPIKES
 from memograph.catalog.documents import RAW_DOCS, STANDARD
 from memograph.catalog.search import CORRELATIONS, VECTORS, stored_traits
 from memograph.session import cut_lineage, run_folder
-from memograph.streaming.maintain import Maintained
+from memograph.streaming.maintain import EVENT_COLUMNS, Maintained
 
 
 @query("ingest_twice", with_ctes(RAW_DOCS, STANDARD, VECTORS, CORRELATIONS, OP_EVENTS, DEPLOYMENTS, RECURRING, CHAINS, SPIKES, """
@@ -28,7 +28,7 @@ UNION ALL SELECT 'spike', workspace_id, 'pattern_spike_' || event_type, 'medium'
     || ' events in the last 24 hours, compared to a baseline average of ' || printf('%.1f', daily_mean) || ' per day.' FROM freq_spikes"""))
 def ingest_twice(spark, sf_dir):
     """Three batches, the second sent twice; the first holds older versions of rows that the third replaces."""
-    chunks, events = stored_traits(spark, sf_dir), cut_lineage(A.op_events(spark, sf_dir))
+    chunks, events = stored_traits(spark, sf_dir), cut_lineage(A.op_events(spark, sf_dir).select(*EVENT_COLUMNS))
     number = F.substring("event_id", 7, 20).cast("long")
     old_chunks = chunks.filter("seen_at % 3 = 2 AND seen_at % 2 = 0").withColumns({
         "embedding": F.reverse("embedding"), "entities": F.array(F.lit("service_1"), F.lit("topic_1"), F.lit("old")), "seen_at": F.col("seen_at") - 1})

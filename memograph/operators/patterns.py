@@ -14,6 +14,7 @@ from memograph.plans.timescan import micros
 
 WS = ["workspace_id"]
 MINUTE_US = 60_000_000
+CHAIN_MINUTES = 60
 DAY_US = 86_400_000_000
 
 
@@ -100,24 +101,37 @@ def pattern_events(patterns: DataFrame, events: DataFrame, as_of: Column, days:
     return recent.join(keyed, ["workspace_id", "entity"]).select("workspace_id", "pattern_id", "event_id")
 
 
-def chain_pairs(events: DataFrame, minutes: int = 60, issues: DataFrame | None = None) -> DataFrame:
-    """Issue or discussion events up to an hour after a deployment, with both titles and their joint entities.
-
-    Deployments come from events, and so do the issues unless they are given. Generic names
-    are left out once an event, not once a pair: the pairs grow with the square of the events.
-    """
-    named = text.without_generic(F.col("entities"))
-    deployments = events.filter(F.col("event_type") == "deployment").select(
+def chain_deployments(events: DataFrame) -> DataFrame:
+    """The end that a chain starts from. Generic names are left out once an event, not once a pair."""
+    return events.filter(F.col("event_type") == "deployment").select(
         "workspace_id", F.col("event_id").alias("deployment_id"), F.col("ts").alias("deployed_at"),
-        F.col("title").alias("deployment_title"), named.alias("deployment_entities"),
-    )
-    later = (events if issues is None else issues).filter(F.col("event_type").isin(vocab.CHAIN_TYPES)).select(
-        "workspace_id", "event_id", "ts", "title", named.alias("entities")
+        F.col("title").alias("deployment_title"), text.without_generic(F.col("entities")).alias("deployment_entities"),
     )
-    pairs = follow_join(deployments, later, WS, "deployed_at", "ts", minutes * MINUTE_US)
+
+
+def chain_issues(events: DataFrame) -> DataFrame:
+    """The end that a chain leads to: issue and discussion events."""
+    return events.filter(F.col("event_type").isin(vocab.CHAIN_TYPES)).select(
+        "workspace_id", "event_id", "ts", "title", text.without_generic(F.col("entities")).alias("entities"))
+
+
+def join_chains(deployments: DataFrame, issues: DataFrame, minutes: int = CHAIN_MINUTES, dealt: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of the two ends up to an hour apart, with both titles and their joint entities.
+
+    Ends meet within equal values of the `dealt` columns only, which are kept.
+    """
+    pairs = follow_join(deployments, issues, [*WS, *dealt], "deployed_at", "ts", minutes * MINUTE_US)
     # No null is left in the lists, so the plain sort does what array_sort does with a comparison a pair of names.
     joint = F.sort_array(F.array_union("entities", "deployment_entities"))
-    return pairs.select("workspace_id", "deployment_id", "event_id", "deployment_title", "title", joint.alias("entities"))
+    return pairs.select("workspace_id", "deployment_id", "event_id", "deployment_title", "title", joint.alias("entities"), *dealt)
+
+
+def chain_pairs(events: DataFrame, minutes: int = CHAIN_MINUTES, issues: DataFrame | None = None) -> DataFrame:
+    """Issue or discussion events up to an hour after a deployment; see `join_chains`.
+
+    Deployments come from events, and so do the issues unless they are given. The pairs grow with the square of the events.
+    """
+    return join_chains(chain_deployments(events), chain_issues(events if issues is None else issues), minutes)
 
 
 def chain_patterns(pairs: DataFrame) -> DataFrame:
@@ -136,7 +150,7 @@ def chain_patterns(pairs: DataFrame) -> DataFrame:
     )
 
 
-def escalation_chains(events: DataFrame, minutes: int = 60, issues: DataFrame | None = None) -> DataFrame:
+def escalation_chains(events: DataFrame, minutes: int = CHAIN_MINUTES, issues: DataFrame | None = None) -> DataFrame:
     """The patterns of all pairs of a deployment and an event of the hour after it; see `chain_pairs`."""
     return chain_patterns(chain_pairs(events, minutes, issues))
 

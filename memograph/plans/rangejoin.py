@@ -32,3 +32,13 @@ def follow_join(
     sitting = right.filter(F.col(right_ts).isNotNull()).withColumn("_bin", cell_of(micros(right_ts), bin_us))
     gap = micros(right_ts) - micros(left_ts)
     return visiting.join(sitting, [*keys, "_bin"]).filter((gap >= 0) & (gap <= width_us)).drop("_bin")
+
+
+def in_reach(rows: DataFrame, ts: str, of: DataFrame, of_ts: str, keys: Sequence[str], width_us: int, after: bool) -> DataFrame:
+    """The rows that may lie up to the width after (or before) some row of `of`: all that do, and others of the same cells.
+
+    Only the cells of `of` travel, each once, so rows that meet many of them are not multiplied.
+    """
+    own = cell_of(micros(of_ts), width_us)
+    cells = of.filter(F.col(of_ts).isNotNull()).select(*keys, F.explode(F.array(own, own + (1 if after else -1))).alias("_cell")).distinct()
+    return rows.withColumn("_cell", cell_of(micros(ts), width_us)).join(cells, [*keys, "_cell"], "left_semi").select(*rows.columns)

@@ -13,9 +13,11 @@ ones they replace:
 * neighbour lists: new against all, the rest against new, and a list that loses a member is
   searched again;
 * escalation chains: changed deployments against all events, the other deployments against
-  changed events; recurring incidents and spikes of the touched workspaces. A chain counts
-  as long as neither of its events has a version newer than the batch that wrote it, so chains,
-  which grow with the square of the events, are never grouped, compared or marked as deleted.
+  changed events; recurring incidents and spikes of the touched workspaces. Chains grow with
+  the square of the events, so a batch writes the two ends of its chains, each end once a side,
+  and the pairs are formed when they are read. A chain counts as long as neither of its events
+  has a version newer than the batch that wrote it, which is settled on the ends: chains are
+  never stored, grouped, compared or marked as deleted.
 
 Workspace and key columns are not null.
 """
@@ -31,6 +33,7 @@ from memograph import vocab
 from memograph.operators import correlation, entities, patterns
 from memograph.operators.upsert import keep_by
 from memograph.plans.neighbours import knn_join
+from memograph.plans.rangejoin import in_reach
 from memograph.sources.sinks import read_table
 from memograph.session import cut_lineage
 
@@ -40,7 +43,7 @@ KEYS = {"chunks": [WS, "chunk_id"], "events": [WS, "event_id"], "pairs": [WS, "e
 CHUNK_COLUMNS = [WS, "chunk_id", "embedding", "entities", "ts", "source", "seen_at"]
 EVENT_COLUMNS = [WS, "event_id", "event_type", "title", "ts", "entities"]
 PATTERN_COLUMNS = [WS, "pattern_id", "pattern_type", "name", "description", "severity", "confidence", "entities"]
-CHAINS = "chains"
+CHAINS, DEPLOYMENTS, ISSUES, REPLACED = "chains", "chain_deployments", "chain_issues", "replaced_events"
 NEAR = "array<struct<away:double,match_id:string>>"
 
 
@@ -49,6 +52,14 @@ def same_rows(rows: DataFrame, leave: tuple[str, ...] = ()) -> Column:
     return F.to_json(F.struct(*[c for c in rows.columns if c not in leave]), {"ignoreNullFields": "false"})
 
 
+def paired(starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """The chains between the ends that each batch wrote: one end at least is fresh, which is dealt out so that no pair is formed in vain."""
+    fresh = F.col("fresh")
+    starts = starts.withColumn("side", fresh.cast("int"))
+    ends = ends.withColumn("side", F.explode(F.when(fresh, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    return patterns.join_chains(starts.drop("fresh"), ends.drop("fresh"), dealt=("no", "side")).drop("side")
+
+
 class Store:
     """Versioned keyed tables below a folder, and the ledger of the batches that count."""
 
@@ -67,7 +78,10 @@ class Store:
         return ledger is not None and not ledger.filter(F.col("batch_id") == batch_id).isEmpty()
 
     def versions(self, table: str) -> DataFrame | None:
-        """All versions of the batches that count, deletions included."""
+        """All versions of the batches that count, deletions included; of chains the pairs of all batches."""
+        if table == CHAINS:
+            starts, ends = self.versions(DEPLOYMENTS), self.versions(ISSUES)
+            return None if starts is None else paired(starts, ends)
         ledger = self.ledger()
         if ledger is None:
             return None
@@ -89,19 +103,30 @@ class Store:
 
     def chains(self) -> DataFrame | None:
         """Chains whose two events have not changed since the batch that wrote them."""
-        found = self.versions(CHAINS)
-        if found is None:
+        starts, ends = self.versions(DEPLOYMENTS), self.versions(ISSUES)
+        if starts is None:
             return None
-        last, versions = self.last(), self.versions("events").groupBy(*KEYS["events"])
-        moved = versions.agg(F.count(F.lit(1)).alias("n"), F.max("no").alias("newest")).filter("n > 1").drop("n")
-        older = found.filter(F.col("no") < last)
-        for end in ("deployment_id", "event_id"):
-            ends = moved.select(F.col(WS).alias("_ws"), F.col("event_id").alias("_end"), "newest")
-            older = older.join(ends, (F.col(WS) == F.col("_ws")) & (F.col(end) == F.col("_end")) & (F.col("no") < F.col("newest")), "left_anti")
-        return found.filter(F.col("no") == last).unionByName(older).drop("no")
-
-    def write_chains(self, no: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{CHAINS}/no={no}")
+        last, keys = self.last(), KEYS["events"]
+        moved = self.versions(REPLACED).groupBy(*keys).agg(F.max("no").alias("newest"))
+
+        def standing(rows: DataFrame, end: str) -> DataFrame:
+            known = moved.select(F.col(WS).alias("_ws"), F.col("event_id").alias("_end"), "newest")
+            older = rows.filter(F.col("no") < last).join(
+                known, (F.col(WS) == F.col("_ws")) & (F.col(end) == F.col("_end")) & (F.col("no") < F.col("newest")), "left_anti")
+            return rows.filter(F.col("no") == last).unionByName(older)
+
+        return paired(standing(starts, "deployment_id"), standing(ends, "event_id")).drop("no")
+
+    def write_chains(self, no: int, changed: DataFrame, others: DataFrame, replaced: DataFrame) -> None:
+        """The ends of the chains that changed events are in, each once, and the keys of the events that were replaced."""
+        starts, ends = patterns.chain_deployments(changed), patterns.chain_issues(changed)
+        width = patterns.CHAIN_MINUTES * patterns.MINUTE_US
+        met = in_reach(patterns.chain_issues(others), "ts", starts, "deployed_at", [WS], width, after=True)
+        meeting = in_reach(patterns.chain_deployments(others), "deployed_at", ends, "ts", [WS], width, after=False)
+        for table, fresh, stale in ((DEPLOYMENTS, starts, meeting), (ISSUES, ends, met)):
+            rows = fresh.withColumn("fresh", F.lit(True)).unionByName(stale.withColumn("fresh", F.lit(False)))
+            rows.write.mode("overwrite").parquet(f"{self.path}/{table}/no={no}")
+        replaced.select(*KEYS["events"]).write.mode("overwrite").parquet(f"{self.path}/{REPLACED}/no={no}")
 
     def commit(self, batch_id: str, no: int, base: int = 0) -> None:
         row = self.spark.createDataFrame([(no, batch_id, base)], "no int, batch_id string, base int")
@@ -112,7 +137,9 @@ class Store:
         no = self.last() + 1
         for table in KEYS:
             self.write(table, no, self.current(table))
-        self.write_chains(no, self.chains())
+        events = self.current("events")
+        none = events.limit(0)
+        self.write_chains(no, events, none, none)
         self.commit(f"compacted-{no}", no, base=no)
 
 
@@ -134,6 +161,28 @@ def touched_rows(held: DataFrame | None, changed: DataFrame, keys: list[str]) ->
     return cut_lineage(there.join(changed.select(*keys), keys, "left_anti").unionByName(changed))
 
 
+def merged_rows(incoming: DataFrame, versions: DataFrame | None, keys: list[str]) -> DataFrame:
+    """`changes` and `touched_rows` in one pass, for tables whose replaced rows nobody asks for.
+
+    The rows of all workspaces that a new or differing row lies in, as they are after the batch.
+    `fresh` marks the rows that are new or differ, `again` those of them that replace a held one.
+    """
+    if versions is None:
+        return incoming.withColumns({"fresh": F.lit(True), "again": F.lit(False)})
+    row = F.struct(*incoming.columns)
+    there = versions.join(incoming.select(WS).distinct(), WS, "left_semi")
+    # Grouped under the key's own columns, so the join needs no further shuffle of the held rows.
+    held = there.groupBy(*keys).agg(F.max_by(F.struct(row.alias("row"), "gone"), "no").alias("_held"))
+    old = held.filter("NOT _held.gone").select(*keys, F.col("_held.row").alias("_old"))
+    both = incoming.select(*keys, row.alias("_new")).join(old, keys, "full")
+    fresh = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))
+    merged = cut_lineage(both.select(
+        F.when(fresh, F.col("_new")).otherwise(F.coalesce("_old", "_new")).alias("_row"), fresh.alias("fresh"),
+        (fresh & F.col("_old").isNotNull()).alias("again")).select("_row.*", "fresh", "again"))
+    touched = cut_lineage(merged.filter("fresh").select(F.col(WS).alias("_ws")).distinct())
+    return merged.join(touched, F.col(WS).eqNullSafe(F.col("_ws")), "left_semi")
+
+
 class Maintained:
     """Chunks and events with their pairs, neighbour lists, correlations and patterns.
 
@@ -161,9 +210,9 @@ class Maintained:
         self._neighbours(no, held["neighbours"], changed, replaced, after)
         events = events.select(*EVENT_COLUMNS)
         news = cut_lineage(keep_by(events, KEYS["events"], [same_rows(events)], newest=True))
-        moved, _ = changes(news, held["events"], KEYS["events"])
-        moved = store.write("events", no, moved)
-        self._patterns(no, held["patterns"], moved, touched_rows(held["events"], moved, KEYS["events"]))
+        after = merged_rows(news, store.versions("events"), KEYS["events"])
+        moved = store.write("events", no, after.filter("fresh").select(*EVENT_COLUMNS))
+        self._patterns(no, held["patterns"], moved, after)
         store.commit(batch_id, no)
         return True
 
@@ -209,9 +258,8 @@ class Maintained:
         self.store.write("neighbours", no, fresh.unionByName(merged), gone=ids.join(fresh, keys, "left_anti"))
 
     def _patterns(self, no: int, held: DataFrame | None, changed: DataFrame, after: DataFrame) -> None:
-        keys, ids = KEYS["patterns"], changed.select(WS, "event_id")
-        others = after.join(ids, [WS, "event_id"], "left_anti")
-        self.store.write_chains(no, patterns.chain_pairs(changed, issues=after).unionByName(patterns.chain_pairs(others, issues=changed)))
+        keys = KEYS["patterns"]
+        self.store.write_chains(no, changed, after.filter("NOT fresh"), after.filter("again"))
         found = cut_lineage(patterns.recurring_incidents(after, self.as_of).select(*PATTERN_COLUMNS).unionByName(
             patterns.frequency_spikes(after, self.as_of).select(*PATTERN_COLUMNS)))
         if held is None:

@@ -87,6 +87,34 @@ def test_chains_are_kept_by_the_versions_of_their_events(spark, tmp_path):
     assert store.store.versions("patterns").filter("pattern_type = 'escalation_chain'").isEmpty()
 
 
+def test_chains_are_stored_by_their_ends(spark, tmp_path):
+    """What a batch stores grows with its events and what lies an hour around them, not with their pairs."""
+    def event(name, kind, minute, title="t", space="w", micros=0):
+        return (space, name, kind, title, BASE + timedelta(minutes=minute, microseconds=micros), ["db"])
+
+    deployments = [event(f"d{n}", "deployment", n / 10) for n in range(80)]
+    issues = [event(f"i{n}", "incident", 10 + n / 10) for n in range(90)]
+    far = [event("far", "deployment", 900), event("late", "incident", 1900), event("d0", "deployment", 0, space="v"), event("i0", "incident", 1, space="v")]
+    # An hour to the microsecond after d0, one microsecond more, a moved and a renamed event, and a deployment before them.
+    second = [event("edge", "escalation", 60), event("past", "escalation", 60, micros=1), event("i1", "incident", 10.1, micros=1),
+              event("d1", "deployment", 0.1, "new"), event("d80", "deployment", -49)]
+    store = Maintained(spark, str(tmp_path / "ends"), F.lit("2024-01-22 00:00:00").cast("timestamp"), k=2)
+    chunks = spark.createDataFrame([], CHUNKS)
+    written = []
+    for n, events in enumerate((deployments + issues + far, second)):
+        assert store.apply(f"b{n}", chunks, spark.createDataFrame(events, EVENTS))
+        written.append(sum(spark.read.parquet(str(f)).count() for f in (tmp_path / "ends").glob(f"chain*/no={n + 1}")))
+    assert written == [174, 5 + 80 - 1 + 90 - 1]
+    now = spark.createDataFrame(list({r[:2]: r for r in deployments + issues + far + second}.values()), EVENTS)
+    columns = ["workspace_id", "deployment_id", "event_id", "deployment_title", "title", "entities"]
+    assert rows_of(store.events(), *now.columns) == rows_of(now, *now.columns)
+    found = {(r.workspace_id, r.deployment_id, r.event_id) for r in store.store.chains().collect()}
+    assert {("w", "d0", "edge"), ("w", "d80", "i1"), ("v", "d0", "i0")} <= found and ("w", "d0", "past") not in found
+    assert rows_of(store.store.chains(), *columns) == rows_of(patterns.chain_pairs(now), *columns)
+    store.store.compact()
+    assert rows_of(store.store.chains(), *columns) == rows_of(patterns.chain_pairs(now), *columns)
+
+
 def test_graph_in_batches_equals_one_build(spark):
     rng = random.Random(1)
     words = ["core", "api", "db", "auth", "web", "cache", "old"]
